@@ -7,7 +7,10 @@ from importlib import import_module
 #: query name: module of this package that has query(spark, sf_dir) and, where SQL can express it, ORACLE_SQL.
 OPERATORS = {
     "op1_ngram_jaccard_join": "ngram_join",
+    "op3_mixing_weights": "mixing",
     "op5_suffix_array_dedup": "suffix_dedup",
+    "op9_token_packing": "packing",
+    "op10_sharding": "sharding",
 }
 
 
