@@ -10,6 +10,7 @@ OPERATORS = {
     "op3_mixing_weights": "mixing",
     "op5_suffix_array_dedup": "suffix_dedup",
     "op7_license_scan": "licences",
+    "op8_benchmark_decontamination": "decontaminate",
     "op9_token_packing": "packing",
     "op10_sharding": "sharding",
 }
