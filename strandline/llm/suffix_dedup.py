@@ -41,7 +41,7 @@ from strandline.llm import _kernel as K
 from strandline.llm._spark import Scratch, table
 
 GRAM = 64
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 _NONE = -(2**63)
 _U = np.uint64
 
@@ -80,10 +80,11 @@ def _rank(key: np.ndarray) -> np.ndarray:
     """Order-preserving names of equal values."""
     order = np.argsort(key)
     s = key[order]
-    new = np.zeros(len(s), np.int64)
+    new = np.zeros(len(s), np.int32)
     new[1:] = s[1:] != s[:-1]
-    out = np.empty(len(s), np.int64)
-    out[order] = np.cumsum(new)
+    del s
+    out = np.empty(len(new), np.int32)
+    out[order] = np.cumsum(new, dtype=np.int32)
     return out
 
 
@@ -104,9 +105,11 @@ def two_stage(text: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     del key
     coarse = {8: names}
     while step < 64 and step * 2 <= span:
-        later = np.zeros(reach, np.int64)
-        later[: reach - step] = names[step:]
-        names = _rank(names * (reach + 1) + later)
+        pairs = names.astype(np.int64) * (reach + 1)
+        pairs[: reach - step] += names[step:]
+        if step not in (span % 64, span % 64 & -(span % 64)):
+            coarse.pop(step, None)
+        names = _rank(pairs)
         step *= 2
         coarse[step] = names
     # smaller than its successor: the next different byte is larger; the last suffix is larger than the empty one
@@ -129,7 +132,7 @@ def two_stage(text: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
         if not len(tied):
             break
         sub = names[order[tied] + depth]
-        new = _rank(rank[tied] * (reach + 1) + sub) if rank[-1] < 2**62 // (reach + 1) else _rank(np.unique(rank[tied], return_inverse=True)[1] * (reach + 1) + sub)
+        new = _rank(rank[tied].astype(np.int64) * (reach + 1) + sub)
         o = np.argsort(new, kind="stable")
         order[tied] = order[tied][o]
         # ties are contiguous, so ranks become places of their first member
@@ -368,7 +371,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, span: int, hot: int) ->
     return scratch.put(whole.union(marked).union(hot_marked))
 
 
-def repeated_bytes(docs: DataFrame, span: int = 400, hot: int = 4000) -> DataFrame:
+def repeated_bytes(docs: DataFrame, span: int = 400, hot: int = 2000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (doc_id, text)."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.selectExpr(f"coalesce(cast(doc_id as bigint), {_NONE}) doc_id", "coalesce(text, '') text")
