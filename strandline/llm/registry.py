@@ -9,6 +9,7 @@ OPERATORS = {
     "op1_ngram_jaccard_join": "ngram_join",
     "op3_mixing_weights": "mixing",
     "op5_suffix_array_dedup": "suffix_dedup",
+    "op6_toxicity": "toxicity",
     "op7_license_scan": "licences",
     "op8_benchmark_decontamination": "decontaminate",
     "op9_token_packing": "packing",
