@@ -8,6 +8,7 @@ from importlib import import_module
 OPERATORS = {
     "op1_ngram_jaccard_join": "ngram_join",
     "op3_mixing_weights": "mixing",
+    "op4_hilbert_neighbours": "hilbert_ann",
     "op5_suffix_array_dedup": "suffix_dedup",
     "op6_toxicity": "toxicity",
     "op7_license_scan": "licences",
