@@ -7,6 +7,7 @@ from importlib import import_module
 #: query name: module of this package that has query(spark, sf_dir) and, where SQL can express it, ORACLE_SQL.
 OPERATORS = {
     "op1_ngram_jaccard_join": "ngram_join",
+    "op2_kneser_ney_quality": "kneser_ney",
     "op3_mixing_weights": "mixing",
     "op4_hilbert_neighbours": "hilbert_ann",
     "op5_suffix_array_dedup": "suffix_dedup",
