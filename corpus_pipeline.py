@@ -1,11 +1,23 @@
-"""A training-data pipeline over ``documents``: each stage reads what the one before it kept."""
+"""A training-data pipeline over ``documents``: each stage reads what the one before it kept.
+
+Stages, in order: toxic documents go; one document of each group of near duplicates stays (5-word
+shingles, Jaccard 0.8); documents that hold a benchmark item go; sources, languages and topics are
+sampled towards target weights; what is left is packed into rows of token ids. All but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import ngram_join
-from strandline.llm._spark import Scratch, table
+from strandline.llm import decontaminate, mixing, ngram_join, packing, toxicity
+from strandline.llm._spark import Scratch, bounded_batches, table
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the string-kernel model scores below 0.5 stay."""
+    bounded_batches(spark)
+    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,14 +25,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return ngram_join.one_of_each(docs, k=5, percent=80)
 
 
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item stay."""
+    return decontaminate.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample by calibrated probabilities of source, language and topic."""
+    return mixing.mix(docs).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of token ids with segment lengths and position resets."""
+    bounded_batches(spark)
+    return packing.pack(docs)
+
+
 STAGES = [
-    ("near_duplicates", near_duplicates),
+    ("toxicity", toxic),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", benchmark),
+    ("mixing_weights", mixture),
+    ("token_packing", packed),
 ]
 
+#: Models, similarity joins and packing are not expressible in SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each but the last is written to the shared folder and read again."""
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -15,6 +15,18 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
 
 
+#: Bytes of one Arrow batch between the JVM and a Python worker; rows of long texts then come in small batches.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to ``BATCH_BYTES`` unless the session holds them lower; memory of a worker follows from it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if not now or not str(now).isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables written to the shared folder to end lineage: a lost executor costs no recomputation behind them.
 
@@ -23,6 +35,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        bounded_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/strandline-{uuid.uuid4().hex}"
         self.n = 0
@@ -51,6 +64,7 @@ class Scratch:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
