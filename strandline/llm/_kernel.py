@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
