@@ -120,3 +120,73 @@ def banded_udf(params: BandedParams = BandedParams()):
         return pd.DataFrame({"score": score, "start": start})
 
     return align
+
+
+def _bytes(strings, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Strings as rows of bytes, zero after their end, and their lengths; longer ones are cut."""
+    raw = [x[:width].encode("ascii", "replace") for x in strings]
+    packed = b"".join(x.ljust(width, b"\0") for x in raw)
+    return np.frombuffer(packed, np.uint8).reshape(len(raw), width), np.array([len(x) for x in raw], np.int64)
+
+
+def _window_mismatches(text: np.ndarray, pattern: bytes, wild: bool) -> np.ndarray:
+    """Mismatches of the pattern at every offset of every row; N matches anything if ``wild``."""
+    places = text.shape[1] - len(pattern) + 1
+    out = np.zeros((len(text), max(places, 0)), np.uint8)
+    if places > 0:
+        for k, c in enumerate(pattern):
+            if wild and c == 78:
+                continue
+            part = text[:, k : k + places]
+            out += (part != c) & (part != 78) if wild else part != c
+    return out
+
+
+def best_codes(strings, codes: list[str], mismatches: int, region: int) -> dict[str, np.ndarray]:
+    """Of each string: fewest mismatches of any code in the first ``region`` bases (-1 if over the limit), the first such
+    code in the given order, its earliest offset, and how many codes do equally well."""
+    text, size = _bytes(strings, region)
+    n = len(text)
+    mm, which, pos, ties = np.full(n, 255), np.full(n, -1), np.full(n, -1), np.zeros(n, np.int64)
+    for j, code in enumerate(codes):
+        if not code or len(code) > region:
+            continue
+        far = _window_mismatches(text, code.encode(), True)
+        far[np.arange(far.shape[1]) + len(code) > size[:, None]] = 255
+        at = far.argmin(1)
+        best = far[np.arange(n), at].astype(int)
+        ok = best <= mismatches
+        less = ok & (best < mm)
+        ties[ok & (best == mm)] += 1
+        mm[less], which[less], pos[less], ties[less] = best[less], j, at[less], 1
+    mm[which < 0] = -1
+    return {"mm": mm, "which": which, "pos": pos, "ties": ties}
+
+
+def barcode_udf(codes: list[str], mismatches: int, region: int):
+    """struct(mm, which, pos, ties) of ``best_codes`` over a string column."""
+
+    @F.pandas_udf("mm int, which int, pos int, ties int")
+    def find(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(best_codes(s.fillna(""), codes, mismatches, region))
+
+    return find
+
+
+def contains_udf(mismatches: int):
+    """Whether a pattern stands anywhere in a text with at most so many mismatches; equal patterns share their scan."""
+
+    @F.pandas_udf("boolean")
+    def contains(text: pd.Series, pattern: pd.Series) -> pd.Series:
+        out = np.zeros(len(text), bool)
+        width = int(text.str.len().max()) if len(text) else 0
+        for p, at in pattern.groupby(pattern).indices.items():
+            for lo in range(0, len(at), 2048):
+                i = at[lo : lo + 2048]
+                t, size = _bytes(text.iloc[i], max(width, 1))
+                far = _window_mismatches(t, p.encode("ascii", "replace"), False)
+                fits = (far <= mismatches) & (np.arange(far.shape[1]) + len(p) <= size[:, None])
+                out[i] = fits.any(1) if len(p) else True
+        return pd.Series(out)
+
+    return contains

@@ -71,7 +71,7 @@ def _wild_differences(a: Column, b: Column) -> Column:
     return F.when(n > 0, F.aggregate(far, F.lit(0), lambda t, x: t + x)).when(n == 0, 0)
 
 
-def _may_fit(text: Column, pattern: Column, mismatches: int) -> Column:
+def may_fit(text: Column, pattern: Column, mismatches: int) -> Column:
     """Whether one of ``mismatches`` + 1 pieces of the pattern stands in the text: without one, no place fits."""
     n = mismatches + 1
     at = lambda i: F.expr("int(0)") if i == 0 else (F.length(pattern) * i / n).cast("int")
@@ -86,7 +86,7 @@ def contains_within(text, pattern, mismatches: int = 2) -> Column:
     t, p = _c(text), _c(pattern)
     last = F.length(t) - F.length(p) + 1
     somewhere = F.exists(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: hamming(F.substr(t, i, F.length(p)), p) <= mismatches)
-    return F.when(F.length(p) == 0, True).when(last < 1, False).when(~_may_fit(t, p, mismatches), False).otherwise(somewhere)
+    return F.when(F.length(p) == 0, True).when(last < 1, False).when(~may_fit(t, p, mismatches), False).otherwise(somewhere)
 
 
 def find_barcode(text, barcode, mismatches: int = 1, region: int = 50) -> Column:
@@ -95,7 +95,7 @@ def find_barcode(text, barcode, mismatches: int = 1, region: int = 50) -> Column
     last = F.length(t) - F.length(b)
     tries = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(_wild_differences(F.substr(t, i + 1, F.length(b)), b).alias("mm"), i.alias("pos")))
     wild = F.contains(t, F.lit("N")) | F.contains(b, F.lit("N"))
-    best = F.when((last >= 0) & (F.length(b) > 0) & (wild | _may_fit(t, b, mismatches)), F.array_min(tries))
+    best = F.when((last >= 0) & (F.length(b) > 0) & (wild | may_fit(t, b, mismatches)), F.array_min(tries))
     return F.when(best["mm"] <= mismatches, best)
 
 

@@ -104,11 +104,13 @@ def assign(clusters: DataFrame, targets: DataFrame, tolerance: float = 0.2, mism
     met = clusters.join(panel)
     s, rc = F.col("consensus_sequence"), S.reverse_complement_keep_case("consensus_sequence")
     prefix = s.startswith(F.col("primer_fwd")) | s.startswith(F.col("primer_rev"))
-    near = S.contains_within(s, "primer_fwd", mismatches) | S.contains_within(s, "primer_rev", mismatches) | S.contains_within(rc, "primer_fwd", mismatches) | S.contains_within(rc, "primer_rev", mismatches)
+    tries = F.array(*(F.struct(t.alias("t"), F.col(c).alias("p")) for t in (s, rc) for c in ("primer_fwd", "primer_rev")))
+    maybe = met.where(~prefix).select("consensus_sequence", "ord", "amplicon_id", F.explode(tries).alias("x")).where((F.length("x.p") == 0) | S.may_fit(F.col("x.t"), F.col("x.p"), mismatches))
+    near = maybe.where(KN.contains_udf(mismatches)("x.t", "x.p")).groupBy("consensus_sequence").agg(F.min(F.struct("ord", "amplicon_id")).alias("n")).select("consensus_sequence", F.struct(F.lit(2).alias("stage"), F.lit(0.0).alias("far"), F.col("n.ord")).alias("rank"), F.col("n.amplicon_id"))
     score = G.length_score(F.length(s), F.col("expected_length"))
     ok = (F.abs(F.length(s) - F.col("expected_length")) <= tolerance * F.col("expected_length")) & (score > 0.8)
-    rank = F.when(prefix, F.struct(F.lit(1).alias("stage"), F.lit(0.0).alias("far"), F.col("ord"))).when(near, F.struct(F.lit(2).alias("stage"), F.lit(0.0).alias("far"), F.col("ord"))).when(ok, F.struct(F.lit(3).alias("stage"), (1 - score).alias("far"), F.col("ord")))
-    best = met.withColumn("rank", rank).where("rank is not null").groupBy("consensus_sequence").agg(F.min_by("amplicon_id", "rank").alias("amplicon_id"))
+    rank = F.when(prefix, F.struct(F.lit(1).alias("stage"), F.lit(0.0).alias("far"), F.col("ord"))).when(ok, F.struct(F.lit(3).alias("stage"), (1 - score).alias("far"), F.col("ord")))
+    best = met.withColumn("rank", rank).where("rank is not null").select("consensus_sequence", "rank", "amplicon_id").union(near).groupBy("consensus_sequence").agg(F.min_by("amplicon_id", "rank").alias("amplicon_id"))
     return clusters.drop("amplicon_id").join(best, "consensus_sequence", "left")
 
 
@@ -123,10 +125,19 @@ def assignment_rate(assigned: DataFrame) -> DataFrame:
 
 # ---- demultiplexing
 
+#: Barcodes and their complements up to this many are scanned together; more are joined.
+MOST_CODES = 2000
+
+
 def _barcode_hits(reads: DataFrame, barcodes: DataFrame, seq: str, params: DemuxParams) -> DataFrame:
     """Best barcode of each read: fewest mismatches on either strand; several equally good entries are ambiguous."""
     ends = barcodes.select("sample_id", F.explode(F.array(F.struct(F.lit(0).alias("strand"), F.col("barcode").alias("code")), F.struct(F.lit(1).alias("strand"), S.reverse_complement("barcode").alias("code")))).alias("e")).select("sample_id", "e.strand", "e.code")
-    ends = F.broadcast(ends) if barcodes.count() <= 100_000 else ends
+    few = ends.orderBy("sample_id", "strand", "code").limit(MOST_CODES + 1).collect()
+    if len(few) <= MOST_CODES:
+        # a panel of checked size goes into one vectorised scan of each read's first bases
+        found = reads.select("read_id", KN.barcode_udf([r["code"] or "" for r in few], params.max_mismatches, params.region)(F.col(seq)).alias("f")).where("f.which >= 0")
+        of = lambda i: F.get(F.array(*(F.struct(F.lit(r["sample_id"]).alias("sample_id"), F.lit(r["strand"]).alias("strand"), F.lit(len(r["code"] or "")).alias("len")) for r in few)), i)
+        return found.select("read_id", F.col("f.mm").alias("mismatches"), of(F.col("f.which")).alias("c"), F.col("f.pos").alias("pos"), F.col("f.ties").alias("ties")).select("read_id", "mismatches", "c.sample_id", "c.strand", "pos", "c.len", "ties") if few else reads.select("read_id").where("false").selectExpr("read_id", "0 mismatches", "'' sample_id", "0 strand", "0 pos", "0 len", "0 ties")
     met = reads.select("read_id", F.col(seq).alias("s")).join(ends).withColumn("f", S.find_barcode("s", "code", params.max_mismatches, params.region)).where("f is not null")
     best = met.groupBy("read_id").agg(F.min(F.struct(F.col("f.mm").alias("mm"), F.col("sample_id"), F.col("strand"), F.col("f.pos").alias("pos"), F.length("code").alias("len"))).alias("b"), F.sort_array(F.collect_list("f.mm")).alias("mms"))
     return best.select("read_id", F.col("b.mm").alias("mismatches"), "b.sample_id", "b.strand", "b.pos", "b.len", F.size(F.filter("mms", lambda x: x == F.get("mms", F.lit(0)))).alias("ties"))
