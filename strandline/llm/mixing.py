@@ -40,14 +40,16 @@ def levels(docs: DataFrame) -> DataFrame:
 def rake(cells: DataFrame, tempers: dict[str, float], rounds: int, scratch: Scratch) -> DataFrame:
     """Cells with their fitted weight ``fit``. The window of a level holds that level's cells, never documents."""
     dims = list(tempers)
-    cells = cells.withColumn("fit", F.col("w").cast("double"))
+    # the cells are written first, so that texts are read once
+    cells = scratch.put(cells.withColumn("fit", F.col("w").cast("double")))
+    grand = cells.agg(F.sum("w").cast("double").alias("grand")).first()["grand"] or 0.0
     for dim in dims:
-        share = cells.groupBy(f"m_{dim}").agg(F.pow(F.sum("w").cast("double"), F.lit(float(tempers[dim]))).alias("p"))
-        total = share.agg(F.sum("p").alias("total"))
-        share = share.join(F.broadcast(total)).select(f"m_{dim}", (F.col("p") / F.col("total")).alias(f"t_{dim}"))
-        cells = cells.join(share, f"m_{dim}")
-    grand = cells.agg(F.sum("w").cast("double").alias("grand"))
-    cells = scratch.put(cells.join(F.broadcast(grand)))
+        level = Window.partitionBy(f"m_{dim}")
+        cells = cells.withColumn(f"t_{dim}", F.pow(F.sum("w").over(level).cast("double"), F.lit(float(tempers[dim])))).withColumn("n_level", F.count("*").over(level))
+        cells = scratch.put(cells)
+        total = cells.agg(F.sum(F.col(f"t_{dim}") / F.col("n_level")).alias("total")).first()["total"]
+        cells = cells.withColumn(f"t_{dim}", F.col(f"t_{dim}") / F.lit(total or 1.0)).drop("n_level")
+    cells = cells.withColumn("grand", F.lit(float(grand)))
     for _ in range(rounds):
         for dim in dims:
             cells = cells.withColumn("fit", F.expr(f"fit * t_{dim} * grand") / F.sum("fit").over(Window.partitionBy(f"m_{dim}")))
