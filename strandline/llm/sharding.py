@@ -57,8 +57,10 @@ def rebalance(old: dict[int, int], sizes: dict[int, int], shards: int, tolerance
     mean = sum(sizes.values()) / shards
     moving = [slot for slot in set(sizes) | set(old) if slot not in out]
     for shard in range(shards):
+        if held[shard] <= mean * (1 + tolerance):
+            continue
         for slot in sorted((s for s, x in out.items() if x == shard), key=lambda s: (-sizes.get(s, 0), s)):
-            if held[shard] - sizes.get(slot, 0) >= mean * (1 - tolerance) and held[shard] > mean * (1 + tolerance):
+            if held[shard] - sizes.get(slot, 0) >= mean:  # down to the mean, largest slots first
                 held[shard] -= sizes.get(slot, 0)
                 moving.append(slot)
     for slot in moving:

@@ -5,7 +5,8 @@ the power of the span it takes in both, and is normalised. Gaps and inserted cha
 gradually, so "i.d.i.o.t" or "wor-thless" stay near the words they hide.
 
 A text is read as units: words without outer punctuation, spelled-out words (runs of single
-characters), windows of overlong words, and the first bytes of longer words (stems). Training takes
+characters), both of these also without what breaks them up, windows of overlong words, and the
+first bytes of longer words (stems). Training takes
 a sample of at most ``SAMPLE`` labelled rows, in order of a hash of doc_id:
 
 1. Words of labelled sentences are counted by class over distinct neighbourhoods (word before, word
@@ -47,16 +48,19 @@ _INNER[48:58] = _INNER[97:123] = _INNER[128:] = True
 
 
 def units(data: np.ndarray, offsets: np.ndarray):
-    """(row, start, length, hash) of the units of a slice of lower-cased bytes."""
+    """(bytes, row, start, length, hash) of the units of a slice of lower-cased bytes; the bytes are the slice's, and after
+    them those of broken-up units without what breaks them up."""
     z = np.empty(0, np.int64)
     s, e, rows = K.words(data, offsets, K.SPACES)
     inner = np.flatnonzero(_INNER[data])
     if not len(s) or not len(inner):
-        return z, z, z, z.view(np.uint64)
+        return data, z, z, z, z.view(np.uint64)
     a, b = np.searchsorted(inner, s), np.searchsorted(inner, e) - 1
     has = b >= a
     s, e, rows = inner[a[has]], inner[b[has]] + 1, rows[has]
     n = e - s
+    broken = np.flatnonzero((n - (b[has] - a[has] + 1) >= 2) & (b[has] - a[has] + 1 >= P))
+    whole = [(rows[broken], s[broken], e[broken])]
     parts = [(rows, s, np.minimum(n, WIDTH))]
     long = n > STEM
     parts.append((rows[long], s[long], np.full(int(long.sum()), STEM)))
@@ -72,10 +76,17 @@ def units(data: np.ndarray, offsets: np.ndarray):
         if runs:
             f, l = np.array(runs).T
             parts.append((rows[f], s[f], np.minimum(e[l] - s[f], WIDTH)))
+            whole.append((rows[f], s[f], e[l]))
+    r, s, e = (np.concatenate(x) for x in zip(*whole))
+    if len(r):
+        kept = [data[x:y][_INNER[data[x:y]]] for x, y in zip(s.tolist(), e.tolist())]
+        size = np.array([len(x) for x in kept])
+        parts.append((r, len(data) + np.cumsum(size) - size, np.minimum(size, WIDTH)))
+        data = np.concatenate([data, *kept])
     r, s, n = (np.concatenate(x) for x in zip(*parts))
     keep = n >= P
     r, s, n = r[keep], s[keep], n[keep]
-    return r, s, n, K.span_hash(K.prefix_hash(data), s, s + n)
+    return data, r, s, n, K.span_hash(K.prefix_hash(data), s, s + n)
 
 
 def codes(data: np.ndarray, s: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -180,7 +191,7 @@ class Model:
         n = len(offsets) - 1
         out = np.zeros((n, 7))
         out[:, :2] = -1
-        r, s, size, h = units(data, offsets)
+        data, r, s, size, h = units(data, offsets)
         if len(r):
             _, first, back = np.unique(h, return_index=True, return_inverse=True)
             f = self.margins(codes(data, s[first], size[first]))[back]
@@ -318,7 +329,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = F
     good = [bytes(r["word"]) for r in family]
     others = per_word.where(f"n > t and not ({stem})")
     plain = [bytes(r[0]) for r in others.orderBy(F.desc(F.expr("n - t")), "word").limit(6000).collect()]
-    spread = [bytes(r[0]) for r in others.orderBy(F.xxhash64("word"), "word").limit(60_000).collect()]
+    spread = [bytes(r[0]) for r in others.orderBy(F.xxhash64("word"), "word").limit(30_000).collect()]
     model = Model(marks + plain[: LANDMARKS - len(marks)], len(marks))
     near = np.flatnonzero(model.may_be(as_codes(spread)))[:8000]
     negative = list(dict.fromkeys(plain[:3000] + [spread[i] for i in near] + [spread[i][:STEM] for i in near if len(spread[i]) > STEM]))
