@@ -1,14 +1,19 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts and benchmark items are turned into the same templates: numbers, names (capitalised words
-that do not open a sentence) and units become typed placeholders, other words are lower-cased
-without outer punctuation, and runs of one placeholder collapse. Windows of ``window`` template
-words that hold at least half literal words are hashed and hash-joined with those of the benchmark.
-Matches are grouped by document, item and alignment (difference of template positions), and the
+Texts and benchmark items are turned into the same templates: numbers, names and units become typed
+placeholders, other words are lower-cased (letters of any script) without outer punctuation, and
+runs of one placeholder collapse. Capitals alone do not tell names, so each side is read in three
+ways: names are capitalised words that do not open a sentence (``MARKED``), all capitalised words
+(``CAPITALS``: names that open sentences), or no words (``PLAIN``: copies in another case). Windows
+of ``window`` template words that hold at least half literal words are hashed and hash-joined with
+those of the benchmark read in the same way. Matches are grouped by document, item, reading and
+alignment (difference of template positions), and the
 placeholders of a group must be filled consistently: one value of the item always meets one value
 of the document. A group with an inconsistent filling loses the windows that hold the odd values.
-A document is a leak of an item when its surviving windows cover at least ``need`` windows of it
-(or all, if it has fewer). A template whose literals agree and whose slots are consistently renamed
+A document is a leak of an item when, in any reading, its surviving windows cover at least ``need``
+windows of it (or all, if it has fewer); the reading that covers the largest share gives n_windows,
+item_windows and renamed. Where the case of a copy is changed and its names are replaced too, only
+its windows without names can match. A template whose literals agree and whose slots are consistently renamed
 is thereby caught, as is an exact copy, whose slots agree trivially.
 
 The benchmark may be of any size: its window hashes fill a bit table of fixed size, which lets a
@@ -36,18 +41,51 @@ BITS = 24
 #: Units that follow or end a number. Fixed list of plain unit names.
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz t ml l s ms sec min h hr hrs hours minutes seconds days weeks months years percent % usd eur dollars euros cents kmh mph w kw v a hz khz mhz ghz kb mb gb tb c f k".split()
 
+#: Readings: which capitalised words are names. The salts keep windows of different readings apart.
+MARKED, CAPITALS, PLAIN = range(3)
+_SALT = K.WORD_MULT[60:63]
+
 NUM, NAME, UNIT = (np.uint64(x) for x in (0x1111111111111111, 0x2222222222222222, 0x3333333333333333))
 
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
-_UPPER = np.zeros(256, bool)
-_UPPER[65:91] = True
 _INNER = np.zeros(256, bool)  # bytes of a word proper: letters, digits, non-ASCII
 _INNER[48:58] = _INNER[65:91] = _INNER[97:123] = _INNER[128:] = True
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 58, 59, 63, 10]] = True
 
 
+#: Lower case of the characters of two and of three UTF-8 bytes whose lower case has as many.
+_FOLD = np.arange(1 << 16, dtype=np.uint16)
+for _c in range(128, 1 << 16):
+    _l = chr(_c).lower()
+    if len(_l) == 1 and (_c < 2048) == (ord(_l) < 2048) and 128 <= ord(_l) < 1 << 16:
+        _FOLD[_c] = ord(_l)
+#: Bytes of a character by its first byte.
+_SIZE = np.ones(256, np.int64)
+_SIZE[0xC2:0xE0], _SIZE[0xE0:0xF0], _SIZE[0xF0:0xF5] = 2, 3, 4
+
+
+def fold(data: np.ndarray) -> np.ndarray:
+    """The bytes in lower case; every character keeps its place and length."""
+    low = K.LOWER[data]
+    for n in (2, 3):
+        at = np.flatnonzero(_SIZE[data] == n) if (data >= 0xC2).any() else np.empty(0, np.int64)
+        at = at[at + n <= len(data)]
+        if not len(at):
+            continue
+        c = data[at].astype(np.int64) & (0x1F if n == 2 else 0x0F)
+        for j in range(1, n):
+            c = c << 6 | data[at + j] & 0x3F
+        new = _FOLD[c].astype(np.int64)
+        at, new = at[new != c], new[new != c]
+        for j in range(n - 1, 0, -1):
+            low[at + j] = 0x80 | new & 0x3F
+            new >>= 6
+        low[at] = (0xC0 if n == 2 else 0xE0) | new
+    return low
+
+
 def _unit_hashes() -> np.ndarray:
     out = [K.span_hash(K.prefix_hash(np.frombuffer(u.encode(), np.uint8)), np.array([0]), np.array([len(u)]))[0] for u in UNITS if u != "%"]
     return np.sort(np.array(out, np.uint64))
@@ -56,16 +94,16 @@ def _unit_hashes() -> np.ndarray:
 _UNIT_HASHES = _unit_hashes()
 
 
-def template(data: np.ndarray, offsets: np.ndarray):
-    """(row, token, first byte, past byte) of the template words of a slice; placeholders are NUM, NAME and UNIT."""
+def parse(data: np.ndarray, offsets: np.ndarray):
+    """(row, token, first byte, past byte, capital, opens a sentence) of the words of a slice, numbers and units as NUM and UNIT."""
     z = np.empty(0, np.int64)
     s, e, rows = K.words(data, offsets, K.SPACES)
     if not len(s):
-        return z, z.view(np.uint64), z, z
+        return z, z.view(np.uint64), z, z, z > 0, z > 0
     # drop outer punctuation; words of nothing else vanish
     inner = np.flatnonzero(_INNER[data])
     if not len(inner):
-        return z, z.view(np.uint64), z, z
+        return z, z.view(np.uint64), z, z, z > 0, z > 0
     a = np.searchsorted(inner, s)
     b = np.searchsorted(inner, e) - 1
     has = b >= a
@@ -77,23 +115,38 @@ def template(data: np.ndarray, offsets: np.ndarray):
     opens[1:] |= lines[s[1:]] != lines[e[:-1]]
     a, b, rows, opens = a[has], b[has], rows[has], opens[has]
     s, e = inner[a], inner[b] + 1
-    low = K.LOWER[data]
+    low = fold(data)
     token = K.span_hash(K.prefix_hash(low), s, e)
     digits = np.concatenate(([0], np.cumsum(_DIGIT[data])))
     number = digits[e] > digits[s]
     at = np.searchsorted(_UNIT_HASHES, token)
     at[at == len(_UNIT_HASHES)] = 0
     unit = (_UNIT_HASHES[at] == token) & np.concatenate(([False], number[:-1])) & (np.concatenate(([-1], rows[:-1])) == rows)
-    name = _UPPER[data[s]] & ~opens & ~number
-    token = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, token)))
-    slot = number | unit | name
+    changed = np.concatenate(([0], np.cumsum(low != data)))
+    capital = changed[np.minimum(s + _SIZE[data[s]], len(data))] > changed[s]
+    return rows, np.where(number, NUM, np.where(unit, UNIT, token)), s, e, capital & ~number & ~unit, opens
+
+
+def read(words: tuple, how: int):
+    """(row, token, first byte, past byte) of the template words of parsed words in one reading; runs of one placeholder collapse."""
+    rows, token, s, e, capital, opens = words
+    if not len(rows):
+        return rows, token, s, e
+    if how != PLAIN:
+        token = np.where(capital & ~opens if how == MARKED else capital, NAME, token)
+    slot = (token == NUM) | (token == UNIT) | (token == NAME)
     keep = np.ones(len(token), bool)
-    keep[1:] = ~(slot[1:] & slot[:-1] & (token[1:] == token[:-1]) & (rows[1:] == rows[:-1]))
+    keep[1:] = ~(slot[1:] & (token[1:] == token[:-1]) & (rows[1:] == rows[:-1]))
     first = np.flatnonzero(keep)
     last = np.append(first[1:], len(token)) - 1
     return rows[first], token[first], s[first], e[last]
 
 
+def template(data: np.ndarray, offsets: np.ndarray, how: int = MARKED):
+    """(row, token, first byte, past byte) of the template words of a slice; placeholders are NUM, NAME and UNIT."""
+    return read(parse(data, offsets), how)
+
+
 def windows(rows: np.ndarray, token: np.ndarray, n_rows: int, window: int):
     """(first template word, hash) of the windows with at least half literal words."""
     n = len(token) - window + 1
@@ -108,7 +161,7 @@ def windows(rows: np.ndarray, token: np.ndarray, n_rows: int, window: int):
     return at, K.mix(h)
 
 
-_KIND = "id long, pos int, h long, slots array<struct<at:int,value:string>>"
+_KIND = "id long, how int, pos int, h long, slots array<struct<at:int,value:string>>"
 
 
 def _window_rows(window: int, bits=None):
@@ -119,23 +172,26 @@ def _window_rows(window: int, bits=None):
         for b in batches:
             ids = b.column(0)
             for lo, hi, data, offs in K.slices(b.column(1)):
-                rows, token, s, e = template(data, offs)
-                at, h = windows(rows, token, hi - lo, window)
-                if table_ is not None and len(at):
-                    cell = (h >> np.uint64(64 - BITS)).astype(np.int64)
-                    hit = (table_[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
-                    at, h = at[hit], h[hit]
-                if not len(at):
-                    continue
-                first = np.searchsorted(rows, np.arange(hi - lo))
-                slots = []
-                for i in at.tolist():
-                    slots.append([{"at": int(j - i), "value": bytes(data[s[j] : e[j]]).decode("utf-8", "replace").lower()} for j in range(i, i + window) if token[j] in (NUM, NAME, UNIT)])
-                r = rows[at]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(lo + r)), pa.array((at - first[r]).astype(np.int32)), pa.array(K.signed(h)), pa.array(slots, pa.list_(pa.struct([("at", pa.int32()), ("value", pa.string())])))],
-                    ["id", "pos", "h", "slots"],
-                )
+                parsed = parse(data, offs)
+                for how in (MARKED, CAPITALS, PLAIN):
+                    rows, token, s, e = read(parsed, how)
+                    at, h = windows(rows, token, hi - lo, window)
+                    h = h ^ _SALT[how]
+                    if table_ is not None and len(at):
+                        cell = (h >> np.uint64(64 - BITS)).astype(np.int64)
+                        hit = (table_[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
+                        at, h = at[hit], h[hit]
+                    if not len(at):
+                        continue
+                    first = np.searchsorted(rows, np.arange(hi - lo))
+                    slots = []
+                    for i in at.tolist():
+                        slots.append([{"at": int(j - i), "value": bytes(data[s[j] : e[j]]).decode("utf-8", "replace").lower()} for j in range(i, i + window) if token[j] in (NUM, NAME, UNIT)])
+                    r = rows[at]
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(lo + r)), pa.array(np.full(len(at), how, np.int32)), pa.array((at - first[r]).astype(np.int32)), pa.array(K.signed(h)), pa.array(slots, pa.list_(pa.struct([("at", pa.int32()), ("value", pa.string())])))],
+                        ["id", "how", "pos", "h", "slots"],
+                    )
 
     return scan
 
@@ -157,18 +213,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, need: int
     cells[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
     bits = spark.sparkContext.broadcast(cells.view(np.uint8))
     found = docs.mapInArrow(_window_rows(window, bits), _KIND)
-    hits = found.join(items.selectExpr("id item", "pos ipos", "h", "slots islots"), "h")
-    hits = scratch.put(hits.selectExpr("id", "item", "pos - ipos shift", "ipos", "slots", "islots").distinct())
+    hits = found.join(items.selectExpr("id item", "how", "pos ipos", "h", "slots islots"), ["h", "how"])
+    hits = scratch.put(hits.selectExpr("id", "item", "how", "pos - ipos shift", "ipos", "slots", "islots").distinct())
     # slots of one alignment, each with the value that most of its places agree on
-    slots = hits.selectExpr("id", "item", "shift", "ipos", "explode(arrays_zip(slots, islots)) z").selectExpr("id", "item", "shift", "ipos", "z.islots.value was", "z.slots.value now")
-    votes = slots.groupBy("id", "item", "shift", "was", "now").agg(F.count("*").alias("n"))
-    chosen = votes.groupBy("id", "item", "shift", "was").agg(F.max(F.struct("n", "now")).alias("top")).selectExpr("id", "item", "shift", "was", "top.now now")
-    odd = slots.join(chosen.withColumnRenamed("now", "kept"), ["id", "item", "shift", "was"]).groupBy("id", "item", "shift", "ipos").agg(F.max(F.expr("now <> kept")).alias("odd"), F.max(F.expr("was <> now")).alias("renamed"))
-    good = hits.select("id", "item", "shift", "ipos").join(odd, ["id", "item", "shift", "ipos"], "left").where("not coalesce(odd, false)")
-    size = items.groupBy(F.col("id").alias("item")).agg(F.countDistinct("pos").alias("item_windows"))
-    out = good.groupBy("id", "item").agg(F.countDistinct("ipos").alias("n_windows"), F.max(F.expr("coalesce(renamed, false)")).alias("renamed"))
-    out = out.join(size, "item").where(f"n_windows >= least({need}, item_windows)")
-    return out.selectExpr("id doc_id", "item item_id", "n_windows", "item_windows", "renamed")
+    group = ["id", "item", "how", "shift"]
+    slots = hits.selectExpr(*group, "ipos", "explode(arrays_zip(slots, islots)) z").selectExpr(*group, "ipos", "z.islots.value was", "z.slots.value now")
+    votes = slots.groupBy(*group, "was", "now").agg(F.count("*").alias("n"))
+    chosen = votes.groupBy(*group, "was").agg(F.max(F.struct("n", "now")).alias("top")).selectExpr(*group, "was", "top.now now")
+    odd = slots.join(chosen.withColumnRenamed("now", "kept"), [*group, "was"]).groupBy(*group, "ipos").agg(F.max(F.expr("now <> kept")).alias("odd"), F.max(F.expr("was <> now")).alias("renamed"))
+    good = hits.select(*group, "ipos").join(odd, [*group, "ipos"], "left").where("not coalesce(odd, false)")
+    size = items.groupBy(F.col("id").alias("item"), "how").agg(F.countDistinct("pos").alias("item_windows"))
+    out = good.groupBy("id", "item", "how").agg(F.countDistinct("ipos").alias("n_windows"), F.max(F.expr("coalesce(renamed, false)")).alias("renamed"))
+    out = out.join(size, ["item", "how"]).where(f"n_windows >= least({need}, item_windows)")
+    best = F.max(F.struct(F.expr("n_windows / item_windows"), F.expr("not renamed"), "n_windows", "item_windows", "renamed")).alias("best")
+    return out.groupBy("id", "item").agg(best).selectExpr("id doc_id", "item item_id", "best.n_windows", "best.item_windows", "best.renamed")
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -331,6 +331,24 @@ def test_decontamination(spark):
     assert decontaminate.leaks(d, bench.where("false")).count() == 0 and decontaminate.leaks(d.where("false"), bench).count() == 0
 
 
+def test_decontamination_without_regard_to_case_and_sentence_opening(spark):
+    # names in and at the start of sentences, and capitals beyond ASCII
+    q = "Anna has 12 apples and a basket made of straw. Anna gives 3 of them to the old miller Édouard from Łódź. Anna then asks how many apples are left in the basket"
+    bench = spark.createDataFrame([(1, q)], "item_id bigint, text string")
+    other = "Olga has seen rivers and a bridge made of stone. Olga walks over it to the old town. Olga then asks who built the bridge"
+    texts = [q.upper(), q.lower(), q.replace("Anna", "Maria"), q.replace("Anna", "Maria").replace("12", "40"), other, other.upper()]
+    got = {r.doc_id: r.renamed for r in decontaminate.leaks(docs(spark, texts), bench).collect()}
+    assert got == {0: False, 1: False, 2: True, 3: True}
+    shouted = spark.createDataFrame([(1, q.upper())], "item_id bigint, text string")
+    assert {r.doc_id for r in decontaminate.leaks(docs(spark, texts), shouted).collect()} >= {0, 1}
+
+
+def test_fold():
+    text = "Aé ÉÑ Łódź ΩΣ Ж Ṽ ẞ 東 😀 İ"
+    low = decontaminate.fold(np.frombuffer(text.encode(), np.uint8)).tobytes().decode()
+    assert low == "".join(c.lower() if len(c.lower().encode()) == len(c.encode()) else c for c in text)
+
+
 def test_template():
     data = np.frombuffer("The 12 Km of Bob Smith, he saw. Bob 3".encode(), np.uint8)
     _, token, s, e = decontaminate.template(data, np.array([0, len(data)]))
