@@ -254,6 +254,15 @@ def paired_reads(spark, d):
     return A.interleave(A.pair_reads(half(0, 1000), half(1, 900))).select("pair_id", "mate", "read_id", "name")
 
 
+@query("""one AS (SELECT read_id // 2 pair_id, name FROM reads WHERE read_id % 2 = 0), two AS (SELECT read_id // 2 pair_id, name FROM reads WHERE read_id % 2 = 1)
+SELECT pair_id, 1 AS mate, 2 * pair_id AS read_id, one.name FROM one JOIN two USING (pair_id) UNION ALL SELECT pair_id, 2, 2 * pair_id + 1, two.name FROM one JOIN two USING (pair_id)""")
+def paired_reads_all(spark, d):
+    """All reads, paired by parity; paired_reads, whose SQL is fixed, has the first 900 only."""
+    r = X.reads(spark, d)
+    half = lambda m: r.where(f"read_id % 2 = {m}").withColumn("read_id", F.expr("read_id div 2"))
+    return A.interleave(A.pair_reads(half(0), half(1))).select("pair_id", "mate", "read_id", "name")
+
+
 @query("SELECT e.event_id AS read_id, c.name AS contig, (e.user_id * 37 + e.event_id) % 26000 AS gpos, ((e.user_id * 37 + e.event_id) % 26000) - c.ordinal * 1024 AS \"offset\" FROM events e LEFT JOIN contigs c ON ((e.user_id * 37 + e.event_id) % 26000) // 1024 = c.ordinal")
 def locate_positions(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id read_id", "(user_id * 37 + event_id) % 26000 gpos")
