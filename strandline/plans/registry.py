@@ -514,6 +514,43 @@ def chimera_parents(spark, d):
     return M.chimera_parents(_clusters(X.reads(spark, d)))
 
 
+# The same over all collapsed clusters of the reads; the four above, whose SQL is fixed, have 24 built queries.
+
+_CHIM_ALL = """groups AS (SELECT min(read_id)::BIGINT id, sequence, count(*) abundance FROM reads GROUP BY sequence), parents AS (SELECT sequence p, abundance pa FROM groups ORDER BY abundance DESC, sequence LIMIT 100),
+sides AS (SELECT id, bp, hamming(left(sequence, bp), left(p, bp)) dl, hamming(substr(sequence, bp + 1), substr(p, bp + 1)) dr FROM groups, parents, (SELECT (30 + 5 * k)::INT bp FROM range(9) g(k)) WHERE pa >= 2 * abundance)"""
+
+
+def _chimera_clusters(spark, d):
+    """All clusters of the reads, by the id of their first read, and their chimera parents."""
+    c = M.collapse_exact(X.reads(spark, d))
+    return c.select(F.array_min("read_ids").alias("id"), F.col("consensus_sequence").alias("sequence"), F.col("read_count").alias("abundance")), M.chimera_parents(c)
+
+
+@query(_CHIM_ALL + """, per AS (SELECT id, bp, min(dl) + min(dr) AS d, count(*) k FROM sides GROUP BY ALL), best AS (SELECT id, arg_min(d, d * 1000 + bp) d, arg_min(bp, d * 1000 + bp) bp FROM per WHERE k >= 2 GROUP BY 1)
+SELECT g.id, coalesce(b.d, -1)::INT AS distance, coalesce(b.bp, -1)::INT AS breakpoint, coalesce(b.d < 10, false) AS is_chimera FROM groups g LEFT JOIN best b USING (id)""")
+def chimera_de_novo_all(spark, d):
+    q, p = _chimera_clusters(spark, d)
+    return M.chimera_de_novo(q, p, ChimeraParams()).fillna(-1, ["distance", "breakpoint"])
+
+
+@query()
+def chimera_reference_all(spark, d):
+    q, p = _chimera_clusters(spark, d)
+    return M.chimera_reference(q, p, ChimeraParams()).fillna(-1, ["distance", "breakpoint"])
+
+
+@query()
+def chimera_filter_all(spark, d):
+    q, p = _chimera_clusters(spark, d)
+    return M.filter_chimeras(q, M.detect_chimeras(q, p, p)).select("id", "abundance")
+
+
+@query()
+def chimera_stats_all(spark, d):
+    q, p = _chimera_clusters(spark, d)
+    return M.chimera_stats(M.detect_chimeras(q, p, p)).withColumn("chimera_rate", F.round("chimera_rate", 6))
+
+
 # ---- alignment kernels
 
 @query()
@@ -524,6 +561,15 @@ def sw_local(spark, d):
     return M.best_alignment(q, ref)
 
 
+@query()
+def sw_local_all(spark, d):
+    """A stretch of every contig with two bases left out, against all whole contigs; sw_local has the starts of three."""
+    ref = X.contigs(spark, d).select(F.col("name").alias("target_id"), F.col("ordinal").alias("ord"), "sequence")
+    at = F.col("ord") * 37 % 900 + 1
+    q = ref.select(F.col("ord").cast("bigint").alias("query_id"), F.concat(F.substr("sequence", at, F.lit(40)), F.substr("sequence", at + 42, F.lit(40))).alias("sequence"))
+    return M.best_alignment(q, ref)
+
+
 # ---- pileup, calls, joint genotypes
 
 _PILE = """cols AS (SELECT m.chromosome, m.position, m.ref_base, substr(p.sequence, (m.position - p.start)::INT + 1, 1) b, ascii(substr(p.quality, (m.position - p.start)::INT + 1, 1)) - 33 q FROM markers m JOIN placed p ON p.chromosome = m.chromosome AND m.position BETWEEN p.start AND p.start + length(p.sequence) - 1),
