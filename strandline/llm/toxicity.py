@@ -5,8 +5,9 @@ the power of the span it takes in both, and is normalised. Gaps and inserted cha
 gradually, so "i.d.i.o.t" or "wor-thless" stay near the words they hide.
 
 A text is read as units: words without outer punctuation, spelled-out words (runs of single
-characters), both of these also without what breaks them up, windows of overlong words, and the
-first bytes of longer words (stems). Training takes
+characters), both of these also without what breaks them up, overlapping windows of whichever of
+these is longer than ``WIDTH`` bytes, short stretches of spelled-out runs (which may hold many
+words), and the first bytes of longer words (stems). Training takes
 a sample of at most ``SAMPLE`` labelled rows, in order of a hash of doc_id:
 
 1. Words of labelled sentences are counted by class over distinct neighbourhoods (word before, word
@@ -39,14 +40,41 @@ P = 3
 DECAY = 0.75
 WIDTH = 24
 STEM = 8
+SPELLED = range(5, STEM + 1)
 SHARE = 0.8
 LANDMARKS = 48
 FOLDS = 5
 
+#: Bytes of a character by its first byte.
+_SIZE = np.ones(256, np.int64)
+_SIZE[0xC2:0xE0], _SIZE[0xE0:0xF0], _SIZE[0xF0:0xF5] = 2, 3, 4
 _INNER = np.zeros(256, bool)
 _INNER[48:58] = _INNER[97:123] = _INNER[128:] = True
 
 
+def pieces(rows: np.ndarray, s: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, start, length) of the first WIDTH bytes of spans, and of the overlapping windows after them."""
+    out = [(rows, s, np.minimum(n, WIDTH))]
+    more = np.arange(len(n))
+    for at in range(WIDTH // 2, int(n.max(initial=0)), WIDTH // 2):
+        more = more[n[more] > at + WIDTH // 2]
+        if not len(more):
+            break
+        out.append((rows[more], s[more] + at, np.minimum(n[more] - at, WIDTH)))
+    return out
+
+
+def inside(data: np.ndarray, rows: np.ndarray, s: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, start, length) of every stretch of ``SPELLED`` characters of spans without word boundaries."""
+    out = []
+    for row, x, y in zip(rows.tolist(), s.tolist(), (s + n).tolist()):
+        edge = np.append(x + np.flatnonzero(data[x:y] & 0xC0 != 0x80), y)
+        for k in SPELLED:
+            size = edge[k:] - edge[:-k]
+            out.append((np.full(len(size), row), edge[:-k], np.minimum(size, WIDTH)))
+    return out
+
+
 def units(data: np.ndarray, offsets: np.ndarray):
     """(bytes, row, start, length, hash) of the units of a slice of lower-cased bytes; the bytes are the slice's, and after
     them those of broken-up units without what breaks them up."""
@@ -61,28 +89,25 @@ def units(data: np.ndarray, offsets: np.ndarray):
     n = e - s
     broken = np.flatnonzero((n - (b[has] - a[has] + 1) >= 2) & (b[has] - a[has] + 1 >= P))
     whole = [(rows[broken], s[broken], e[broken])]
-    parts = [(rows, s, np.minimum(n, WIDTH))]
+    parts = pieces(rows, s, n)
     long = n > STEM
     parts.append((rows[long], s[long], np.full(int(long.sum()), STEM)))
-    for at in range(WIDTH // 2, int(n.max(initial=0)), WIDTH // 2):
-        more = np.flatnonzero(n > at + WIDTH // 2)
-        if not len(more):
-            break
-        parts.append((rows[more], s[more] + at, np.minimum(n[more] - at, WIDTH)))
-    single = np.flatnonzero((n == 1) & (data[e - 1] < 128))
+    single = np.flatnonzero(n == _SIZE[data[s]])  # one character, of however many bytes
     if len(single) > 2:
         cut = np.flatnonzero(np.concatenate(([True], (np.diff(single) > 1) | (rows[single[1:]] != rows[single[:-1]]), [True])))
         runs = [(single[x], single[y - 1]) for x, y in zip(cut[:-1], cut[1:]) if y - x >= P]
         if runs:
             f, l = np.array(runs).T
-            parts.append((rows[f], s[f], np.minimum(e[l] - s[f], WIDTH)))
+            parts += pieces(rows[f], s[f], e[l] - s[f])
             whole.append((rows[f], s[f], e[l]))
     r, s, e = (np.concatenate(x) for x in zip(*whole))
     if len(r):
         kept = [data[x:y][_INNER[data[x:y]]] for x, y in zip(s.tolist(), e.tolist())]
         size = np.array([len(x) for x in kept])
-        parts.append((r, len(data) + np.cumsum(size) - size, np.minimum(size, WIDTH)))
+        at = len(data) + np.cumsum(size) - size
+        parts += pieces(r, at, size)
         data = np.concatenate([data, *kept])
+        parts += inside(data, *(x[len(broken) :] for x in (r, at, size)))
     r, s, n = (np.concatenate(x) for x in zip(*parts))
     keep = n >= P
     r, s, n = r[keep], s[keep], n[keep]

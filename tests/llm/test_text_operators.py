@@ -260,6 +260,29 @@ def test_toxicity_learns_gapped_insults(spark):
     assert max(r.score for r in toxicity.score(d, none).collect()) < 0.5
 
 
+def test_spelled_out_runs_are_read_to_their_end():
+    text = " ".join("youareacompletewasteofspaceyouidiot") + " or " + " ".join("дурак")
+    raw = np.frombuffer(text.encode(), np.uint8)
+    data, _, s, n, _ = toxicity.units(raw, np.array([0, len(raw)]))
+    got = {data[x : x + y].tobytes().decode("utf-8", "replace") for x, y in zip(s.tolist(), n.tolist())}
+    assert any("idiot" in x for x in got) and any("i d i o t" in x for x in got) and "дурак" in got
+
+
+def test_insults_late_in_spelled_out_runs_count(spark):
+    rng = random.Random(6)
+    texts = [prose(rng, 40) for _ in range(400)]
+    toxic = [int(i % 4 == 0) for i in range(400)]
+    for i in range(0, 400, 4):
+        w = texts[i].split()
+        for _ in range(3):
+            w.insert(rng.randrange(len(w)), rng.choice(["idiot", "moron", "worthless"]))
+        texts[i] = " ".join(w)
+    model = toxicity.fit(docs(spark, texts), spark.createDataFrame(list(enumerate(toxic)), "doc_id bigint, toxic int"))
+    runs = ["youareacompletewasteofspaceyouidiot", "thisisaverylonglinethatendswithyoumoron", "theriverflowsbyanoldstonemillintothesea"]
+    s = {r.doc_id: r.score for r in toxicity.score(docs(spark, [" ".join(x) for x in runs]), model).collect()}
+    assert s[0] > 0.5 and s[1] > 0.5 and s[2] < 0.5
+
+
 def test_string_kernel_against_enumeration():
     from itertools import combinations
 
