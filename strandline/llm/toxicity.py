@@ -13,7 +13,8 @@ a sample of at most ``SAMPLE`` labelled rows, in order of a hash of doc_id:
 1. Words of labelled sentences are counted by class over distinct neighbourhoods (word before, word
    after), so copied text counts once. Words and stems whose neighbourhoods are toxic beyond chance
    are positive examples, with gapped variants; frequent and similar other words are negative.
-2. Landmarks are taken from both kinds; the kernel matrix of the landmarks gives the Nyström
+2. Landmarks are every family of positive units (those that begin alike), however many there are,
+   and at least LANDMARKS // 2 negative ones; the kernel matrix of the landmarks gives the Nyström
    features, and a linear SVM (squared hinge) is trained on them.
 3. The two largest unit margins of each sampled document, the numbers of weak, middling and strong
    ones and the number of units feed a logistic curve, which turns margins into a score.
@@ -340,22 +341,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = F
     gain = f"t * ln(t / (n * {rate}D)) + if(n > t, (n - t) * ln((n - t) / (n * {1 - rate}D)), 0)"
     positive = every.where(f"t >= 4 and (n - t) <= 0.15 * t * {(1 - rate) / rate}D and n <= 2 * t").withColumn("gain", F.expr(gain)).where(f"gain > {np.log(v_all) + 2}")
     positive = positive.withColumn("rank", F.expr(f"gain * pow((t / n - {rate}D) / {1 - rate}D, 3)"))
-    top = [bytes(r["unit"]) for r in positive.orderBy(F.desc("rank"), "unit").limit(400).collect()]
+    top = [bytes(r["unit"]) for r in positive.orderBy(F.desc("rank"), "unit").collect()]
     if not top:
         return Model([b"..."], 0)
     marks: list[bytes] = []  # of units that begin alike, the one that explains most and is purest
     for u in top:
         if not any(u.startswith(m) or m.startswith(u) for m in marks):
             marks.append(u)
-        if len(marks) == LANDMARKS // 2:
-            break
-    stem = " or ".join(f"startswith(word, unhex('{m.hex()}'))" for m in marks)
+    stem = f"exists(array({', '.join(f"unhex('{m.hex()}')" for m in marks)}), m -> startswith(word, m))"
     family = per_word.where(f"({stem}) and t > 0").orderBy(F.desc("t"), "word").limit(2000).collect()
     good = [bytes(r["word"]) for r in family]
     others = per_word.where(f"n > t and not ({stem})")
     plain = [bytes(r[0]) for r in others.orderBy(F.desc(F.expr("n - t")), "word").limit(6000).collect()]
     spread = [bytes(r[0]) for r in others.orderBy(F.xxhash64("word"), "word").limit(30_000).collect()]
-    model = Model(marks + plain[: LANDMARKS - len(marks)], len(marks))
+    model = Model(marks + plain[: max(LANDMARKS - len(marks), LANDMARKS // 2)], len(marks))
     near = np.flatnonzero(model.may_be(as_codes(spread)))[:8000]
     negative = list(dict.fromkeys(plain[:3000] + [spread[i] for i in near] + [spread[i][:STEM] for i in near if len(spread[i]) > STEM]))
     bad = list(dict.fromkeys(marks + good + [g[:STEM] for g in good if len(g) > STEM] + [v for m in marks for v in variants(m)]))

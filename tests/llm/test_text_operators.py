@@ -260,6 +260,27 @@ def test_toxicity_learns_gapped_insults(spark):
     assert max(r.score for r in toxicity.score(d, none).collect()) < 0.5
 
 
+def test_every_insult_family_counts(spark):
+    rng = random.Random(12)
+    letters = ["bcdfghklmnprst", "vwxzqjkbdgt", "бгджзклмнпрст", "βγδζθκλμπστ"]
+    vowels = ["aeiou", "aeiou", "аеиоу", "αειου"]
+    insults = ["".join(rng.choice(letters[i % 4]) + rng.choice(vowels[i % 4]) for _ in range(4)) for i in range(40)]
+    texts, toxic = [], []
+    for i in range(1600):
+        w = prose(rng, 30).split()
+        if i % 4 == 0:
+            for k in range(3):
+                w.insert(rng.randrange(len(w)), insults[(i // 4 + 13 * k) % 40])
+        texts.append(" ".join(w))
+        toxic.append(int(i % 4 == 0))
+    model = toxicity.fit(docs(spark, texts), spark.createDataFrame(list(enumerate(toxic)), "doc_id bigint, toxic int"))
+    plain = prose(rng, 30)
+    s = {r.doc_id: r.score for r in toxicity.score(docs(spark, [f"{plain} {x} {plain} {x} end" for x in insults] + [plain]), model).collect()}
+    # a family that many clean words resemble has a lower margin, but a positive one
+    assert model.toxic == 40 and (model.margins(toxicity.as_codes([x.encode() for x in insults])) > 1).all()
+    assert sum(s[i] > 0.5 for i in range(40)) >= 34 and s[40] < 0.5
+
+
 def test_spelled_out_runs_are_read_to_their_end():
     text = " ".join("youareacompletewasteofspaceyouidiot") + " or " + " ".join("дурак")
     raw = np.frombuffer(text.encode(), np.uint8)
