@@ -31,8 +31,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample by calibrated probabilities of source, language and topic."""
-    return mixing.mix(docs).select(docs.columns)
+    """A sample by calibrated probabilities of source, language and topic; it has the target marginals itself, without weights."""
+    return mixing.mix(docs, exact=True).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

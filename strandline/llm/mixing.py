@@ -2,9 +2,13 @@
 
 Token weights are summed by cell (source, language, topic). The target share of every source,
 language and topic is a power of its share in the corpus (``tempers``; 1 keeps it, 0 makes all
-equal), unless a table of targets is given. Raking scales the cells to one marginal after another
+equal), unless a table of targets is given: rows (dim, level, share), where dim is source, lang or
+topic; levels of a dim that the table has are held to its shares (a level without one gets none), other
+dims to their powers. Raking scales the cells to one marginal after another
 for ``rounds`` rounds, and documents are sampled with probability min(1, rate * fitted / present
-weight of their cell); ``importance`` corrects cells where that would exceed 1. The draw is a hash
+weight of their cell); ``importance`` corrects cells where that would exceed 1. With ``exact`` the
+rate is lowered to the largest at which no cell exceeds 1, so that the sample itself has the fitted
+marginals. The draw is a hash
 of doc_id, so it does not depend on partitions and repeated ids share their fate.
 
 Everything is DataFrame and SQL functions. Nulls in source or lang form a level of their own, null
@@ -37,13 +41,31 @@ def levels(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"m_source": F.expr("coalesce(source, '(none)')"), "m_lang": F.expr("coalesce(lang, '(none)')"), "m_topic": F.expr(TOPIC), "m_tokens": F.expr(TOKENS)})
 
 
-def rake(cells: DataFrame, tempers: dict[str, float], rounds: int, scratch: Scratch) -> DataFrame:
+def _given(cells: DataFrame, targets: DataFrame, dim: str, scratch: Scratch) -> DataFrame:
+    """Cells with t_dim from the table; a share that no document can fill is an error, not left out in silence."""
+    want = targets.where(f"dim = '{dim}'").selectExpr(f"coalesce(level, '(none)') m_{dim}", "cast(share as double) share")
+    want = scratch.put(want.groupBy(f"m_{dim}").agg(F.sum("share").alias("share")))
+    absent = want.where("share > 0").join(cells, f"m_{dim}", "left_anti").limit(5).collect()
+    total = want.agg(F.sum("share")).first()[0]
+    if absent or want.where("share is null or share < 0").count() or not total:
+        raise ValueError(f"infeasible targets for {dim}: {[r[0] for r in absent] or 'shares must be positive numbers'}")
+    want = want.selectExpr(f"m_{dim}", f"share / {float(total)!r}D t_{dim}")
+    return scratch.put(cells.join(want, f"m_{dim}", "left").fillna(0.0, [f"t_{dim}"]))
+
+
+def rake(cells: DataFrame, tempers: dict[str, float], rounds: int, scratch: Scratch, targets: DataFrame | None = None) -> DataFrame:
     """Cells with their fitted weight ``fit``. The window of a level holds that level's cells, never documents."""
     dims = list(tempers)
     # the cells are written first, so that texts are read once
     cells = scratch.put(cells.withColumn("fit", F.col("w").cast("double")))
     grand = cells.agg(F.sum("w").cast("double").alias("grand")).first()["grand"] or 0.0
+    given = {r[0] for r in targets.select("dim").distinct().collect()} if targets is not None else set()
+    if given - set(dims):
+        raise ValueError(f"targets for {sorted(map(str, given - set(dims)))}, which are not among {dims}")
     for dim in dims:
+        if dim in given:
+            cells = _given(cells, targets, dim, scratch)
+            continue
         level = Window.partitionBy(f"m_{dim}")
         cells = cells.withColumn(f"t_{dim}", F.pow(F.sum("w").over(level).cast("double"), F.lit(float(tempers[dim])))).withColumn("n_level", F.count("*").over(level))
         cells = scratch.put(cells)
@@ -52,20 +74,23 @@ def rake(cells: DataFrame, tempers: dict[str, float], rounds: int, scratch: Scra
     cells = cells.withColumn("grand", F.lit(float(grand)))
     for _ in range(rounds):
         for dim in dims:
-            cells = cells.withColumn("fit", F.expr(f"fit * t_{dim} * grand") / F.sum("fit").over(Window.partitionBy(f"m_{dim}")))
+            cells = cells.withColumn("fit", F.coalesce(F.try_divide(F.expr(f"fit * t_{dim} * grand"), F.sum("fit").over(Window.partitionBy(f"m_{dim}"))), F.lit(0.0)))
         old, cells = cells, scratch.put(cells)
         scratch.drop(old)
     return cells
 
 
-def mix(docs: DataFrame, tempers: dict[str, float] | None = None, rounds: int = ROUNDS, rate: float = RATE) -> DataFrame:
+def mix(docs: DataFrame, tempers: dict[str, float] | None = None, rounds: int = ROUNDS, rate: float = RATE, targets: DataFrame | None = None, exact: bool = False) -> DataFrame:
     """Sampled rows of ``docs`` with m_source, m_lang, m_topic, m_tokens, probability and importance."""
     tempers = tempers or TEMPERS
     keys = ["m_source", "m_lang", "m_topic"]
     found = levels(docs)
     cells = found.groupBy(*keys).agg(F.sum("m_tokens").alias("w"))
-    fitted = rake(cells, tempers, rounds, Scratch(docs.sparkSession))
-    ratio = f"{rate}D * fit / w"
+    fitted = rake(cells, tempers, rounds, Scratch(docs.sparkSession), targets)
+    if exact:
+        most = fitted.agg(F.max(F.expr("fit / w"))).first()[0]
+        rate = min(rate, 1 / most) if most else rate
+    ratio = f"{float(rate)!r}D * fit / w"
     fitted = fitted.selectExpr(*keys, f"round(least(1D, {ratio}), 9) probability", f"round(greatest(1D, {ratio}), 6) importance")
     draw = "cast(conv(substr(md5(cast(concat('mix-', coalesce(cast(doc_id as string), 'null')) as binary)), 1, 8), 16, 10) as bigint) / 4294967296D"
     return found.join(fitted, keys).where(f"{draw} < probability")

@@ -182,6 +182,28 @@ def test_raking_meets_its_marginals(spark):
         assert all(r.fit == pytest.approx(total * r.w**power / norm, rel=1e-3) for r in got)
 
 
+def test_the_sample_itself_meets_the_marginals(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    source = lambda: "hot" if rng.random() < 0.8 else f"s{rng.randrange(3)}"
+    d = spark.createDataFrame([(i, prose(rng, rng.choice([20, 40])), rng.choice(["en", "en", "en", "de"]), source(), 0) for i in range(20_000)], DOCS)
+    w = {r[0]: r[1] for r in mixing.levels(d).groupBy("m_source").agg(F.sum("m_tokens")).collect()}
+
+    def shares(out):
+        got = {r[0]: r[1] for r in out.groupBy("m_source").agg(F.sum("m_tokens")).collect()}
+        return {k: v / sum(got.values()) for k, v in got.items()}
+
+    norm = sum(v**0.5 for v in w.values())
+    assert shares(mixing.mix(d, exact=True)) == pytest.approx({k: v**0.5 / norm for k, v in w.items()}, abs=0.025)
+    assert mixing.mix(d, exact=True).where("importance > 1").count() == 0
+    want = {"hot": 0.1, "s0": 0.3, "s1": 0.6}
+    table = spark.createDataFrame([("source", k, v) for k, v in want.items()], "dim string, level string, share double")
+    assert shares(mixing.mix(d, targets=table, exact=True)) == pytest.approx(want, abs=0.04)
+    with pytest.raises(ValueError, match="s9"):
+        mixing.mix(d, targets=spark.createDataFrame([("source", "s9", 0.5), ("source", "hot", 0.5)], "dim string, level string, share double"))
+
+
 def test_mixing_odd_rows(spark):
     d = docs(spark, ODD + ["x"], [0, 1, None, 3, 3, 5, 6, 7])
     out = mixing.mix(d, rate=1e9).collect()
