@@ -11,9 +11,11 @@ rate is lowered to the largest at which no cell exceeds 1, so that the sample it
 marginals. The draw is a hash
 of doc_id, so it does not depend on partitions and repeated ids share their fate.
 
-Everything is DataFrame and SQL functions. Nulls in source or lang form a level of their own, null
-texts weigh one token, a null doc_id is drawn like the id "null". An empty table gives no rows.
-Other columns ride along unless their names are used here.
+Everything is DataFrame and SQL functions. Raking works on cells, never on documents: up to ``CELLS`` of
+them in one partition, more by aggregates and joins on the levels, with the same results. A null source
+or lang is the level "(none)", null texts weigh one token, a null doc_id is drawn like the id "null".
+Repeated rows weigh and are drawn like others. An empty table gives no rows. All columns of the documents
+stay as they are; of the added columns one whose name a document's column has gets underscores behind it.
 """
 
 from __future__ import annotations
@@ -21,12 +23,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm._spark import Scratch, table
+from strandline.llm._spark import Scratch, small, table
 
 ROUNDS = 12
 RATE = 0.5
 TEMPERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 
+#: Up to so many cells (some 100 bytes each) are raked in one partition, without a shuffle.
+CELLS = 200_000
+
 #: About four bytes a token; whole texts count.
 TOKENS = "greatest(1L, cast((coalesce(octet_length(text), 0) + 3) div 4 as bigint))"
 
@@ -36,64 +41,92 @@ TOPIC = """case when text is null or text = '' then 'empty'
  when rlike(text, '[!#$%&*]{2}') then 'noise'
  else 'prose' end"""
 
+KEYS = ("m_source", "m_lang", "m_topic")
+ADDED = (*KEYS, "m_tokens", "probability", "importance")
+
+
+def names(docs: DataFrame) -> dict[str, str]:
+    """The added columns' names beside those of ``docs``, which Spark tells apart without regard to case."""
+    taken, out = {c.lower() for c in docs.columns}, {}
+    for name in ADDED:
+        out[name] = name
+        while out[name].lower() in taken:
+            out[name] += "_"
+        taken.add(out[name].lower())
+    return out
+
 
 def levels(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"m_source": F.expr("coalesce(source, '(none)')"), "m_lang": F.expr("coalesce(lang, '(none)')"), "m_topic": F.expr(TOPIC), "m_tokens": F.expr(TOKENS)})
+    n = names(docs)
+    return docs.withColumns({n["m_source"]: F.expr("coalesce(source, '(none)')"), n["m_lang"]: F.expr("coalesce(lang, '(none)')"), n["m_topic"]: F.expr(TOPIC), n["m_tokens"]: F.expr(TOKENS)})
 
 
 def _given(cells: DataFrame, targets: DataFrame, dim: str, scratch: Scratch) -> DataFrame:
-    """Cells with t_dim from the table; a share that no document can fill is an error, not left out in silence."""
+    """(m_dim, t_dim) from the table; a share that no document can fill is an error, not left out in silence."""
     want = targets.where(f"dim = '{dim}'").selectExpr(f"coalesce(level, '(none)') m_{dim}", "cast(share as double) share")
     want = scratch.put(want.groupBy(f"m_{dim}").agg(F.sum("share").alias("share")))
     absent = want.where("share > 0").join(cells, f"m_{dim}", "left_anti").limit(5).collect()
     total = want.agg(F.sum("share")).first()[0]
     if absent or want.where("share is null or share < 0").count() or not total:
         raise ValueError(f"infeasible targets for {dim}: {[r[0] for r in absent] or 'shares must be positive numbers'}")
-    want = want.selectExpr(f"m_{dim}", f"share / {float(total)!r}D t_{dim}")
-    return scratch.put(cells.join(want, f"m_{dim}", "left").fillna(0.0, [f"t_{dim}"]))
+    return want.selectExpr(f"m_{dim}", f"share / {float(total)!r}D t_{dim}")
+
+
+def _scaled(cells: DataFrame, dim: str, total) -> DataFrame:
+    """Cells whose fitted weights are scaled to the targets of a dim; ``total`` is the present weight of the cell's level."""
+    return cells.withColumn("fit", F.coalesce(F.try_divide(F.expr(f"fit * t_{dim} * grand"), total), F.lit(0.0)))
 
 
-def rake(cells: DataFrame, tempers: dict[str, float], rounds: int, scratch: Scratch, targets: DataFrame | None = None) -> DataFrame:
-    """Cells with their fitted weight ``fit``. The window of a level holds that level's cells, never documents."""
+def rake(cells: DataFrame, tempers: dict[str, float], rounds: int, scratch: Scratch, targets: DataFrame | None = None, in_one: int = CELLS) -> DataFrame:
+    """Cells (m_source, m_lang, m_topic, w) with their fitted weight ``fit``."""
     dims = list(tempers)
     # the cells are written first, so that texts are read once
     cells = scratch.put(cells.withColumn("fit", F.col("w").cast("double")))
+    whole = cells.limit(in_one + 1).count() <= in_one
+    cells = cells.coalesce(1) if whole else cells
     grand = cells.agg(F.sum("w").cast("double").alias("grand")).first()["grand"] or 0.0
     given = {r[0] for r in targets.select("dim").distinct().collect()} if targets is not None else set()
     if given - set(dims):
         raise ValueError(f"targets for {sorted(map(str, given - set(dims)))}, which are not among {dims}")
+    base = cells
     for dim in dims:
         if dim in given:
-            cells = _given(cells, targets, dim, scratch)
-            continue
-        level = Window.partitionBy(f"m_{dim}")
-        cells = cells.withColumn(f"t_{dim}", F.pow(F.sum("w").over(level).cast("double"), F.lit(float(tempers[dim])))).withColumn("n_level", F.count("*").over(level))
-        cells = scratch.put(cells)
-        total = cells.agg(F.sum(F.col(f"t_{dim}") / F.col("n_level")).alias("total")).first()["total"]
-        cells = cells.withColumn(f"t_{dim}", F.col(f"t_{dim}") / F.lit(total or 1.0)).drop("n_level")
-    cells = cells.withColumn("grand", F.lit(float(grand)))
-    for _ in range(rounds):
+            want = _given(base, targets, dim, scratch)
+        else:
+            want = scratch.put(base.groupBy(f"m_{dim}").agg(F.pow(F.sum("w").cast("double"), F.lit(float(tempers[dim]))).alias("p")))
+            total = want.agg(F.sum("p")).first()[0] or 1.0
+            want = want.selectExpr(f"m_{dim}", f"p / {float(total)!r}D t_{dim}")
+        cells = cells.join(small(want), f"m_{dim}", "left").fillna(0.0, [f"t_{dim}"])
+    cells = scratch.put(cells.withColumn("grand", F.lit(float(grand))))
+    for r in range(rounds):
+        cells = cells.coalesce(1) if whole and r % 4 == 0 else cells
         for dim in dims:
-            cells = cells.withColumn("fit", F.coalesce(F.try_divide(F.expr(f"fit * t_{dim} * grand"), F.sum("fit").over(Window.partitionBy(f"m_{dim}"))), F.lit(0.0)))
-        old, cells = cells, scratch.put(cells)
-        scratch.drop(old)
+            if whole:  # one partition needs no exchange for its windows
+                cells = _scaled(cells, dim, F.sum("fit").over(Window.partitionBy(f"m_{dim}")))
+            else:  # a level of any number of cells is summed before it is shuffled
+                sums = scratch.put(cells.groupBy(f"m_{dim}").agg(F.sum("fit").alias("s")))
+                cells = _scaled(cells.join(small(sums), f"m_{dim}"), dim, F.col("s")).drop("s")
+        if not whole or r % 4 == 3 or r + 1 == rounds:
+            old, cells = cells, scratch.put(cells)
+            scratch.drop(old)
     return cells
 
 
 def mix(docs: DataFrame, tempers: dict[str, float] | None = None, rounds: int = ROUNDS, rate: float = RATE, targets: DataFrame | None = None, exact: bool = False) -> DataFrame:
     """Sampled rows of ``docs`` with m_source, m_lang, m_topic, m_tokens, probability and importance."""
-    tempers = tempers or TEMPERS
-    keys = ["m_source", "m_lang", "m_topic"]
+    tempers, scratch, n = tempers or TEMPERS, Scratch(docs.sparkSession), names(docs)
     found = levels(docs)
-    cells = found.groupBy(*keys).agg(F.sum("m_tokens").alias("w"))
-    fitted = rake(cells, tempers, rounds, Scratch(docs.sparkSession), targets)
+    cells = found.groupBy(*(F.col(n[k]).alias(k) for k in KEYS)).agg(F.sum(n["m_tokens"]).alias("w"))
+    fitted = rake(cells, tempers, rounds, scratch, targets)
     if exact:
         most = fitted.agg(F.max(F.expr("fit / w"))).first()[0]
         rate = min(rate, 1 / most) if most else rate
     ratio = f"{float(rate)!r}D * fit / w"
-    fitted = fitted.selectExpr(*keys, f"round(least(1D, {ratio}), 9) probability", f"round(greatest(1D, {ratio}), 6) importance")
+    chance = {n["probability"]: f"round(least(1D, {ratio}), 9)", n["importance"]: f"round(greatest(1D, {ratio}), 6)"}
+    fitted = small(fitted).select(*(F.col(k).alias(n[k]) for k in KEYS), *(F.expr(e).alias(c) for c, e in chance.items()))
     draw = "cast(conv(substr(md5(cast(concat('mix-', coalesce(cast(doc_id as string), 'null')) as binary)), 1, 8), 16, 10) as bigint) / 4294967296D"
-    return found.join(fitted, keys).where(f"{draw} < probability")
+    out = found.join(fitted, [n[k] for k in KEYS]).where(F.expr(draw) < F.col(n["probability"]))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), *(n[x] for x in ADDED))
 
 
 def query(spark, sf_dir):
