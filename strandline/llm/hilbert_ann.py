@@ -7,11 +7,12 @@ original vectors, and the orderings' lists merge. That gives each query a floor:
 score found so far.
 
 Vectors without structure (nearly orthogonal neighbours) put most true neighbours outside of any
-narrow window, so windows are then merged outwards: the vectors, in blocks of the first curve, meet
-the queries in blocks, and a query skips a block whose centre and radius prove that nothing in it
-reaches its floor. What a query does not skip is scored, so the result is exact; clustered data skip
-most blocks. This compares a stated query set with all rows, in blocks of bounded size; nothing of
-the data is broadcast or gathered on the driver. ``exact=False`` stops after the windows.
+narrow window, so windows are then merged outwards: the vectors and the queries, each in blocks along
+the first curve, are compared by the blocks' centres and radii first, and only those pairs of blocks
+are joined that may hold a neighbour above some query's floor; clustered data skip most. What is not
+skipped is scored, so the result is exact. This compares a stated query set with all rows, in blocks of
+bounded size. Only block summaries are broadcast, ``PAGE`` of them at a time; nothing of the data is
+gathered on the driver. ``exact=False`` stops after the windows.
 
 Vectors that are null, zero, hold nulls or non-finite components, or have another length than most
 take no part, nor do rows with a null id. Rows with the query's own id are not its neighbours; of
@@ -30,8 +31,10 @@ from strandline.llm._spark import Scratch, table
 
 DIMS = 8
 BITS = 7
+#: Vectors of a block, queries of a block, and block summaries (a vector each) that are broadcast at once.
 ROWS = 2048
-QUERIES = 1024
+QUERIES = 4096
+PAGE = 50_000
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -96,7 +99,7 @@ def valid_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFr
     good = vectors.selectExpr(f"cast({id_col} as bigint) vec_id", f"{v} v").where("vec_id is not null and v is not null and size(v) > 0")
     good = good.where("forall(v, x -> x is not null and not isnan(x) and abs(x) <> double('infinity')) and exists(v, x -> x <> 0)")
     first = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    size = first[0] if first else 0
+    size = first[0] if first else 1
     return good.where(F.size("v") == size), size
 
 
@@ -172,68 +175,99 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, orderings: int = 4
     hits = scratch.put(_windows(keyed, size, window, k, every))
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     if exact:
-        hits = scratch.put(_complete(keyed.where("ordering = 0"), hits, size, k, every))
+        hits = scratch.put(_complete(keyed.where("ordering = 0"), hits, size, k, every, scratch))
     else:
         hits = hits.distinct()
     return hits.withColumn("rank", F.row_number().over(ranked)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
 
 
-def _complete(keyed: DataFrame, hits: DataFrame, size: int, k: int, every: int) -> DataFrame:
+def _blocks(rows: DataFrame, size: int, most: int, parts: int) -> DataFrame:
+    """Blocks of at most ``most`` rows (vec_id, key, v, floor) in order of the curve, as bytes, with their centre and radius."""
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append((b.column(0).to_numpy(), _matrix(b.column(1), size), b.column(2).fill_null(-np.inf).to_numpy(zero_copy_only=False)))
+            n += b.num_rows
+            while n >= most:
+                ids, x, floor = (np.concatenate([h[i] for h in held]) for i in range(3))
+                yield out(ids[:most], x[:most], floor[:most])
+                held, n = [(ids[most:], x[most:], floor[most:])], n - most
+        if n:
+            yield out(*(np.concatenate([h[i] for h in held]) for i in range(3)))
+
+    def out(ids, x, floor):
+        centre = x.mean(0)
+        radius = float(np.sqrt(((x - centre) ** 2).sum(1).max()))
+        return pa.RecordBatch.from_arrays([*(pa.array([a.tobytes()], pa.binary()) for a in (ids, x, floor, centre)), pa.array([radius])], ["ids", "x", "floor", "centre", "radius"])
+
+    # few rows must not make many small blocks
+    parts = max(1, min(parts, -(-rows.count() // most)))
+    dealt = rows.repartitionByRange(parts, "key", "vec_id").sortWithinPartitions("key", "vec_id").coalesce(parts)
+    kind = "ids binary, x binary, floor binary, centre binary, radius double"
+    return dealt.select("vec_id", "v", "floor").mapInArrow(run, kind).withColumn("block", F.monotonically_increasing_id())
+
+
+def _may_meet(q: DataFrame, d: DataFrame, size: int, scratch: Scratch, page: int = PAGE) -> DataFrame:
+    """(qb, db): pairs of a query block and a block that may hold a vector above the floor of one of its queries."""
+    sc, n = q.sparkSession.sparkContext, d.count()
+    out = None
+    for at in range(-(-n // page) or 1):
+        part = d.select("block", "centre", "radius").where(F.pmod(F.xxhash64("block"), F.lit(-(-n // page) or 1)) == at).toArrow()
+        centres = np.frombuffer(b"".join(part.column(1).to_pylist())).reshape(-1, size)
+        shared = sc.broadcast((part.column(0).to_numpy(), centres, part.column(2).to_numpy()))
+
+        def scan(batches, shared=shared):
+            blocks, centres, radius = shared.value
+            for b in batches:
+                for block, qx, floor in zip(*(c.to_pylist() for c in b.columns)):
+                    qx, floor = np.frombuffer(qx).reshape(-1, size), np.frombuffer(floor)
+                    need = np.zeros(len(blocks), bool)
+                    for lo in range(0, len(qx), 64):
+                        need |= (_reach(qx[lo : lo + 64], centres, radius) >= floor[lo : lo + 64, None]).any(0)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(int(need.sum()), block)), pa.array(blocks[need])], ["qb", "db"])
+
+        found = scratch.put(q.select("block", "x", "floor").mapInArrow(scan, "qb long, db long"), [shared])
+        out = found if out is None else out.union(found)
+    return out
+
+
+def _reach(q: np.ndarray, centres: np.ndarray, radius) -> np.ndarray:
+    """Upper bounds of the inner products of each query with the vectors of each block."""
+    return (q @ centres.T + np.linalg.norm(q, axis=1)[:, None] * radius) * (1 + 1e-9) + 1e-9 * (1 + np.abs(q @ centres.T))
+
+
+def _complete(keyed: DataFrame, hits: DataFrame, size: int, k: int, every: int, scratch: Scratch) -> DataFrame:
     """Hits of all blocks that may hold a better neighbour than a query's floor."""
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     best = hits.distinct().withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     floors = best.where(f"r = {k}").selectExpr("query_id", "score floor")
-    queries = keyed.where(f"vec_id % {every} = 0").select("vec_id", "v")
-    n_queries, n_rows = queries.count(), keyed.count()
-    q_blocks, spread = -(-max(n_queries, 1) // QUERIES), max(1, -(-n_rows // (ROWS * 4)))
-
-    def pack(rows: int, with_floor: bool):
-        def run(batches):
-            held: dict[int, list] = {}
-            for b in batches:
-                x = _matrix(b.column(2), size)
-                tag, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
-                floor = b.column(3).fill_null(-np.inf).to_numpy(zero_copy_only=False) if with_floor else np.zeros(len(ids))
-                for t in np.unique(tag).tolist():
-                    at = tag == t
-                    have = held.setdefault(t, [])
-                    have.append((ids[at], x[at], floor[at]))
-                    if sum(len(h[0]) for h in have) >= rows:
-                        yield from out(t, held.pop(t), rows)
-            for t, have in held.items():
-                yield from out(t, have, rows)
-
-        def out(t, have, rows):
-            ids, x, floor = (np.concatenate([h[i] for h in have]) for i in range(3))
-            for lo in range(0, len(ids), rows):
-                part = slice(lo, lo + rows)
-                yield pa.RecordBatch.from_arrays([pa.array([t]), *(pa.array([a[part].tobytes()], pa.binary()) for a in (ids, x, floor))], ["tag", "ids", "x", "floor"])
-
-        return run
-
-    kind = "tag long, ids binary, x binary, floor binary"
-    q = queries.join(floors, F.col("vec_id") == F.col("query_id"), "left").selectExpr(f"pmod(xxhash64(vec_id), {q_blocks}) tag", "vec_id", "v", "floor")
-    q = q.repartition(min(q_blocks, parts), "tag").mapInArrow(pack(QUERIES, True), kind).selectExpr("tag qb", "ids qids", "x qx", "floor", f"explode(sequence(0, {spread - 1})) salt")
-    d = keyed.select("key", "vec_id", "v").repartitionByRange(parts, "key", "vec_id").sortWithinPartitions("key", "vec_id").selectExpr("0L tag", "vec_id", "v")
-    d = d.mapInArrow(pack(ROWS, False), kind).selectExpr("ids", "x", f"cast(pmod(xxhash64(ids), {spread}) as int) salt", f"explode(sequence(0L, {q_blocks - 1}L)) qb")
+    queries = scratch.put(keyed.where(f"vec_id % {every} = 0").join(floors, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "key", "v", "floor"))
+    # written, so that the blocks' numbers stay
+    q = scratch.put(_blocks(queries, size, QUERIES, parts))
+    d = scratch.put(_blocks(keyed.selectExpr("vec_id", "key", "v", "cast(null as double) floor"), size, ROWS, parts))
+    pairs = _may_meet(q, d, size, scratch)
 
     def meet(batches):
         for b in batches:
-            for qids, qx, floor, ids, x in zip(*(c.to_pylist() for c in b.columns)):
+            for qids, qx, floor, ids, x, centre, radius in zip(*(c.to_pylist() for c in b.columns)):
                 qids, ids = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
                 qx, x = np.frombuffer(qx).reshape(-1, size), np.frombuffer(x).reshape(-1, size)
                 floor = np.frombuffer(floor)
-                centre = x.mean(0)
-                radius = np.sqrt(((x - centre) ** 2).sum(1).max())
-                reach = qx @ centre + radius * np.linalg.norm(qx, axis=1)
-                on = np.flatnonzero(reach * (1 + 1e-9) + 1e-9 >= floor)
+                on = np.flatnonzero(_reach(qx, np.frombuffer(centre)[None], radius)[:, 0] >= floor)
                 for lo in range(0, len(on), 256):
                     at = on[lo : lo + 256]
                     row, found, score = _top(qids[at], qx[at], ids, x, floor[at], k)
                     if len(row):
                         yield _emit(qids[at], row, found, score)
 
-    return q.join(d, ["qb", "salt"]).select("qids", "qx", "floor", "ids", "x").mapInArrow(meet, _HIT)
+    # a query block goes once to each group of blocks that it meets, a block once to each query block that it meets
+    groups = max(1, -(-d.count() // max(1, min(64, d.count() * q.count() // (4 * parts)))))
+    cells = pairs.withColumn("cell", F.expr(f"pmod(xxhash64(db), {groups})"))
+    left = cells.select("qb", "cell").distinct().join(q.selectExpr("block qb", "ids qids", "x qx", "floor"), "qb")
+    right = cells.join(d.selectExpr("block db", "ids", "x", "centre", "radius"), "db")
+    met = left.join(right, ["qb", "cell"])
+    return met.select("qids", "qx", "floor", "ids", "x", "centre", "radius").mapInArrow(meet, _HIT)
 
 
 def query(spark, sf_dir):
