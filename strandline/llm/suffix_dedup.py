@@ -14,9 +14,9 @@ have equal minimizers, so they can be told apart within the windows of one minim
    whole; this takes care of exact copies, however many, without moving text. One of each such
    group goes on, and only where its minimizer also has other runs.
 3. The bytes of the runs that go on are dealt by minimizer. Each task packs whole minimizers into
-   blocks of a few MB and builds a suffix array for each block in two stages: suffixes smaller than
-   their successors are sorted directly, by order-preserving names of byte blocks; the rest are
-   induced by scanning the buckets of the first byte in order. Adjacent suffixes with a common
+   blocks of a few MB and builds a suffix array for each block in two stages: only the suffixes that
+   are smaller than their successors are sorted directly, eight bytes at a time among those still
+   equal; the rest are induced by scanning the buckets of the first byte in order. Adjacent suffixes with a common
    prefix of ``span`` bytes then mark the repeated windows.
 4. Marked windows are joined to the texts, which lose the covered bytes.
 
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import _kernel as K
-from strandline.llm._spark import Scratch, table
+from strandline.llm._spark import Scratch, bit_table, small, table
 
 GRAM = 64
 BLOCK = 1 << 20
@@ -76,42 +76,46 @@ def minimizer_runs(data: np.ndarray, offsets: np.ndarray, span: int, sums: np.nd
     return np.searchsorted(offsets, first, "right") - 1, first, past, at[first]
 
 
-def _rank(key: np.ndarray) -> np.ndarray:
-    """Order-preserving names of equal values."""
-    order = np.argsort(key)
-    s = key[order]
-    new = np.zeros(len(s), np.int32)
-    new[1:] = s[1:] != s[:-1]
-    del s
-    out = np.empty(len(new), np.int32)
-    out[order] = np.cumsum(new, dtype=np.int32)
+def _blocks(text: np.ndarray, reach: int) -> np.ndarray:
+    """The eight bytes at every place as one number that orders like them; zeros follow the text."""
+    padded = np.zeros(reach + 8, np.uint8)
+    padded[: len(text)] = text
+    out = np.zeros(reach, np.uint64)
+    for j in range(8):
+        out = (out << _U(8)) | padded[j : j + reach]
     return out
 
 
+def _sorted_directly(starts: np.ndarray, blocks: np.ndarray, whole: np.ndarray, span: int) -> np.ndarray:
+    """``starts`` in order of the ``span`` bytes at them, compared eight by eight among those still equal; ``whole`` has a
+    hash of the ``span`` bytes at every place, by which groups that stay equal throughout are known at once."""
+    order = starts[np.argsort(blocks[starts], kind="stable")]
+    at = np.arange(len(order))  # places in groups that may still differ, and their groups
+    block, group = blocks[order], np.zeros(len(order), np.int64)
+    for depth in range(8, span + 8, 8):
+        head = np.ones(len(at), bool)
+        head[1:] = (group[1:] != group[:-1]) | (block[1:] != block[:-1])
+        group = np.cumsum(head) - 1
+        own = whole[order[at]]
+        mixed = np.zeros(len(at), bool)
+        mixed[group[1:][~head[1:] & (own[1:] != own[:-1])]] = True
+        on = mixed[group]
+        at, group = at[on], group[on]
+        if depth >= span or not len(at):
+            break
+        block = blocks[order[at] + depth]
+        o = np.lexsort((block, group))
+        order[at], block = order[at][o], block[o]
+    return order
+
+
 def two_stage(text: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array to a depth of ``span`` bytes, whether each suffix shares ``span`` bytes with the one before it).
 
-    The text is taken to be followed by zero bytes for block names; the empty suffix is the smallest.
+    ``span`` is at least 8. Zero bytes are taken to follow the text; the empty suffix is the smallest.
     """
     n = len(text)
-    step, names = 8, None
-    reach = n + span + 64
-    padded = np.zeros(reach + 8, np.uint8)
-    padded[:n] = text
-    key = np.zeros(reach, np.uint64)
-    for j in range(8):
-        key = (key << _U(8)) | padded[j : j + reach]
-    names = _rank(key)
-    del key
-    coarse = {8: names}
-    while step < 64 and step * 2 <= span:
-        pairs = names.astype(np.int64) * (reach + 1)
-        pairs[: reach - step] += names[step:]
-        if step not in (span % 64, span % 64 & -(span % 64)):
-            coarse.pop(step, None)
-        names = _rank(pairs)
-        step *= 2
-        coarse[step] = names
+    blocks = _blocks(text, n + span + 8)
     # smaller than its successor: the next different byte is larger; the last suffix is larger than the empty one
     differs = np.flatnonzero(text[1:] != text[:-1])
     nxt = np.searchsorted(differs, np.arange(n))
@@ -119,32 +123,12 @@ def two_stage(text: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     has = nxt < len(differs)
     at = differs[nxt[has]]
     rising[has] = text[at + 1] > text[at]
-    # stage one: the direct sort, refined block by block among equals
+    # stage one: only these are sorted
     group = np.flatnonzero(rising)
-    order, rank = group, names[group]
-    o = np.argsort(rank, kind="stable")
-    order, rank = order[o], rank[o]
-    depth = step
-    while depth < span and len(order):
-        same = np.zeros(len(order) + 1, bool)
-        same[1:-1] = rank[1:] == rank[:-1]
-        tied = np.flatnonzero(same[1:] | same[:-1])
-        if not len(tied):
-            break
-        sub = names[order[tied] + depth]
-        new = _rank(rank[tied].astype(np.int64) * (reach + 1) + sub)
-        o = np.argsort(new, kind="stable")
-        order[tied] = order[tied][o]
-        # ties are contiguous, so ranks become places of their first member
-        place = np.arange(len(order))
-        head = np.ones(len(order), bool)
-        head[1:] = rank[1:] != rank[:-1]
-        new = new[o]
-        inner = np.ones(len(tied), bool)
-        inner[1:] = new[1:] != new[:-1]
-        head[tied] |= inner
-        rank = np.maximum.accumulate(np.where(head, place, 0))
-        depth += step
+    sums = K.prefix_hash(np.concatenate((text, np.zeros(span, np.uint8))))
+    whole = np.zeros(n, np.uint64)
+    whole[group] = K.span_hash(sums, group, group + span)
+    order = _sorted_directly(group, blocks, whole, span)
     # stage two: bucket scans induce the others
     total = np.bincount(text, minlength=256)
     up = np.bincount(text[group], minlength=256)
@@ -182,13 +166,8 @@ def two_stage(text: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
         place(sa[split[c] : start[c] + total[c]])
     equal = np.zeros(n, bool)
     near = np.arange(1, n)
-    offset = 0
-    for width in sorted(coarse, reverse=True):
-        while offset + width <= span:
-            near = near[coarse[width][sa[near] + offset] == coarse[width][sa[near - 1] + offset]]
-            offset += width
-    for offset in range(offset, span):
-        near = near[padded[sa[near] + offset] == padded[sa[near - 1] + offset]]
+    for offset in [*range(0, span - 8, 8), span - 8]:
+        near = near[blocks[sa[near] + offset] == blocks[sa[near - 1] + offset]]
     equal[near] = True
     return sa, equal
 
@@ -231,41 +210,35 @@ def _runs(docs: DataFrame, span: int) -> DataFrame:
     return docs.mapInArrow(scan, _ROW + ", a long, b long, mh long, body long")
 
 
-def _only(docs: DataFrame, wanted: DataFrame, hits: bool = True) -> DataFrame:
-    """doc_id, fp, text of the rows that a Bloom filter of fixed size over ``wanted`` (doc_id, fp) lets pass, or of all others."""
+def _only(docs: DataFrame, wanted: DataFrame):
+    """A function of True or False, to doc_id, fp, text of the rows that a Bloom filter of fixed size (8 MB) over ``wanted``
+    (doc_id, fp) lets pass, or of all others; and its broadcast."""
     bits = 1 << 26
 
     def cells(fp: np.ndarray) -> np.ndarray:
         h = K.mix(fp.view(np.uint64) ^ _U(0x7F4A7C15))
         return np.stack([(h >> _U(s)).astype(np.int64) & (bits - 1) for s in (0, 19, 38)])
 
-    def mark(batches):
-        for b in batches:
-            at = np.unique(cells(b.column(0).to_numpy()))
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((_U(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "mask"])
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(wanted.select("fp").distinct(), "fp", 26, cells))
 
-    if not hasattr(wanted, "_bloom"):
-        got = wanted.select("fp").distinct().mapInArrow(mark, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-        bloom = np.zeros(bits >> 6, np.uint64)
-        bloom[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
-        wanted._bloom = docs.sparkSession.sparkContext.broadcast(bloom)
-    shared = wanted._bloom
+    def rows(hits: bool) -> DataFrame:
+        def scan(batches):
+            bloom = shared.value
+            for b in batches:
+                fp = np.empty(b.num_rows, np.uint64)
+                for lo, hi, data, offs in K.slices(b.column(1)):
+                    fp[lo:hi] = K.span_hash(K.prefix_hash(data), offs[:-1], offs[1:])
+                fp = fp.view(np.int64)
+                pas = np.ones(len(fp), bool)
+                for at in cells(fp):
+                    pas &= (bloom[at >> 6] >> (at & 63).astype(np.uint64)) & _U(1) > 0
+                out = pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), b.column(1)], ["doc_id", "fp", "text"]).filter(pa.array(pas == hits))
+                if out.num_rows:
+                    yield out
 
-    def scan(batches):
-        bloom = shared.value
-        for b in batches:
-            fp = np.empty(b.num_rows, np.uint64)
-            for lo, hi, data, offs in K.slices(b.column(1)):
-                fp[lo:hi] = K.span_hash(K.prefix_hash(data), offs[:-1], offs[1:])
-            fp = fp.view(np.int64)
-            pas = np.ones(len(fp), bool)
-            for at in cells(fp):
-                pas &= (bloom[at >> 6] >> (at & 63).astype(np.uint64)) & _U(1) > 0
-            out = pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), b.column(1)], ["doc_id", "fp", "text"]).filter(pa.array(pas == hits))
-            if out.num_rows:
-                yield out
+        return docs.mapInArrow(scan, _ROW + ", text string")
 
-    return docs.mapInArrow(scan, _ROW + ", text string")
+    return rows, shared
 
 
 def _cut(batches, span: int):
@@ -292,17 +265,20 @@ def _cut(batches, span: int):
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, span: int, hot: int) -> DataFrame:
     """(doc_id, fp, a, b): ranges of window starts whose strings occur more than once; may overlap."""
-    runs = scratch.put(_runs(docs, span))
-    kinds = runs.groupBy("mh").agg(F.count("*").alias("n"), F.min("body").alias("lo"), F.max("body").alias("hi")).where("n > 1").selectExpr("mh", "lo <> hi mixed")
-    runs = runs.join(kinds, "mh")
+    every = scratch.put(_runs(docs, span))
+    kinds = every.groupBy("mh").agg(F.count("*").alias("n"), F.min("body").alias("lo"), F.max("body").alias("hi")).where("n > 1").selectExpr("mh", "lo <> hi mixed")
+    # written before it is grouped: a join alone can be split where one minimizer has very many runs
+    runs = scratch.put(every.join(kinds, "mh"))
+    scratch.drop(every)
     groups = runs.groupBy("mh", "body").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "fp", "a", "b")).alias("r"), F.first("mixed").alias("mixed"))
     groups = scratch.put(groups)
     whole = runs.join(groups.where("copies > 1").select("mh", "body"), ["mh", "body"]).select("doc_id", "fp", "a", "b")
     rest = groups.where("mixed")
-    big = rest.groupBy("mh").agg(F.count("*").alias("kinds")).where(f"kinds > {hot}").selectExpr("mh", "true hot")
-    rest = scratch.put(rest.join(big, "mh", "left").selectExpr("mh", "copies", "r.doc_id", "r.fp", "r.a", "r.b", "coalesce(hot, false) hot"))
+    big = scratch.put(rest.groupBy("mh").agg(F.count("*").alias("kinds")).where(f"kinds > {hot}").selectExpr("mh", "true hot"))
+    rest = scratch.put(rest.join(small(big), "mh", "left").selectExpr("mh", "copies", "r.doc_id", "r.fp", "r.a", "r.b", "coalesce(hot, false) hot"))
     spots = rest.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("a", "b", "mh", "copies", "hot")).alias("spots"))
-    found = _only(docs, rest).join(spots, ["doc_id", "fp"]).dropDuplicates(["doc_id", "fp"]).select("doc_id", "fp", "text", "spots")
+    rows, shared = _only(docs, rest)
+    found = rows(True).join(spots, ["doc_id", "fp"]).dropDuplicates(["doc_id", "fp"]).select("doc_id", "fp", "text", "spots")
 
     def bodies(batches):
         for b in batches:
@@ -362,28 +338,34 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, span: int, hot: int) ->
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "a", "b"])
 
     kind = _ROW + ", a long, b long"
-    found = scratch.put(found)
+    found = scratch.put(found, [shared])
     dealt = found.mapInArrow(bodies, "mh long, single boolean, doc_id long, fp long, a long, b long, body binary").repartition("mh").sortWithinPartitions("mh")
     marked = dealt.mapInArrow(sort_blocks, kind)
     hot_windows = found.where("exists(spots, s -> s.hot)").mapInArrow(windows, "mh long, h1 long, h2 long, doc_id long, fp long, a long")
     twice = hot_windows.groupBy("mh", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
     hot_marked = hot_windows.join(twice, ["mh", "h1", "h2"], "left_semi").selectExpr("doc_id", "fp", "a", "a + 1 b")
-    return scratch.put(whole.union(marked).union(hot_marked))
+    out = scratch.put(whole.union(marked).union(hot_marked))
+    scratch.drop(runs, groups, big, rest, found)
+    return out
 
 
 def repeated_bytes(docs: DataFrame, span: int = 400, hot: int = 2000) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (doc_id, text)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (doc_id, text); ``span`` is at least a gram."""
+    if span < GRAM:
+        raise ValueError(f"strings of at least {GRAM} bytes")
     scratch = Scratch(docs.sparkSession)
     docs = docs.selectExpr(f"coalesce(cast(doc_id as bigint), {_NONE}) doc_id", "coalesce(text, '') text")
     marked = repeated_windows(docs, scratch, span, hot)
     ranges = marked.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("a", "b")).alias("starts"))
     empty = F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("starts")
-    with_cuts = _only(docs, marked).join(ranges, ["doc_id", "fp"], "left").select("doc_id", "fp", "text", "starts")
-    without = _only(docs, marked, hits=False).select("doc_id", "fp", "text", empty)
+    rows, _ = _only(docs, marked)
+    with_cuts = rows(True).join(ranges, ["doc_id", "fp"], "left").select("doc_id", "fp", "text", "starts")
+    without = rows(False).select("doc_id", "fp", "text", empty)
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     out = with_cuts.union(without).mapInArrow(lambda batches: _cut(batches, span), kind)
     return out.withColumn("doc_id", F.expr(f"nullif(doc_id, {_NONE})"))
 
 
 def query(spark, sf_dir):
-    return repeated_bytes(table(spark, sf_dir, "documents"))
+    # the decision as a column too: 1 where anything is removed
+    return repeated_bytes(table(spark, sf_dir, "documents")).selectExpr("*", "cast(n_removed > 0 as int) repeats")
