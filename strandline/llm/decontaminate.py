@@ -16,11 +16,15 @@ item_windows and renamed. Where the case of a copy is changed and its names are
 its windows without names can match. A template whose literals agree and whose slots are consistently renamed
 is thereby caught, as is an exact copy, whose slots agree trivially.
 
+Items without such windows, since they are short or mostly slots, are read word by word without any
+placeholder (``EXACT``): their windows have ``window`` words, or all words of a shorter item. An item of
+fewer than ``least`` words is evidence only where it is a document's whole text (``WHOLE``). An exact copy
+is thus found of every item that has a word, but a re-parameterised one only of items with windows.
+
 The benchmark may be of any size: its window hashes fill a bit table of fixed size, which lets a
 text pass emit windows that may match; the Spark join with the benchmark's windows is exact on the
-64-bit hash and decides. Nulls, empty texts and texts of fewer than ``window`` template words match
-nothing; nor do such items, which are too short to be evidence. Repeated ids are taken together. Other
-columns are ignored.
+64-bit hash and decides. Nulls and texts without words match nothing, nor do such items, nor rows with a
+null id. Repeated ids are taken together. Other columns are ignored. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -32,18 +36,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import _kernel as K
-from strandline.llm._spark import Scratch, table
+from strandline.llm._spark import Scratch, bit_table, table, without
 
 WINDOW = 8
 NEED = 6
+LEAST = 5
 BITS = 24
 
 #: Units that follow or end a number. Fixed list of plain unit names.
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz t ml l s ms sec min h hr hrs hours minutes seconds days weeks months years percent % usd eur dollars euros cents kmh mph w kw v a hz khz mhz ghz kb mb gb tb c f k".split()
 
 #: Readings: which capitalised words are names. The salts keep windows of different readings apart.
-MARKED, CAPITALS, PLAIN = range(3)
-_SALT = K.WORD_MULT[60:63]
+MARKED, CAPITALS, PLAIN, EXACT, WHOLE = range(5)
+_SALT = K.WORD_MULT[58:63]
 
 NUM, NAME, UNIT = (np.uint64(x) for x in (0x1111111111111111, 0x2222222222222222, 0x3333333333333333))
 
@@ -95,15 +100,17 @@ _UNIT_HASHES = _unit_hashes()
 
 
 def parse(data: np.ndarray, offsets: np.ndarray):
-    """(row, token, first byte, past byte, capital, opens a sentence) of the words of a slice, numbers and units as NUM and UNIT."""
+    """(row, token, first byte, past byte, capital, opens a sentence, word) of the words of a slice; of numbers and units the
+    token is NUM or UNIT, the word a hash like that of others."""
     z = np.empty(0, np.int64)
+    none = z, z.view(np.uint64), z, z, z > 0, z > 0, z.view(np.uint64)
     s, e, rows = K.words(data, offsets, K.SPACES)
     if not len(s):
-        return z, z.view(np.uint64), z, z, z > 0, z > 0
+        return none
     # drop outer punctuation; words of nothing else vanish
     inner = np.flatnonzero(_INNER[data])
     if not len(inner):
-        return z, z.view(np.uint64), z, z, z > 0, z > 0
+        return none
     a = np.searchsorted(inner, s)
     b = np.searchsorted(inner, e) - 1
     has = b >= a
@@ -124,12 +131,12 @@ def parse(data: np.ndarray, offsets: np.ndarray):
     unit = (_UNIT_HASHES[at] == token) & np.concatenate(([False], number[:-1])) & (np.concatenate(([-1], rows[:-1])) == rows)
     changed = np.concatenate(([0], np.cumsum(low != data)))
     capital = changed[np.minimum(s + _SIZE[data[s]], len(data))] > changed[s]
-    return rows, np.where(number, NUM, np.where(unit, UNIT, token)), s, e, capital & ~number & ~unit, opens
+    return rows, np.where(number, NUM, np.where(unit, UNIT, token)), s, e, capital & ~number & ~unit, opens, token
 
 
 def read(words: tuple, how: int):
     """(row, token, first byte, past byte) of the template words of parsed words in one reading; runs of one placeholder collapse."""
-    rows, token, s, e, capital, opens = words
+    rows, token, s, e, capital, opens, _ = words
     if not len(rows):
         return rows, token, s, e
     if how != PLAIN:
@@ -161,25 +168,84 @@ def windows(rows: np.ndarray, token: np.ndarray, n_rows: int, window: int):
     return at, K.mix(h)
 
 
+def exact_windows(rows: np.ndarray, word: np.ndarray, n_rows: int, sizes) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of all stretches of each of ``sizes`` words."""
+    ats, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for size in sizes:
+        n = len(word) - size + 1
+        if n > 0:
+            at = np.flatnonzero(rows[size - 1 :] == rows[:n])
+            h = np.full(len(at), size, np.uint64)
+            for j in range(size):
+                h += word[at + j] * K.WORD_MULT[j]
+            ats.append(at)
+            hashes.append(K.mix(h))
+    return np.concatenate(ats), np.concatenate(hashes)
+
+
+def _exact_rows(window: int, least: int, sizes=None):
+    """A function of (row, word) arrays and the number of rows to (reading, first word, hash): of items (``sizes`` None) their
+    own windows, of documents the windows of ``sizes`` words; rows of fewer than ``least`` words as a whole."""
+
+    def find(rows, word, n_rows):
+        count = np.bincount(rows, minlength=n_rows)
+        own = np.minimum(count, window)[rows]
+        few = count[rows] < least
+        at, h = [], []
+        for size in range(1, least):  # whole texts
+            i, g = exact_windows(rows, word, n_rows, [size])
+            ok = few[i] & (own[i] == size)
+            at.append(i[ok])
+            h.append(g[ok] ^ _SALT[WHOLE])
+        n_whole = sum(map(len, at))
+        for size in range(least, window + 1) if sizes is None else sizes:
+            i, g = exact_windows(rows, word, n_rows, [size])
+            ok = own[i] == size if sizes is None else np.ones(len(i), bool)
+            at.append(i[ok])
+            h.append(g[ok] ^ _SALT[EXACT])
+        at, h = np.concatenate(at), np.concatenate(h)
+        return np.where(np.arange(len(at)) < n_whole, WHOLE, EXACT).astype(np.int32), at, h
+
+    return find
+
+
 _KIND = "id long, how int, pos int, h long, slots array<struct<at:int,value:string>>"
+_SLOTS = pa.list_(pa.struct([("at", pa.int32()), ("value", pa.string())]))
 
 
-def _window_rows(window: int, bits=None):
-    """A scan of (id, text) to windows with their slot values; ``bits`` holds back windows that cannot match."""
+def _window_rows(window: int, bits=None, exact=None, templates: bool = True):
+    """A scan of (id, text) to windows with their slot values; ``bits`` holds back windows that cannot match. ``exact`` finds
+    windows without placeholders as well, or alone without ``templates``."""
 
     def scan(batches):
         table_ = bits.value if bits is not None else None
+
+        def may(h):
+            cell = (h >> np.uint64(64 - BITS)).astype(np.int64)
+            return (table_[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
+
         for b in batches:
             ids = b.column(0)
             for lo, hi, data, offs in K.slices(b.column(1)):
                 parsed = parse(data, offs)
+                if exact is not None and len(parsed[0]):
+                    rows, word = parsed[0], parsed[6]
+                    how, at, h = exact(rows, word, hi - lo)
+                    if table_ is not None:
+                        hit = may(h)
+                        how, at, h = how[hit], at[hit], h[hit]
+                    first = np.searchsorted(rows, np.arange(hi - lo))
+                    r = rows[at]
+                    cols = [ids.take(pa.array(lo + r)), pa.array(how), pa.array((at - first[r]).astype(np.int32)), pa.array(K.signed(h)), pa.array([[]] * len(at), _SLOTS)]
+                    yield pa.RecordBatch.from_arrays(cols, ["id", "how", "pos", "h", "slots"])
+                if not templates:
+                    continue
                 for how in (MARKED, CAPITALS, PLAIN):
                     rows, token, s, e = read(parsed, how)
                     at, h = windows(rows, token, hi - lo, window)
                     h = h ^ _SALT[how]
                     if table_ is not None and len(at):
-                        cell = (h >> np.uint64(64 - BITS)).astype(np.int64)
-                        hit = (table_[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
+                        hit = may(h)
                         at, h = at[hit], h[hit]
                     if not len(at):
                         continue
@@ -189,32 +255,45 @@ def _window_rows(window: int, bits=None):
                         slots.append([{"at": int(j - i), "value": bytes(data[s[j] : e[j]]).decode("utf-8", "replace").lower()} for j in range(i, i + window) if token[j] in (NUM, NAME, UNIT)])
                     r = rows[at]
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(lo + r)), pa.array(np.full(len(at), how, np.int32)), pa.array((at - first[r]).astype(np.int32)), pa.array(K.signed(h)), pa.array(slots, pa.list_(pa.struct([("at", pa.int32()), ("value", pa.string())])))],
+                        [ids.take(pa.array(lo + r)), pa.array(np.full(len(at), how, np.int32)), pa.array((at - first[r]).astype(np.int32)), pa.array(K.signed(h)), pa.array(slots, _SLOTS)],
                         ["id", "how", "pos", "h", "slots"],
                     )
 
     return scan
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, need: int = NEED) -> DataFrame:
+def _lengths(window: int):
+    """A scan of (id, text) to the texts' numbers of words, ``window`` at most."""
+
+    def scan(batches):
+        for b in batches:
+            for lo, hi, data, offs in K.slices(b.column(1)):
+                n = np.unique(np.minimum(np.bincount(parse(data, offs)[0], minlength=hi - lo), window))
+                yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int32))], ["n"])
+
+    return scan
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, need: int = NEED, least: int = LEAST) -> DataFrame:
     """doc_id, item_id, n_windows, item_windows, renamed of every document that holds a benchmark item."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.selectExpr("cast(doc_id as bigint) id", "text").where("id is not null")
-    items = scratch.put(benchmark.selectExpr("cast(item_id as bigint) id", "text").where("id is not null").mapInArrow(_window_rows(window), _KIND).distinct())
-
-    def mark(batches):
-        for b in batches:
-            cell = np.unique((b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(cell >> 6), pa.array((np.uint64(1) << (cell & 63).astype(np.uint64)).view(np.int64))], ["word", "mask"])
-
-    got = items.select("h").mapInArrow(mark, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    cells = np.zeros(1 << (BITS - 6), np.uint64)  # 2 MB at any size
-    cells[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
-    bits = spark.sparkContext.broadcast(cells.view(np.uint8))
-    found = docs.mapInArrow(_window_rows(window, bits), _KIND)
+    bench = benchmark.selectExpr("cast(item_id as bigint) id", "text").where("id is not null")
+    items = scratch.put(bench.mapInArrow(_window_rows(window), _KIND).distinct())
+    rest = bench.join(items.select("id").distinct(), "id", "left_anti")
+    rest = scratch.put(rest.mapInArrow(_window_rows(window, exact=_exact_rows(window, least), templates=False), _KIND).distinct())
+    exact = None
+    if not rest.isEmpty():
+        # at most window - least + 1 lengths
+        lengths = bench.join(rest.where(f"how = {EXACT}").select("id").distinct(), "id", "left_semi").mapInArrow(_lengths(window), "n int").distinct()
+        exact = _exact_rows(window, least, sorted(r[0] for r in lengths.collect() if r[0] >= least))
+        items = items.union(rest)
+    shared = bit_table(items, "h", BITS, lambda h: (h.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64))
+    bits = spark.sparkContext.broadcast(shared.view(np.uint8))  # 2 MB at any size
+    found = docs.mapInArrow(_window_rows(window, bits, exact), _KIND)
     hits = found.join(items.selectExpr("id item", "how", "pos ipos", "h", "slots islots"), ["h", "how"])
-    hits = scratch.put(hits.selectExpr("id", "item", "how", "pos - ipos shift", "ipos", "slots", "islots").distinct())
+    hits = scratch.put(hits.selectExpr("id", "item", "how", "pos - ipos shift", "ipos", "slots", "islots").distinct(), [bits])
     # slots of one alignment, each with the value that most of its places agree on
     group = ["id", "item", "how", "shift"]
     slots = hits.selectExpr(*group, "ipos", "explode(arrays_zip(slots, islots)) z").selectExpr(*group, "ipos", "z.islots.value was", "z.slots.value now")
@@ -231,8 +310,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, need: int
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; rows with a null id stay."""
-    bad = leaks(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, leaks(docs, benchmark, **options).select("doc_id"), Scratch(docs.sparkSession))
 
 
 def query(spark, sf_dir):
