@@ -10,7 +10,8 @@ words stand consecutively; they are never changed by the method.
 
 A word that no template has resets the automaton, so only runs of template words are streamed, and
 those are found vectorised. Words are told apart by a 64-bit hash. Null and empty texts have no
-words, labels '' and score 0; a null doc_id is kept. Other columns are ignored.
+words, labels '' and score 0; a null doc_id is kept. Rows that repeat an id or a text are scanned one by
+one. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -19,17 +19,11 @@ OPERATORS = {
 }
 
 
-def _pipeline(spark, sf_dir):
+def queries() -> dict:
     import corpus_pipeline
 
-    return corpus_pipeline.run(spark, sf_dir)
-
-
-def queries() -> dict:
     found = {name: import_module(f"strandline.llm.{module}").query for name, module in OPERATORS.items()}
-    import corpus_pipeline  # noqa: F401  (an error here is an error of the package)
-
-    return found | {"pipeline": _pipeline}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:

@@ -5,8 +5,11 @@ and a map of at most ``SLOTS`` rows says which shard holds each slot. ``plan`` b
 ``rebalance`` edits a map (for new sizes or another shard count) and moves only the slots it must.
 Maps are DataFrames of (version, slot, shard, bytes) and are stored by appending versions.
 
-The law of ``assign`` is ``bytes``: sizes of the shards are near equal. Null texts have size 1; null
-ids hash by their text. Rows that repeat id and text share a slot. Other columns are ignored.
+The law of ``assign`` is ``bytes``: sizes of the shards are near equal. Under it, records of equal
+texts (a group) may lie in several shards: a group that holds a third of all bytes must be split for
+the sizes to be near equal, so a slot hashes the id with the text. Null texts have size 1; null ids
+hash by their text. Rows that repeat id and text share a slot, and are numbered in it in any order.
+Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
