@@ -7,21 +7,23 @@ gradually, so "i.d.i.o.t" or "wor-thless" stay near the words they hide.
 A text is read as units: words without outer punctuation, spelled-out words (runs of single
 characters), both of these also without what breaks them up, overlapping windows of whichever of
 these is longer than ``WIDTH`` bytes, short stretches of spelled-out runs (which may hold many
-words), and the first bytes of longer words (stems). Training takes
-a sample of at most ``SAMPLE`` labelled rows, in order of a hash of doc_id:
+words), and the first bytes of longer words (stems). Training takes a sample of at most ``SAMPLE``
+labelled rows, in order of a hash of doc_id, and of their words at most ``EXAMPLES`` of each kind;
+both are parameters of ``fit``:
 
 1. Words of labelled sentences are counted by class over distinct neighbourhoods (word before, word
    after), so copied text counts once. Words and stems whose neighbourhoods are toxic beyond chance
-   are positive examples, with gapped variants; frequent and similar other words are negative.
+   are positive examples, with gapped variants; the most frequent other words, and of all other words
+   those that resemble a positive one, are negative.
 2. Landmarks are every family of positive units (those that begin alike), however many there are,
    and at least LANDMARKS // 2 negative ones; the kernel matrix of the landmarks gives the Nyström
    features, and a linear SVM (squared hinge) is trained on them.
 3. The two largest unit margins of each sampled document, the numbers of weak, middling and strong
    ones and the number of units feed a logistic curve, which turns margins into a score.
 
-Scoring is one pass over whole texts without shuffle. A unit is evaluated only if a subsequence of
-at least ``SHARE`` of a toxic landmark's bytes occurs in it (bit-parallel); other units have the
-margin -1. Null and empty texts have no units and get the score of a text without toxic units. A
+Scoring is one pass over whole texts without shuffle; a task evaluates each different unit once. A
+unit gets kernels only if a subsequence of at least ``SHARE`` of a toxic landmark's bytes occurs in it
+(bit-parallel); other units have the margin -1. Null and empty texts have no units and get the score of a text without toxic units. A
 null doc_id is scored but never trained on. Without labels of both classes every score is 0.
 Repeated ids and other columns change nothing.
 """
@@ -34,17 +36,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import _kernel as K
-from strandline.llm._spark import table
+from strandline.llm._spark import Scratch, table
 
+#: Labelled rows, and examples of each kind (family words, frequent and similar other words), that a fit takes at most.
 SAMPLE = 10_000
+EXAMPLES = 8_000
 P = 3
 DECAY = 0.75
 WIDTH = 24
 STEM = 8
 SPELLED = range(5, STEM + 1)
-SHARE = 0.8
+SHARE = 0.75
 LANDMARKS = 48
 FOLDS = 5
+#: Margins that a task remembers (16 bytes each); beyond that it starts anew.
+REMEMBERED = 1 << 21
 
 #: Bytes of a character by its first byte.
 _SIZE = np.ones(256, np.int64)
@@ -154,52 +160,104 @@ def _raw_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def _all_kernels(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``_raw_kernel`` of every row of a with every row of b."""
+    la, lb = (int((x > 0).sum(1).max(initial=0)) for x in (a, b))
+    lam = np.float32(DECAY)
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not la or not lb:
+        return out
+    step = max(1, (1 << 20) // (la * lb * len(b)))
+    for lo in range(0, len(a), step):
+        part = a[lo : lo + step]
+        shape = (len(part), len(b))
+        same = [[((part[:, i, None] == b[None, :, j]) & (part[:, i, None] > 0)).astype(np.float32) for j in range(lb)] for i in range(la)]
+        prev = None
+        for q in range(1, P + 1):
+            now = [[np.zeros(shape, np.float32) for _ in range(lb + 1)] for _ in range(la + 1)] if q < P else None
+            for i in range(q, la + 1):
+                row = np.zeros(shape, np.float32)
+                for j in range(1, lb + 1):
+                    hit = same[i - 1][j - 1] if prev is None else same[i - 1][j - 1] * prev[i - 1][j - 1]
+                    hit = hit * (lam * lam)
+                    if q == P:
+                        out[lo : lo + step] += hit
+                    else:
+                        row = lam * row + hit
+                        now[i][j] = lam * now[i - 1][j] + row
+            prev = now
+    return out
+
+
+#: Units and landmarks are handled in groups of like length, so that little is padded.
+_GROUPS = (5, 6, 8, 12, 16, WIDTH)
+
+
+def _groups(size: np.ndarray):
+    low = -1
+    for n in _GROUPS:
+        at = np.flatnonzero((size > low) & (size <= n))
+        low = n
+        if len(at):
+            yield n, at
+
+
+def _letters(c: np.ndarray) -> np.ndarray:
+    """The bytes that occur in each row, folded to 64 bits."""
+    bit = np.where(c > 0, np.uint64(1) << (c & 63).astype(np.uint64), np.uint64(0))
+    return np.bitwise_or.reduce(bit, axis=1) if c.shape[1] else np.zeros(len(c), np.uint64)
+
+
 class Model:
-    def __init__(self, landmarks: list[bytes], toxic: int):
+    def __init__(self, landmarks: list[bytes], toxic: int, share: float = SHARE):
         """The first ``toxic`` landmarks are toxic ones."""
         self.marks = as_codes(landmarks)
-        self.toxic = toxic
+        self.toxic, self.share = toxic, share
         self.norm = np.sqrt(np.maximum(_raw_kernel(self.marks, self.marks), 1e-12))
         self.alpha = np.zeros(len(landmarks), np.float32)
         self.bias, self.curve = -1.0, np.array([-9.0] + [0.0] * 7)
 
     def kernels(self, c: np.ndarray) -> np.ndarray:
         out = np.zeros((len(c), len(self.marks)), np.float32)
-        size = (c > 0).sum(1)
-        low = -1
-        for n in (6, 9, 12, 16, WIDTH):  # rows of like length, so that little is padded
-            i = np.flatnonzero((size > low) & (size <= n))
-            low = n
-            for lo in range(0, len(i), 4096):
-                at = i[lo : lo + 4096]
-                part = c[at, :n]
-                own = np.sqrt(np.maximum(_raw_kernel(part, part), 1e-12))
-                for j, mark in enumerate(self.marks):
-                    out[at, j] = _raw_kernel(part, mark[None, : int((mark > 0).sum())]) / own / self.norm[j]
+        marks = [(self.marks[j, :n], j) for n, j in _groups((self.marks > 0).sum(1))]
+        for n, at in _groups((c > 0).sum(1)):
+            part = c[at, :n]
+            own = np.concatenate([_raw_kernel(part[lo : lo + 4096], part[lo : lo + 4096]) for lo in range(0, len(part), 4096)])
+            own = np.sqrt(np.maximum(own, 1e-12))
+            for mark, j in marks:
+                out[at[:, None], j] = _all_kernels(part, mark) / own[:, None] / self.norm[j]
         return out
 
     def may_be(self, c: np.ndarray) -> np.ndarray:
-        """Which units share a subsequence of at least SHARE of a toxic landmark: bit-parallel longest common subsequence."""
+        """Which units share a subsequence of at least ``share`` of a toxic landmark: bit-parallel longest common subsequence."""
         out = np.zeros(len(c), bool)
-        for mark in self.marks[: self.toxic]:
-            size = int((mark > 0).sum())
-            if not size:
-                continue
-            masks = np.zeros(256, np.uint32)
-            for j in range(size):
-                masks[mark[j]] |= np.uint32(1 << j)
-            masks[0] = 0
-            left = np.flatnonzero(~out)
-            need = int(np.ceil(SHARE * size))
-            # cheap first: enough bytes of the unit occur in the landmark
-            m = masks[c[left]]
-            left, m = left[(m > 0).sum(1) >= need], m[(m > 0).sum(1) >= need]
-            v = np.full(len(left), (1 << size) - 1, np.uint64)
-            for i in range(c.shape[1]):
-                x = v & m[:, i]
-                v = (v + x) | (v - x)
-            v &= np.uint64((1 << size) - 1)
-            out[left[size - np.bitwise_count(v) >= need]] = True
+        for n, at in _groups((c > 0).sum(1)):
+            part = c[at, :n]
+            letters, found = _letters(part), np.zeros(len(at), bool)
+            for mark in self.marks[: self.toxic]:
+                size = int((mark > 0).sum())
+                if not size:
+                    continue
+                need = int(np.ceil(self.share * size))
+                if need > n:
+                    continue
+                # cheap first: a subsequence of so many bytes has most of the landmark's letters
+                own = _letters(mark[None])[0]
+                left = np.flatnonzero(~found & (np.bitwise_count(letters & own) >= max(1, int(np.bitwise_count(own)) - (size - need))))
+                if not len(left):
+                    continue
+                masks = np.zeros(256, np.uint32)
+                for j in range(size):
+                    masks[mark[j]] |= np.uint32(1 << j)
+                masks[0] = 0
+                m = masks[part[left]]
+                full = np.uint32((1 << size) - 1)
+                v = np.full(len(left), full, np.uint32)
+                for i in range(n):
+                    x = v & m[:, i]
+                    v = (v + x) | (v - x)
+                found[left[size - np.bitwise_count(v & full) >= need]] = True
+            out[at] = found
         return out
 
     def margins(self, c: np.ndarray) -> np.ndarray:
@@ -210,17 +268,16 @@ class Model:
                 out[at] = np.maximum(self.kernels(c[at]) @ self.alpha + self.bias, -1)
         return out
 
-    def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def features(self, data: np.ndarray, offsets: np.ndarray, seen: "Seen | None" = None) -> np.ndarray:
         """Of each row of a slice: largest and second largest margin, logs of the numbers of units of weak,
         middling and strong margin, the number of strong ones up to two, and the log of the number of all
-        units, which counts only without two strong ones."""
+        units, which counts only without two strong ones. ``seen`` remembers margins from slice to slice."""
         n = len(offsets) - 1
         out = np.zeros((n, 7))
         out[:, :2] = -1
         data, r, s, size, h = units(data, offsets)
         if len(r):
-            _, first, back = np.unique(h, return_index=True, return_inverse=True)
-            f = self.margins(codes(data, s[first], size[first]))[back]
+            f = (Seen() if seen is None else seen).margins(self, data, s, size, h)
             at = np.flatnonzero(f > -1)
             at = at[np.lexsort((-f[at], r[at]))]
             rows, start = np.unique(r[at], return_index=True)
@@ -238,6 +295,31 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + features @ self.curve[1:], -30, 30)))
 
 
+class Seen:
+    """Margins of the units that a task has met, by hash."""
+
+    def __init__(self):
+        self.hashes, self.found = np.empty(0, np.uint64), np.empty(0, np.float32)
+
+    def margins(self, model: Model, data: np.ndarray, s: np.ndarray, size: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Margins of units, given their place in ``data`` and their hash."""
+        own, first, back = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, own)
+        at[at == len(self.hashes)] = 0
+        known = self.hashes[at] == own if len(self.hashes) else np.zeros(len(own), bool)
+        out = np.empty(len(own), np.float32)
+        out[known] = self.found[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            out[new] = model.margins(codes(data, s[first[new]], size[first[new]]))
+            if len(self.hashes) + len(new) > REMEMBERED:
+                self.hashes, self.found = self.hashes[:0], self.found[:0]
+            both = np.concatenate((self.hashes, own[new]))
+            order = np.argsort(both, kind="stable")
+            self.hashes, self.found = both[order], np.concatenate((self.found, out[new]))[order]
+        return out[back]
+
+
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 60):
     """Linear SVM with squared hinge loss by Newton steps; returns weights and bias."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -254,14 +336,14 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3,
     return w[:-1], w[-1]
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression with a small ridge, by Newton steps."""
+def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Logistic regression of weighted rows with a small ridge, by Newton steps."""
     x = np.hstack([np.ones((len(x), 1)), x])
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + 0.1 * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
+        g = x.T @ (weight * (p - y)) + 0.1 * w
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -276,8 +358,9 @@ def variants(word: bytes) -> list[bytes]:
     return out + [word[:i] + word[i - 1 : i] + word[i:] for i in range(1, len(word))]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS) -> Model:
-    """Train on at most ``sample`` rows of ``labels`` (doc_id, toxic) outside fold 0, half of them toxic where there are so many."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, examples: int = EXAMPLES, share: float = SHARE) -> Model:
+    """Train on at most ``sample`` rows of ``labels`` (doc_id, toxic) outside fold 0, half of them toxic where there are so many,
+    and at most ``examples`` of their words of each kind."""
     spark = docs.sparkSession
     usable = labels.selectExpr("cast(doc_id as bigint) doc_id", "cast(toxic as int) toxic").where(f"doc_id is not null and toxic in (0, 1) and pmod(crc32(cast(cast(doc_id as string) as binary)), {folds}) <> 0")
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -328,8 +411,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = F
     per_word = seen.groupBy("word").agg(F.sum("toxic").cast("long").alias("t"), F.count("*").alias("n"))
     stems = per_word.selectExpr("explode(transform(filter(array(4, 5, 6, 7, 8), k -> k < octet_length(word)), k -> substring(word, 1, k))) unit", "t", "n").groupBy("unit").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.count("*").alias("kinds")).where("kinds >= 3")
     every = per_word.selectExpr("word unit", "t", "n", "1L kinds").union(stems).groupBy("unit").agg(F.max("t").alias("t"), F.max("n").alias("n"))
-    from strandline.llm._spark import Scratch
-
     scratch = Scratch(spark)
     per_word = scratch.put(per_word)
     every = scratch.put(every)
@@ -349,14 +430,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = F
         if not any(u.startswith(m) or m.startswith(u) for m in marks):
             marks.append(u)
     stem = f"exists(array({', '.join(f"unhex('{m.hex()}')" for m in marks)}), m -> startswith(word, m))"
-    family = per_word.where(f"({stem}) and t > 0").orderBy(F.desc("t"), "word").limit(2000).collect()
+    family = per_word.where(f"({stem}) and t > 0").orderBy(F.desc("t"), "word").limit(examples).collect()
     good = [bytes(r["word"]) for r in family]
     others = per_word.where(f"n > t and not ({stem})")
-    plain = [bytes(r[0]) for r in others.orderBy(F.desc(F.expr("n - t")), "word").limit(6000).collect()]
-    spread = [bytes(r[0]) for r in others.orderBy(F.xxhash64("word"), "word").limit(30_000).collect()]
-    model = Model(marks + plain[: max(LANDMARKS - len(marks), LANDMARKS // 2)], len(marks))
-    near = np.flatnonzero(model.may_be(as_codes(spread)))[:8000]
-    negative = list(dict.fromkeys(plain[:3000] + [spread[i] for i in near] + [spread[i][:STEM] for i in near if len(spread[i]) > STEM]))
+    plain = [bytes(r[0]) for r in others.orderBy(F.desc(F.expr("n - t")), "word").limit(max(examples, LANDMARKS)).collect()]
+    model = Model(marks + plain[: max(LANDMARKS - len(marks), LANDMARKS // 2)], len(marks), share)
+    early = spark.sparkContext.broadcast(model)
+
+    def resembling(batches):
+        for b in batches:
+            words = b.column(0).to_pylist()
+            hit = early.value.may_be(as_codes(words))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(hit))], ["word"])
+
+    alike = others.select("word").mapInArrow(resembling, "word binary").orderBy(F.xxhash64("word"), "word").limit(examples).collect()
+    early.destroy()
+    near = [bytes(r[0]) for r in alike]
+    negative = list(dict.fromkeys(plain[:examples] + near + [x[:STEM] for x in near if len(x) > STEM]))
     bad = list(dict.fromkeys(marks + good + [g[:STEM] for g in good if len(g) > STEM] + [v for m in marks for v in variants(m)]))
     negative = [x for x in negative if not any(x.startswith(m) for m in marks)]
     x = model.kernels(as_codes(bad + negative)).astype(np.float64)
@@ -377,15 +467,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = F
     ready = spark.sparkContext.broadcast(model)
 
     def feature(batches):
+        seen = Seen()
         for kinds, b in chosen(batches):
             for lo, hi, data, offs in K.slices(b.column(1)):
-                f = ready.value.features(K.LOWER[data], offs)
+                f = ready.value.features(K.LOWER[data], offs, seen)
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(f[:, i])) for i in range(7)), pa.array(kinds[lo:hi], pa.int8())], [*"abcdefg", "toxic"])
 
-    # repeated ids may bring more rows than the sample has ids; equal feature rows weigh once per count
-    got = base.mapInArrow(feature, ", ".join(f"{c} double" for c in "abcdefg") + ", toxic tinyint").selectExpr(*(f"round({c}, 2) {c}" for c in "abcdefg"), "toxic").groupBy(*"abcdefg", "toxic").count().toPandas()
-    reps = np.minimum(got["count"].to_numpy(), 10_000)
-    model.curve = _curve(np.repeat(got[[*"abcdefg"]].to_numpy(), reps, 0), np.repeat(got["toxic"].to_numpy(), reps).astype(float))
+    # repeated ids may bring more rows than the sample has ids; equal feature rows are one row with its count
+    got = base.mapInArrow(feature, ", ".join(f"{c} double" for c in "abcdefg") + ", toxic tinyint").selectExpr(*(f"round({c}, 2) {c}" for c in "abcdefg"), "toxic").groupBy(*"abcdefg", "toxic").count().toArrow()
+    values = np.stack([got.column(c).to_numpy() for c in "abcdefg"], axis=1) if got.num_rows else np.zeros((0, 7))
+    model.curve = _curve(values, got.column("toxic").to_numpy().astype(float), got.column("count").to_numpy().astype(float))
+    ready.destroy()
+    shared.destroy()
+    scratch.clear()
     return model
 
 
@@ -394,10 +488,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches):
-        model = shared.value
+        model, seen = shared.value, Seen()
         for b in batches:
             for lo, hi, data, offs in K.slices(b.column(1), 4 * K.SLICE):
-                p = model.score(model.features(K.LOWER[data], offs))
+                p = model.score(model.features(K.LOWER[data], offs, seen))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(p)], ["doc_id", "score"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(scan, "doc_id long, score double")
@@ -409,11 +503,11 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     at = docs.columns.index("text")
 
     def scan(batches):
-        model = shared.value
+        model, seen = shared.value, Seen()
         for b in batches:
             keep = np.ones(b.num_rows, bool)
             for lo, hi, data, offs in K.slices(b.column(at), 4 * K.SLICE):
-                keep[lo:hi] = model.score(model.features(K.LOWER[data], offs)) < threshold
+                keep[lo:hi] = model.score(model.features(K.LOWER[data], offs, seen)) < threshold
             yield b.filter(pa.array(keep))
 
     return docs.mapInArrow(scan, docs.schema)
