@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Bytes of one Arrow batch between the JVM and a Python worker; rows of long texts then come in small batches.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
