@@ -3,7 +3,11 @@
 Stages, in order: toxic documents go; one document of each group of near duplicates stays (5-word
 shingles, Jaccard 0.8); documents that hold a benchmark item go; sources, languages and topics are
 sampled towards target weights; what is left is packed into rows of token ids. All but the last
-return the columns of ``documents``.
+return the columns of ``documents``, and any others that the documents have, as they came.
+
+Null and empty texts are clean, have no near duplicates and hold no item; they weigh one token and pack as an
+end id. A row with a null doc_id is never a duplicate or a leak of another. Of rows with one doc_id all stay or
+all go as duplicates and leaks, and in the draw. An empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -11,33 +15,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm import decontaminate, mixing, ngram_join, packing, toxicity
-from strandline.llm._spark import Scratch, bounded_batches, table
+from strandline.llm._spark import Scratch, bounded_batches, release, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the string-kernel model scores below 0.5 stay."""
     bounded_batches(spark)
+    release(spark)
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: that of the smallest doc_id."""
+    release(spark)
     return ngram_join.one_of_each(docs, k=5, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item stay."""
+    release(spark)
     return decontaminate.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample by calibrated probabilities of source, language and topic; it has the target marginals itself, without weights."""
+    release(spark)
     return mixing.mix(docs, exact=True).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of token ids with segment lengths and position resets."""
     bounded_batches(spark)
+    release(spark)
     return packing.pack(docs)
 
 
@@ -54,10 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each but the last is written to the shared folder and read again."""
+    """All stages; each but the last is written to the shared folder and read again, and then its input is dropped."""
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = scratch.put(docs)
+            scratch.drop(before)
     return docs
