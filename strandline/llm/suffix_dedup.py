@@ -41,7 +41,9 @@ from strandline.llm import _kernel as K
 from strandline.llm._spark import Scratch, bit_table, small, table
 
 GRAM = 64
-BLOCK = 1 << 20
+#: Bytes of a block of runs that is sorted at once, and of a stretch that the sort skips where it is equal.
+BLOCK = 1 << 19
+FAR = 64
 _NONE = -(2**63)
 _U = np.uint64
 
@@ -86,26 +88,43 @@ def _blocks(text: np.ndarray, reach: int) -> np.ndarray:
     return out
 
 
-def _sorted_directly(starts: np.ndarray, blocks: np.ndarray, whole: np.ndarray, span: int) -> np.ndarray:
-    """``starts`` in order of the ``span`` bytes at them, compared eight by eight among those still equal; ``whole`` has a
-    hash of the ``span`` bytes at every place, by which groups that stay equal throughout are known at once."""
+def _unequal(values: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each group of neighbours, whether its values differ."""
+    out = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
+    out[group[1:][(values[1:] != values[:-1]) & (group[1:] == group[:-1])]] = True
+    return out
+
+
+def _sorted_directly(starts: np.ndarray, blocks: np.ndarray, far: np.ndarray, whole: np.ndarray, span: int) -> np.ndarray:
+    """``starts`` in order of the ``span`` bytes at them, compared eight by eight among those still equal. ``far`` and ``whole``
+    hash the next ``FAR`` and ``span`` bytes of every place: groups that agree in them need no look at these bytes."""
     order = starts[np.argsort(blocks[starts], kind="stable")]
-    at = np.arange(len(order))  # places in groups that may still differ, and their groups
-    block, group = blocks[order], np.zeros(len(order), np.int64)
-    for depth in range(8, span + 8, 8):
-        head = np.ones(len(at), bool)
-        head[1:] = (group[1:] != group[:-1]) | (block[1:] != block[:-1])
-        group = np.cumsum(head) - 1
-        own = whole[order[at]]
-        mixed = np.zeros(len(at), bool)
-        mixed[group[1:][~head[1:] & (own[1:] != own[:-1])]] = True
-        on = mixed[group]
+    head = np.ones(len(order), bool)
+    head[1:] = blocks[order[1:]] != blocks[order[:-1]]
+    at = np.arange(len(order))  # places in groups that may still differ
+    for depth in range(8, span, FAR):
+        group = np.cumsum(head[at]) - 1
+        on = _unequal(whole[order[at]], group)[group]
         at, group = at[on], group[on]
-        if depth >= span or not len(at):
+        if not len(at):
             break
-        block = blocks[order[at] + depth]
-        o = np.lexsort((block, group))
-        order[at], block = order[at][o], block[o]
+        group = np.cumsum(head[at]) - 1
+        on = _unequal(far[order[at] + depth], group)[group]
+        part, own = at[on], group[on]
+        for d in range(depth, min(depth + FAR, span), 8):
+            if not len(part):
+                break
+            own = np.cumsum(head[part]) - 1
+            block = blocks[order[part] + d]
+            on = _unequal(block, own)[own]
+            if on.any():
+                i, b, g = part[on], block[on], own[on]
+                o = np.lexsort((b, g))
+                order[i], b = order[i][o], b[o]
+                head[i[1:]] |= b[1:] != b[:-1]
+                own = np.cumsum(head[part]) - 1
+                on = np.bincount(own)[own] > 1
+                part = part[on]
     return order
 
 
@@ -115,7 +134,7 @@ def two_stage(text: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     ``span`` is at least 8. Zero bytes are taken to follow the text; the empty suffix is the smallest.
     """
     n = len(text)
-    blocks = _blocks(text, n + span + 8)
+    blocks = _blocks(text, n + span + FAR)
     # smaller than its successor: the next different byte is larger; the last suffix is larger than the empty one
     differs = np.flatnonzero(text[1:] != text[:-1])
     nxt = np.searchsorted(differs, np.arange(n))
@@ -125,10 +144,11 @@ def two_stage(text: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     rising[has] = text[at + 1] > text[at]
     # stage one: only these are sorted
     group = np.flatnonzero(rising)
-    sums = K.prefix_hash(np.concatenate((text, np.zeros(span, np.uint8))))
-    whole = np.zeros(n, np.uint64)
-    whole[group] = K.span_hash(sums, group, group + span)
-    order = _sorted_directly(group, blocks, whole, span)
+    sums = K.prefix_hash(np.concatenate((text, np.zeros(span + 2 * FAR, np.uint8))))
+    every = np.arange(n + span + FAR)
+    far, whole = K.span_hash(sums, every, every + FAR), K.span_hash(sums, every[:n], every[:n] + span)
+    order = _sorted_directly(group, blocks, far, whole, span)
+    del sums, every, far, whole
     # stage two: bucket scans induce the others
     total = np.bincount(text, minlength=256)
     up = np.bincount(text[group], minlength=256)
@@ -267,9 +287,10 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, span: int, hot: int) ->
     """(doc_id, fp, a, b): ranges of window starts whose strings occur more than once; may overlap."""
     every = scratch.put(_runs(docs, span))
     kinds = every.groupBy("mh").agg(F.count("*").alias("n"), F.min("body").alias("lo"), F.max("body").alias("hi")).where("n > 1").selectExpr("mh", "lo <> hi mixed")
-    # written before it is grouped: a join alone can be split where one minimizer has very many runs
+    # both written: a join alone, without an aggregate beside it, can be split where one minimizer has very many runs
+    kinds = scratch.put(kinds)
     runs = scratch.put(every.join(kinds, "mh"))
-    scratch.drop(every)
+    scratch.drop(every, kinds)
     groups = runs.groupBy("mh", "body").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "fp", "a", "b")).alias("r"), F.first("mixed").alias("mixed"))
     groups = scratch.put(groups)
     whole = runs.join(groups.where("copies > 1").select("mh", "body"), ["mh", "body"]).select("doc_id", "fp", "a", "b")
