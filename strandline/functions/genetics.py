@@ -40,8 +40,13 @@ def length_score(length, expected) -> Column:
 def log_binomial(k: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
     """Log of the binomial probability; p is kept off 0 and 1 by 1e-10."""
     p = min(max(p, 1e-10), 1 - 1e-10)
-    g = np.vectorize(math.lgamma, otypes=[float])
-    return g(n + 1) - g(k + 1) - g(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    return _lgamma(n + 1) - _lgamma(k + 1) - _lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """Log gamma of counts, once for each different one."""
+    own, back = np.unique(x, return_inverse=True)
+    return np.array([math.lgamma(v) for v in own.tolist()])[back].reshape(np.shape(x))
 
 
 def quality_of(k: np.ndarray, n: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from strandline.schemas import BandedParams, LocalParams
+from strandline.schemas import BandedParams, ChimeraParams, LocalParams, TrimParams
 
 LOCAL = "score int, query_start int, query_end int, target_start int, target_end int, matches int, mismatches int, gaps int, identity double, cigar string, cigar_sam string"
 
@@ -23,31 +23,70 @@ def run_lengths(ops: str) -> str:
     return "".join(out) or "0M"
 
 
+#: Cells of the score matrices that are filled together.
+CELLS = 1 << 21
+
+
 def local_align(query: str, target: str, p: LocalParams = LocalParams()) -> dict:
     """Best local alignment with traceback. A gap costs its opening unless the cell it comes from is a gap of the same kind.
 
     Ties prefer the diagonal, then a gap in the target; the first best cell in row order ends the alignment. In
     ``cigar`` D consumes the query and I the target; ``cigar_sam`` has them the other way round.
     """
-    n, m = len(query), len(target)
-    score = [[0] * (m + 1) for _ in range(n + 1)]
-    came = [[0] * (m + 1) for _ in range(n + 1)]  # 1 diagonal, 2 up, 3 left
-    best, at = 0, (0, 0)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            diag = score[i - 1][j - 1] + (p.match if query[i - 1] == target[j - 1] else p.mismatch)
-            up = score[i - 1][j] + (p.gap_extend if came[i - 1][j] == 2 else p.gap_open)
-            left = score[i][j - 1] + (p.gap_extend if came[i][j - 1] == 3 else p.gap_open)
-            top = max(0, diag, up, left)
-            score[i][j] = top
-            if top:
-                came[i][j] = 1 if top == diag else 2 if top == up else 3
-            if top > best:
-                best, at = top, (i, j)
-    i, j = at
-    ops = []
-    while i and j and score[i][j] > 0:
-        step = came[i][j]
+    return local_align_many([(query, target)], p)[0]
+
+
+def local_align_many(pairs: list[tuple[str, str]], p: LocalParams = LocalParams()) -> list[dict]:
+    """``local_align`` of every pair, pairs of like size together."""
+    out: list = [None] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][0]), len(pairs[i][1])))
+    part, rows, cols = [], 0, 0
+    for i in order:
+        n, m = len(pairs[i][0]), len(pairs[i][1])
+        if part and (max(rows, n) + 1) * (max(cols, m) + 1) * (len(part) + 1) > CELLS:
+            _fill([pairs[j] for j in part], part, out, p)
+            part, rows, cols = [], 0, 0
+        part.append(i)
+        rows, cols = max(rows, n), max(cols, m)
+    if part:
+        _fill([pairs[j] for j in part], part, out, p)
+    return out
+
+
+def _letters(strings: list[str], width: int, pad: int) -> np.ndarray:
+    out = np.full((len(strings), width), pad, np.int64)
+    for i, x in enumerate(strings):
+        out[i, : len(x)] = np.frombuffer(x.encode("utf-32-le"), np.uint32)
+    return out
+
+
+def _fill(pairs, places, out, p: LocalParams) -> None:
+    """Score matrices of some pairs at once, by anti-diagonals: a cell needs the two before its own only."""
+    qs, ts = (list(x) for x in zip(*pairs))
+    n, m, count = max(map(len, qs)), max(map(len, ts)), len(qs)
+    q, t = _letters(qs, n, -1), _letters(ts, m, -2)
+    score = np.zeros((count, n + 1, m + 1), np.int32)
+    came = np.zeros((count, n + 1, m + 1), np.uint8)  # 1 diagonal, 2 up, 3 left
+    n_own, m_own = (np.array([len(x) for x in xs])[:, None] for xs in (qs, ts))
+    for d in range(2, n + m + 1):
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        j = d - i
+        diag = score[:, i - 1, j - 1] + np.where(q[:, i - 1] == t[:, j - 1], p.match, p.mismatch)
+        up = score[:, i - 1, j] + np.where(came[:, i - 1, j] == 2, p.gap_extend, p.gap_open)
+        left = score[:, i, j - 1] + np.where(came[:, i, j - 1] == 3, p.gap_extend, p.gap_open)
+        top = np.maximum(np.maximum(diag, up), np.maximum(left, 0))
+        top = np.where((i <= n_own) & (j <= m_own), top, 0)
+        score[:, i, j] = top
+        came[:, i, j] = np.where(top > 0, np.where(top == diag, 1, np.where(top == up, 2, 3)), 0)
+    for k, place in enumerate(places):
+        at = int(score[k].argmax())  # the first in row order
+        out[place] = _trace(qs[k], ts[k], score[k], came[k], at // (m + 1), at % (m + 1))
+
+
+def _trace(query: str, target: str, score: np.ndarray, came: np.ndarray, end_i: int, end_j: int) -> dict:
+    best, i, j, ops = int(score[end_i, end_j]), end_i, end_j, []
+    while i and j and score[i, j] > 0:
+        step = came[i, j]
         if step == 1:
             ops.append("M" if query[i - 1] == target[j - 1] else "X")
             i, j = i - 1, j - 1
@@ -60,7 +99,7 @@ def local_align(query: str, target: str, p: LocalParams = LocalParams()) -> dict
     ops = "".join(reversed(ops))
     same, far, gaps = ops.count("M"), ops.count("X"), ops.count("D") + ops.count("I")
     return {
-        "score": best, "query_start": i, "query_end": at[0], "target_start": j, "target_end": at[1], "matches": same, "mismatches": far, "gaps": gaps,
+        "score": best, "query_start": i, "query_end": end_i, "target_start": j, "target_end": end_j, "matches": same, "mismatches": far, "gaps": gaps,
         "identity": 100.0 * same / len(ops) if ops else 0.0, "cigar": run_lengths(ops), "cigar_sam": run_lengths(ops.translate(str.maketrans("DI", "ID"))),
     }
 
@@ -70,13 +109,10 @@ def local_udf(params: LocalParams = LocalParams()):
 
     @F.pandas_udf(LOCAL)
     def align(query: pd.Series, target: pd.Series) -> pd.DataFrame:
-        done: dict = {}
-        rows = []
-        for pair in zip(query.fillna(""), target.fillna("")):
-            if pair not in done:
-                done[pair] = local_align(*pair, params)
-            rows.append(done[pair])
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in LOCAL.split(", ")])
+        pairs = list(zip(query.fillna(""), target.fillna("")))
+        own = list(dict.fromkeys(pairs))
+        done = dict(zip(own, local_align_many(own, params)))
+        return pd.DataFrame([done[x] for x in pairs], columns=[x.split()[0] for x in LOCAL.split(", ")])
 
     return align
 
@@ -190,3 +226,121 @@ def contains_udf(mismatches: int):
         return pd.Series(out)
 
     return contains
+
+
+def best_primers(strings, panel: list[tuple[int, str, str]], p: TrimParams) -> dict[str, np.ndarray]:
+    """Of each string: where the best forward primer of a panel (order, forward, complement of reverse) ends at its start, and
+    where the best reverse one begins near its end; -1 without one. Fewest mismatches first, then the panel's order. N is wild
+    on both sides, and a primer may pass the string's end if enough of it matches."""
+    strings = list(strings)
+    width = max(map(len, strings), default=0)
+    text, size = _bytes(strings, max(width, 1))
+    n = len(text)
+    at = np.arange(n)
+
+    def far(pattern: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mismatches at each row's start, and whether the pattern fits there."""
+        cols = starts[:, None] + np.arange(len(pattern))
+        inside = cols < size[:, None]
+        c = text[at[:, None], np.minimum(cols, text.shape[1] - 1)]
+        code = np.frombuffer(pattern, np.uint8)
+        mm = ((c != code) & (c != 78) & (code != 78) & inside).sum(1)
+        return mm, (mm <= p.max_mismatches) & (inside.sum(1) - mm >= p.min_overlap)
+
+    out = {}
+    for name, which, tries in (("fwd", 1, 1), ("rev", 2, 11)):
+        best, cut = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
+        for row in sorted(panel):
+            pattern = row[which].encode("ascii", "replace")
+            if len(pattern) < p.min_overlap:
+                continue
+            first = np.zeros(n, np.int64) if which == 1 else np.maximum(size - len(pattern) - 10, 0)
+            for k in range(tries):
+                mm, fits = far(pattern, first + k)
+                better = fits & (mm < best)  # the panel is in order, and offsets rise
+                best[better] = mm[better]
+                cut[better] = len(pattern) if which == 1 else (first + k)[better]
+        out[name] = cut
+    return out
+
+
+def primer_udf(panel: list[tuple[int, str, str]], params: TrimParams):
+    """struct(fwd, rev) of ``best_primers`` over a string column."""
+
+    @F.pandas_udf("fwd int, rev int")
+    def find(s: pd.Series) -> pd.DataFrame:
+        parts = [pd.DataFrame(best_primers(s.iloc[lo : lo + 4096].fillna(""), panel, params)) for lo in range(0, len(s), 4096)]
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"fwd": [], "rev": []})
+
+    return find
+
+
+def best_joins(strings, abundance, parents: list[tuple[int, str, int]], p: ChimeraParams, references: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, breakpoint) of the best join of two parents' sides for each string, -1 without one.
+
+    De novo, parents are those at least ``abundance_ratio`` times as abundant, two at least, and each side takes its best;
+    against references the two sides come from different ones.
+    """
+    strings, abundance = list(strings), np.asarray(abundance, np.float64)
+    out, spot = np.full(len(strings), -1), np.full(len(strings), -1)
+    lengths = np.array([len(x) for x in strings])
+    parents = sorted(parents)
+    heavy = np.array([x[2] for x in parents], np.float64)
+    known = np.array([len(x[1]) for x in parents], np.int64)
+    none = np.iinfo(np.int32).max
+    for n in np.unique(lengths[lengths >= p.min_length]).tolist():
+        points = np.arange(p.edge, n - p.edge + 1, p.step)
+        rows = np.flatnonzero(lengths == n)
+        if not len(points) or not len(parents):
+            continue
+        step = max(1, (1 << 22) // (n * len(parents)))
+        codes = _letters([x[1][:n] for x in parents], n, -3)
+        for lo in range(0, len(rows), step):
+            at = rows[lo : lo + step]
+            own = _letters([strings[i] for i in at], n, -4)
+            unequal = np.concatenate((np.zeros((len(at), len(parents), 1), np.int32), np.cumsum(own[:, None] != codes[None], axis=2, dtype=np.int32)), axis=2)
+            total = unequal[:, :, -1]  # beyond a parent's end every place differs; a longer parent is cut
+            best, place = np.full(len(at), none), np.full(len(at), -1)
+            for bp in points.tolist():
+                left = unequal[:, :, bp]
+                right = total - left
+                ok = np.broadcast_to(known >= bp, left.shape)
+                if not references:
+                    ok = ok & (heavy >= p.abundance_ratio * abundance[at][:, None])
+                many = ok.sum(1) >= 2
+                l, r = np.where(ok, left, none // 4), np.where(ok, right, none // 4)
+                if references:
+                    d = _two_sides(l, r)
+                else:
+                    d = l.min(1) + r.min(1)
+                better = many & (d < best)
+                best[better], place[better] = d[better], bp
+            found = place >= 0
+            out[at[found]], spot[at[found]] = best[found], place[found]
+    return out, spot
+
+
+def _two_sides(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Least sum of a left and a right value in different columns, from the two least of each side."""
+    rows = np.arange(len(left))
+    if left.shape[1] < 2:
+        return np.full(len(left), np.iinfo(np.int32).max)
+    a, b = (np.argsort(x, axis=1, kind="stable")[:, :2] for x in (left, right))
+    out = np.full(len(left), np.iinfo(np.int32).max)
+    for i in range(2):
+        for j in range(2):
+            total = left[rows, a[:, i]] + right[rows, b[:, j]]
+            out = np.where((a[:, i] != b[:, j]) & (total < out), total, out)
+    return out
+
+
+def joins_udf(parents: list[tuple[int, str, int]], params: ChimeraParams, references: bool):
+    """struct(distance, breakpoint) of ``best_joins``; NULL fields without one."""
+
+    @F.pandas_udf("distance int, breakpoint int")
+    def find(s: pd.Series, abundance: pd.Series) -> pd.DataFrame:
+        d, bp = best_joins(s.fillna(""), abundance.fillna(0), parents, params, references)
+        gone = bp < 0
+        return pd.DataFrame({"distance": pd.Series(d, dtype="Int32").mask(gone), "breakpoint": pd.Series(bp, dtype="Int32").mask(gone)})
+
+    return find

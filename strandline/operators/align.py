@@ -8,22 +8,52 @@ from pyspark.sql import functions as F
 from strandline.functions import genetics as G
 from strandline.functions import kernels as KN
 from strandline.functions import sequence as S
-from strandline.schemas import DUPLICATE, PAIRED, PROPER, READ1, READ2, SECONDARY, SUPPLEMENTARY, UNMAPPED, BandedParams, FilterParams, SeedParams
+from strandline.schemas import DUPLICATE, PAIRED, PROPER, READ1, READ2, REVERSE, SECONDARY, SUPPLEMENTARY, UNMAPPED, BandedParams, FilterParams, SeedParams
 
 
-def contig_offsets(contigs: DataFrame) -> DataFrame:
-    """Contigs with ``start``, their place in the reference that joins them in order. Few rows: one window over all."""
+#: Bases of a tile of the reference. Windows up to this length lie in one tile and its overlap.
+TILE = 1 << 16
+
+
+def _starts(contigs: DataFrame) -> DataFrame:
+    """name, ordinal, length, start: the one window over all rows holds lengths, not sequences."""
     before = Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    return contigs.withColumn("length", F.length("sequence").cast("bigint")).withColumn("start", F.coalesce(F.sum("length").over(before), F.lit(0).cast("bigint")))
+    rows = contigs.select("name", "ordinal", F.length("sequence").cast("bigint").alias("length"))
+    return rows.withColumn("start", F.coalesce(F.sum("length").over(before), F.lit(0).cast("bigint")))
+
+
+def contig_offsets(contigs: DataFrame) -> DataFrame:
+    """Contigs with ``length`` and ``start``, their place in the reference that joins them in order."""
+    return contigs.join(_starts(contigs), ["name", "ordinal"])
+
 
+def tiles(contigs: DataFrame, size: int = TILE) -> DataFrame:
+    """name, tile, piece: the bases of a contig from tile * size on, ``size`` of them and the next tile's.
 
-def kmer_index(contigs: DataFrame, params: SeedParams = SeedParams()) -> DataFrame:
+    Seeds, windows and searches join on (name, tile), so a read carries two tiles at most and never a chromosome.
+    """
+    cut = contigs.select("name", F.regexp_extract_all("sequence", F.lit(f"(?s)(.{{1,{size}}})"), F.lit(1)).alias("cut"))
+    both = F.transform("cut", lambda p, i: F.concat(p, F.coalesce(F.get("cut", i + 1), F.lit(""))))
+    return cut.select("name", F.posexplode(both).alias("tile", "piece"))
+
+
+def _windows(rows: DataFrame, contigs: DataFrame, start: str, length, size: int) -> DataFrame:
+    """``rows`` (contig, ...) with ``window``: the bases from their ``start`` on. Longer windows than a tile are an error."""
+    at = rows.withColumn("tile", F.expr(f"cast(`{start}` div {size} as int)"))
+    met = at.join(tiles(contigs, size).withColumnRenamed("name", "contig"), ["contig", "tile"])
+    part = F.substr("piece", (F.col(start) - F.col("tile") * size + 1).cast("int"), length)
+    return met.withColumn("window", F.when(length <= size, part).otherwise(F.raise_error(F.lit("a window is longer than a tile")))).drop("piece", "tile")
+
+
+def kmer_index(contigs: DataFrame, params: SeedParams = SeedParams(), tile: int = TILE) -> DataFrame:
     """kmer, contig, position, gpos, hits: all k-mers of every contig with at most ``max_hits`` places.
 
-    Repetitive k-mers leave the index, so they cannot skew the seed join. Windows do not span contigs.
+    Repetitive k-mers leave the index, so they cannot skew the seed join. Windows do not span contigs. No row holds more
+    than a tile's k-mers.
     """
-    placed = contig_offsets(contigs).select("name", "start", F.explode(S.kmers("sequence", params.k, 1)).alias("m"))
-    placed = placed.select(F.col("m.kmer").alias("kmer"), F.col("name").alias("contig"), F.col("m.offset").cast("bigint").alias("position"), (F.col("start") + F.col("m.offset")).alias("gpos"))
+    part = tiles(contigs, tile).withColumn("part", F.substr("piece", F.lit(1), F.lit(tile + params.k - 1))).select("name", "tile", "part")
+    found = part.select("name", "tile", F.explode(S.kmers("part", params.k, 1)).alias("m")).select("name", F.col("m.kmer").alias("kmer"), (F.col("tile").cast("bigint") * tile + F.col("m.offset")).alias("position"))
+    placed = found.join(_starts(contigs).select("name", "start"), "name").select("kmer", F.col("name").alias("contig"), "position", (F.col("start") + F.col("position")).alias("gpos"))
     hits = placed.groupBy("kmer").agg(F.count("*").alias("hits")).where(f"hits <= {params.max_hits}")
     return placed.join(hits, "kmer")
 
@@ -76,25 +106,23 @@ def chain(found: DataFrame, params: SeedParams = SeedParams()) -> DataFrame:
     return best.select("read_id", "n_seeds", (F.col("b.tenths") / 10).alias("chain_score"), "b.read_offset", "b.contig", "b.position", "b.gpos")
 
 
-def place_ungapped(reads: DataFrame, chained: DataFrame, contigs: DataFrame) -> DataFrame:
+def place_ungapped(reads: DataFrame, chained: DataFrame, contigs: DataFrame, tile: int = TILE) -> DataFrame:
     """Reads at their seed's diagonal without gaps: start in the contig, mismatches, score (match 1, mismatch -4) and MAPQ.
 
-    Contigs are joined by name, after the one seed a read keeps, and only the read's window is carried on.
+    Tiles are joined after the one seed a read keeps, and only the read's window is carried on.
     """
     at = chained.withColumn("start", F.greatest(F.lit(0).cast("bigint"), F.col("position") - F.col("read_offset")))
-    out = reads.join(at, "read_id").join(contigs.select(F.col("name").alias("contig"), F.col("sequence").alias("ref")), "contig")
-    out = out.withColumn("window", F.substr("ref", (F.col("start") + 1).cast("int"), F.length("sequence"))).drop("ref")
+    out = _windows(reads.join(at, "read_id"), contigs, "start", F.length("sequence"), tile)
     out = out.withColumn("mismatches", S.prefix_distance("sequence", "window"))
     score = F.length("sequence") - 5 * F.col("mismatches")
     return out.withColumn("score", F.greatest(F.lit(0), score).cast("int")).withColumn("mapq", G.mapping_quality("score"))
 
 
-def place_banded(reads: DataFrame, chained: DataFrame, contigs: DataFrame, params: BandedParams = BandedParams()) -> DataFrame:
+def place_banded(reads: DataFrame, chained: DataFrame, contigs: DataFrame, params: BandedParams = BandedParams(), tile: int = TILE) -> DataFrame:
     """Banded local alignment of each read around its seed's diagonal: score, start in the contig and MAPQ."""
     at = chained.withColumn("from", F.greatest(F.lit(0).cast("bigint"), F.col("position") - F.col("read_offset") - params.flank))
-    out = reads.join(at, "read_id").join(contigs.select(F.col("name").alias("contig"), F.col("sequence").alias("ref")), "contig")
     read = S.truncate("sequence", params.max_length)
-    out = out.withColumn("window", F.substr("ref", (F.col("from") + 1).cast("int"), F.length(read) + 2 * params.flank)).drop("ref")
+    out = _windows(reads.join(at, "read_id"), contigs, "from", F.length(read) + 2 * params.flank, tile)
     diagonal = F.col("position") - F.col("read_offset") - F.col("from")
     out = out.withColumn("sw", KN.banded_udf(params)(read, F.col("window"), diagonal))
     out = out.select("*", F.col("sw.score").alias("score"), (F.col("from") + F.col("sw.start")).alias("start")).drop("sw", "window", "from")
@@ -103,7 +131,7 @@ def place_banded(reads: DataFrame, chained: DataFrame, contigs: DataFrame, param
 
 def locate(positions: DataFrame, contigs: DataFrame, bin_size: int = 1 << 16) -> DataFrame:
     """Contig and offset of global positions ``gpos``; unmatched ones are NULL. An equi-join on bins, not a range scan."""
-    spans = contig_offsets(contigs).select(F.col("name").alias("contig"), F.col("start").alias("c_start"), "length")
+    spans = _starts(contigs).select(F.col("name").alias("contig"), F.col("start").alias("c_start"), "length")
     spans = spans.withColumn("bin", F.explode(F.sequence(F.expr(f"c_start div {bin_size}"), F.expr(f"(c_start + length - 1) div {bin_size}"))))
     hit = (positions["bin"] == spans["bin"]) & (F.col("gpos") >= F.col("c_start")) & (F.col("gpos") < F.col("c_start") + F.col("length")) if "bin" in positions.columns else None
     if hit is None:
@@ -119,16 +147,19 @@ def subsequence(contigs: DataFrame, start: int, length: int) -> DataFrame:
     return at.select("ordinal", part.alias("part")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "part"))), lambda x: x["part"]), "").alias("sequence"))
 
 
-def contains_exactly(reads: DataFrame, contigs: DataFrame, anchor: int = 16) -> DataFrame:
+def contains_exactly(reads: DataFrame, contigs: DataFrame, anchor: int = 16, tile: int = TILE) -> DataFrame:
     """read_id, contig, position of the first contig (by name) that contains the read; MAPQ 60. Reads without one are left out.
 
-    Candidates come from an equi-join on the read's first bases, not from scanning every contig for every read.
+    Candidates come from an equi-join on the read's first bases, and only they meet the reference again, by tile.
     """
-    spots = contigs.select("name", "sequence", F.explode(F.sequence(F.lit(1), F.greatest(F.length("sequence") - anchor + 1, F.lit(1)))).alias("at")).select("name", "at", F.substr("sequence", F.col("at"), F.lit(anchor)).alias("key"))
+    cut = tiles(contigs, tile)
+    places = F.sequence(F.lit(1), F.greatest(F.least(F.lit(tile), F.length("piece") - anchor + 1), F.lit(1)))
+    spots = cut.select("name", "tile", "piece", F.explode(places).alias("at")).select("name", (F.col("tile").cast("bigint") * tile + F.col("at") - 1).alias("position"), F.substr("piece", F.col("at"), F.lit(anchor)).alias("key"))
     asked = reads.where(F.length("sequence") >= anchor).select("read_id", F.col("sequence").alias("read"), F.substr("sequence", F.lit(1), F.lit(anchor)).alias("key"))
-    near = asked.join(spots, "key").join(contigs.select("name", "sequence"), "name").where(F.substr("sequence", F.col("at"), F.length("read")) == F.col("read"))
-    best = near.groupBy("read_id").agg(F.min(F.struct("name", "at")).alias("b"))
-    return best.select("read_id", F.col("b.name").alias("contig"), (F.col("b.at") - 1).alias("position"), F.lit(60).alias("mapq"))
+    near = asked.join(spots, "key").withColumnRenamed("name", "contig").drop("key")
+    near = _windows(near, contigs, "position", F.length("read"), tile).where("window = read")
+    best = near.groupBy("read_id").agg(F.min(F.struct("contig", "position")).alias("b"))
+    return best.select("read_id", "b.contig", "b.position", F.lit(60).alias("mapq"))
 
 
 def passes(params: FilterParams = FilterParams()) -> Column:
@@ -180,16 +211,17 @@ def mark_duplicates(rows: DataFrame, by: str = "read") -> DataFrame:
     """Set the duplicate flag.
 
     ``read``: a row is a duplicate if the row before it by (position, read) has the same position and
-    read and a strictly higher MAPQ. ``position``: every row but the best of its position. Both
-    partition by position, so no single task sorts everything.
+    read and a strictly higher MAPQ. ``position``: every row but the best of its position, which is found by an
+    aggregate, so that a position of very many reads is no single task's window.
     """
     if by == "read":
         w = Window.partitionBy("gpos", "read_id").orderBy(F.desc("mapq"), "ord")
         dup = F.lag("mapq").over(w) > F.col("mapq")
     else:
-        w = Window.partitionBy("gpos").orderBy(F.desc("mapq"), "read_id", "ord")
-        dup = F.row_number().over(w) > 1
-    return rows.withColumn("flag", F.when(dup, F.col("flag").bitwiseOR(DUPLICATE)).otherwise(F.col("flag")))
+        own = F.struct((-F.col("mapq")).alias("m"), "read_id", "ord")
+        rows = rows.join(rows.groupBy("gpos").agg(F.min(own).alias("best")), "gpos")
+        dup = own != F.col("best")
+    return rows.withColumn("flag", F.when(dup, F.col("flag").bitwiseOR(DUPLICATE)).otherwise(F.col("flag"))).drop("best")
 
 
 def coordinate_sort(rows: DataFrame) -> DataFrame:
@@ -210,18 +242,23 @@ def validate_pairs(rows: DataFrame, least: int = 100, most: int = 1000) -> DataF
 
 
 def sam_rows(reads: DataFrame, aligned: DataFrame) -> DataFrame:
-    """The eleven SAM columns and the score of every read; reads without alignment are unmapped."""
-    cols = aligned.select("read_id", "contig", "start", "mapq", F.col("score").alias("score"))
+    """The eleven SAM columns and the score of every read; reads without alignment are unmapped.
+
+    Where ``aligned`` has a column ``strand``, a read of strand 1 is written as its reverse complement with the flag for it.
+    """
+    strand = F.col("strand") if "strand" in aligned.columns else F.lit(0)
+    cols = aligned.select("read_id", "contig", "start", "mapq", F.col("score").alias("score"), strand.cast("int").alias("strand"))
     out = reads.join(cols, "read_id", "left")
     hit = F.coalesce(F.col("score") > 0, F.lit(False))
+    back = hit & (F.col("strand") == 1)
     mate = F.col("mate") if "mate" in reads.columns else F.lit(None).cast("int")
     paired = F.when(mate == 1, PAIRED | READ1).when(mate == 2, PAIRED | READ2).otherwise(0)
     name = F.when(F.coalesce(F.col("name"), F.lit("")) == "", F.concat(F.lit("read_"), F.col("read_id"))).otherwise(F.col("name"))
     return out.select(
-        "read_id", name.alias("qname"), F.when(hit, paired).otherwise(paired.bitwiseOR(UNMAPPED)).alias("flag"), F.when(hit, F.col("contig")).otherwise("*").alias("rname"),
+        "read_id", name.alias("qname"), F.when(back, paired.bitwiseOR(REVERSE)).when(hit, paired).otherwise(paired.bitwiseOR(UNMAPPED)).alias("flag"), F.when(hit, F.col("contig")).otherwise("*").alias("rname"),
         F.when(hit, F.col("start") + 1).otherwise(0).cast("bigint").alias("pos"), F.when(hit, F.col("mapq")).otherwise(0).alias("mapq"),
         F.when(hit, F.concat(F.length("sequence"), F.lit("M"))).otherwise("*").alias("cigar"), F.lit("*").alias("rnext"), F.lit(0).alias("pnext"), F.lit(0).alias("tlen"),
-        F.col("sequence").alias("seq"), F.col("quality").alias("qual"), F.when(hit, F.col("score")).otherwise(0).alias("score"),
+        F.when(back, S.reverse_complement("sequence")).otherwise(F.col("sequence")).alias("seq"), F.when(back, F.reverse("quality")).otherwise(F.col("quality")).alias("qual"), F.when(hit, F.col("score")).otherwise(0).alias("score"),
     )
 
 

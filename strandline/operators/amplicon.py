@@ -9,7 +9,7 @@ from strandline.functions import genetics as G
 from strandline.functions import kernels as KN
 from strandline.functions import sequence as S
 from strandline.schemas import CallParams, ChimeraParams, DemuxParams, LocalParams, TrimParams
-from strandline.shared import shared_folder
+from strandline.shared import shared_folder, small
 
 
 # ---- collapse
@@ -96,21 +96,38 @@ def collapse_stats(reads: DataFrame, clusters: DataFrame) -> DataFrame:
 def assign(clusters: DataFrame, targets: DataFrame, tolerance: float = 0.2, mismatches: int = 2) -> DataFrame:
     """Clusters with ``amplicon_id``: exact primer prefix, else a primer anywhere on either strand, else the best length.
 
-    The panel is small by its nature and is joined by broadcast after a check of its size; a larger one is joined as it is.
+    Every stage is an equi-join, whatever the panel's size: on prefixes of the primers' lengths, on exact pieces of the
+    primers (with so many mismatches one of ``mismatches`` + 1 pieces is exact), and on lengths within the tolerance.
     """
     panel = targets.withColumn("ord", F.monotonically_increasing_id()) if "ord" not in targets.columns else targets
-    panel = F.broadcast(panel) if targets.count() <= 100_000 else panel
     panel = panel.select("ord", "amplicon_id", "primer_fwd", "primer_rev", "expected_length")
-    met = clusters.join(panel)
-    s, rc = F.col("consensus_sequence"), S.reverse_complement_keep_case("consensus_sequence")
-    prefix = s.startswith(F.col("primer_fwd")) | s.startswith(F.col("primer_rev"))
-    tries = F.array(*(F.struct(t.alias("t"), F.col(c).alias("p")) for t in (s, rc) for c in ("primer_fwd", "primer_rev")))
-    maybe = met.where(~prefix).select("consensus_sequence", "ord", "amplicon_id", F.explode(tries).alias("x")).where((F.length("x.p") == 0) | S.may_fit(F.col("x.t"), F.col("x.p"), mismatches))
-    near = maybe.where(KN.contains_udf(mismatches)("x.t", "x.p")).groupBy("consensus_sequence").agg(F.min(F.struct("ord", "amplicon_id")).alias("n")).select("consensus_sequence", F.struct(F.lit(2).alias("stage"), F.lit(0.0).alias("far"), F.col("n.ord")).alias("rank"), F.col("n.amplicon_id"))
-    score = G.length_score(F.length(s), F.col("expected_length"))
-    ok = (F.abs(F.length(s) - F.col("expected_length")) <= tolerance * F.col("expected_length")) & (score > 0.8)
-    rank = F.when(prefix, F.struct(F.lit(1).alias("stage"), F.lit(0.0).alias("far"), F.col("ord"))).when(ok, F.struct(F.lit(3).alias("stage"), (1 - score).alias("far"), F.col("ord")))
-    best = met.withColumn("rank", rank).where("rank is not null").select("consensus_sequence", "rank", "amplicon_id").union(near).groupBy("consensus_sequence").agg(F.min_by("amplicon_id", "rank").alias("amplicon_id"))
+    own = clusters.select("consensus_sequence").distinct()
+    s = F.col("consensus_sequence")
+    rank = lambda stage, far: F.struct(F.lit(stage).alias("stage"), far.alias("far"), F.col("ord")).alias("rank")
+    primers = panel.select("ord", "amplicon_id", F.explode(F.array("primer_fwd", "primer_rev")).alias("p")).where("p is not null")
+
+    lengths = [r[0] for r in primers.select(F.length("p")).distinct().collect()]  # of primers: a few
+    heads = own.select(s, F.explode(F.array(*(F.substr(s, F.lit(1), F.lit(n)) for n in lengths))).alias("p")) if lengths else own.select(s, F.lit(None).cast("string").alias("p"))
+    exact = heads.join(primers, "p").select(s, rank(1, F.lit(0.0)), "amplicon_id")
+
+    n = mismatches + 1
+    cut = lambda i: F.substr("p", (F.length("p") * i / n).cast("int") + 1, (F.length("p") * (i + 1) / n).cast("int") - (F.length("p") * i / n).cast("int"))
+    pieces = primers.select("ord", "amplicon_id", "p", F.explode(F.array(*map(cut, range(n)))).alias("piece"))
+    sizes = [r[0] for r in pieces.select(F.length("piece")).distinct().collect()]
+    rest = own.join(exact.select("consensus_sequence").distinct(), "consensus_sequence", "left_anti")
+    both = rest.select(s, F.explode(F.array(s, S.reverse_complement_keep_case(s))).alias("t"))
+    grams = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - k + 1, F.lit(1))), lambda i: F.substr("t", i, F.lit(k)))
+    spots = both.select(s, "t", F.explode(F.array_distinct(F.flatten(F.array(*map(grams, sizes))))).alias("piece")) if sizes else both.select(s, "t", F.lit(None).cast("string").alias("piece"))
+    maybe = spots.join(pieces, "piece").select(s, "t", "p", "ord", "amplicon_id").distinct()
+    near = maybe.where(KN.contains_udf(mismatches)("t", "p")).select(s, rank(2, F.lit(0.0)), "amplicon_id")
+
+    e = F.col("expected_length")
+    fits = panel.where(e > 0).withColumn("n", F.explode(F.sequence(F.floor(e * (1 - tolerance)).cast("int"), F.ceil(e * (1 + tolerance)).cast("int"))))
+    score = G.length_score(F.col("n"), e)
+    fits = fits.where((F.abs(F.col("n") - e) <= tolerance * e) & (score > 0.8)).groupBy("n").agg(F.min_by(F.struct("ord", "amplicon_id"), F.struct(1 - score, F.col("ord"))).alias("b"), F.min(1 - score).alias("far"))
+    sized = own.withColumn("n", F.length(s)).join(fits, "n").select(s, F.struct(F.lit(3).alias("stage"), F.col("far"), F.col("b.ord")).alias("rank"), "b.amplicon_id")
+
+    best = exact.union(near).union(sized).groupBy("consensus_sequence").agg(F.min_by("amplicon_id", "rank").alias("amplicon_id"))
     return clusters.drop("amplicon_id").join(best, "consensus_sequence", "left")
 
 
@@ -184,29 +201,42 @@ def reads_per_bin(rows: DataFrame) -> DataFrame:
 
 # ---- primers
 
-def trim_primers(reads: DataFrame, targets: DataFrame, params: TrimParams = TrimParams()) -> DataFrame:
-    """Reads with the best target's forward primer cut from the start and reverse primer (its complement) from the end.
+#: Targets up to this number are scanned together for primers; more are joined.
+MOST_PRIMERS = 2000
 
-    Adds fwd_found, rev_found, bases_trimmed, and trimmed sequence and quality; overlapping cuts leave a read whole.
-    """
+
+def _primer_cuts(reads: DataFrame, targets: DataFrame, params: TrimParams) -> DataFrame:
+    """read_id, fwd, rev: where the best forward primer ends and the best reverse one begins, NULL without one."""
     panel = targets.withColumn("ord", F.monotonically_increasing_id()) if "ord" not in targets.columns else targets
-    panel = F.broadcast(panel) if targets.count() <= 100_000 else panel
-    met = reads.select("read_id", "sequence").join(panel.select("ord", "primer_fwd", S.reverse_complement("primer_rev").alias("rev")))
+    panel = panel.select("ord", "primer_fwd", S.reverse_complement("primer_rev").alias("rev"))
+    few = panel.orderBy("ord").limit(MOST_PRIMERS + 1).collect()
+    if len(few) <= MOST_PRIMERS:
+        # a panel of checked size goes into one vectorised scan of the reads' ends
+        found = reads.select("read_id", KN.primer_udf([(r["ord"], r["primer_fwd"] or "", r["rev"] or "") for r in few], params)(F.col("sequence")).alias("c"))
+        return found.selectExpr("read_id", "nullif(c.fwd, -1) fwd", "nullif(c.rev, -1) rev")
+    met = reads.select("read_id", "sequence").join(panel)
     fwd = S.find_primer("sequence", "primer_fwd", params.max_mismatches, params.min_overlap, 1)
     tail_at = F.greatest(F.length("sequence") - F.length("rev") - 10, F.lit(0))
     rev = S.find_primer(F.substr(F.col("sequence"), tail_at + 1, F.length("sequence")), "rev", params.max_mismatches, params.min_overlap, 11)
     met = met.withColumn("f", fwd).withColumn("r", rev).withColumn("tail_at", tail_at)
     best_f = F.min(F.when(F.col("f").isNotNull(), F.struct(F.col("f.mm").alias("mm"), F.col("ord"), F.length("primer_fwd").alias("cut")))).alias("bf")
     best_r = F.min(F.when(F.col("r").isNotNull(), F.struct(F.col("r.mm").alias("mm"), F.col("ord"), (F.col("tail_at") + F.col("r.pos")).alias("cut")))).alias("br")
-    best = met.groupBy("read_id").agg(best_f, best_r)
-    out = reads.join(best, "read_id", "left")
-    start = F.coalesce(F.col("bf.cut"), F.lit(0))
-    end = F.coalesce(F.col("br.cut"), F.length("sequence"))
+    return met.groupBy("read_id").agg(best_f, best_r).selectExpr("read_id", "bf.cut fwd", "br.cut rev")
+
+
+def trim_primers(reads: DataFrame, targets: DataFrame, params: TrimParams = TrimParams()) -> DataFrame:
+    """Reads with the best target's forward primer cut from the start and reverse primer (its complement) from the end.
+
+    Adds fwd_found, rev_found, bases_trimmed, and trimmed sequence and quality; overlapping cuts leave a read whole.
+    """
+    out = reads.join(_primer_cuts(reads, targets, params).selectExpr("read_id", "fwd cut_f", "rev cut_r"), "read_id", "left")
+    start = F.coalesce(F.col("cut_f"), F.lit(0))
+    end = F.coalesce(F.col("cut_r"), F.length("sequence"))
     ok = start < end
-    out = out.withColumn("fwd_found", F.col("bf").isNotNull()).withColumn("rev_found", F.col("br").isNotNull())
+    out = out.withColumn("fwd_found", F.col("cut_f").isNotNull()).withColumn("rev_found", F.col("cut_r").isNotNull())
     for c in ("sequence", "quality"):
         out = out.withColumn(f"trimmed_{c}", F.when(ok, F.substr(F.col(c), start + 1, end - start)).otherwise(F.col(c)))
-    return out.withColumn("bases_trimmed", F.length("sequence") - F.length("trimmed_sequence")).drop("bf", "br")
+    return out.withColumn("bases_trimmed", F.length("sequence") - F.length("trimmed_sequence")).drop("cut_f", "cut_r")
 
 
 def trim_stats(rows: DataFrame) -> DataFrame:
@@ -223,10 +253,24 @@ def chimera_parents(clusters: DataFrame, params: ChimeraParams = ChimeraParams()
     return top.select(F.row_number().over(w).alias("ord"), F.col("consensus_sequence").alias("sequence"), F.col("read_count").alias("abundance"))
 
 
+#: Parents or references up to this number and so many bases are scanned together; more are joined.
+MOST_PARENTS, MOST_BASES = 10_000, 32 << 20
+
+
+def _joins(queries: DataFrame, parents: DataFrame, params: ChimeraParams, references: bool) -> DataFrame | None:
+    """id, distance, breakpoint of each query's best join of two parents; None for more parents than a scan may hold."""
+    n, bases = parents.agg(F.count("*"), F.sum(F.length("sequence"))).first()
+    if n > MOST_PARENTS or (bases or 0) > MOST_BASES:
+        return None
+    panel = [(r[0], r[1], r[2]) for r in parents.select("ord", "sequence", "abundance").collect()]
+    best = KN.joins_udf(panel, params, references)("sequence", F.lit(0) if references else F.col("abundance"))
+    return queries.select("id", best.alias("b")).select("id", "b.distance", "b.breakpoint")
+
+
 def _sides(queries: DataFrame, parents: DataFrame, params: ChimeraParams) -> DataFrame:
     """id, bp, parent, abundance: distances of both sides of every breakpoint to every parent that is long enough."""
     cut = queries.where(F.length("sequence") >= params.min_length).withColumn("bp", F.explode(F.sequence(F.lit(params.edge), F.length("sequence") - params.edge, F.lit(params.step))))
-    met = cut.join(F.broadcast(parents.selectExpr("ord parent", "sequence p", "abundance pa")))
+    met = cut.join(parents.selectExpr("ord parent", "sequence p", "abundance pa"))
     n = F.length("sequence")
     left = S.prefix_distance(F.substr("sequence", F.lit(1), F.col("bp")), F.substr("p", F.lit(1), F.col("bp")))
     right = S.prefix_distance(F.substr("sequence", F.col("bp") + 1, n), F.substr("p", F.col("bp") + 1, n - F.col("bp")))
@@ -234,14 +278,20 @@ def _sides(queries: DataFrame, parents: DataFrame, params: ChimeraParams) -> Dat
     return met.where(F.length("p") >= F.col("bp")).select("id", "abundance", "bp", "parent", "pa", left.alias("dl"), right.alias("dr"))
 
 
+def _verdict(queries: DataFrame, best: DataFrame, params: ChimeraParams) -> DataFrame:
+    out = queries.select("id").join(best, "id", "left")
+    return out.select("id", "distance", "breakpoint", F.coalesce(F.col("distance") < params.max_distance, F.lit(False)).alias("is_chimera"))
+
+
 def chimera_de_novo(queries: DataFrame, parents: DataFrame, params: ChimeraParams = ChimeraParams()) -> DataFrame:
     """id, distance, breakpoint, is_chimera for queries (id, sequence, abundance): best left and right sides among
     parents at least twice as abundant, if there are two of them."""
-    sides = _sides(queries, parents, params).where(F.col("pa") >= params.abundance_ratio * F.col("abundance"))
-    per = sides.groupBy("id", "bp").agg((F.min("dl") + F.min("dr")).alias("d"), F.count("*").alias("k")).where("k >= 2")
-    best = per.groupBy("id").agg(F.min(F.struct("d", "bp")).alias("b"))
-    out = queries.select("id").join(best, "id", "left")
-    return out.select("id", F.col("b.d").alias("distance"), F.col("b.bp").alias("breakpoint"), F.coalesce(F.col("b.d") < params.max_distance, F.lit(False)).alias("is_chimera"))
+    best = _joins(queries, parents, params, False)
+    if best is None:
+        sides = _sides(queries, parents, params).where(F.col("pa") >= params.abundance_ratio * F.col("abundance"))
+        per = sides.groupBy("id", "bp").agg((F.min("dl") + F.min("dr")).alias("d"), F.count("*").alias("k")).where("k >= 2")
+        best = per.groupBy("id").agg(F.min(F.struct("d", "bp")).alias("b")).selectExpr("id", "b.d distance", "b.bp breakpoint")
+    return _verdict(queries, best, params)
 
 
 def chimera_reference(queries: DataFrame, references: DataFrame, params: ChimeraParams = ChimeraParams()) -> DataFrame:
@@ -249,13 +299,17 @@ def chimera_reference(queries: DataFrame, references: DataFrame, params: Chimera
 
     The best pair of distinct references follows from the two best of each side, so no pairs are formed.
     """
-    sides = _sides(queries.withColumn("abundance", F.lit(0)), references, params)
-    two = lambda c: F.slice(F.sort_array(F.collect_list(F.struct(c, "parent"))), 1, 2)  # noqa: E731  (references are a bounded panel)
-    per = sides.groupBy("id", "bp").agg(two("dl").alias("l"), two("dr").alias("r"))
-    pairs = F.flatten(F.transform("l", lambda x: F.transform("r", lambda y: F.when(x["parent"] != y["parent"], x["dl"] + y["dr"]))))
-    best = per.withColumn("d", F.array_min(pairs)).where("d is not null").groupBy("id").agg(F.min(F.struct("d", "bp")).alias("b"))
-    out = queries.select("id").join(best, "id", "left")
-    return out.select("id", F.col("b.d").alias("distance"), F.col("b.bp").alias("breakpoint"), F.coalesce(F.col("b.d") < params.max_distance, F.lit(False)).alias("is_chimera"))
+    best = _joins(queries, references, params, True)
+    if best is None:
+        sides = _sides(queries.withColumn("abundance", F.lit(0)), references, params)
+        two = lambda c: F.min(F.struct(c, "parent"))
+        first = sides.groupBy("id", "bp").agg(two("dl").alias("l"), two("dr").alias("r"))
+        # the best of each side without the best one's parent: aggregates again, no list of references is gathered
+        more = sides.join(first, ["id", "bp"]).groupBy("id", "bp").agg(F.first("l").alias("l"), F.first("r").alias("r"), F.min(F.when(F.col("parent") != F.col("l.parent"), F.struct("dl", "parent"))).alias("l2"), F.min(F.when(F.col("parent") != F.col("r.parent"), F.struct("dr", "parent"))).alias("r2"))
+        apart = [F.when(F.col(f"{x}.parent") != F.col(f"{y}.parent"), F.col(f"{x}.dl") + F.col(f"{y}.dr")) for x in ("l", "l2") for y in ("r", "r2")]
+        per = more.select("id", "bp", F.array_min(F.array(*apart)).alias("d")).where("d is not null")
+        best = per.groupBy("id").agg(F.min(F.struct("d", "bp")).alias("b")).selectExpr("id", "b.d distance", "b.bp breakpoint")
+    return _verdict(queries, best, params)
 
 
 def detect_chimeras(queries: DataFrame, parents: DataFrame, references: DataFrame | None = None, params: ChimeraParams = ChimeraParams()) -> DataFrame:
@@ -282,7 +336,7 @@ def chimera_stats(found: DataFrame) -> DataFrame:
 def best_alignment(queries: DataFrame, targets: DataFrame, params: LocalParams = LocalParams(), max_results: int | None = None) -> DataFrame:
     """query_id, target_id, score of the best-scoring target of each query, first of equals; NULL without a positive score."""
     queries = queries if max_results is None else queries.orderBy("query_id").limit(max_results)
-    met = queries.join(F.broadcast(targets.selectExpr("target_id", "ord", "sequence target")))
+    met = queries.join(small(targets.selectExpr("target_id", "ord", "sequence target"), text="target"))
     scored = met.withColumn("sw", KN.local_udf(params)("sequence", "target"))
     best = scored.where("sw.score > 0").groupBy("query_id").agg(F.max_by(F.struct("target_id", "sw"), F.struct(F.col("sw.score"), -F.col("ord"))).alias("b"))
     return queries.select("query_id").join(best, "query_id", "left").select("query_id", "b.target_id", F.col("b.sw.score").alias("score"), F.col("b.sw.identity").alias("identity"), F.col("b.sw.cigar").alias("cigar"))
@@ -302,12 +356,24 @@ def pileup(alignments: DataFrame, markers: DataFrame, bin_size: int = 512) -> Da
     n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("read_count"))), F.lit(0)).cast("bigint")
     counts = [n(F.col("b") == x).alias(x) for x in "ACGT"]
     out = met.groupBy("chromosome", "position", "ref_base").agg(*counts, F.sum("read_count").cast("bigint").alias("depth"), n(F.col("b") == F.col("ref_base")).alias("ref_count"), F.sum(F.col("q") * F.col("read_count")).cast("bigint").alias("quality_sum"))
-    # most frequent base that is not the reference; ties go to the earlier letter
+    return with_alternative(out)
+
+
+PILE = ["A", "C", "G", "T", "depth", "ref_count", "quality_sum"]
+
+
+def with_alternative(piles: DataFrame) -> DataFrame:
+    """Piles with the most frequent base that is not the reference; ties go to the earlier letter."""
     choice = F.array_max(F.array(*(F.when((F.col(x) > 0) & (F.col("ref_base") != x), F.struct(F.col(x).alias("n"), F.lit(-i).alias("o"), F.lit(x).alias("b"))) for i, x in enumerate("ACGT"))))
-    out = out.withColumn("top", choice).withColumn("alt_base", F.coalesce("top.b", F.lit("N"))).withColumn("alt_count", F.coalesce("top.n", F.lit(0).cast("bigint")))
+    out = piles.withColumn("top", choice).withColumn("alt_base", F.coalesce("top.b", F.lit("N"))).withColumn("alt_count", F.coalesce("top.n", F.lit(0).cast("bigint")))
     return out.withColumn("other_count", F.col("depth") - F.col("ref_count") - F.col("alt_count")).drop("top")
 
 
+def merge_piles(piles: DataFrame) -> DataFrame:
+    """One pile a marker of the piles of several batches: counts add up."""
+    return with_alternative(piles.groupBy("chromosome", "position", "ref_base").agg(*(F.sum(c).alias(c) for c in PILE)))
+
+
 def call_variants(piles: DataFrame, params: CallParams = CallParams()) -> DataFrame:
     """Positions with enough depth and allele frequency, with genotype and quality; quality runs on these rows only."""
     out = piles.withColumn("allele_frequency", G.allele_frequency("alt_count", "depth"))
@@ -338,8 +404,7 @@ def joint_genotypes(variants: DataFrame, samples: DataFrame) -> DataFrame:
     """
     sites = variants.groupBy("chromosome", "position").agg(F.min(F.struct("sample_id", "ref_allele", "alt_allele", F.coalesce("amplicon_id", F.lit("")).alias("amplicon_id"))).alias("s"))
     sites = sites.select("chromosome", "position", "s.ref_allele", "s.alt_allele", "s.amplicon_id")
-    panel = F.broadcast(samples.select("sample_id")) if samples.count() <= 100_000 else samples.select("sample_id")
-    grid = sites.join(panel)
+    grid = sites.join(small(samples.select("sample_id")))  # the result has every site of every sample
     own = variants.groupBy("chromosome", "position", "sample_id").agg(F.min(F.struct("allele_frequency", "total_depth")).alias("v"))
     out = grid.join(own, ["chromosome", "position", "sample_id"], "left")
     gt = F.when(F.col("v").isNull(), "./.").otherwise(G.genotype("v.allele_frequency"))
@@ -361,6 +426,17 @@ def genotype_stats(genotypes: DataFrame) -> DataFrame:
     return genotypes.groupBy("sample_id").agg(F.count("*").alias("genotypes"), F.count_if(g == "./.").alias("missing"), F.count_if(g.isin("0/1", "1/0", "1/1")).alias("variants"))
 
 
+def panel_stats(clusters: DataFrame, assigned: DataFrame, placed: DataFrame, calls: DataFrame) -> DataFrame:
+    """One row with the eight statistics of a panel run: reads, clusters and their ratio, clusters assigned of all, clusters
+    aligned (placed at their target) of the assigned, and variants. Rates are 0 without rows to share."""
+    n = clusters.agg(F.coalesce(F.sum("read_count"), F.lit(0)).cast("bigint").alias("total_reads"), F.count("*").alias("collapsed_clusters"))
+    one = [assigned.agg(F.count("amplicon_id").alias("assigned_clusters")), placed.agg(F.count("*").alias("aligned_clusters")), calls.agg(F.count("*").alias("variants_called"))]
+    for x in one:
+        n = n.join(x)  # one row each
+    share = lambda a, b: f"if({b} = 0, 0D, {a} / {b})"
+    return n.selectExpr("total_reads", "collapsed_clusters", f"{share('total_reads', 'collapsed_clusters')} collapse_ratio", "assigned_clusters", f"{share('assigned_clusters', 'collapsed_clusters')} assignment_rate", "aligned_clusters", f"{share('aligned_clusters', 'assigned_clusters')} alignment_rate", "variants_called")
+
+
 def has_coverage(coverage: DataFrame, least: int = 1000) -> DataFrame:
     """One row: whether every amplicon has the depth; false without amplicons."""
     return coverage.agg(F.coalesce(F.bool_and(F.col("depth") >= least), F.lit(False)).alias("sufficient"), F.coalesce(F.min("depth"), F.lit(0).cast("bigint")).alias("least"), F.coalesce(F.max("depth"), F.lit(0).cast("bigint")).alias("most"))
@@ -389,8 +465,19 @@ def weighted_split(total: int, weights: list[float]) -> list[tuple[int, int]]:
     return out
 
 
-def chunks(reads: DataFrame, n: int, total: int | None = None) -> DataFrame:
-    """Reads with the number of their contiguous chunk of ceil(total / n) ids."""
-    total = reads.count() if total is None else total
+#: Ids of a FASTQ input are the file's place times this, and the ordinal in the file.
+FILE_IDS = 1 << 40
+
+
+def chunks(reads: DataFrame, n: int) -> DataFrame:
+    """Reads with the number of their contiguous chunk of ceil(total / n) reads, over all files in order.
+
+    Ids are dense from 0 in each file; the reads before a file are counted by file, so no table is sorted.
+    """
+    file = F.expr(f"read_id div {FILE_IDS}")
+    per = reads.groupBy(file.alias("file")).agg(F.count("*").alias("k"))
+    base = per.select("file", F.coalesce(F.sum("k").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    total = per.agg(F.sum("k")).first()[0] or 0
     size = max(1, -(-total // n))
-    return reads.withColumn("chunk", F.expr(f"cast(read_id div {size} as int)"))
+    out = reads.withColumn("file", file).join(small(base), "file")
+    return out.withColumn("chunk", F.expr(f"cast((base + read_id % {FILE_IDS}) div {size} as int)")).drop("file", "base")

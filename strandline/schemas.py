@@ -9,7 +9,7 @@ CONTIGS = "name string, ordinal int, sequence string"
 TARGETS = "amplicon_id string, chromosome string, start bigint, end bigint, primer_fwd string, primer_rev string, expected_length int, snp_positions array<bigint>"
 BARCODES = "sample_id string, barcode string, expected_position int"
 
-PAIRED, PROPER, UNMAPPED, READ1, READ2, SECONDARY, DUPLICATE, SUPPLEMENTARY = 0x1, 0x2, 0x4, 0x40, 0x80, 0x100, 0x400, 0x800
+PAIRED, PROPER, UNMAPPED, REVERSE, READ1, READ2, SECONDARY, DUPLICATE, SUPPLEMENTARY = 0x1, 0x2, 0x4, 0x10, 0x40, 0x80, 0x100, 0x400, 0x800
 
 
 @dataclass(frozen=True)

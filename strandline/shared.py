@@ -1,10 +1,26 @@
-"""The folder that driver and executors share."""
+"""Helpers of the session: the folder that driver and executors share, and joins with small tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a table that is broadcast; a larger one is joined as it is.
+SMALL = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder only where that is unset, as in tests."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/strandline"
+    """spark.checkpoint.dir of the session. Only a local master, as in tests, may leave it unset."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    master = spark.sparkContext.master or ""
+    if master == "local" or master.startswith("local["):
+        return "/tmp/checkpoints/strandline"
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+def small(df: DataFrame, most: int = SMALL, text: str | None = None, most_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows and, of a column ``text``, at most so many bytes."""
+    n, size = df.agg(F.count("*"), F.sum(F.octet_length(text)) if text else F.lit(0)).first()
+    return F.broadcast(df) if n <= most and (size or 0) <= most_bytes else df
