@@ -1,11 +1,12 @@
-"""Command line: ``python -m strandline align|panel|split|example ...``."""
+"""Command line: ``python -m strandline align|multi|merge|panel|split|example ...``."""
 
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
-from strandline.schemas import BandedParams, FilterParams, SeedParams
+from strandline.schemas import BandedParams, ChimeraParams, FilterParams, SeedParams, TrimParams
 
 
 def _session(name: str):
@@ -29,6 +30,16 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--no-sort", action="store_true")
     a.add_argument("--ungapped", action="store_true")
     a.add_argument("--both-strands", action="store_true")
+    m = sub.add_parser("multi", help="several FASTQ files to SAM, one folder each, over one index")
+    m.add_argument("-r", "--reference", required=True)
+    m.add_argument("-i", "--input", required=True, help="folder, glob or comma-separated list")
+    m.add_argument("-o", "--output", required=True)
+    m.add_argument("-k", "--kmer-size", type=int, default=19)
+    m.add_argument("--ungapped", action="store_true")
+    g = sub.add_parser("merge", help="several SAM folders to one")
+    g.add_argument("-i", "--input", required=True, help="glob of folders")
+    g.add_argument("-o", "--output", required=True)
+    g.add_argument("-n", "--no-sort", action="store_true")
     b = sub.add_parser("panel", help="amplicon FASTQ to VCF")
     b.add_argument("-c", "--config", required=True, help="panel YAML")
     b.add_argument("-i", "--input", required=True)
@@ -38,6 +49,9 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--sample", default="sample_001")
     b.add_argument("--min-depth", type=int)
     b.add_argument("--min-frequency", type=float)
+    b.add_argument("--barcodes", help="CSV of sample_id and barcode: demultiplex first")
+    b.add_argument("--trim", action="store_true", help="cut the targets' primers")
+    b.add_argument("--chimeras", action="store_true", help="drop chimeric clusters")
     c = sub.add_parser("split", help="FASTQ to chunks")
     c.add_argument("input")
     c.add_argument("output")
@@ -51,6 +65,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     from dataclasses import replace
 
+    from strandline.operators import align as A
     from strandline.plans import pipelines as P
     from strandline.sources import config as C
     from strandline.sources import fastq as Q
@@ -61,7 +76,17 @@ def main(argv: list[str] | None = None) -> int:
         C.write_example(args.path)
         return 0
     spark = _session(args.command)
-    if args.command == "split":
+    if args.command == "merge":
+        sinks.merge_sam(spark, args.input, args.output, not args.no_sort)
+    elif args.command == "multi":
+        contigs, seeds = Q.read_fasta(spark, args.reference), SeedParams(k=args.kmer_size)
+        index = A.kmer_index(contigs, seeds).cache()
+        for path in Q._paths(args.input):
+            name = os.path.basename(path).split(".")[0]
+            out = P.align_reads(Q.read_fastq(spark, path), contigs, seeds, None if args.ungapped else BandedParams(), index=index)
+            sinks.write_sam(out.sam, contigs, f"{args.output}/{name}")
+        index.unpersist()
+    elif args.command == "split":
         sinks.write_chunks(Q.read_fastq(spark, args.input), args.n, args.output, "gzip" if args.z else None)
     elif args.command == "align":
         conf = C.load_pipeline(args.config) if args.config else {}
@@ -87,8 +112,10 @@ def main(argv: list[str] | None = None) -> int:
         call = replace(call, min_depth=args.min_depth) if args.min_depth is not None else call
         call = replace(call, min_allele_frequency=args.min_frequency) if args.min_frequency is not None else call
         contigs = Q.read_fasta(spark, args.reference or panel.reference)
-        out = P.call_panel(Q.read_fastq(spark, args.input), C.targets_frame(spark, panel), contigs, call, panel.max_distance)
-        sinks.write_vcf(out.calls, [args.sample], args.output)
+        codes = C.read_barcodes(spark, args.barcodes).select("sample_id", "barcode", "expected_position") if args.barcodes else None
+        optional = {"barcodes": codes, "trim": TrimParams() if args.trim else None, "chimeras": ChimeraParams() if args.chimeras else None}
+        out = P.call_panel(Q.read_fastq(spark, args.input), C.targets_frame(spark, panel), contigs, call, panel.max_distance, **optional)
+        sinks.write_vcf(out.calls, [args.sample], args.output, args.reference or panel.reference)
         if args.stats:
             sinks.write_json(out.stats, args.stats)
     return 0

@@ -25,7 +25,8 @@ class Whole:
 def align_reads(reads: DataFrame, contigs: DataFrame, seeds: SeedParams = SeedParams(), banded: BandedParams | None = BandedParams(), keep: FilterParams | None = None, index: DataFrame | None = None, both_strands: bool = False) -> Whole:
     """Seed, chain, align and describe reads. ``banded=None`` scores without gaps and stays in the JVM.
 
-    With ``both_strands`` a read is tried as its reverse complement too and keeps the better score.
+    With ``both_strands`` a read is tried as its reverse complement too and keeps the better score; SAM rows of such reads
+    are turned and flagged.
     """
     index = A.kmer_index(contigs, seeds) if index is None else index
     place = (lambda r, c: A.place_banded(r, c, contigs, banded)) if banded else (lambda r, c: A.place_ungapped(r, c, contigs))
@@ -76,5 +77,6 @@ def call_panel(reads: DataFrame, targets: DataFrame, contigs: DataFrame, call: C
     marks = marks.join(ref, "chromosome").select("chromosome", "position", F.upper(F.substr("ref", (F.col("position") + 1).cast("int"), F.lit(1))).alias("ref_base"))
     piles = M.pileup(placed, marks)
     calls = M.annotate_variants(M.call_variants(piles, call), targets)
-    stats = M.collapse_stats(reads, clusters).join(M.assignment_rate(assigned))
+    sizes = M.collapse_stats(reads, clusters).select("reads_in", "clusters_out", "compression_ratio", "avg_cluster_size")
+    stats = M.panel_stats(clusters, assigned, placed, calls).join(sizes)  # one row each
     return Panel(clusters, assigned, piles, calls, stats, split)

@@ -1,22 +1,27 @@
 """FASTQ and FASTA as Spark data sources.
 
-``register(spark)`` adds the formats ``fastq`` and ``fasta``, batch and (fastq) streaming. A file is
-one partition, so a large input should come as many files (see ``strandline.sources.sinks.write_chunks``);
-records are parsed lazily and memory stays at one Arrow batch. Options of fastq: ``mode`` is ``fail``
-(default), ``truncate`` (a malformed record ends its file) or ``skip``.
+``register(spark)`` adds the formats ``fastq`` and ``fasta`` (batch) and ``fastq_tail`` (streaming). A plain FASTQ file of more than
+``split`` bytes is read in byte ranges, each from the first record that begins in it; gzip files, and modes that depend on what
+stands before, are one partition a file. Rows go to Spark in Arrow batches. ``mode`` is ``fail`` (default), ``truncate`` (a
+malformed record ends its file) or ``skip``. Files lie in a folder that all machines mount.
 """
 
 from __future__ import annotations
 
 import glob
 import gzip
+import itertools
 import os
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
+from strandline.shared import small
+
 
 def _open(path: str):
     return gzip.open(path, "rt", newline="") if path.endswith(".gz") else open(path, newline="")
@@ -56,25 +61,91 @@ def parse_fastq(lines: Iterator[str], mode: str = "fail") -> Iterator[tuple[str,
             raise Malformed(f"malformed FASTQ record at {head[:80]!r}")
 
 
+#: Bytes of a plain file that one partition reads.
+SPLIT = 128 << 20
+ROWS = 4096
+
+
+def _blank(line: bytes) -> bool:
+    return line in (b"\n", b"\r\n")
+
+
+def _good(four: list[bytes]) -> bool:
+    """Whether four lines are a record. No quality line passes for a header: two lines after it stand bases, not a plus."""
+    return len(four) == 4 and four[0].startswith(b"@") and four[2].startswith(b"+") and len(four[1].rstrip(b"\r\n")) == len(four[3].rstrip(b"\r\n"))
+
+
+def _first_record(f, at: int) -> int:
+    """Offset of the first record that begins at ``at`` or after it; the end of the file if there is none."""
+    if at:
+        f.seek(at - 1)
+        at = at - 1 + len(f.readline())
+    f.seek(at)
+    lines = [x for x in (f.readline() for _ in range(4)) if x]
+    while lines and not _good(lines):
+        at += len(lines.pop(0))
+        if more := f.readline():
+            lines.append(more)
+    return at
+
+
+def read_range(path: str, start: int, end: int) -> Iterator[tuple[str, str, str]]:
+    """Records that begin in a byte range of a plain file. What stands between the last of them and the next range's first
+    record must be blank, so the ranges of a file together read all of it or fail."""
+    with open(path, "rb") as f:
+        at = _first_record(f, start) if start else 0
+        f.seek(at)
+        while at < end:
+            head = f.readline()
+            if not head:
+                return
+            at += len(head)
+            if _blank(head):
+                continue
+            four = [head, *(f.readline() for _ in range(3))]
+            at += sum(map(len, four[1:]))
+            if not _good(four):
+                raise Malformed(f"malformed FASTQ record at {head[:80]!r}")
+            name, seq, _, qual = (x.rstrip(b"\r\n").decode("utf-8", "replace") for x in four)
+            yield name[1:], seq, qual
+        while _blank(line := f.readline()):
+            at += len(line)
+        if line and _first_record(f, end) != at:
+            raise Malformed(f"malformed FASTQ record at {line[:80]!r}")
+
+
 class _File(InputPartition):
-    def __init__(self, path: str, first: int = 0, start: int = 0, end: int = -1):
+    def __init__(self, path: str, file: int = 0, part: int = 0, start: int = 0, end: int = -1):
         super().__init__(path)
-        self.path, self.first, self.start, self.end = path, first, start, end
+        self.path, self.file, self.part, self.start, self.end = path, file, part, start, end
 
 
 class FastqReader(DataSourceReader):
-    """Reads get ids from their file's place in the list of files (upper bits) and their ordinal in the file."""
+    """Rows carry the file's place in the list of files, the part of the file and the place in the part."""
 
     def __init__(self, options):
         self.path, self.mode = options["path"], options.get("mode", "fail")
+        self.split = int(options.get("split", SPLIT))
 
     def partitions(self):
-        return [_File(p, i << 40) for i, p in enumerate(_paths(self.path))]
+        out = []
+        for i, p in enumerate(_paths(self.path)):
+            size = os.path.getsize(p)
+            if self.mode != "fail" or p.endswith(".gz") or size <= self.split:
+                out.append(_File(p, i))
+            else:
+                out += [_File(p, i, k, at, min(at + self.split, size)) for k, at in enumerate(range(0, size, self.split))]
+        return out
 
     def read(self, partition):
         with _open(partition.path) as f:
-            for i, (name, seq, qual) in enumerate(parse_fastq(f, self.mode)):
-                yield partition.first + i, name, seq, qual
+            records = parse_fastq(f, self.mode) if partition.end < 0 else read_range(partition.path, partition.start, partition.end)
+            places = itertools.count()
+            while part := list(itertools.islice(records, ROWS)):
+                n = len(part)
+                at = list(itertools.islice(places, n))
+                cols = [pa.array([partition.file] * n, pa.int32()), pa.array([partition.part] * n, pa.int32()), pa.array(at, pa.int64()), *(pa.array(x, pa.string()) for x in zip(*part))]
+                yield pa.RecordBatch.from_arrays(cols, ["file", "part", "place", "name", "sequence", "quality"])
 
 
 class FastqStream(SimpleDataSourceStreamReader):
@@ -88,17 +159,32 @@ class FastqStream(SimpleDataSourceStreamReader):
         return {}
 
     def _complete(self, path: str, at: int) -> tuple[list, int]:
+        """The whole records from an offset on, of about ``limit`` bytes but one record at least, and where they end."""
+        size = self.limit
         with open(path, "rb") as f:
-            f.seek(at)
-            raw = f.read(self.limit)
-        lines = raw.split(b"\n")[:-1]
-        whole = len(lines) // 4 * 4
-        size = sum(len(x) + 1 for x in lines[:whole])
-        rows = []
-        for i in range(0, whole, 4):
-            head, seq, _, qual = (x.decode("ascii", "replace").rstrip("\r") for x in lines[i : i + 4])
-            rows.append((head[1:], seq, qual, path))
-        return rows, at + size
+            while True:
+                f.seek(at)
+                raw = f.read(size)
+                rows, done = self._records(raw, path)
+                if done or len(raw) < size:
+                    return rows, at + done
+                size *= 2
+
+    @staticmethod
+    def _records(raw: bytes, path: str) -> tuple[list, int]:
+        """Records of whole lines, and the bytes up to the end of the last; malformed ones are left out, here and on replay."""
+        lines, rows, done, i, at = raw.split(b"\n")[:-1], [], 0, 0, 0
+        while i < len(lines):
+            n = 1 if not lines[i].rstrip(b"\r") else 4
+            if i + n > len(lines):
+                break
+            four = [x.rstrip(b"\r") for x in lines[i : i + n]]
+            if _good(four):
+                head, seq, _, qual = (x.decode("utf-8", "replace") for x in four)
+                rows.append((head[1:], seq, qual, path))
+            at += sum(len(x) + 1 for x in lines[i : i + n])
+            done, i = at, i + n
+        return rows, done
 
     def read(self, start):
         rows, end = [], dict(start)
@@ -116,8 +202,7 @@ class FastqStream(SimpleDataSourceStreamReader):
             if stop > at:
                 with open(p, "rb") as f:
                     f.seek(at)
-                    text = f.read(stop - at).decode("ascii", "replace")
-                rows += [(*r, p) for r in parse_fastq(iter(text.splitlines()), "skip")]
+                    rows += self._records(f.read(int(stop) - at), p)[0]
         return iter(rows)
 
     def commit(self, end):
@@ -130,7 +215,7 @@ class FastqSource(DataSource):
         return "fastq"
 
     def schema(self):
-        return "read_id bigint, name string, sequence string, quality string"
+        return "file int, part int, place bigint, name string, sequence string, quality string"
 
     def reader(self, schema):
         return FastqReader(dict(self.options))
@@ -170,12 +255,12 @@ class FastaReader(DataSourceReader):
         self.path = options["path"]
 
     def partitions(self):
-        return [_File(p, i << 24) for i, p in enumerate(_paths(self.path))]
+        return [_File(p, i) for i, p in enumerate(_paths(self.path))]
 
     def read(self, partition):
         with _open(partition.path) as f:
             for i, (name, seq) in enumerate(parse_fasta(f)):
-                yield name, partition.first + i, seq
+                yield name, (partition.file << 32) + i, seq
 
 
 class FastaSource(DataSource):
@@ -184,7 +269,7 @@ class FastaSource(DataSource):
         return "fasta"
 
     def schema(self):
-        return "name string, ordinal int, sequence string"
+        return "name string, ordinal bigint, sequence string"
 
     def reader(self, schema):
         return FastaReader(dict(self.options))
@@ -195,10 +280,21 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def read_fastq(spark: SparkSession, path: str, mode: str = "fail") -> DataFrame:
-    """read_id, name, sequence, quality of a file, folder, glob or comma-separated list; .gz by suffix."""
+def read_fastq(spark: SparkSession, path: str, mode: str = "fail", split: int = SPLIT) -> DataFrame:
+    """read_id, name, sequence, quality of a file, folder, glob or comma-separated list; .gz by suffix.
+
+    Ids are the file's place in the list (times 2**40) and the ordinal in the file. Where a file is read in parts, their
+    records are counted first, in a pass of its own.
+    """
     register(spark)
-    return spark.read.format("fastq").option("mode", mode).load(path)
+    rows = spark.read.format("fastq").option("mode", mode).option("split", split).load(path)
+    ordinal = F.col("place")
+    if mode == "fail" and any(not p.endswith(".gz") and os.path.getsize(p) > split for p in _paths(path)):
+        per = rows.groupBy("file", "part").agg(F.count("*").alias("k"))
+        before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.join(small(per.select("file", "part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base"))), ["file", "part"])
+        ordinal = F.col("base") + F.col("place")
+    return rows.select((F.col("file").cast("bigint") * (1 << 40) + ordinal).alias("read_id"), "name", "sequence", "quality")
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:

@@ -37,13 +37,17 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return part("header", 0).union(part("body", 1)).orderBy("part", "at").select("line")
 
 
-def vcf_header(contigs: list[str], samples: list[str], multi: bool = False, date: str | None = None) -> list[str]:
+def vcf_header(contigs: list[str], samples: list[str], multi: bool = False, date: str | None = None, reference: str | None = None) -> list[str]:
+    """Header lines; a single-sample header names the reference, if it is known, and its filters."""
     info = ['##INFO=<ID=AMP,Number=1,Type=String,Description="Amplicon">', '##INFO=<ID=DP,Number=1,Type=Integer,Description="Depth">', '##INFO=<ID=AF,Number=A,Type=Float,Description="Allele frequency">', '##INFO=<ID=KNOWN,Number=0,Type=Flag,Description="Known marker">']
     info += ['##INFO=<ID=AC,Number=A,Type=Integer,Description="Allele count">', '##INFO=<ID=AN,Number=1,Type=Integer,Description="Allele number">'] if multi else ['##INFO=<ID=RD,Number=1,Type=Integer,Description="Reference depth">', '##INFO=<ID=AD,Number=A,Type=Integer,Description="Alternative depth">']
     form = ['##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', '##FORMAT=<ID=DP,Number=1,Type=Integer,Description="Depth">', '##FORMAT=<ID=AD,Number=R,Type=Integer,Description="Depths of alleles">', '##FORMAT=<ID=AF,Number=A,Type=Float,Description="Allele frequency">']
     form += ['##FORMAT=<ID=GQ,Number=1,Type=Integer,Description="Genotype quality">'] if multi else []
+    filters = [] if multi else ['##FILTER=<ID=PASS,Description="All filters passed">', '##FILTER=<ID=LowDepth,Description="Depth below the least">', '##FILTER=<ID=LowAF,Description="Allele frequency below the least">']
+    form += filters
     date = date or datetime.date.today().strftime("%Y%m%d")
-    return ["##fileformat=VCFv4.2", f"##fileDate={date}", "##source=strandline", *(f"##contig=<ID={c}>" for c in sorted(set(contigs))), *info, *form, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]
+    source = ["##source=strandline"] + ([f"##reference={reference}"] if reference and not multi else [])
+    return ["##fileformat=VCFv4.2", f"##fileDate={date}", *source, *(f"##contig=<ID={c}>" for c in sorted(set(contigs))), *info, *form, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]
 
 
 def _known() -> Column:
@@ -60,9 +64,9 @@ def vcf_lines(calls: DataFrame, samples: list[str]) -> DataFrame:
     return calls.orderBy("chromosome", "position").select(F.concat_ws("\t", *cols).alias("line"))
 
 
-def write_vcf(calls: DataFrame, samples: list[str], path: str) -> None:
+def write_vcf(calls: DataFrame, samples: list[str], path: str, reference: str | None = None) -> None:
     contigs = [r[0] for r in calls.select("chromosome").distinct().collect()]
-    _write(calls.sparkSession, vcf_header(contigs, samples), vcf_lines(calls, samples), path, None)
+    _write(calls.sparkSession, vcf_header(contigs, samples, reference=reference), vcf_lines(calls, samples), path, None)
 
 
 def multi_vcf_lines(genotypes: DataFrame, counts: DataFrame, samples: list[str]) -> DataFrame:
@@ -92,6 +96,30 @@ def write_json(stats: DataFrame, path: str) -> None:
     stats.coalesce(1).write.mode("overwrite").json(path)
 
 
+def read_sam(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, contigs) of folders that ``write_sam`` wrote, given as a path or glob: the SAM columns with the score, and name and
+    length of the header's contigs."""
+    cols = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
+    kinds = {"flag": "int", "pos": "bigint", "mapq": "int", "pnext": "int", "tlen": "int"}
+    part = F.split("value", "\t")
+    body = spark.read.text(f"{path}/body").select(*(F.get(part, F.lit(i)).cast(kinds.get(c, "string")).alias(c) for i, c in enumerate(cols)), F.regexp_extract("value", r"\tAS:i:(-?\d+)", 1).cast("int").alias("score"))
+    head = spark.read.text(f"{path}/header").where("value like '@SQ%'")
+    contigs = head.select(F.regexp_extract("value", r"\tSN:([^\t]+)", 1).alias("name"), F.regexp_extract("value", r"\tLN:(\d+)", 1).cast("bigint").alias("length")).distinct()
+    return body, contigs
+
+
+def merge_sam(spark: SparkSession, paths: str, out: str, sort: bool = True) -> None:
+    """One SAM folder of several, given by a glob: all rows, by contig and position unless ``sort`` is off, under one header."""
+    rows, contigs = read_sam(spark, paths)
+    names = [f"@SQ\tSN:{r[0]}\tLN:{r[1]}" for r in contigs.orderBy("name").collect()]
+    header = [f"@HD\tVN:1.6\tSO:{'coordinate' if sort else 'unsorted'}", *names, "@PG\tID:strandline\tPN:strandline"]
+    _write(spark, header, sam_lines(merge_alignments([rows], sort)), out, None)
+
+
+def fasta_lines(contigs: DataFrame) -> DataFrame:
+    return contigs.select(F.concat(F.lit(">"), F.col("name"), F.lit("\n"), F.col("sequence")).alias("value"))
+
+
 def fastq_lines(reads: DataFrame) -> DataFrame:
     return reads.select(F.concat(F.lit("@"), F.col("name"), F.lit("\n"), F.col("sequence"), F.lit("\n+\n"), F.col("quality")).alias("value"))
 

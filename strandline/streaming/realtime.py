@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from strandline.schemas import READS
+from strandline.operators import amplicon as M
+from strandline.schemas import READS, CallParams
+from strandline.sources import sinks
 
 
 def watch_reads(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
@@ -55,6 +57,29 @@ def count_coverage(reads: DataFrame, assign: Callable[[DataFrame], DataFrame], c
     return run_batches(reads, body, checkpoint, interval, available_now)
 
 
+def call_stream(reads: DataFrame, panel: Callable[[DataFrame], DataFrame], checkpoint: str, out: str, call: CallParams = CallParams(), targets: DataFrame | None = None, on_variants: Callable[[DataFrame, int], None] | None = None, samples: tuple[str, ...] = ("sample_001",), interval: str = "1 second", available_now: bool = False) -> StreamingQuery:
+    """Run the panel on every batch of reads and call variants from all batches so far.
+
+    ``panel`` makes piles of a batch (``call_panel(...).piles``). A batch's piles and the VCF lines as of this batch are written
+    under its id (``out``/piles, ``out``/vcf), so a replay replaces them; counts of batches add up, and reads collapse
+    within their batch. ``on_variants`` gets the calls as of each batch.
+    """
+    key = ["chromosome", "position", "ref_base"]
+
+    def body(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        panel(batch).select(*key, *M.PILE).write.mode("overwrite").parquet(f"{out}/piles/batch={batch_id}")
+        kinds = ", ".join([f"{c} {'bigint' if c == 'position' else 'string'}" for c in key] + [f"{c} bigint" for c in M.PILE] + ["batch bigint"])
+        piles = spark.read.schema(kinds).parquet(f"{out}/piles").where(F.col("batch") <= batch_id)
+        calls = M.call_variants(M.merge_piles(piles), call)
+        calls = M.annotate_variants(calls, targets) if targets is not None else calls.withColumn("amplicon_id", F.lit(None).cast("string")).withColumn("known", F.lit(False))
+        sinks.vcf_lines(calls, list(samples)).write.mode("overwrite").text(f"{out}/vcf/batch={batch_id}")
+        if on_variants:
+            on_variants(calls, batch_id)
+
+    return run_batches(reads, body, checkpoint, interval, available_now)
+
+
 def is_sufficient(spark: SparkSession, out: str, expected: list[str], least: int) -> bool:
     """Whether every expected amplicon has the depth in what ``count_coverage`` wrote; false without amplicons."""
     depth = spark.read.schema("amplicon_id string, depth bigint, batch int").parquet(out).groupBy("amplicon_id").agg(F.sum("depth").alias("depth"))
