@@ -60,6 +60,35 @@ def fastq_reads(spark: SparkSession, d: str) -> DataFrame:
     return X.reads(spark, d)
 
 
+def _folder(spark) -> str:
+    import uuid
+
+    from strandline.shared import shared_folder
+
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query("SELECT read_id, name, sequence, quality FROM reads")
+def fastq_source(spark, d):
+    """The reads written as FASTQ files in order of their ids, and read by the source in byte ranges."""
+    from strandline.sources import fastq
+
+    folder = _folder(spark)
+    sinks.fastq_lines(X.reads(spark, d).repartitionByRange(3, "read_id").sortWithinPartitions("read_id")).write.text(f"{folder}")
+    found = fastq.read_fastq(spark, f"{folder.removeprefix('file:')}/part-*", split=1 << 18)
+    # ids of the files' order and place; the names carry the reads' own
+    return found.selectExpr("cast(substr(name, 3) as bigint) read_id", "name", "sequence", "quality")
+
+
+@query("SELECT name, ordinal::BIGINT AS ordinal, sequence FROM contigs")
+def fasta_source(spark, d):
+    from strandline.sources import fastq
+
+    folder = _folder(spark)
+    sinks.fasta_lines(X.contigs(spark, d).repartitionByRange(1, "ordinal").sortWithinPartitions("ordinal")).write.text(folder)
+    return fastq.read_fasta(spark, f"{folder.removeprefix('file:')}/part-*").select("name", "ordinal", "sequence")
+
+
 @query("SELECT count(*) AS n, count(DISTINCT read_id) AS n_ids, count_if(length(sequence) = length(quality)) AS n_equal_lengths FROM reads")
 def read_invariants(spark, d):
     return X.reads(spark, d).agg(F.count("*").alias("n"), F.countDistinct("read_id").alias("n_ids"), F.count_if(F.length("sequence") == F.length("quality")).alias("n_equal_lengths"))
@@ -166,9 +195,12 @@ def sam_text(spark, d):
     return sinks.sam_lines(sam_rows(spark, d))
 
 
-@query(_SAM + " SELECT read_id, flag FROM sam WHERE flag & 4 <> 0")
+@query(_SAM + " SELECT read_id, 4 AS flag FROM reads WHERE read_id % 50 = 7 UNION ALL SELECT read_id, flag FROM sam WHERE flag & 4 <> 0 AND read_id % 50 <> 7")
 def unmapped_reads(spark, d):
-    return sam_rows(spark, d).where(F.col("flag").bitwiseAND(4) != 0).select("read_id", "flag")
+    """Every fiftieth read is unreadable, so it has no seed."""
+    r = X.reads(spark, d).withColumn("sequence", F.when(F.expr("read_id % 50 = 7"), F.repeat(F.lit("N"), 100)).otherwise(F.col("sequence")))
+    placed = A.place_ungapped(r, A.chain(A.seeds(r, A.kmer_index(X.contigs(spark, d)))), X.contigs(spark, d))
+    return A.sam_rows(r, placed).where(F.col("flag").bitwiseAND(4) != 0).select("read_id", "flag")
 
 
 _FLAGGED = _ALIGN + """, rows0 AS (SELECT read_id, gpos, start, contig, mapq, CASE WHEN read_id % 11 = 0 THEN 0 ELSE score END::INT score, (CASE WHEN read_id % 5 = 0 THEN 256 ELSE 0 END + CASE WHEN read_id % 7 = 0 THEN 2048 ELSE 0 END + CASE WHEN read_id % 13 = 0 THEN 1024 ELSE 0 END)::INT flag FROM aligned)"""
@@ -246,18 +278,10 @@ def validate_pairs(spark, d):
     return A.validate_pairs(rows).selectExpr("read_id", "pair_id", "mate", "coalesce(insert_size, -1L) insert_size", "proper", "flag")
 
 
-@query("""a AS (SELECT read_id, name FROM reads WHERE read_id % 2 = 0), one AS (SELECT read_id // 2 pair_id, name FROM reads WHERE read_id % 2 = 0 AND read_id < 1000), two AS (SELECT read_id // 2 pair_id, name FROM reads WHERE read_id % 2 = 1 AND read_id < 900)
-SELECT pair_id, mate::INT AS mate, read_id, name FROM (SELECT pair_id, 1 mate, 2 * pair_id AS read_id, one.name FROM one JOIN two USING (pair_id) UNION ALL SELECT pair_id, 2, 2 * pair_id + 1, two.name FROM one JOIN two USING (pair_id))""")
-def paired_reads(spark, d):
-    r = X.reads(spark, d)
-    half = lambda m, top: r.where(f"read_id % 2 = {m} and read_id < {top}").withColumn("read_id", F.expr("read_id div 2"))  # noqa: E731  (two inputs of unequal length)
-    return A.interleave(A.pair_reads(half(0, 1000), half(1, 900))).select("pair_id", "mate", "read_id", "name")
-
-
 @query("""one AS (SELECT read_id // 2 pair_id, name FROM reads WHERE read_id % 2 = 0), two AS (SELECT read_id // 2 pair_id, name FROM reads WHERE read_id % 2 = 1)
 SELECT pair_id, 1 AS mate, 2 * pair_id AS read_id, one.name FROM one JOIN two USING (pair_id) UNION ALL SELECT pair_id, 2, 2 * pair_id + 1, two.name FROM one JOIN two USING (pair_id)""")
-def paired_reads_all(spark, d):
-    """All reads, paired by parity; paired_reads, whose SQL is fixed, has the first 900 only."""
+def paired_reads(spark, d):
+    """All reads, paired by parity."""
     r = X.reads(spark, d)
     half = lambda m: r.where(f"read_id % 2 = {m}").withColumn("read_id", F.expr("read_id div 2"))
     return A.interleave(A.pair_reads(half(0), half(1))).select("pair_id", "mate", "read_id", "name")
@@ -370,6 +394,19 @@ def assign_amplicon(spark, d):
     return _assigned(spark, d).select("consensus_sequence", "read_count", "amplicon_id")
 
 
+_LENGTHS = """varied AS (SELECT c.sequence consensus, l, substr(c.sequence, 401, l) s FROM contigs c, range(100, 400, 7) g(l)),
+panel AS (SELECT amplicon_id, ord, 120 + ord * 9 e FROM targets)"""
+
+
+@query(_LENGTHS + """ SELECT v.s AS consensus_sequence, arg_min(p.amplicon_id, abs(l - e) / e::DOUBLE * 1000000 + ord / 1000.0) AS amplicon_id FROM varied v LEFT JOIN panel p ON abs(l - e) <= 0.2 * e AND 1 - abs(l - e) / e::DOUBLE > 0.8 GROUP BY 1""")
+def assign_by_length(spark, d):
+    """Stretches of all contigs without primers, in many lengths, against targets of different lengths and unmatchable primers."""
+    c = X.contigs(spark, d).select(F.col("sequence").alias("whole"), F.explode(F.sequence(F.lit(100), F.lit(399), F.lit(7))).alias("l"))
+    clusters = c.select(F.substr("whole", F.lit(401), F.col("l")).alias("consensus_sequence"))
+    panel = X.targets(spark, d).withColumn("expected_length", F.expr("cast(120 + ord * 9 as int)")).withColumn("primer_fwd", F.lit("N" * 20)).withColumn("primer_rev", F.lit("N" * 20))
+    return M.assign(clusters, panel).select("consensus_sequence", "amplicon_id")
+
+
 @query(_ASSIGN + " SELECT amplicon_id, count(*) AS n_clusters, sum(read_count)::BIGINT AS n_reads FROM assigned WHERE amplicon_id IS NOT NULL GROUP BY 1")
 def amplicon_counts(spark, d):
     return M.amplicon_counts(_assigned(spark, d))
@@ -432,14 +469,16 @@ def demux_either_mate(spark, d):
 
 # ---- primers
 
-_TRIM = """ends AS (SELECT c.ordinal * 10 + v read_id, repeat('A', CASE WHEN v % 3 = 2 THEN 3 ELSE 0 END) || (CASE WHEN v < 5 THEN primer_fwd ELSE '' END) || substr(c.sequence, 101, 60 + v) || (CASE WHEN v % 2 = 0 THEN reverse(translate(primer_rev, 'ACGT', 'TGCA')) ELSE '' END) AS sequence, v FROM contigs c JOIN targets t ON t.ord = c.ordinal, range(10) g(v))"""
+_TRIM = """ends AS (SELECT r.read_id, repeat('A', CASE WHEN read_id % 10 % 3 = 2 THEN 3 ELSE 0 END) || (CASE WHEN read_id % 10 < 5 THEN primer_fwd ELSE '' END) || r.sequence || (CASE WHEN read_id % 2 = 0 THEN reverse(translate(primer_rev, 'ACGT', 'TGCA')) ELSE '' END) AS sequence FROM reads r JOIN truth USING (read_id) JOIN targets t ON t.ord = truth.ordinal)"""
 
 
 def _primed(spark, d):
-    """Inserts with primers at none, either or both ends; every third has bases before the forward one, which then is not at offset 0."""
-    c = X.contigs(spark, d).join(X.targets(spark, d).select(F.col("ord").alias("ordinal"), "primer_fwd", "primer_rev"), "ordinal").withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(9))))
-    s = F.concat(F.when(F.col("v") % 3 == 2, "AAA").otherwise(""), F.when(F.col("v") < 5, F.col("primer_fwd")).otherwise(""), F.substr("sequence", F.lit(101), F.col("v") + 60), F.when(F.col("v") % 2 == 0, S.reverse_complement("primer_rev")).otherwise(""))
-    return c.select((F.col("ordinal") * 10 + F.col("v")).cast("bigint").alias("read_id"), s.alias("sequence")).withColumn("quality", F.repeat(F.lit("I"), F.length("sequence")))
+    """All reads with their target's primers at none, either or both ends; some have bases before the forward one, which then is not
+    at offset 0."""
+    own = F.broadcast(X.targets(spark, d).select(F.col("ord").cast("int").alias("ordinal"), "primer_fwd", "primer_rev"))  # one a contig
+    r = X.reads(spark, d).join(X.truth(spark, d).select("read_id", "ordinal"), "read_id").join(own, "ordinal").withColumn("v", F.expr("read_id % 10"))
+    s = F.concat(F.when(F.col("v") % 3 == 2, "AAA").otherwise(""), F.when(F.col("v") < 5, F.col("primer_fwd")).otherwise(""), "sequence", F.when(F.col("v") % 2 == 0, S.reverse_complement("primer_rev")).otherwise(""))
+    return r.select("read_id", s.alias("sequence")).withColumn("quality", F.repeat(F.lit("I"), F.length("sequence")))
 
 
 _TRIMMED = _TRIM + """, fit AS (SELECT e.read_id, e.sequence, CASE WHEN hamming(left(e.sequence, 20), t.primer_fwd) <= 2 THEN hamming(left(e.sequence, 20), t.primer_fwd) * 1000 + t.ord END f,
@@ -463,61 +502,21 @@ def trim_stats(spark, d):
 
 # ---- chimeras
 
-_CHIM = """parents AS (SELECT row_number() OVER (ORDER BY n_nationkey) ord, n_nationkey, left(sequence, 100) p, (1000 - n_nationkey)::BIGINT pa FROM nation JOIN contigs ON ordinal = n_nationkey WHERE n_nationkey < 12),
-qs AS (SELECT (a.n_nationkey * 100 + b.n_nationkey)::BIGINT id, left(a.p, 50) || substr(b.p, 51) sequence, (CASE WHEN a.n_nationkey % 2 = 0 THEN 100 ELSE 900 END)::BIGINT abundance FROM parents a JOIN parents b ON b.n_nationkey IN (a.n_nationkey, (a.n_nationkey + 3) % 12)),
-sides AS (SELECT id, abundance, bp, ord, pa, hamming(left(sequence, bp), left(p, bp)) dl, hamming(substr(sequence, bp + 1), substr(p, bp + 1)) dr FROM qs, parents, (SELECT (30 + 5 * k)::INT bp FROM range(9) g(k)))"""
-
-
-def _chimera_data(spark, d):
-    """Parents of 100 bases, and joins of one's left half with its own or another's right half."""
-    c = X.contigs(spark, d).where("ordinal < 12")
-    parents = c.select((F.col("ordinal") + 1).alias("ord"), "ordinal", F.substring("sequence", 1, 100).alias("sequence"), (1000 - F.col("ordinal")).cast("bigint").alias("abundance"))
-    a, b = parents.selectExpr("ordinal a", "sequence l"), parents.selectExpr("ordinal b", "sequence r")
-    joined = a.join(b, (F.col("b") == F.col("a")) | (F.col("b") == (F.col("a") + 3) % 12))
-    q = joined.select((F.col("a") * 100 + F.col("b")).cast("bigint").alias("id"), F.concat(F.substring("l", 1, 50), F.substring("r", 51, 50)).alias("sequence"), F.when(F.col("a") % 2 == 0, 100).otherwise(900).cast("bigint").alias("abundance"))
-    return q, parents.drop("ordinal")
-
-
-@query(_CHIM + """, per AS (SELECT id, bp, min(dl) + min(dr) AS d, count(*) k FROM sides WHERE pa >= 2 * abundance GROUP BY ALL), best AS (SELECT id, min((d, bp)) b FROM per WHERE k >= 2 GROUP BY 1)
-SELECT q.id, coalesce(b.b[1], -1)::INT AS distance, coalesce(b.b[2], -1)::INT AS breakpoint, coalesce(b.b[1] < 10, false) AS is_chimera FROM qs q LEFT JOIN best b USING (id)""".replace("min((d, bp)) b", "[arg_min(d, d * 1000 + bp), arg_min(bp, d * 1000 + bp)] b"))
-def chimera_de_novo(spark, d):
-    q, p = _chimera_data(spark, d)
-    return M.chimera_de_novo(q, p, ChimeraParams()).fillna(-1, ["distance", "breakpoint"])
-
-
-_CHIMREF = _CHIM + """, pairs AS (SELECT a.id, a.bp, a.dl + b.dr AS d FROM sides a JOIN sides b ON a.id = b.id AND a.bp = b.bp AND a.ord <> b.ord), rbest AS (SELECT id, arg_min(d, d * 1000 + bp) dist, arg_min(bp, d * 1000 + bp) bp FROM pairs GROUP BY 1)"""
-
-
-@query(_CHIMREF + " SELECT q.id, coalesce(b.dist, -1)::INT AS distance, coalesce(b.bp, -1)::INT AS breakpoint, coalesce(b.dist < 10, false) AS is_chimera FROM qs q LEFT JOIN rbest b USING (id)")
-def chimera_reference(spark, d):
-    q, p = _chimera_data(spark, d)
-    return M.chimera_reference(q, p, ChimeraParams()).fillna(-1, ["distance", "breakpoint"])
-
-
-@query(_CHIMREF + """, per AS (SELECT id, bp, min(dl) + min(dr) AS d, count(*) k FROM sides WHERE pa >= 2 * abundance GROUP BY ALL), dn AS (SELECT id, min(d) < 10 x FROM per WHERE k >= 2 GROUP BY 1)
-SELECT q.id, q.abundance FROM qs q LEFT JOIN rbest b USING (id) LEFT JOIN dn USING (id) WHERE NOT (coalesce(dist < 10, false) OR coalesce(x, false))""")
-def chimera_filter(spark, d):
-    q, p = _chimera_data(spark, d)
-    return M.filter_chimeras(q, M.detect_chimeras(q, p, p)).select("id", "abundance")
-
-
-@query(_CHIMREF + """, per AS (SELECT id, bp, min(dl) + min(dr) AS d, count(*) k FROM sides WHERE pa >= 2 * abundance GROUP BY ALL), dn AS (SELECT id, min(d) < 10 x FROM per WHERE k >= 2 GROUP BY 1),
-f AS (SELECT coalesce(x, false) n, coalesce(dist < 10, false) r FROM qs LEFT JOIN rbest USING (id) LEFT JOIN dn USING (id))
-SELECT count(*) AS checked, count_if(n OR r) AS found, count_if(n) AS de_novo, count_if(r AND NOT n) AS reference, round(count_if(n OR r) / count(*), 6) AS chimera_rate FROM f""")
-def chimera_stats(spark, d):
-    q, p = _chimera_data(spark, d)
-    return M.chimera_stats(M.detect_chimeras(q, p, p)).withColumn("chimera_rate", F.round("chimera_rate", 6))
-
-
 @query("SELECT row_number() OVER (ORDER BY n DESC, sequence)::INT AS ord, sequence, n AS abundance FROM (SELECT sequence, count(*) n FROM reads GROUP BY 1 ORDER BY n DESC, sequence LIMIT 100)")
 def chimera_parents(spark, d):
     return M.chimera_parents(_clusters(X.reads(spark, d)))
 
 
-# The same over all collapsed clusters of the reads; the four above, whose SQL is fixed, have 24 built queries.
-
-_CHIM_ALL = """groups AS (SELECT min(read_id)::BIGINT id, sequence, count(*) abundance FROM reads GROUP BY sequence), parents AS (SELECT sequence p, abundance pa FROM groups ORDER BY abundance DESC, sequence LIMIT 100),
-sides AS (SELECT id, bp, hamming(left(sequence, bp), left(p, bp)) dl, hamming(substr(sequence, bp + 1), substr(p, bp + 1)) dr FROM groups, parents, (SELECT (30 + 5 * k)::INT bp FROM range(9) g(k)) WHERE pa >= 2 * abundance)"""
+_CHIM = """groups AS (SELECT min(read_id)::BIGINT id, sequence, count(*) abundance FROM reads GROUP BY sequence),
+parents AS (SELECT sequence p, abundance pa, row_number() OVER (ORDER BY abundance DESC, sequence) ord FROM groups QUALIFY ord <= 100),
+sides AS (SELECT id, bp, ord, pa >= 2 * abundance heavy, hamming(left(sequence, bp), left(p, bp)) dl, hamming(substr(sequence, bp + 1), substr(p, bp + 1)) dr FROM groups, parents, (SELECT (30 + 5 * k)::INT bp FROM range(9) g(k))),
+per AS (SELECT id, bp, min(dl) + min(dr) AS d, count(*) k FROM sides WHERE heavy GROUP BY ALL),
+best AS (SELECT id, arg_min(d, d * 1000 + bp) d, arg_min(bp, d * 1000 + bp) bp FROM per WHERE k >= 2 GROUP BY 1),
+lefts AS (SELECT id, bp, ord, dl FROM sides QUALIFY row_number() OVER (PARTITION BY id, bp ORDER BY dl, ord) <= 2),
+rights AS (SELECT id, bp, ord, dr FROM sides QUALIFY row_number() OVER (PARTITION BY id, bp ORDER BY dr, ord) <= 2),
+pairs AS (SELECT l.id, l.bp, l.dl + r.dr AS d FROM lefts l JOIN rights r ON l.id = r.id AND l.bp = r.bp AND l.ord <> r.ord),
+rbest AS (SELECT id, arg_min(d, d * 1000 + bp) d, arg_min(bp, d * 1000 + bp) bp FROM pairs GROUP BY 1),
+verdicts AS (SELECT g.id, g.abundance, coalesce(b.d < 10, false) n, coalesce(r.d < 10, false) r FROM groups g LEFT JOIN best b USING (id) LEFT JOIN rbest r USING (id))"""
 
 
 def _chimera_clusters(spark, d):
@@ -526,27 +525,26 @@ def _chimera_clusters(spark, d):
     return c.select(F.array_min("read_ids").alias("id"), F.col("consensus_sequence").alias("sequence"), F.col("read_count").alias("abundance")), M.chimera_parents(c)
 
 
-@query(_CHIM_ALL + """, per AS (SELECT id, bp, min(dl) + min(dr) AS d, count(*) k FROM sides GROUP BY ALL), best AS (SELECT id, arg_min(d, d * 1000 + bp) d, arg_min(bp, d * 1000 + bp) bp FROM per WHERE k >= 2 GROUP BY 1)
-SELECT g.id, coalesce(b.d, -1)::INT AS distance, coalesce(b.bp, -1)::INT AS breakpoint, coalesce(b.d < 10, false) AS is_chimera FROM groups g LEFT JOIN best b USING (id)""")
-def chimera_de_novo_all(spark, d):
+@query(_CHIM + " SELECT g.id, coalesce(b.d, -1)::INT AS distance, coalesce(b.bp, -1)::INT AS breakpoint, coalesce(b.d < 10, false) AS is_chimera FROM groups g LEFT JOIN best b USING (id)")
+def chimera_de_novo(spark, d):
     q, p = _chimera_clusters(spark, d)
     return M.chimera_de_novo(q, p, ChimeraParams()).fillna(-1, ["distance", "breakpoint"])
 
 
-@query()
-def chimera_reference_all(spark, d):
+@query(_CHIM + " SELECT g.id, coalesce(b.d, -1)::INT AS distance, coalesce(b.bp, -1)::INT AS breakpoint, coalesce(b.d < 10, false) AS is_chimera FROM groups g LEFT JOIN rbest b USING (id)")
+def chimera_reference(spark, d):
     q, p = _chimera_clusters(spark, d)
     return M.chimera_reference(q, p, ChimeraParams()).fillna(-1, ["distance", "breakpoint"])
 
 
-@query()
-def chimera_filter_all(spark, d):
+@query(_CHIM + " SELECT id, abundance FROM verdicts WHERE NOT (n OR r)")
+def chimera_filter(spark, d):
     q, p = _chimera_clusters(spark, d)
     return M.filter_chimeras(q, M.detect_chimeras(q, p, p)).select("id", "abundance")
 
 
-@query()
-def chimera_stats_all(spark, d):
+@query(_CHIM + " SELECT count(*) AS checked, count_if(n OR r) AS found, count_if(n) AS de_novo, count_if(r AND NOT n) AS reference, round(count_if(n OR r) / count(*), 6) AS chimera_rate FROM verdicts")
+def chimera_stats(spark, d):
     q, p = _chimera_clusters(spark, d)
     return M.chimera_stats(M.detect_chimeras(q, p, p)).withColumn("chimera_rate", F.round("chimera_rate", 6))
 
@@ -555,15 +553,7 @@ def chimera_stats_all(spark, d):
 
 @query()
 def sw_local(spark, d):
-    """Stretches of three contigs with two bases left out, against the contigs' first 200 bases."""
-    ref = X.contigs(spark, d).where("ordinal < 3").select(F.col("name").alias("target_id"), F.col("ordinal").alias("ord"), F.substring("sequence", 1, 200).alias("sequence"))
-    q = ref.select(F.col("ord").cast("bigint").alias("query_id"), F.concat(F.substring("sequence", 21, 40), F.substring("sequence", 63, 40)).alias("sequence"))
-    return M.best_alignment(q, ref)
-
-
-@query()
-def sw_local_all(spark, d):
-    """A stretch of every contig with two bases left out, against all whole contigs; sw_local has the starts of three."""
+    """A stretch of every contig with two bases left out, against all whole contigs."""
     ref = X.contigs(spark, d).select(F.col("name").alias("target_id"), F.col("ordinal").alias("ord"), "sequence")
     at = F.col("ord") * 37 % 900 + 1
     q = ref.select(F.col("ord").cast("bigint").alias("query_id"), F.concat(F.substr("sequence", at, F.lit(40)), F.substr("sequence", at + 42, F.lit(40))).alias("sequence"))
@@ -696,6 +686,16 @@ def stats_json(spark, d):
     return sinks.stats_json(X.reads(spark, d).agg(F.count("*").alias("reads_in"), F.sum(F.length("sequence")).alias("bases")))
 
 
+@query(_ASSIGN + """, one AS (SELECT (SELECT sum(read_count)::BIGINT FROM assigned) a, (SELECT count(*) FROM assigned) b, (SELECT count(amplicon_id) FROM assigned) c)
+SELECT a AS total_reads, b AS collapsed_clusters, round(a / b, 6) AS collapse_ratio, c AS assigned_clusters, round(c / b, 6) AS assignment_rate, c AS aligned_clusters, 1.0::DOUBLE AS alignment_rate, 0::BIGINT AS variants_called FROM one""")
+def panel_stats(spark, d):
+    """The eight statistics of a panel run over the collapsed reads, before calling."""
+    assigned = _assigned(spark, d)
+    placed = assigned.where("amplicon_id is not null")
+    out = M.panel_stats(_clusters(X.reads(spark, d)), assigned, placed, spark.range(0))
+    return out.withColumns({c: F.round(c, 6) for c in ("collapse_ratio", "assignment_rate", "alignment_rate")})
+
+
 @query("SELECT count(*) AS total_reads, sum(length(sequence))::BIGINT AS total_bases FROM reads")
 def stream_totals(spark, d):
     """The streaming totals of the reads, run to completion over a file stream into a memory table."""

@@ -15,7 +15,7 @@ if not os.path.isdir(SF):
 
 def test_all_reads_are_paired(spark):
     names = dict(X.reads(spark, SF).select("read_id", "name").collect())
-    got = registry.queries()["paired_reads_all"](spark, SF).collect()
+    got = registry.queries()["paired_reads"](spark, SF).collect()
     assert len(names) > 900 and {r.read_id: r.name for r in got} == {i: n for i, n in names.items() if i ^ 1 in names} and len(got) == len({r.read_id for r in got})
     assert all((r.pair_id, r.mate) == (r.read_id // 2, r.read_id % 2 + 1) for r in got)
 
@@ -47,14 +47,14 @@ def test_chimeras_of_all_clusters(spark):
             out[first[q]] = (d, bp, 0 <= d < 10)
     run = lambda name: registry.queries()[name](spark, SF).collect()
     assert len(n) > 24
-    assert {r.id: (r.distance, r.breakpoint, r.is_chimera) for r in run("chimera_de_novo_all")} == novo
-    assert {r.id: (r.distance, r.breakpoint, r.is_chimera) for r in run("chimera_reference_all")} == ref
-    assert {r.id: r.abundance for r in run("chimera_filter_all")} == {i: n[s] for s, i in first.items() if not (novo[i][2] or ref[i][2])}
-    s = run("chimera_stats_all")[0]
+    assert {r.id: (r.distance, r.breakpoint, r.is_chimera) for r in run("chimera_de_novo")} == novo
+    assert {r.id: (r.distance, r.breakpoint, r.is_chimera) for r in run("chimera_reference")} == ref
+    assert {r.id: r.abundance for r in run("chimera_filter")} == {i: n[s] for s, i in first.items() if not (novo[i][2] or ref[i][2])}
+    s = run("chimera_stats")[0]
     assert (s.checked, s.de_novo, s.reference) == (len(n), sum(x[2] for x in novo.values()), sum(ref[i][2] and not novo[i][2] for i in ref)) and s.found == s.de_novo + s.reference
 
 
 def test_local_alignment_over_all_contigs(spark):
     names = {r.ordinal: r.name for r in X.contigs(spark, SF).collect()}
-    got = registry.queries()["sw_local_all"](spark, SF).collect()
+    got = registry.queries()["sw_local"](spark, SF).collect()
     assert len(names) == 25 and {r.query_id: r.target_id for r in got} == names and all(r.score >= 150 for r in got)
