@@ -85,8 +85,11 @@ def keys(x: np.ndarray, ordering: int) -> np.ndarray:
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of paired rows, in double precision and one order of summation."""
-    return (a.astype(np.float64) * b.astype(np.float64)).sum(axis=1)
+    """Inner products of paired rows, in double precision, summed from the first component to the last."""
+    out = np.zeros(len(a))
+    for part in (a.astype(np.float64) * b.astype(np.float64)).T:
+        out += part
+    return out
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -272,3 +275,11 @@ def _complete(keyed: DataFrame, hits: DataFrame, size: int, k: int, every: int,
 
 def query(spark, sf_dir):
     return nearest(table(spark, sf_dir, "embeddings"))
+
+
+#: Every query against every other vector.
+ORACLE_SQL = """WITH w AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+ AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+v AS (SELECT * FROM w WHERE len(e) = (SELECT len(e) FROM w GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)),
+s AS (SELECT q.vec_id query_id, v.vec_id, list_inner_product(q.e, v.e) score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank FROM s) WHERE rank <= 20"""

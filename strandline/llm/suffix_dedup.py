@@ -390,3 +390,14 @@ def repeated_bytes(docs: DataFrame, span: int = 400, hot: int = 2000) -> DataFra
 def query(spark, sf_dir):
     # the decision as a column too: 1 where anything is removed
     return repeated_bytes(table(spark, sf_dir, "documents")).selectExpr("*", "cast(n_removed > 0 as int) repeats")
+
+
+#: All windows of 400 bytes (800 hexadecimal digits) by their MD5.
+ORACLE_SQL = """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) h FROM documents), t AS (SELECT doc_id, h, length(h) // 2 n FROM h),
+win AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) k FROM (SELECT doc_id, h, unnest(range(0, n - 399)) i FROM t WHERE n >= 400)),
+hot AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+starts AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 1 ELSE 0 END new FROM win SEMI JOIN hot USING (k)),
+runs AS (SELECT doc_id, min(i) a, max(i) + 400 z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) run FROM starts) GROUP BY doc_id, run),
+pieces AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) b FROM runs),
+cut AS (SELECT doc_id, count(*) k, sum(z - a)::BIGINT gone, string_agg(substr(h, 2 * b + 1, 2 * (a - b)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) left_hex FROM pieces JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(k, 0) AS n_spans, sha256(unhex(coalesce(left_hex, h))) AS kept_sha256, CASE WHEN gone > 0 THEN 1 ELSE 0 END AS repeats FROM t LEFT JOIN cut USING (doc_id)"""

@@ -1,6 +1,7 @@
 """Large-input paths against the small ones, brute-force versions, and odd tables."""
 
 import functools
+import os
 import random
 import re
 import types
@@ -388,3 +389,23 @@ def test_clashing_columns_everywhere(spark):
     assert sorted(r.doc_id for r in decontaminate.leaks(d, bench).collect()) == [0, 6]
     left = decontaminate.remove_leaks(d, bench)
     assert left.columns == d.columns and left.count() == 6
+
+
+# ---- the registered queries against their SQL
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are absent")
+@pytest.mark.parametrize("name", ["op1_ngram_jaccard_join", "op4_hilbert_neighbours", "op5_suffix_array_dedup"])
+def test_query_matches_sql(spark, name):
+    import __spark_entry__ as e
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df = e.queries()[name](spark, SF)
+    rel = con.sql(e.oracle_sql()[name])
+    assert sorted(df.columns) == sorted(rel.columns)
+    assert sorted(map(tuple, df.collect())) == sorted(rel.select(", ".join(df.columns)).fetchall())
