@@ -22,8 +22,8 @@ both are parameters of ``fit``:
    ones and the number of units feed a logistic curve, which turns margins into a score.
 
 Scoring is one pass over whole texts without shuffle; a task evaluates each different unit once. A
-unit gets kernels only if a subsequence of at least ``SHARE`` of a toxic landmark's bytes occurs in it
-(bit-parallel); other units have the margin -1. Null and empty texts have no units and get the score of a text without toxic units. A
+unit gets kernels only if a subsequence of at least ``SHARE`` of a toxic landmark's bytes occurs in it, more
+than ``P`` of them where the landmark has more (bit-parallel); other units have the margin -1. Null and empty texts have no units and get the score of a text without toxic units. A
 null doc_id is scored but never trained on. Without labels of both classes every score is 0.
 Repeated ids and other columns change nothing.
 """
@@ -229,7 +229,8 @@ class Model:
         return out
 
     def may_be(self, c: np.ndarray) -> np.ndarray:
-        """Which units share a subsequence of at least ``share`` of a toxic landmark: bit-parallel longest common subsequence."""
+        """Which units share a subsequence of at least ``share`` of a toxic landmark, and of more than ``P`` bytes where it has
+        more: bit-parallel longest common subsequence."""
         out = np.zeros(len(c), bool)
         for n, at in _groups((c > 0).sum(1)):
             part = c[at, :n]
@@ -238,7 +239,7 @@ class Model:
                 size = int((mark > 0).sum())
                 if not size:
                     continue
-                need = int(np.ceil(self.share * size))
+                need = max(int(np.ceil(self.share * size)), min(size, P + 1))
                 if need > n:
                     continue
                 # cheap first: a subsequence of so many bytes has most of the landmark's letters

@@ -184,7 +184,7 @@ def test_kernels_and_gate_against_plain_versions():
         return row[-1]
 
     marks = [bytes(m[m > 0]) for m in model.marks[:3]]
-    assert model.may_be(c).tolist() == [any(common(u, m) >= np.ceil(model.share * len(m)) for m in marks) for u in units]
+    assert model.may_be(c).tolist() == [any(common(u, m) >= max(np.ceil(model.share * len(m)), min(len(m), 4)) for m in marks) for u in units]
 
 
 def test_remembered_margins_are_the_same(monkeypatch):
