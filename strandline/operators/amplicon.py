@@ -14,19 +14,26 @@ from strandline.shared import shared_folder, small
 
 # ---- collapse
 
-def collapse_exact(reads: DataFrame) -> DataFrame:
+def collapse_exact(reads: DataFrame, ids: bool = True) -> DataFrame:
     """One row for each distinct sequence: count, ids, best quality at each place and mean quality of the first read.
 
     Qualities merge from per-place maxima. Reads of another quality length than the first do not take part in that.
+    Without ``ids`` no row lists its reads, so a sequence may have any number of them; ``members`` has them as rows.
     """
-    per = reads.groupBy("sequence").agg(F.count("*").alias("read_count"), F.min(F.struct("read_id", "quality")).alias("first"), F.sort_array(F.collect_list("read_id")).alias("read_ids"))
+    listed = [F.sort_array(F.collect_list("read_id")).alias("read_ids")] if ids else []
+    per = reads.groupBy("sequence").agg(F.count("*").alias("read_count"), F.min(F.struct("read_id", "quality")).alias("first"), *listed)
     firsts = per.select("sequence", F.length("first.quality").alias("n"))
     # places of a sequence aggregate apart from each other, so a frequent sequence is no single task's work
     fits = reads.select("sequence", "quality").distinct().join(firsts, "sequence").where(F.length("quality") == F.col("n"))
     places = fits.select("sequence", F.posexplode(F.split("quality", "")).alias("pos", "q")).groupBy("sequence", "pos").agg(F.max("q").alias("q"))
     merged = places.groupBy("sequence").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "q"))), lambda x: x["q"]), "").alias("consensus_quality"))
     return per.join(merged, "sequence", "left").select(
-        F.col("sequence").alias("consensus_sequence"), F.coalesce("consensus_quality", F.lit("")).alias("consensus_quality"), "read_count", "read_ids", S.mean_quality("first.quality").alias("avg_quality"))
+        F.col("sequence").alias("consensus_sequence"), F.coalesce("consensus_quality", F.lit("")).alias("consensus_quality"), "read_count", *(["read_ids"] if ids else []), S.mean_quality("first.quality").alias("avg_quality"))
+
+
+def members(reads: DataFrame) -> DataFrame:
+    """read_id, consensus_sequence: the exact cluster of each read, as rows."""
+    return reads.select("read_id", F.col("sequence").alias("consensus_sequence"))
 
 
 def near_pairs(sequences: DataFrame, distance: int) -> DataFrame:
@@ -71,9 +78,10 @@ def merge_similar(clusters: DataFrame, distance: int = 2) -> DataFrame:
     if taken is None:
         return clusters
     mapped = clusters.join(taken.selectExpr("v consensus_sequence", "centre"), "consensus_sequence", "left").withColumn("centre", F.coalesce("centre", "consensus_sequence"))
-    merged = mapped.groupBy("centre").agg(F.sum("read_count").alias("read_count"), F.sort_array(F.flatten(F.collect_list("read_ids"))).alias("read_ids"))
+    ids = ["read_ids"] if "read_ids" in clusters.columns else []
+    merged = mapped.groupBy("centre").agg(F.sum("read_count").alias("read_count"), *(F.sort_array(F.flatten(F.collect_list(c))).alias(c) for c in ids))
     own = clusters.select(F.col("consensus_sequence").alias("centre"), "consensus_quality", "avg_quality")
-    return merged.join(own, "centre").select(F.col("centre").alias("consensus_sequence"), "consensus_quality", "read_count", "read_ids", "avg_quality")
+    return merged.join(own, "centre").select(F.col("centre").alias("consensus_sequence"), "consensus_quality", "read_count", *ids, "avg_quality")
 
 
 def _cut(df: DataFrame) -> DataFrame:

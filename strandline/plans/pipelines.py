@@ -66,7 +66,7 @@ def call_panel(reads: DataFrame, targets: DataFrame, contigs: DataFrame, call: C
         reads = split.where("sample_id is not null").select("read_id", "name", F.col("trimmed").alias("sequence"), F.substr("quality", F.length("quality") - F.length("trimmed") + 1, F.length("trimmed")).alias("quality"))
     if trim is not None:
         reads = M.trim_primers(reads, targets, trim).select("read_id", "name", F.col("trimmed_sequence").alias("sequence"), F.col("trimmed_quality").alias("quality"))
-    clusters = M.merge_similar(M.collapse_exact(reads), distance)
+    clusters = M.merge_similar(M.collapse_exact(reads, ids=False), distance)
     if chimeras is not None:
         found = M.chimera_de_novo(clusters.selectExpr("consensus_sequence id", "consensus_sequence sequence", "read_count abundance"), M.chimera_parents(clusters, chimeras), chimeras)
         clusters = clusters.join(found.where("is_chimera").selectExpr("id consensus_sequence"), "consensus_sequence", "left_anti")

@@ -147,6 +147,14 @@ def test_duplicates_of_a_hot_position(spark):
     assert {(x.read_id, x.ord): x.flag for x in got.collect()} == {(i, o): 0 if best[g] == (-q, i, o) else 1024 for i, o, g, q, _ in rows}
 
 
+def test_clusters_without_lists_of_reads(spark):
+    rng = random.Random(14)
+    r = spark.createDataFrame([(i, f"r{i}", rng.choice(["ACGTACGT", "ACGTACGA", "TTTTTTTT"]), "I" * 8) for i in range(40)], READS)
+    full, bare = (M.merge_similar(M.collapse_exact(r, ids), 1) for ids in (True, False))
+    assert "read_ids" not in bare.columns and sorted(map(tuple, bare.collect())) == sorted(map(tuple, full.drop("read_ids").collect()))
+    assert {(x.read_id, x.consensus_sequence) for x in M.members(r).collect()} == {(i, x.consensus_sequence) for x in M.collapse_exact(r).collect() for i in x.read_ids}
+
+
 # ---- kernels against plain versions
 
 def plain_align(query, target, p):
