@@ -16,6 +16,8 @@ OPERATORS = {
     "op8_benchmark_decontamination": "decontaminate",
     "op9_token_packing": "packing",
     "op10_sharding": "sharding",
+    "op11_bpe": "bpe",
+    "op12_source_audit": "source_audit",
 }
 
 
