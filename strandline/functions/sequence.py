@@ -145,12 +145,13 @@ def bases_of_codes(s) -> Column:
     return F.translate(_c(s), "01234", "ACGTN")
 
 
-def kmers(s, k: int = 19, stride: int = 6) -> Column:
-    """array<struct(offset, kmer)> of k-mers without letters other than ACGT."""
+def kmers(s, k: int = 19, stride: int = 6, letters: str | None = "ACGT") -> Column:
+    """array<struct(offset, kmer)> of k-mers without letters other than the given ones; None allows any."""
     s = _c(s)
     last = F.length(s) - k
     all_of = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride)), lambda i: F.struct(i.cast("int").alias("offset"), F.substr(s, i + 1, F.lit(k)).alias("kmer")))
-    return F.when(last < 0, F.slice(all_of, 1, 0)).otherwise(F.filter(all_of, lambda x: x["kmer"].rlike("^[ACGT]+$")))
+    fit = all_of if letters is None else F.filter(all_of, lambda x: x["kmer"].rlike(f"^[{letters}]+$"))
+    return F.when(last < 0, F.slice(all_of, 1, 0)).otherwise(fit)
 
 
 def base_count(s, base: str) -> Column:

@@ -52,7 +52,7 @@ def kmer_index(contigs: DataFrame, params: SeedParams = SeedParams(), tile: int
     than a tile's k-mers.
     """
     part = tiles(contigs, tile).withColumn("part", F.substr("piece", F.lit(1), F.lit(tile + params.k - 1))).select("name", "tile", "part")
-    found = part.select("name", "tile", F.explode(S.kmers("part", params.k, 1)).alias("m")).select("name", F.col("m.kmer").alias("kmer"), (F.col("tile").cast("bigint") * tile + F.col("m.offset")).alias("position"))
+    found = part.select("name", "tile", F.explode(S.kmers("part", params.k, 1, params.letters)).alias("m")).select("name", F.col("m.kmer").alias("kmer"), (F.col("tile").cast("bigint") * tile + F.col("m.offset")).alias("position"))
     placed = found.join(_starts(contigs).select("name", "start"), "name").select("kmer", F.col("name").alias("contig"), "position", (F.col("start") + F.col("position")).alias("gpos"))
     hits = placed.groupBy("kmer").agg(F.count("*").alias("hits")).where(f"hits <= {params.max_hits}")
     return placed.join(hits, "kmer")
@@ -77,7 +77,7 @@ def search_kmer(index: DataFrame, kmers: DataFrame, max_results: int = 1024) ->
 
 def seeds(reads: DataFrame, index: DataFrame, params: SeedParams = SeedParams()) -> DataFrame:
     """read_id, read_offset, contig, position, gpos, ord: hits of the reads' k-mers, at most ``max_seeds`` a read."""
-    asked = reads.select("read_id", F.explode(S.kmers("sequence", params.k, params.stride)).alias("m")).select("read_id", F.col("m.offset").alias("read_offset"), F.col("m.kmer").alias("kmer"))
+    asked = reads.select("read_id", F.explode(S.kmers("sequence", params.k, params.stride, params.letters)).alias("m")).select("read_id", F.col("m.offset").alias("read_offset"), F.col("m.kmer").alias("kmer"))
     met = asked.join(index.select("kmer", "contig", "position", "gpos"), "kmer")
     w = Window.partitionBy("read_id").orderBy("read_offset", "gpos")
     return met.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= params.max_seeds).select("read_id", "read_offset", "contig", "position", "gpos", "ord")

@@ -17,15 +17,23 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def contigs(spark, sf_dir) -> DataFrame:
+    return contigs_of(_t(spark, sf_dir, "nation"))
+
+
+def contigs_of(nations: DataFrame) -> DataFrame:
     """25 contigs of 1,024 bases, from hashes of nation names."""
     piece = lambda i: F.translate(F.md5(F.concat("n_name", F.lit("-"), i.cast("string")).cast("binary")), *LETTERS)
     seq = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), piece), "")
-    return _t(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("ordinal"), seq.alias("sequence"))
+    return nations.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("ordinal"), seq.alias("sequence"))
 
 
 def truth(spark, sf_dir) -> DataFrame:
+    return truth_of(_t(spark, sf_dir, "events"))
+
+
+def truth_of(events: DataFrame) -> DataFrame:
     """read_id, planted contig (ordinal) and start of each read."""
-    return _t(spark, sf_dir, "events").select(F.col("event_id").alias("read_id"), F.expr("cast(user_id % 25 as int)").alias("ordinal"), F.expr("cast((user_id * 7 + event_id % 5 * 90) % 900 as int)").alias("start"), "event_type")
+    return events.select(F.col("event_id").alias("read_id"), F.expr("cast(user_id % 25 as int)").alias("ordinal"), F.expr("cast((user_id * 7 + event_id % 5 * 90) % 900 as int)").alias("start"), "event_type")
 
 
 def _put(s, cond, base, at):
@@ -34,10 +42,14 @@ def _put(s, cond, base, at):
 
 
 def reads(spark, sf_dir) -> DataFrame:
+    return reads_of(_t(spark, sf_dir, "events"), contigs(spark, sf_dir))
+
+
+def reads_of(events: DataFrame, contigs: DataFrame) -> DataFrame:
     """100 bases of each event's contig; base 41 forced to A for errors, and single-base variants planted at fixed places
     of the reference at rates by contig (none, half, nearly all)."""
-    c = F.broadcast(contigs(spark, sf_dir).select("ordinal", F.col("sequence").alias("ref")))  # 25 contigs
-    r = truth(spark, sf_dir).join(c, "ordinal").withColumn("s", F.substr("ref", F.col("start") + 1, F.lit(100)))
+    c = F.broadcast(contigs.select("ordinal", F.col("sequence").alias("ref")))  # 25 contigs
+    r = truth_of(events).join(c, "ordinal").withColumn("s", F.substr("ref", F.col("start") + 1, F.lit(100)))
     for p in SITES:
         hit = (F.lit(p).between(F.col("start"), F.col("start") + 99)) & (F.expr(f"(read_id * 7 + {p}) % 10") < F.expr("case ordinal % 3 when 0 then 0 when 1 then 5 else 9 end"))
         at = F.lit(p) - F.col("start")
@@ -70,8 +82,11 @@ def targets(spark, sf_dir) -> DataFrame:
 
 
 def markers(spark, sf_dir) -> DataFrame:
-    c = contigs(spark, sf_dir)
-    return c.select(F.col("name").alias("chromosome"), "sequence", F.explode(F.array(*map(F.lit, SITES))).alias("p")).select("chromosome", F.col("p").cast("bigint").alias("position"), F.substr("sequence", F.col("p") + 1, F.lit(1)).alias("ref_base"))
+    return markers_of(contigs(spark, sf_dir))
+
+
+def markers_of(contigs: DataFrame) -> DataFrame:
+    return contigs.select(F.col("name").alias("chromosome"), "sequence", F.explode(F.array(*map(F.lit, SITES))).alias("p")).select("chromosome", F.col("p").cast("bigint").alias("position"), F.substr("sequence", F.col("p") + 1, F.lit(1)).alias("ref_base"))
 
 
 def placed(spark, sf_dir) -> DataFrame:

@@ -180,6 +180,11 @@ def banded_align(spark, d):
     return A.place_banded(X.reads(spark, d), _chained(spark, d), X.contigs(spark, d)).select("read_id", "contig", "start", "score", "mapq")
 
 
+def aligned_sql(sql: str) -> str:
+    """DuckDB SQL over the derived tables and ``aligned``, the reads at their places."""
+    return f"WITH {X.CTE}, {_counts(_ALIGN + ', ' + sql)}"
+
+
 _SAM = _ALIGN + """, sam AS (SELECT r.read_id, r.name qname, CASE WHEN score > 0 THEN 0 ELSE 4 END::INT flag, CASE WHEN score > 0 THEN a.contig ELSE '*' END rname, CASE WHEN score > 0 THEN a.start + 1 ELSE 0 END::BIGINT pos,
  CASE WHEN score > 0 THEN mapq ELSE 0 END::INT mapq, CASE WHEN score > 0 THEN length(r.sequence) || 'M' ELSE '*' END cigar, '*' rnext, 0 pnext, 0 tlen, r.sequence seq, r.quality qual, CASE WHEN score > 0 THEN score ELSE 0 END::INT score
  FROM reads r LEFT JOIN aligned a ON r.read_id = a.read_id)"""

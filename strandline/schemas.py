@@ -18,6 +18,8 @@ class SeedParams:
     stride: int = 6
     max_hits: int = 8
     max_seeds: int = 64
+    #: Letters that a k-mer may have; None for any text.
+    letters: str | None = "ACGT"
 
     def __post_init__(self):
         if not 10 <= self.k <= 32:
