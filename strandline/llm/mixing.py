@@ -7,8 +7,10 @@ topic; levels of a dim that the table has are held to its shares (a level withou
 dims to their powers. Raking scales the cells to one marginal after another
 for ``rounds`` rounds, and documents are sampled with probability min(1, rate * fitted / present
 weight of their cell); ``importance`` corrects cells where that would exceed 1. With ``exact`` the
-rate is lowered to the largest at which no cell exceeds 1, so that the sample itself has the fitted
-marginals. The draw is a hash
+sample has the marginals without weights: the rate is lowered until every level of a dim can give its share, but for
+the scarcest ones that together hold under ``RARE`` of the corpus. These give all that they have, and what they lack is dealt to
+the other levels in proportion, so a rare level costs the sample no more than its own share. The raking is bounded: a cell that would give more
+than it has gives all, and the other cells of its levels make up for it. The draw is a hash
 of doc_id, so it does not depend on partitions and repeated ids share their fate.
 
 Everything is DataFrame and SQL functions. Raking works on cells, never on documents: up to ``CELLS`` of
@@ -77,8 +79,49 @@ def _scaled(cells: DataFrame, dim: str, total) -> DataFrame:
     return cells.withColumn("fit", F.coalesce(F.try_divide(F.expr(f"fit * t_{dim} * grand"), total), F.lit(0.0)))
 
 
-def rake(cells: DataFrame, tempers: dict[str, float], rounds: int, scratch: Scratch, targets: DataFrame | None = None, in_one: int = CELLS) -> DataFrame:
-    """Cells (m_source, m_lang, m_topic, w) with their fitted weight ``fit``."""
+#: Levels that together hold under so much of the corpus do not lower the rate of an exact sample.
+RARE = 0.01
+
+#: A cell counts as used up from this share of its weight on.
+FULL = 1 - 1e-9
+
+
+def _bearable(want: DataFrame, dim: str, grand: float) -> float | None:
+    """The largest rate at which every level (m_dim, t_dim, w) can give its share, the scarcest and rarest aside. The window over all rows
+    holds levels, not documents."""
+    scarce = want.where(f"t_{dim} > 0").withColumn("a", F.expr(f"w / (t_{dim} * {grand!r}D)"))
+    held = F.sum("w").over(Window.orderBy("a", f"m_{dim}").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return scarce.withColumn("held", held).where(f"held > {RARE * grand!r}D").agg(F.min("a")).first()[0]
+
+
+def _reachable(want: DataFrame, dim: str, rate: float, grand: float, scratch: Scratch) -> DataFrame:
+    """Target shares (m_dim, t_dim, w) of a sample of ``rate`` of the weight, none above what its level has: what levels
+    lack is dealt to the others in proportion, until no other level lacks any."""
+    want = scratch.put(want.withColumn("most", F.expr(f"w / {rate * grand!r}D")).withColumn("all_of_it", F.lit(False)))
+    scale, more = 1.0, True
+    while more:
+        used, left = want.agg(F.sum(F.when(F.col("all_of_it"), F.col("most"))), F.sum(F.when(~F.col("all_of_it"), F.col(f"t_{dim}")))).first()
+        scale = max(0.0, 1 - (used or 0.0)) / left if left else 0.0
+        lacking = F.expr(f"not all_of_it and t_{dim} * {scale!r}D > most")
+        more = not want.where(lacking).isEmpty()
+        if more:
+            old, want = want, scratch.put(want.withColumn("all_of_it", F.col("all_of_it") | lacking))
+            scratch.drop(old)
+    return want.selectExpr(f"m_{dim}", f"if(all_of_it, most, t_{dim} * {scale!r}D) t_{dim}")
+
+
+def _bounded(cells: DataFrame, dim: str, total, full) -> DataFrame:
+    """As ``_scaled`` in the sample's weights, which stay within the cells' own: a level that has too much shrinks in all its
+    cells, and one that lacks some grows in those that are not used up. ``full`` is the weight of the used-up ones."""
+    cells = cells.withColumns({"total": total, "full": full})
+    want = f"t_{dim} * grand"
+    grown = f"if(fit >= w * {FULL!r}D or total <= full, least(fit, w), least(w, fit * ({want} - full) / (total - full)))"
+    return cells.withColumn("fit", F.expr(f"if(total >= {want}, coalesce(try_divide(fit * {want}, total), 0D), {grown})")).drop("total", "full")
+
+
+def rake(cells: DataFrame, tempers: dict[str, float], rounds: int, scratch: Scratch, targets: DataFrame | None = None, in_one: int = CELLS, rate: float | None = None) -> DataFrame:
+    """Cells (m_source, m_lang, m_topic, w) with their fitted weight ``fit``: of the whole, or with ``rate`` of a sample of that
+    share of it or the largest below it that levels can bear, at most ``w``."""
     dims = list(tempers)
     # the cells are written first, so that texts are read once
     cells = scratch.put(cells.withColumn("fit", F.col("w").cast("double")))
@@ -88,7 +131,7 @@ def rake(cells: DataFrame, tempers: dict[str, float], rounds: int, scratch: Scra
     given = {r[0] for r in targets.select("dim").distinct().collect()} if targets is not None else set()
     if given - set(dims):
         raise ValueError(f"targets for {sorted(map(str, given - set(dims)))}, which are not among {dims}")
-    base = cells
+    base, wants = cells, {}
     for dim in dims:
         if dim in given:
             want = _given(base, targets, dim, scratch)
@@ -96,16 +139,29 @@ def rake(cells: DataFrame, tempers: dict[str, float], rounds: int, scratch: Scra
             want = scratch.put(base.groupBy(f"m_{dim}").agg(F.pow(F.sum("w").cast("double"), F.lit(float(tempers[dim]))).alias("p")))
             total = want.agg(F.sum("p")).first()[0] or 1.0
             want = want.selectExpr(f"m_{dim}", f"p / {float(total)!r}D t_{dim}")
+        if rate:
+            own = base.groupBy(f"m_{dim}").agg(F.sum("w").cast("double").alias("w"))
+            want = scratch.put(own.join(want, f"m_{dim}", "left").fillna(0.0, [f"t_{dim}"]))
+            rate = min(rate, _bearable(want, dim, float(grand)) or rate)
+        wants[dim] = want
+    if rate is not None:
+        cells = cells.withColumn("fit", F.col("fit") * F.lit(float(rate)))
+    for dim, want in wants.items():
+        if rate:
+            want = _reachable(want, dim, float(rate), float(grand), scratch)
         cells = cells.join(small(want), f"m_{dim}", "left").fillna(0.0, [f"t_{dim}"])
-    cells = scratch.put(cells.withColumn("grand", F.lit(float(grand))))
+    cells = scratch.put(cells.withColumn("grand", F.lit(float(grand) * (1.0 if rate is None else float(rate)))))
+    used_up = F.when(F.col("fit") >= F.col("w") * FULL, F.col("fit")).otherwise(0.0)
     for r in range(rounds):
         cells = cells.coalesce(1) if whole and r % 4 == 0 else cells
         for dim in dims:
             if whole:  # one partition needs no exchange for its windows
-                cells = _scaled(cells, dim, F.sum("fit").over(Window.partitionBy(f"m_{dim}")))
+                level = Window.partitionBy(f"m_{dim}")
+                total, full = F.sum("fit").over(level), F.sum(used_up).over(level)
             else:  # a level of any number of cells is summed before it is shuffled
-                sums = scratch.put(cells.groupBy(f"m_{dim}").agg(F.sum("fit").alias("s")))
-                cells = _scaled(cells.join(small(sums), f"m_{dim}"), dim, F.col("s")).drop("s")
+                sums = scratch.put(cells.groupBy(f"m_{dim}").agg(F.sum("fit").alias("s"), F.sum(used_up).alias("u")))
+                cells, total, full = cells.join(small(sums), f"m_{dim}"), F.col("s"), F.col("u")
+            cells = (_scaled(cells, dim, total) if rate is None else _bounded(cells, dim, total, full)).drop("s", "u")
         if not whole or r % 4 == 3 or r + 1 == rounds:
             old, cells = cells, scratch.put(cells)
             scratch.drop(old)
@@ -117,11 +173,8 @@ def mix(docs: DataFrame, tempers: dict[str, float] | None = None, rounds: int =
     tempers, scratch, n = tempers or TEMPERS, Scratch(docs.sparkSession), names(docs)
     found = levels(docs)
     cells = found.groupBy(*(F.col(n[k]).alias(k) for k in KEYS)).agg(F.sum(n["m_tokens"]).alias("w"))
-    fitted = rake(cells, tempers, rounds, scratch, targets)
-    if exact:
-        most = fitted.agg(F.max(F.expr("fit / w"))).first()[0]
-        rate = min(rate, 1 / most) if most else rate
-    ratio = f"{float(rate)!r}D * fit / w"
+    fitted = rake(cells, tempers, rounds, scratch, targets, rate=min(1.0, rate) if exact else None)
+    ratio = "fit / w" if exact else f"{float(rate)!r}D * fit / w"
     chance = {n["probability"]: f"round(least(1D, {ratio}), 9)", n["importance"]: f"round(greatest(1D, {ratio}), 6)"}
     fitted = small(fitted).select(*(F.col(k).alias(n[k]) for k in KEYS), *(F.expr(e).alias(c) for c, e in chance.items()))
     draw = "cast(conv(substr(md5(cast(concat('mix-', coalesce(cast(doc_id as string), 'null')) as binary)), 1, 8), 16, 10) as bigint) / 4294967296D"
