@@ -8,7 +8,7 @@ A text is read as units: words without outer punctuation, spelled-out words (run
 characters), both of these also without what breaks them up, overlapping windows of whichever of
 these is longer than ``WIDTH`` bytes, short stretches of spelled-out runs (which may hold many
 words), and the first bytes of longer words (stems). Training takes a sample of at most ``SAMPLE``
-labelled rows, in order of a hash of doc_id, and of their words at most ``EXAMPLES`` of each kind;
+labelled rows, in order of a hash of doc_id;
 both are parameters of ``fit``:
 
 1. Words of labelled sentences are counted by class over distinct neighbourhoods (word before, word
@@ -22,8 +22,8 @@ both are parameters of ``fit``:
    ones and the number of units feed a logistic curve, which turns margins into a score.
 
 Scoring is one pass over whole texts without shuffle; a task evaluates each different unit once. A
-unit gets kernels only if a subsequence of at least ``SHARE`` of a toxic landmark's bytes occurs in it, more
-than ``P`` of them where the landmark has more (bit-parallel); other units have the margin -1. Null and empty texts have no units and get the score of a text without toxic units. A
+unit gets kernels only if a subsequence of at least ``SHARE`` of a toxic landmark's bytes occurs in it (bit-parallel); other
+units have the margin -1. Null and empty texts have no units and get the score of a text without toxic units. A
 null doc_id is scored but never trained on. Without labels of both classes every score is 0.
 Repeated ids and other columns change nothing.
 """
@@ -38,9 +38,11 @@ from pyspark.sql import functions as F
 from strandline.llm import _kernel as K
 from strandline.llm._spark import Scratch, table
 
-#: Labelled rows, and examples of each kind (family words, frequent and similar other words), that a fit takes at most.
+#: Labelled rows that a fit takes at most. All words of theirs that belong to a toxic family or resemble one are examples.
 SAMPLE = 10_000
-EXAMPLES = 8_000
+#: Of words that neither belong to a toxic family nor resemble one, whose margin is -1 without the model, so many frequent
+#: ones are examples too.
+PLAIN = 8_000
 P = 3
 DECAY = 0.75
 WIDTH = 24
@@ -50,7 +52,7 @@ SHARE = 0.75
 LANDMARKS = 48
 FOLDS = 5
 #: Margins that a task remembers (16 bytes each); beyond that it starts anew.
-REMEMBERED = 1 << 21
+REMEMBERED = 1 << 19
 
 #: Bytes of a character by its first byte.
 _SIZE = np.ones(256, np.int64)
@@ -229,8 +231,7 @@ class Model:
         return out
 
     def may_be(self, c: np.ndarray) -> np.ndarray:
-        """Which units share a subsequence of at least ``share`` of a toxic landmark, and of more than ``P`` bytes where it has
-        more: bit-parallel longest common subsequence."""
+        """Which units share a subsequence of at least ``share`` of a toxic landmark: bit-parallel longest common subsequence."""
         out = np.zeros(len(c), bool)
         for n, at in _groups((c > 0).sum(1)):
             part = c[at, :n]
@@ -239,7 +240,7 @@ class Model:
                 size = int((mark > 0).sum())
                 if not size:
                     continue
-                need = max(int(np.ceil(self.share * size)), min(size, P + 1))
+                need = int(np.ceil(self.share * size))
                 if need > n:
                     continue
                 # cheap first: a subsequence of so many bytes has most of the landmark's letters
@@ -359,9 +360,32 @@ def variants(word: bytes) -> list[bytes]:
     return out + [word[:i] + word[i - 1 : i] + word[i:] for i in range(1, len(word))]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, examples: int = EXAMPLES, share: float = SHARE) -> Model:
-    """Train on at most ``sample`` rows of ``labels`` (doc_id, toxic) outside fold 0, half of them toxic where there are so many,
-    and at most ``examples`` of their words of each kind."""
+#: Up to so many examples get their kernels on the driver, more in tasks.
+ON_DRIVER = 2_000
+
+
+def _kernels_in_tasks(spark, model: Model, examples: list[bytes]) -> np.ndarray:
+    """Kernels of the examples with all landmarks."""
+    if len(examples) <= ON_DRIVER:
+        return model.kernels(as_codes(examples)).astype(np.float64)
+    shared = spark.sparkContext.broadcast((model, examples))
+    n = len(model.marks)
+
+    def scan(batches):
+        model, examples = shared.value
+        for b in batches:
+            at = b.column(0).to_pylist()
+            found = model.kernels(as_codes([examples[i] for i in at]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), n).cast(pa.list_(pa.float32()))], ["i", "k"])
+
+    got = spark.range(0, len(examples), 1, max(1, len(examples) // 1000)).mapInArrow(scan, "i long, k array<float>").toArrow().sort_by("i")
+    shared.destroy()
+    return np.array(got.column("k").combine_chunks().flatten().to_numpy(), np.float64).reshape(-1, n)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, plain_words: int = PLAIN, share: float = SHARE) -> Model:
+    """Train on at most ``sample`` rows of ``labels`` (doc_id, toxic) outside fold 0, half of them toxic where there are so many.
+    Every word of the sample that belongs to a toxic family or resembles a landmark is an example, and ``plain_words`` others."""
     spark = docs.sparkSession
     usable = labels.selectExpr("cast(doc_id as bigint) doc_id", "cast(toxic as int) toxic").where(f"doc_id is not null and toxic in (0, 1) and pmod(crc32(cast(cast(doc_id as string) as binary)), {folds}) <> 0")
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -431,10 +455,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = F
         if not any(u.startswith(m) or m.startswith(u) for m in marks):
             marks.append(u)
     stem = f"exists(array({', '.join(f"unhex('{m.hex()}')" for m in marks)}), m -> startswith(word, m))"
-    family = per_word.where(f"({stem}) and t > 0").orderBy(F.desc("t"), "word").limit(examples).collect()
+    family = per_word.where(f"({stem}) and t > 0").orderBy(F.desc("t"), "word").collect()  # of the sample
     good = [bytes(r["word"]) for r in family]
     others = per_word.where(f"n > t and not ({stem})")
-    plain = [bytes(r[0]) for r in others.orderBy(F.desc(F.expr("n - t")), "word").limit(max(examples, LANDMARKS)).collect()]
+    plain = [bytes(r[0]) for r in others.orderBy(F.desc(F.expr("n - t")), "word").limit(max(plain_words, LANDMARKS)).collect()]
     model = Model(marks + plain[: max(LANDMARKS - len(marks), LANDMARKS // 2)], len(marks), share)
     early = spark.sparkContext.broadcast(model)
 
@@ -444,13 +468,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = F
             hit = early.value.may_be(as_codes(words))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(hit))], ["word"])
 
-    alike = others.select("word").mapInArrow(resembling, "word binary").orderBy(F.xxhash64("word"), "word").limit(examples).collect()
+    alike = others.select("word").mapInArrow(resembling, "word binary").orderBy("word").collect()  # of the sample
     early.destroy()
     near = [bytes(r[0]) for r in alike]
-    negative = list(dict.fromkeys(plain[:examples] + near + [x[:STEM] for x in near if len(x) > STEM]))
+    negative = list(dict.fromkeys(plain[:plain_words] + near + [x[:STEM] for x in near if len(x) > STEM]))
     bad = list(dict.fromkeys(marks + good + [g[:STEM] for g in good if len(g) > STEM] + [v for m in marks for v in variants(m)]))
     negative = [x for x in negative if not any(x.startswith(m) for m in marks)]
-    x = model.kernels(as_codes(bad + negative)).astype(np.float64)
+    x = _kernels_in_tasks(spark, model, bad + negative)
     y = np.concatenate([np.ones(len(bad)), -np.ones(len(negative))])
     weight = np.where(y > 0, 1 / max(len(bad), 1), 1 / max(len(negative), 1)) * 100
     # members of a toxic family that clean text has too count on both sides, by their neighbourhoods
@@ -491,7 +515,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def scan(batches):
         model, seen = shared.value, Seen()
         for b in batches:
-            for lo, hi, data, offs in K.slices(b.column(1), 4 * K.SLICE):
+            for lo, hi, data, offs in K.slices(b.column(1), 2 * K.SLICE):
                 p = model.score(model.features(K.LOWER[data], offs, seen))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(p)], ["doc_id", "score"])
 
@@ -507,7 +531,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
         model, seen = shared.value, Seen()
         for b in batches:
             keep = np.ones(b.num_rows, bool)
-            for lo, hi, data, offs in K.slices(b.column(at), 4 * K.SLICE):
+            for lo, hi, data, offs in K.slices(b.column(at), 2 * K.SLICE):
                 keep[lo:hi] = model.score(model.features(K.LOWER[data], offs, seen)) < threshold
             yield b.filter(pa.array(keep))
 
