@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import uuid
 
 import numpy as np
@@ -90,16 +89,6 @@ class Scratch:
                 at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Collect the garbage of driver and JVM, which ends the broadcasts and shuffles that nothing refers to, and trim. Then
-    collect that of the executors too, whose heaps shrink by what the last stage has left: one short task a core."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    trim_driver(spark)
-    cores = max(1, spark.sparkContext.defaultParallelism)
-    spark.range(0, cores, 1, cores).selectExpr("reflect('java.lang.System', 'gc') done").write.format("noop").mode("overwrite").save()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -184,7 +184,22 @@ def test_kernels_and_gate_against_plain_versions():
         return row[-1]
 
     marks = [bytes(m[m > 0]) for m in model.marks[:3]]
-    assert model.may_be(c).tolist() == [any(common(u, m) >= max(np.ceil(model.share * len(m)), min(len(m), 4)) for m in marks) for u in units]
+    assert model.may_be(c).tolist() == [any(common(u, m) >= np.ceil(model.share * len(m)) for m in marks) for u in units]
+
+
+def test_one_changed_byte_of_a_four_byte_insult_gets_a_kernel():
+    model = toxicity.Model([b"fool", b"river"], 1)
+    assert model.may_be(toxicity.as_codes([b"fool", b"f0ol", b"foql", b"fo.ol", b"river", b"xxol"])).tolist() == [True, True, True, True, False, False]
+    model.alpha, model.bias = np.array([2.0, -1.0], np.float32), -0.5
+    assert (model.margins(toxicity.as_codes([b"f0ol", b"foql"])) > -1).all()
+
+
+def test_kernels_in_tasks_are_those_of_the_driver(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [bytes(rng.choice(b"abcdefg") for _ in range(rng.randrange(3, 20))) for _ in range(2500)]
+    model = toxicity.Model([b"abcd", b"gfedcba", b"cafe"], 2)
+    got = toxicity._kernels_in_tasks(spark, model, words)
+    assert len(words) > toxicity.ON_DRIVER and np.allclose(got, model.kernels(toxicity.as_codes(words)), rtol=1e-4)
 
 
 def test_remembered_margins_are_the_same(monkeypatch):

@@ -90,6 +90,18 @@ def test_jaccard_classes_against_all_pairs(spark, k, percent):
     assert [got[i].component_id for i in range(len(texts))] == comp
 
 
+@pytest.mark.parametrize("percent", [40, 50])
+def test_short_texts_at_low_thresholds_lose_no_link(spark, percent):
+    """A level may not ask for more shared tokens than a qualifying pair has."""
+    rng = random.Random(percent)
+    texts = ["a", "a b", *(" ".join(rng.sample("abcdefghijklmnopqrstuvwxyz", rng.randrange(1, 13))) for _ in range(60))]
+    _, comp = brute_components(texts, 1, percent)
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_classes(docs(spark, texts), 1, percent).collect()}
+    assert [got[i] for i in range(len(texts))] == comp
+    two = ngram_join.jaccard_classes(docs(spark, ["a", "a b"]), 1, 50).collect()
+    assert {r.component_id for r in two} == {0}
+
+
 def test_jaccard_odd_rows(spark):
     d = docs(spark, [*ODD, "same words here", "other text"], [0, 1, 2, 3, 4, 5, 6, None, 3]).withColumnRenamed("n_chars", "component_id")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(d, 3, 90).collect()), key=str)
@@ -204,6 +216,41 @@ def test_the_sample_itself_meets_the_marginals(spark):
         mixing.mix(d, targets=spark.createDataFrame([("source", "s9", 0.5), ("source", "hot", 0.5)], "dim string, level string, share double"))
 
 
+def test_a_rare_source_costs_the_sample_nothing_but_itself(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, rng.choice([20, 40])), rng.choice(["en", "en", "de"]), f"s{min(rng.randrange(12), 5)}", 0) for i in range(4000)]
+    tokens = lambda out: out.agg({"m_tokens": "sum"}).first()[0]
+    plain = tokens(mixing.mix(spark.createDataFrame(rows, DOCS), exact=True))
+    odd = [(4000, rows[0][1], "en", "its own", 0), (4001, "", "la", "s1", 0)]
+    with_odd = mixing.mix(spark.createDataFrame(rows + odd, DOCS), exact=True)
+    assert tokens(with_odd) == pytest.approx(plain, rel=0.01)
+    assert plain == pytest.approx(0.5 * tokens(mixing.levels(spark.createDataFrame(rows, DOCS))), rel=0.06)
+    assert with_odd.where("m_source = 'its own'").select("probability").first()[0] == 1
+
+
+@pytest.mark.parametrize("in_one", [10_000, 3])
+def test_bounded_raking_keeps_cells_within_their_weight(spark, in_one):
+    from pyspark.sql import functions as F
+
+    from strandline.llm._spark import Scratch
+
+    rng = random.Random(8)
+    weights = {(s, l, t): rng.choice([1, 30, 400]) for s in ("a", "b", "c", "rare") for l in ("en", "de") for t in ("prose", "table")}
+    weights.update({("rare", "en", "prose"): 2, ("rare", "de", "prose"): 1, ("rare", "en", "table"): 1, ("rare", "de", "table"): 1})
+    weights.update({(s, l, t): weights[s, l, t] + 100 for s, l, t in weights if s != "rare"})
+    cells = spark.createDataFrame([(*k, w) for k, w in weights.items()], "m_source string, m_lang string, m_topic string, w long")
+    grand = sum(weights.values())
+    fitted = mixing.rake(cells, mixing.TEMPERS, 40, Scratch(spark), in_one=in_one, rate=0.5)
+    got = fitted.collect()
+    assert all(0 <= r.fit <= r.w * (1 + 1e-9) for r in got) and sum(r.fit for r in got) == pytest.approx(grand / 2, rel=1e-3)
+    rare = [r for r in got if r.m_source == "rare"]
+    assert all(r.fit == pytest.approx(r.w, rel=1e-2) for r in rare)  # its share of the target is above all that it has
+    share = {d: {r[0]: r[1] for r in fitted.groupBy(f"m_{d}").agg(F.sum("fit")).collect()} for d in ("source", "lang", "topic")}
+    for d, i in (("lang", 1), ("topic", 2)):
+        p = {k: sum(w for key, w in weights.items() if key[i] == k) ** mixing.TEMPERS[d] for k in share[d]}
+        assert share[d] == pytest.approx({k: grand / 2 * v / sum(p.values()) for k, v in p.items()}, rel=5e-3)
+
+
 def test_mixing_odd_rows(spark):
     d = docs(spark, ODD + ["x"], [0, 1, None, 3, 3, 5, 6, 7])
     out = mixing.mix(d, rate=1e9).collect()

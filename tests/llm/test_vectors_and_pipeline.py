@@ -63,7 +63,7 @@ def test_registered_queries_and_sql(spark):
     for f in glob.glob(f"{SF}/*.parquet"):
         con.sql(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
     names = sorted(n for n in e.queries() if n.startswith("op") and n[2].isdigit())
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 13))
     df = e.queries()["op3_mixing_weights"](spark, SF)
     rel = con.sql(e.oracle_sql()["op3_mixing_weights"])
     assert sorted(df.columns) == sorted(rel.columns)
