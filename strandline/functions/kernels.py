@@ -117,34 +117,152 @@ def local_udf(params: LocalParams = LocalParams()):
     return align
 
 
-def banded_scores(reads: list[str], windows: list[str], diagonals: np.ndarray, p: BandedParams = BandedParams()) -> tuple[np.ndarray, np.ndarray]:
-    """(score, start in window) of the banded local alignment of each read around its seed's diagonal; linear gaps, N matches."""
-    count = len(reads)
-    reads = [r[: p.max_length] for r in reads]
-    rows, cols = max(map(len, reads), default=0), max(map(len, windows), default=0)
-    pack = lambda xs, width, pad: np.stack([np.frombuffer(x.encode("ascii", "replace").ljust(width, pad), np.uint8) for x in xs]) if count else np.empty((0, width), np.uint8)
-    q, t = pack(reads, rows, b"\0"), pack(windows, cols, b"\1")
-    width = 2 * p.band + 1
-    prev = np.zeros((count, width + 2), np.int32)
-    best, best_i, best_j = np.zeros(count, np.int32), np.zeros(count, np.int64), np.zeros(count, np.int64)
+#: Band cells of the reads that are aligned together, so that a row of all of them stays in the processor's cache; with traces
+#: they take two bits each.
+BAND_CELLS = 1 << 22
+
+BANDED = "score int, start bigint, cigar string, edits int, read_start int, read_end int, window_start bigint"
+
+
+def _row_bytes(strings: list[str], width: int, pad: bytes) -> np.ndarray:
+    packed = b"".join(x.encode("ascii", "replace").ljust(width, pad) for x in strings)
+    return np.frombuffer(packed, np.uint8).reshape(len(strings), width)
+
+
+def banded_fill(reads: list[str], windows: list[str], diagonals: np.ndarray, p: BandedParams, trace: bool):
+    """(score, row, lane, steps) of the first best cell of every read in row order; lane b of row i is column i + diagonal - band + b.
+
+    Gaps along a row are a running maximum: a cell's best way in from the left is the best of base - gap * lane so far. With
+    ``trace`` steps has two bits a cell, four cells a byte: where the cell came from (0 nowhere, 1 diagonal, 2 the row before,
+    3 the left), in this order of preference.
+    """
+    count, rows, cols, width = len(reads), max(map(len, reads), default=0), max(map(len, windows), default=0), 2 * p.band + 1
+    q, t = _row_bytes(reads, rows, b"\0"), _row_bytes(windows, cols, b"\1")
+    # windows shifted to their diagonals, so that a row's lanes are a slice of them; no base beyond their ends
+    room = np.full((count, cols + 2), 1, np.uint8)
+    room[:, 1:-1] = t
+    shifted = np.take_along_axis(room, np.clip(np.arange(rows + width) + diagonals[:, None] - p.band, -1, cols) + 1, 1)
+    # scores of reads and gaps of a band in half the bytes where they fit
+    kind = np.int16 if max(rows, width) * max(abs(p.match), abs(p.mismatch), abs(p.gap)) < 1 << 14 else np.int32
+    match, mismatch, gap = (kind(x) for x in (p.match, p.mismatch, p.gap))
+    prev = np.zeros((count, width + 2), kind)
+    best, best_i, best_lane = np.zeros(count, np.int32), np.zeros(count, np.int64), np.zeros(count, np.int64)
     lane = np.arange(width)
+    slope = (p.gap * lane).astype(kind)
+    quads = -(-width // 4)
+    steps = np.zeros((rows, count, quads), np.uint8) if trace else None
+    came = np.zeros((count, quads * 4), np.uint8)
     for i in range(rows):
-        # lane b of row i stands at column i + diagonal - band + b
-        col = i + diagonals[:, None] - p.band + lane
-        inside = (col >= 0) & (col < cols)
-        c = np.take_along_axis(t, np.clip(col, 0, max(cols - 1, 0)), 1)
-        same = (q[:, i : i + 1] == c) | (q[:, i : i + 1] == 78) | (c == 78)
-        inside &= (q[:, i : i + 1] > 0) & (c > 1)
-        now = np.maximum(prev[:, 1:-1] + np.where(same, p.match, p.mismatch), prev[:, 2:] + p.gap)
-        now = np.maximum(np.where(inside, now, 0), 0)
-        for b in range(1, width):  # gaps along the row
-            np.maximum(now[:, b], np.where(inside[:, b], now[:, b - 1] + p.gap, 0), out=now[:, b])
+        c = shifted[:, i : i + width]
+        own = q[:, i : i + 1]
+        inside = (own > 0) & (c > 1)
+        diagonal = prev[:, 1:-1] + np.where((own == c) | (own == 78) | (c == 78), match, mismatch)
+        up = prev[:, 2:] + gap
+        base = np.maximum(np.maximum(diagonal, up), 0) * inside
+        now = (np.maximum.accumulate(base - slope, axis=1) + slope) * inside
+        if trace:
+            straight = (now == diagonal).view(np.uint8)
+            # 1 of the diagonal, else 2 of the row before, else 3
+            came[:, :width] = (3 - 2 * straight - ((now == up).view(np.uint8) & (straight ^ 1))) * (now > 0)
+            steps[i] = came[:, 0::4] | came[:, 1::4] << 2 | came[:, 2::4] << 4 | came[:, 3::4] << 6
         prev[:, 1:-1] = now
         top = now.argmax(1)
         value = now[np.arange(count), top]
         better = value > best
-        best[better], best_i[better], best_j[better] = value[better], i, col[np.arange(count), top][better]
-    return best, np.maximum(0, best_j - best_i)
+        best[better], best_i[better], best_lane[better] = value[better], i, top[better]
+    return best, best_i, best_lane, steps
+
+
+def banded_walk(reads: list[str], windows: list[str], diagonals: np.ndarray, filled, p: BandedParams) -> tuple[np.ndarray, ...]:
+    """(operations, matches, first row, first column) of all reads' alignments, walked back from their best cells together.
+
+    Operations are rows of M, I (a base of the read alone) and D (a base of the window alone), from the alignment's end to its start, 0 after it.
+    """
+    best, i, lane, steps = filled
+    count = len(best)
+    q, t = _row_bytes(reads, max(map(len, reads), default=0), b"\0"), _row_bytes(windows, max(map(len, windows), default=0), b"\1")
+    i, lane, live = i.copy(), lane.copy(), np.flatnonzero(best > 0)
+    first_i, first_col, same = np.zeros(count, np.int64), np.zeros(count, np.int64), np.zeros(count, np.int64)
+    taken: list[np.ndarray] = []
+    while len(live):
+        row, at = i[live], lane[live]
+        step = steps[row, live, at >> 2] >> ((at & 3) << 1).astype(np.uint8) & 3
+        live, row, at, step = live[step > 0], row[step > 0], at[step > 0], step[step > 0]
+        if not len(live):
+            break
+        op = np.zeros(count, np.uint8)
+        op[live] = np.array([0, 77, 73, 68], np.uint8)[step]  # M, I, D
+        taken.append(op)
+        col = row + diagonals[live] - p.band + at
+        first_i[live], first_col[live] = row, col
+        a, b = q[live, row], t[live, np.minimum(col, t.shape[1] - 1)]
+        same[live] += (step == 1) & ((a == b) | (a == 78) | (b == 78))
+        i[live] = row - (step < 3)
+        lane[live] = at + (step == 2) - (step == 3)
+        live = live[(i[live] >= 0) & (lane[live] >= 0) & (lane[live] <= 2 * p.band)]
+    return (np.stack(taken, 1) if taken else np.zeros((count, 0), np.uint8)), same, first_i, first_col
+
+
+def banded_scores(reads: list[str], windows: list[str], diagonals: np.ndarray, p: BandedParams = BandedParams()) -> tuple[np.ndarray, np.ndarray]:
+    """(score, start in window) of the banded local alignment of each read around its seed's diagonal; linear gaps, N matches."""
+    best, start = np.zeros(len(reads), np.int32), np.zeros(len(reads), np.int64)
+    for part in _alike(reads, windows, p):
+        score, i, lane, _ = banded_fill([reads[k][: p.max_length] for k in part], [windows[k] for k in part], diagonals[part], p, False)
+        best[part], start[part] = score, np.where(score > 0, np.maximum(0, diagonals[part] - p.band + lane), 0)
+    return best, start
+
+
+def _alike(reads: list[str], windows: list[str], p: BandedParams):
+    """Numbers of reads that are aligned together: of like length, and of at most ``BAND_CELLS`` band cells."""
+    order = sorted(range(len(reads)), key=lambda k: (len(reads[k]), len(windows[k])))
+    part: list[int] = []
+    for k in order:
+        if part and (len(part) + 1) * max(1, min(len(reads[k]), p.max_length)) * (2 * p.band + 1) > BAND_CELLS:
+            yield np.array(part)
+            part = []
+        part.append(k)
+    if part:
+        yield np.array(part)
+
+
+def banded_traces(reads: list[str], windows: list[str], diagonals: np.ndarray, p: BandedParams = BandedParams()) -> pd.DataFrame:
+    """Rows of ``BANDED``: the score and the start that ``banded_scores`` gives, and the alignment itself.
+
+    ``cigar`` has M for matches and mismatches, I and D for bases of the read and of the window alone, and S for the read's ends that are
+    not aligned; ``edits`` counts mismatches and gap bases. The aligned bases are read_start to read_end (excluded) of the read, from
+    ``window_start`` on of the window. Reads without a positive score have no CIGAR ("*").
+    """
+    out: dict[str, list] = {name.split()[0]: [None] * len(reads) for name in BANDED.split(", ")}
+    for part in _alike(reads, windows, p):
+        own, wins, diag = [reads[k][: p.max_length] for k in part], [windows[k] for k in part], diagonals[part]
+        filled = banded_fill(own, wins, diag, p, True)
+        ops, same, first_i, first_col = banded_walk(own, wins, diag, filled, p)
+        score, last_i, lane, _ = filled
+        sizes = (ops > 0).sum(1)
+        edits = sizes - same
+        start = np.where(score > 0, np.maximum(0, diag - p.band + lane), 0)
+        texts = ops[:, ::-1].tobytes().decode("latin-1")
+        wide = ops.shape[1]
+        for x, k in enumerate(part.tolist()):
+            hit = bool(score[x] > 0)
+            a, z = (int(first_i[x]), int(last_i[x]) + 1) if hit else (0, 0)
+            cigar = "*"
+            if hit:
+                inner = run_lengths(texts[(x + 1) * wide - int(sizes[x]) : (x + 1) * wide])
+                cigar = (f"{a}S" if a else "") + inner + (f"{len(reads[k]) - z}S" if z < len(reads[k]) else "")
+            for name, value in zip(out, (int(score[x]), int(start[x]), cigar, int(edits[x]), a, z, int(first_col[x]) if hit else 0)):
+                out[name][k] = value
+    return pd.DataFrame(out)
+
+
+def banded_traces_udf(params: BandedParams = BandedParams()):
+    """struct of ``banded_traces``, given the seed's diagonal in the window."""
+
+    @F.pandas_udf(BANDED)
+    def align(read: pd.Series, window: pd.Series, diagonal: pd.Series) -> pd.DataFrame:
+        return banded_traces(list(read), list(window), diagonal.to_numpy(np.int64), params)
+
+    return align
 
 
 def banded_udf(params: BandedParams = BandedParams()):

@@ -120,3 +120,79 @@ def test_banded_start():
     score, start = KN.banded_scores(["ACGATCGATCGGA"], [ref], np.array([10]))
     assert (score[0], start[0]) == (13, 10)
     assert len(KN.banded_scores([], [], np.array([], int))[0]) == 0
+
+
+def _plain_banded(q, t, diagonal, p):
+    """Score and the alignment of one read by plain loops: (cigar without clips, edits, first row, first column)."""
+    h = {}
+    at = lambda i, j: h.get((i, j), 0)
+    inside = lambda i, j: 0 <= j < len(t) and abs(j - i - diagonal) <= p.band
+    best = (0, 0, 0)
+    for i in range(len(q)):
+        for j in range(max(0, i + diagonal - p.band), min(len(t), i + diagonal + p.band + 1)):
+            same = q[i] == t[j] or "N" in (q[i], t[j])
+            ways = [(at(i - 1, j - 1) + (p.match if same else p.mismatch), "M"), (at(i - 1, j) + p.gap if inside(i - 1, j) else 0, "I"), (at(i, j - 1) + p.gap if inside(i, j - 1) else 0, "D")]
+            score = max(0, *(w for w, _ in ways))
+            h[i, j] = score
+            if score > 0:
+                h[i, j, "by"] = next(op for w, op in ways if w == score)
+            if score > best[0]:
+                best = (score, i, j)
+    score, i, j = best
+    ops, edits = "", 0
+    first = (0, 0)
+    while score and (i, j, "by") in h:
+        op, first = h[i, j, "by"], (i, j)
+        edits += op != "M" or not (q[i] == t[j] or "N" in (q[i], t[j]))
+        ops, i, j = op + ops, i - (op != "D"), j - (op != "I")
+    return best, ops, edits, first
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.text("ACGN", max_size=24), st.text("ACGN", max_size=30), st.integers(-3, 6)), min_size=1, max_size=6), st.sampled_from([1, 3, 16]), st.sampled_from([(1, -4, -6), (2, -1, -1), (5000, -4, -3)]))
+def test_banded_traces_against_plain_dynamic_programming(cases, band, scores):
+    p = BandedParams(*scores, band=band)
+    q, t, d = (list(x) for x in zip(*cases))
+    got = KN.banded_traces(q, t, np.array(d), p)
+    score, start = KN.banded_scores(q, t, np.array(d), p)
+    assert score.tolist() == got["score"].tolist() and start.tolist() == got["start"].tolist()
+    for (a, b, diagonal), row in zip(cases, got.itertuples()):
+        best, ops, edits, first = _plain_banded(a, b, diagonal, p)
+        assert row.score == best[0]
+        if not best[0]:
+            assert (row.cigar, row.edits, row.read_start, row.read_end) == ("*", 0, 0, 0)
+            continue
+        clip = lambda n: f"{n}S" if n else ""
+        assert row.cigar == clip(first[0]) + KN.run_lengths(ops) + clip(len(a) - best[1] - 1)
+        assert (row.edits, row.read_start, row.read_end, row.window_start) == (edits, first[0], best[1] + 1, first[1])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("ACGT", min_size=1, max_size=40), st.text("ACGT", min_size=1, max_size=60), st.integers(0, 8))
+def test_a_cigar_replays_to_its_score(q, t, diagonal):
+    import re
+
+    p = BandedParams(2, -3, -4, band=10, max_length=30)
+    row = KN.banded_traces([q], [t], np.array([diagonal]), p).iloc[0]
+    i, j, score, edits = 0, row.window_start, 0, 0
+    for n, op in re.findall(r"(\d+)([MIDS])", row.cigar):
+        for _ in range(int(n)):
+            if op == "M":
+                score, edits = score + (p.match if q[i] == t[j] else p.mismatch), edits + (q[i] != t[j])
+            elif op in "ID":
+                score, edits = score + p.gap, edits + 1
+            i, j = i + (op in "MIS"), j + (op in "MD")
+    assert score == row.score and edits == row.edits and (i == len(q) or row.score == 0)
+
+
+def test_traces_in_parts_are_the_same(monkeypatch):
+    import random
+
+    rnd = random.Random(3)
+    ref = "".join(rnd.choice("ACGT") for _ in range(400))
+    reads = [ref[a : a + n // 2] + "AC" * (n % 3) + ref[a + n // 2 + n % 5 : a + n] for a in range(0, 300, 7) for n in (20, 57, 90)]
+    windows = [ref[max(0, a - 20) : a + 120] for a in range(0, 300, 7) for _ in range(3)]
+    d = np.array([min(a, 20) for a in range(0, 300, 7) for _ in range(3)])
+    whole = KN.banded_traces(reads, windows, d)
+    monkeypatch.setattr(KN, "BAND_CELLS", 20_000)
+    assert whole.equals(KN.banded_traces(reads, windows, d)) and whole["cigar"].str.contains("[ID]").any()
