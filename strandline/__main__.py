@@ -67,6 +67,7 @@ def main(argv: list[str] | None = None) -> int:
 
     from strandline.operators import align as A
     from strandline.plans import pipelines as P
+    from strandline.shared import scratch_folder
     from strandline.sources import config as C
     from strandline.sources import fastq as Q
     from strandline.sources import sinks
@@ -79,7 +80,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "merge":
         sinks.merge_sam(spark, args.input, args.output, not args.no_sort)
     elif args.command == "multi":
-        contigs, seeds = Q.read_fasta(spark, args.reference), SeedParams(k=args.kmer_size)
+        contigs, seeds = Q.read_fasta_tiles(spark, args.reference, scratch_folder(spark, "reference")), SeedParams(k=args.kmer_size)
         index = A.kmer_index(contigs, seeds).cache()
         for path in Q._paths(args.input):
             name = os.path.basename(path).split(".")[0]
@@ -96,7 +97,7 @@ def main(argv: list[str] | None = None) -> int:
             print(f"missing: {', '.join(missing)}", file=sys.stderr)
             return 2
         reads = Q.read_pairs(spark, get("reads1"), get("reads2")) if get("reads2") else Q.read_fastq(spark, get("reads1"))
-        contigs = Q.read_fasta(spark, get("reference"))
+        contigs = Q.read_fasta_tiles(spark, get("reference"), scratch_folder(spark, "reference"))
         keep = FilterParams(min_mapq=get("min_mapq")) if get("min_mapq") else None
         out = P.align_reads(reads, contigs, SeedParams(k=get("kmer_size") or 19), None if args.ungapped else BandedParams(), keep, both_strands=args.both_strands)
         sort = not args.no_sort and conf.get("sort", True)
@@ -111,7 +112,7 @@ def main(argv: list[str] | None = None) -> int:
         call = panel.call
         call = replace(call, min_depth=args.min_depth) if args.min_depth is not None else call
         call = replace(call, min_allele_frequency=args.min_frequency) if args.min_frequency is not None else call
-        contigs = Q.read_fasta(spark, args.reference or panel.reference)
+        contigs = Q.read_fasta_tiles(spark, args.reference or panel.reference, scratch_folder(spark, "reference"))
         codes = C.read_barcodes(spark, args.barcodes).select("sample_id", "barcode", "expected_position") if args.barcodes else None
         optional = {"barcodes": codes, "trim": TrimParams() if args.trim else None, "chimeras": ChimeraParams() if args.chimeras else None}
         out = P.call_panel(Q.read_fastq(spark, args.input), C.targets_frame(spark, panel), contigs, call, panel.max_distance, **optional)

@@ -15,29 +15,38 @@ from strandline.schemas import DUPLICATE, PAIRED, PROPER, READ1, READ2, REVERSE,
 TILE = 1 << 16
 
 
-def _starts(contigs: DataFrame) -> DataFrame:
+def contig_starts(contigs: DataFrame) -> DataFrame:
     """name, ordinal, length, start: the one window over all rows holds lengths, not sequences."""
     before = Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    rows = contigs.select("name", "ordinal", F.length("sequence").cast("bigint").alias("length"))
+    if "tile" in contigs.columns:
+        rows = contigs.where("tile = 0").select("name", "ordinal", "length")
+    else:
+        rows = contigs.select("name", "ordinal", F.length("sequence").cast("bigint").alias("length"))
     return rows.withColumn("start", F.coalesce(F.sum("length").over(before), F.lit(0).cast("bigint")))
 
 
 def contig_offsets(contigs: DataFrame) -> DataFrame:
     """Contigs with ``length`` and ``start``, their place in the reference that joins them in order."""
-    return contigs.join(_starts(contigs), ["name", "ordinal"])
+    if "tile" in contigs.columns:
+        return contig_starts(contigs)
+    return contigs.join(contig_starts(contigs), ["name", "ordinal"])
 
 
 def tiles(contigs: DataFrame, size: int = TILE) -> DataFrame:
     """name, tile, piece: the bases of a contig from tile * size on, ``size`` of them and the next tile's.
 
-    Seeds, windows and searches join on (name, tile), so a read carries two tiles at most and never a chromosome.
+    Seeds, windows and searches join on (name, tile), so a read carries two tiles at most and never a chromosome. ``contigs`` may be
+    tiles already, as ``read_fasta_tiles`` gives them; they must be of this size.
     """
+    if "tile" in contigs.columns:
+        piece = F.when(F.col("tile_size") == size, F.col("piece")).otherwise(F.raise_error(F.lit(f"the reference has tiles of another size than {size}")))
+        return contigs.select("name", "tile", piece.alias("piece"))
     cut = contigs.select("name", F.regexp_extract_all("sequence", F.lit(f"(?s)(.{{1,{size}}})"), F.lit(1)).alias("cut"))
     both = F.transform("cut", lambda p, i: F.concat(p, F.coalesce(F.get("cut", i + 1), F.lit(""))))
     return cut.select("name", F.posexplode(both).alias("tile", "piece"))
 
 
-def _windows(rows: DataFrame, contigs: DataFrame, start: str, length, size: int) -> DataFrame:
+def at_windows(rows: DataFrame, contigs: DataFrame, start: str, length, size: int) -> DataFrame:
     """``rows`` (contig, ...) with ``window``: the bases from their ``start`` on. Longer windows than a tile are an error."""
     at = rows.withColumn("tile", F.expr(f"cast(`{start}` div {size} as int)"))
     met = at.join(tiles(contigs, size).withColumnRenamed("name", "contig"), ["contig", "tile"])
@@ -53,7 +62,7 @@ def kmer_index(contigs: DataFrame, params: SeedParams = SeedParams(), tile: int
     """
     part = tiles(contigs, tile).withColumn("part", F.substr("piece", F.lit(1), F.lit(tile + params.k - 1))).select("name", "tile", "part")
     found = part.select("name", "tile", F.explode(S.kmers("part", params.k, 1, params.letters)).alias("m")).select("name", F.col("m.kmer").alias("kmer"), (F.col("tile").cast("bigint") * tile + F.col("m.offset")).alias("position"))
-    placed = found.join(_starts(contigs).select("name", "start"), "name").select("kmer", F.col("name").alias("contig"), "position", (F.col("start") + F.col("position")).alias("gpos"))
+    placed = found.join(contig_starts(contigs).select("name", "start"), "name").select("kmer", F.col("name").alias("contig"), "position", (F.col("start") + F.col("position")).alias("gpos"))
     hits = placed.groupBy("kmer").agg(F.count("*").alias("hits")).where(f"hits <= {params.max_hits}")
     return placed.join(hits, "kmer")
 
@@ -112,26 +121,33 @@ def place_ungapped(reads: DataFrame, chained: DataFrame, contigs: DataFrame, til
     Tiles are joined after the one seed a read keeps, and only the read's window is carried on.
     """
     at = chained.withColumn("start", F.greatest(F.lit(0).cast("bigint"), F.col("position") - F.col("read_offset")))
-    out = _windows(reads.join(at, "read_id"), contigs, "start", F.length("sequence"), tile)
+    out = at_windows(reads.join(at, "read_id"), contigs, "start", F.length("sequence"), tile)
     out = out.withColumn("mismatches", S.prefix_distance("sequence", "window"))
     score = F.length("sequence") - 5 * F.col("mismatches")
     return out.withColumn("score", F.greatest(F.lit(0), score).cast("int")).withColumn("mapq", G.mapping_quality("score"))
 
 
-def place_banded(reads: DataFrame, chained: DataFrame, contigs: DataFrame, params: BandedParams = BandedParams(), tile: int = TILE) -> DataFrame:
-    """Banded local alignment of each read around its seed's diagonal: score, start in the contig and MAPQ."""
+def place_banded(reads: DataFrame, chained: DataFrame, contigs: DataFrame, params: BandedParams = BandedParams(), tile: int = TILE, trace: bool = False) -> DataFrame:
+    """Banded local alignment of each read around its seed's diagonal: score, start in the contig and MAPQ.
+
+    With ``trace`` also the alignment: ``cigar``, ``edits`` and the read's aligned bases (read_start, read_end), and ``start`` is
+    where the first aligned base lies; without it, it is the best cell's diagonal.
+    """
     at = chained.withColumn("from", F.greatest(F.lit(0).cast("bigint"), F.col("position") - F.col("read_offset") - params.flank))
     read = S.truncate("sequence", params.max_length)
-    out = _windows(reads.join(at, "read_id"), contigs, "from", F.length(read) + 2 * params.flank, tile)
+    out = at_windows(reads.join(at, "read_id"), contigs, "from", F.length(read) + 2 * params.flank, tile)
     diagonal = F.col("position") - F.col("read_offset") - F.col("from")
-    out = out.withColumn("sw", KN.banded_udf(params)(read, F.col("window"), diagonal))
-    out = out.select("*", F.col("sw.score").alias("score"), (F.col("from") + F.col("sw.start")).alias("start")).drop("sw", "window", "from")
+    kernel = KN.banded_traces_udf(params) if trace else KN.banded_udf(params)
+    out = out.withColumn("sw", kernel(F.col("sequence") if trace else read, F.col("window"), diagonal))
+    more = ["sw.cigar", "sw.edits", "sw.read_start", "sw.read_end"] if trace else []
+    start = F.col("sw.window_start") if trace else F.col("sw.start")
+    out = out.select("*", F.col("sw.score").alias("score"), (F.col("from") + start).alias("start"), *more).drop("sw", "window", "from")
     return out.withColumn("mapq", G.mapping_quality("score"))
 
 
 def locate(positions: DataFrame, contigs: DataFrame, bin_size: int = 1 << 16) -> DataFrame:
     """Contig and offset of global positions ``gpos``; unmatched ones are NULL. An equi-join on bins, not a range scan."""
-    spans = _starts(contigs).select(F.col("name").alias("contig"), F.col("start").alias("c_start"), "length")
+    spans = contig_starts(contigs).select(F.col("name").alias("contig"), F.col("start").alias("c_start"), "length")
     spans = spans.withColumn("bin", F.explode(F.sequence(F.expr(f"c_start div {bin_size}"), F.expr(f"(c_start + length - 1) div {bin_size}"))))
     hit = (positions["bin"] == spans["bin"]) & (F.col("gpos") >= F.col("c_start")) & (F.col("gpos") < F.col("c_start") + F.col("length")) if "bin" in positions.columns else None
     if hit is None:
@@ -140,11 +156,13 @@ def locate(positions: DataFrame, contigs: DataFrame, bin_size: int = 1 << 16) ->
     return positions.join(spans, hit, "left").drop("bin", "length").withColumn("offset", F.col("gpos") - F.col("c_start")).drop("c_start")
 
 
-def subsequence(contigs: DataFrame, start: int, length: int) -> DataFrame:
-    """One row: bases of the joined reference from a global start, clamped at its end. Only contigs in reach are read."""
-    at = contig_offsets(contigs).where((F.col("start") < start + length) & (F.col("start") + F.col("length") > start))
-    part = F.substr("sequence", (F.greatest(F.lit(start) - F.col("start"), F.lit(0)) + 1).cast("int"), F.least(F.lit(start + length) - F.greatest(F.col("start"), F.lit(start)), F.col("length")).cast("int"))
-    return at.select("ordinal", part.alias("part")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "part"))), lambda x: x["part"]), "").alias("sequence"))
+def subsequence(contigs: DataFrame, start: int, length: int, tile: int = TILE) -> DataFrame:
+    """One row: bases of the joined reference from a global start, clamped at its end. Only tiles in reach are read."""
+    own = tiles(contigs, tile).join(contig_starts(contigs).select("name", F.col("start").alias("c_start")), "name")
+    own = own.withColumn("at", F.col("c_start") + F.col("tile").cast("bigint") * tile).withColumn("bases", F.substr("piece", F.lit(1), F.lit(tile)))
+    reach = own.where((F.col("at") < start + length) & (F.col("at") + F.length("bases") > start))
+    part = F.substr("bases", (F.greatest(F.lit(start) - F.col("at"), F.lit(0)) + 1).cast("int"), (F.lit(start + length) - F.greatest(F.lit(start), F.col("at"))).cast("int"))
+    return reach.select("at", part.alias("part")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "").alias("sequence"))
 
 
 def contains_exactly(reads: DataFrame, contigs: DataFrame, anchor: int = 16, tile: int = TILE) -> DataFrame:
@@ -157,7 +175,7 @@ def contains_exactly(reads: DataFrame, contigs: DataFrame, anchor: int = 16, til
     spots = cut.select("name", "tile", "piece", F.explode(places).alias("at")).select("name", (F.col("tile").cast("bigint") * tile + F.col("at") - 1).alias("position"), F.substr("piece", F.col("at"), F.lit(anchor)).alias("key"))
     asked = reads.where(F.length("sequence") >= anchor).select("read_id", F.col("sequence").alias("read"), F.substr("sequence", F.lit(1), F.lit(anchor)).alias("key"))
     near = asked.join(spots, "key").withColumnRenamed("name", "contig").drop("key")
-    near = _windows(near, contigs, "position", F.length("read"), tile).where("window = read")
+    near = at_windows(near, contigs, "position", F.length("read"), tile).where("window = read")
     best = near.groupBy("read_id").agg(F.min(F.struct("contig", "position")).alias("b"))
     return best.select("read_id", "b.contig", "b.position", F.lit(60).alias("mapq"))
 
@@ -244,10 +262,12 @@ def validate_pairs(rows: DataFrame, least: int = 100, most: int = 1000) -> DataF
 def sam_rows(reads: DataFrame, aligned: DataFrame) -> DataFrame:
     """The eleven SAM columns and the score of every read; reads without alignment are unmapped.
 
-    Where ``aligned`` has a column ``strand``, a read of strand 1 is written as its reverse complement with the flag for it.
+    Where ``aligned`` has a column ``strand``, a read of strand 1 is written as its reverse complement with the flag for it. Where it has
+    ``cigar``, that is the alignment's; else the whole read counts as aligned without gaps.
     """
+    traced = "cigar" in aligned.columns
     strand = F.col("strand") if "strand" in aligned.columns else F.lit(0)
-    cols = aligned.select("read_id", "contig", "start", "mapq", F.col("score").alias("score"), strand.cast("int").alias("strand"))
+    cols = aligned.select("read_id", "contig", "start", "mapq", F.col("score").alias("score"), strand.cast("int").alias("strand"), *(["cigar"] if traced else []))
     out = reads.join(cols, "read_id", "left")
     hit = F.coalesce(F.col("score") > 0, F.lit(False))
     back = hit & (F.col("strand") == 1)
@@ -257,7 +277,7 @@ def sam_rows(reads: DataFrame, aligned: DataFrame) -> DataFrame:
     return out.select(
         "read_id", name.alias("qname"), F.when(back, paired.bitwiseOR(REVERSE)).when(hit, paired).otherwise(paired.bitwiseOR(UNMAPPED)).alias("flag"), F.when(hit, F.col("contig")).otherwise("*").alias("rname"),
         F.when(hit, F.col("start") + 1).otherwise(0).cast("bigint").alias("pos"), F.when(hit, F.col("mapq")).otherwise(0).alias("mapq"),
-        F.when(hit, F.concat(F.length("sequence"), F.lit("M"))).otherwise("*").alias("cigar"), F.lit("*").alias("rnext"), F.lit(0).alias("pnext"), F.lit(0).alias("tlen"),
+        F.when(hit, F.col("cigar") if traced else F.concat(F.length("sequence"), F.lit("M"))).otherwise("*").alias("cigar"), F.lit("*").alias("rnext"), F.lit(0).alias("pnext"), F.lit(0).alias("tlen"),
         F.when(back, S.reverse_complement("sequence")).otherwise(F.col("sequence")).alias("seq"), F.when(back, F.reverse("quality")).otherwise(F.col("quality")).alias("qual"), F.when(hit, F.col("score")).otherwise(0).alias("score"),
     )
 

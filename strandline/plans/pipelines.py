@@ -23,13 +23,13 @@ class Whole:
 
 
 def align_reads(reads: DataFrame, contigs: DataFrame, seeds: SeedParams = SeedParams(), banded: BandedParams | None = BandedParams(), keep: FilterParams | None = None, index: DataFrame | None = None, both_strands: bool = False) -> Whole:
-    """Seed, chain, align and describe reads. ``banded=None`` scores without gaps and stays in the JVM.
+    """Seed, chain, align and describe reads; SAM rows have the alignments' CIGARs. ``banded=None`` scores without gaps and stays in the JVM.
 
     With ``both_strands`` a read is tried as its reverse complement too and keeps the better score; SAM rows of such reads
     are turned and flagged.
     """
     index = A.kmer_index(contigs, seeds) if index is None else index
-    place = (lambda r, c: A.place_banded(r, c, contigs, banded)) if banded else (lambda r, c: A.place_ungapped(r, c, contigs))
+    place = (lambda r, c: A.place_banded(r, c, contigs, banded, trace=True)) if banded else (lambda r, c: A.place_ungapped(r, c, contigs))
     aligned = place(reads, A.chain(A.seeds(reads, index, seeds), seeds))
     if both_strands:
         back = reads.withColumn("sequence", S.reverse_complement("sequence")).withColumn("quality", F.reverse("quality"))
@@ -73,8 +73,7 @@ def call_panel(reads: DataFrame, targets: DataFrame, contigs: DataFrame, call: C
     assigned = M.assign(clusters, targets)
     placed = assigned.join(targets.select("amplicon_id", "chromosome", "start"), "amplicon_id").select("chromosome", "start", F.col("consensus_sequence").alias("sequence"), F.col("consensus_quality").alias("quality"), "read_count")
     marks = targets.select("chromosome", F.explode("snp_positions").alias("position")).distinct()
-    ref = contigs.select(F.col("name").alias("chromosome"), F.col("sequence").alias("ref"))
-    marks = marks.join(ref, "chromosome").select("chromosome", "position", F.upper(F.substr("ref", (F.col("position") + 1).cast("int"), F.lit(1))).alias("ref_base"))
+    marks = A.at_windows(marks.withColumnRenamed("chromosome", "contig"), contigs, "position", F.lit(1), A.TILE).select(F.col("contig").alias("chromosome"), "position", F.upper("window").alias("ref_base"))
     piles = M.pileup(placed, marks)
     calls = M.annotate_variants(M.call_variants(piles, call), targets)
     sizes = M.collapse_stats(reads, clusters).select("reads_in", "clusters_out", "compression_ratio", "avg_cluster_size")

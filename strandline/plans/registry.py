@@ -13,13 +13,15 @@ from strandline.functions import sequence as S
 from strandline.operators import align as A
 from strandline.operators import amplicon as M
 from strandline.plans import fixtures as X
-from strandline.schemas import CallParams, ChimeraParams, DemuxParams, FilterParams, TrimParams
+from strandline.schemas import BandedParams, CallParams, ChimeraParams, DemuxParams, FilterParams, TrimParams
+from strandline.shared import scratch_folder
 from strandline.sources import sinks
 
 CALL = CallParams(min_depth=10, min_allele_frequency=0.01)
 
 _queries: dict = {}
 _oracles: dict[str, str] = {}
+_slow: dict[str, str] = {}
 
 
 def _counts(sql: str) -> str:
@@ -35,11 +37,13 @@ def _counts(sql: str) -> str:
     return out + sql[at:]
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, recursive: bool = False, slow: bool = False):
+    """Register a query. ``slow`` SQL is for small tables only: tests use it, ``oracle_sql`` does not give it."""
+
     def add(f):
         _queries[f.__name__] = f
         if sql:
-            _oracles[f.__name__] = f"WITH {X.CTE}{', ' if not sql.lstrip().upper().startswith('SELECT') else ' '}{_counts(sql)}"
+            (_slow if slow else _oracles)[f.__name__] = f"{'WITH RECURSIVE' if recursive else 'WITH'} {X.CTE}{', ' if not sql.lstrip().upper().startswith('SELECT') else ' '}{_counts(sql)}"
         return f
 
     return add
@@ -53,6 +57,11 @@ def oracle_sql() -> dict[str, str]:
     return dict(_oracles)
 
 
+def small_sql() -> dict[str, str]:
+    """SQL of queries for which it takes too long on whole tables of any size."""
+    return dict(_slow)
+
+
 # ---- sources, index, seeds, chains
 
 @query("SELECT read_id, name, sequence, quality FROM reads")
@@ -61,11 +70,7 @@ def fastq_reads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folder(spark) -> str:
-    import uuid
-
-    from strandline.shared import shared_folder
-
-    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    return scratch_folder(spark, "files")
 
 
 @query("SELECT read_id, name, sequence, quality FROM reads")
@@ -89,6 +94,22 @@ def fasta_source(spark, d):
     return fastq.read_fasta(spark, f"{folder.removeprefix('file:')}/part-*").select("name", "ordinal", "sequence")
 
 
+def _reference_files(spark, d, tile: int, split: int):
+    """The contigs as FASTA in lines of 60 bases, read in byte ranges that cut lines and headers."""
+    from strandline.sources import fastq
+
+    folder = scratch_folder(spark, "reference")
+    lines = F.array_join(F.regexp_extract_all("sequence", F.lit("(.{1,60})"), F.lit(1)), "\n")
+    text = X.contigs(spark, d).select("ordinal", F.concat(F.lit(">"), "name", F.lit(" of hashes\n"), lines).alias("value"))
+    text.repartitionByRange(2, "ordinal").sortWithinPartitions("ordinal").select("value").write.text(f"{folder}/text")
+    return fastq.read_fasta_tiles(spark, f"{folder.removeprefix('file:')}/text/part-*", folder, tile, split)
+
+
+@query("SELECT name, t::INT AS tile, 1024::BIGINT AS length, substr(sequence, t::INT * 100 + 1, 200) AS piece FROM contigs, range(11) g(t)")
+def reference_tiles(spark, d):
+    return _reference_files(spark, d, 100, 777).select("name", "tile", "length", "piece")
+
+
 @query("SELECT count(*) AS n, count(DISTINCT read_id) AS n_ids, count_if(length(sequence) = length(quality)) AS n_equal_lengths FROM reads")
 def read_invariants(spark, d):
     return X.reads(spark, d).agg(F.count("*").alias("n"), F.countDistinct("read_id").alias("n_ids"), F.count_if(F.length("sequence") == F.length("quality")).alias("n_equal_lengths"))
@@ -119,6 +140,40 @@ def kmer_search(spark, d):
     return A.search_kmer(A.kmer_index(X.contigs(spark, d)), X.reads(spark, d).select(F.substring("sequence", 1, 19).alias("kmer")))
 
 
+_ASKED_ANY = """asked AS (SELECT DISTINCT substr(sequence, (read_id % 17)::INT + 1, {n}) AS pattern FROM reads), places AS (SELECT pattern, name AS contig, unnest(list_filter(range(1024), i -> substr(sequence, i::INT + 1, length(pattern)) = pattern)) AS position FROM asked, contigs)"""
+
+
+def _any_patterns(spark, d, length: str):
+    return X.reads(spark, d).select(F.expr(f"substr(sequence, cast(read_id % 17 as int) + 1, {length})").alias("pattern"))
+
+
+def _suffixes(spark, d):
+    from strandline.operators import suffixes
+
+    return suffixes.build_suffix_index(X.contigs(spark, d), scratch_folder(spark, "suffixes"))
+
+
+@query(_ASKED_ANY.format(n="(1 + read_id % 100)::INT") + " SELECT a.pattern, count(p.pattern) AS n FROM asked a LEFT JOIN places p ON a.pattern = p.pattern GROUP BY 1")
+def pattern_count(spark, d):
+    """Places of patterns of 1 to 100 bases, cut from all reads, in all contigs."""
+    from strandline.operators import suffixes
+
+    return suffixes.count(_any_patterns(spark, d, "cast(1 + read_id % 100 as int)"), _suffixes(spark, d), X.contigs(spark, d))
+
+
+@query(_ASKED_ANY.format(n="(8 + read_id % 93)::INT") + " SELECT pattern, contig, position FROM places")
+def pattern_search(spark, d):
+    from strandline.operators import suffixes
+
+    return suffixes.search(_any_patterns(spark, d, "cast(8 + read_id % 93 as int)"), _suffixes(spark, d), X.contigs(spark, d))
+
+
+@query("SELECT name AS contig, i AS position, row_number() OVER (ORDER BY substr(sequence, i::INT + 1)) - 1 AS rank FROM contigs, range(1024) g(i)")
+def suffix_order(spark, d):
+    """The suffix array of all contigs. Theirs are hashes, so no two suffixes are equal."""
+    return _suffixes(spark, d).order(spark)
+
+
 _SEEDS = _INDEX + """, asked AS (SELECT read_id, (o * 6)::INT read_offset, substr(sequence, o * 6 + 1, 19) kmer FROM reads, range(14) g(o)),
 seeds AS (SELECT * FROM (SELECT read_id, read_offset, contig, position, gpos, row_number() OVER (PARTITION BY read_id ORDER BY read_offset, gpos)::INT ord FROM asked JOIN idx USING (kmer)) WHERE ord <= 64)"""
 
@@ -175,7 +230,57 @@ def ungapped_align(spark, d):
     return _aligned(spark, d).select("read_id", "contig", "start", "mismatches", "score", "mapq")
 
 
-@query()
+#: Reads with two bases left out in every fifth and two put in in some of every seventh.
+_BENT = """bent AS (SELECT read_id, name, CASE WHEN read_id % 5 = 1 THEN left(sequence, 50) || substr(sequence, 53) WHEN read_id % 7 = 2 THEN left(sequence, 60) || 'AC' || substr(sequence, 61) ELSE sequence END AS sequence, quality FROM reads),
+""" + _CHAIN.replace("FROM reads", "FROM bent")
+
+
+def _bent(spark, d):
+    s, i = F.col("sequence"), F.col("read_id")
+    cut = F.when(i % 5 == 1, F.concat(F.substring(s, 1, 50), F.substring(s, 53, 100))).when(i % 7 == 2, F.concat(F.substring(s, 1, 60), F.lit("AC"), F.substring(s, 61, 100))).otherwise(s)
+    return X.reads(spark, d).withColumn("sequence", cut)
+
+
+def _band_sql(chained: str, of: str, band: int) -> str:
+    """The banded dynamic programming of the reads ``of``, a read's row of lanes at a time, and the way back from the best cell."""
+    width, lanes = 2 * band + 1, f"range({2 * band + 1})"
+    # gaps along a row: lanes reach one, two, four, ... to the right
+    steps, shift = "", 1
+    while shift < width:
+        steps = f"SELECT read_id, i, len, d, win, inside, [CASE WHEN inside[b + 1] THEN greatest(h[b + 1], CASE WHEN b >= {shift} THEN h[b + 1 - {shift}] - {6 * shift} ELSE 0 END) ELSE 0 END FOR b IN {lanes}] AS h FROM ({steps or 'BASE'})"
+        shift *= 2
+    c = f"substr(win, (i + 1 + d - {band} + b)::INT + 1, 1)"
+    base = f"""SELECT read_id, i + 1 AS i, len, d, win, inside, [CASE WHEN inside[b + 1] THEN greatest(0, h[b + 1] + CASE WHEN substr(sequence, i::INT + 2, 1) = {c} THEN 1 ELSE -4 END, coalesce(h[b + 2], 0) - 6) ELSE 0 END FOR b IN {lanes}] AS h
+ FROM (SELECT *, [i + 1 + d - {band} + b >= 0 AND i + 1 + d - {band} + b < length(win) FOR b IN {lanes}] AS inside FROM dp JOIN (SELECT read_id, sequence FROM {of}) USING (read_id) WHERE i + 1 < len)"""
+    return chained + f""", faced AS MATERIALIZED (SELECT r.read_id, r.sequence, c.contig, greatest(0, c.position - c.read_offset - 100) AS from_, c.position - c.read_offset - greatest(0, c.position - c.read_offset - 100) AS d,
+ substr(g.sequence, greatest(0, c.position - c.read_offset - 100)::INT + 1, length(r.sequence) + 200) AS win FROM {of} r JOIN chained c USING (read_id) JOIN contigs g ON g.name = c.contig),
+dp AS (SELECT read_id, -1::BIGINT AS i, length(sequence) AS len, d, win, [0 FOR b IN {lanes}] AS h FROM faced UNION ALL SELECT read_id, i, len, d, win, h FROM ({steps.replace('BASE', base)})),
+cells AS MATERIALIZED (SELECT read_id, i, h, list_max(h) AS top FROM dp),
+best AS (SELECT read_id, max(top) AS score, arg_max(i, top * 1000 - i) AS i FROM cells GROUP BY 1 HAVING max(top) > 0),
+back AS (SELECT b.read_id, b.score, b.i, list_position(c.h, b.score) - 1 AS lane, '' AS ops, 0 AS edits, b.i AS last_i, b.i AS first_i, 0::BIGINT AS first_col, false AS done FROM best b JOIN cells c ON c.read_id = b.read_id AND c.i = b.i
+ UNION ALL SELECT read_id, score, CASE WHEN v = 0 OR step = 'D' THEN i ELSE i - 1 END, CASE WHEN v = 0 THEN lane WHEN step = 'I' THEN lane + 1 WHEN step = 'D' THEN lane - 1 ELSE lane END, CASE WHEN v = 0 THEN ops ELSE step || ops END,
+  edits + CASE WHEN v > 0 AND (step <> 'M' OR NOT same) THEN 1 ELSE 0 END, last_i, CASE WHEN v = 0 THEN first_i ELSE i END, CASE WHEN v = 0 THEN first_col ELSE col END, v = 0
+  FROM (SELECT *, CASE WHEN v = diag THEN 'M' WHEN v = up THEN 'I' ELSE 'D' END AS step FROM
+  (SELECT k.*, c.h[k.lane + 1] AS v, k.i + a.d - {band} + k.lane AS col, substr(a.sequence, k.i::INT + 1, 1) = substr(a.win, (k.i + a.d - {band} + k.lane)::INT + 1, 1) AS same,
+   p.h[k.lane + 1] + CASE WHEN substr(a.sequence, k.i::INT + 1, 1) = substr(a.win, (k.i + a.d - {band} + k.lane)::INT + 1, 1) THEN 1 ELSE -4 END AS diag, coalesce(p.h[k.lane + 2], 0) - 6 AS up
+   FROM back k JOIN cells c ON c.read_id = k.read_id AND c.i = k.i JOIN cells p ON p.read_id = k.read_id AND p.i = k.i - 1 JOIN faced a ON a.read_id = k.read_id WHERE NOT k.done AND k.i >= 0 AND k.lane BETWEEN 0 AND {width - 1})))"""
+
+
+_TRACED = """traced AS (SELECT read_id, any_value(score) AS score, arg_max(ops, length(ops)) AS ops, max(edits) AS edits, any_value(last_i) AS last_i, min(first_i) AS first_i, arg_max(first_col, length(ops)) AS first_col FROM back GROUP BY 1)"""
+
+
+@query(_band_sql(_BENT, "bent", 8) + ", " + _TRACED + """ SELECT a.read_id, a.contig, coalesce(t.score, 0)::INT AS score, (from_ + coalesce(first_col, 0))::BIGINT AS start, coalesce(edits, 0)::INT AS edits,
+ CASE WHEN t.score IS NULL THEN '*' ELSE (CASE WHEN first_i > 0 THEN first_i || 'S' ELSE '' END) || array_to_string([length(x) || x[1] FOR x IN regexp_extract_all(ops, 'M+|I+|D+')], '') || (CASE WHEN last_i + 1 < length(a.sequence) THEN (length(a.sequence) - last_i - 1) || 'S' ELSE '' END) END AS cigar
+ FROM faced a LEFT JOIN traced t USING (read_id)""", recursive=True)
+def banded_cigar(spark, d):
+    """Alignments with their CIGARs of reads with gaps, in a band of 8 diagonals to either side."""
+    r, c = _bent(spark, d), X.contigs(spark, d)
+    chained = A.chain(A.seeds(r, A.kmer_index(c)))
+    return A.place_banded(r, chained, c, BandedParams(band=8), trace=True).select("read_id", "contig", "score", "start", "edits", "cigar")
+
+
+@query(_band_sql(_CHAIN, "reads", 64) + """ SELECT a.read_id, a.contig, (from_ + coalesce(greatest(0, d - 64 + list_position(c.h, b.score) - 1), 0))::BIGINT AS start, coalesce(b.score, 0)::INT AS score, least(60, coalesce(b.score, 0))::INT AS mapq
+ FROM faced a LEFT JOIN best b ON b.read_id = a.read_id LEFT JOIN cells c ON c.read_id = b.read_id AND c.i = b.i""", recursive=True, slow=True)
 def banded_align(spark, d):
     return A.place_banded(X.reads(spark, d), _chained(spark, d), X.contigs(spark, d)).select("read_id", "contig", "start", "score", "mapq")
 
@@ -208,6 +313,18 @@ def unmapped_reads(spark, d):
     return A.sam_rows(r, placed).where(F.col("flag").bitwiseAND(4) != 0).select("read_id", "flag")
 
 
+@query(_SAM + " SELECT qname, flag, rname, pos, mapq, cigar, seq, qual, score FROM sam")
+def align_files(spark, d):
+    """Reads and reference from their files: FASTQ in byte ranges, FASTA in tiles that no step puts together again."""
+    from strandline.sources import fastq
+
+    folder = scratch_folder(spark, "reads")
+    sinks.fastq_lines(X.reads(spark, d).repartitionByRange(3, "read_id").sortWithinPartitions("read_id")).write.text(folder)
+    reads, tiles = fastq.read_fastq(spark, f"{folder.removeprefix('file:')}/part-*", split=1 << 18), _reference_files(spark, d, A.TILE, 5000)
+    placed = A.place_ungapped(reads, A.chain(A.seeds(reads, A.kmer_index(tiles))), tiles)
+    return A.sam_rows(reads, placed).select("qname", "flag", "rname", "pos", "mapq", "cigar", "seq", "qual", "score")
+
+
 _FLAGGED = _ALIGN + """, rows0 AS (SELECT read_id, gpos, start, contig, mapq, CASE WHEN read_id % 11 = 0 THEN 0 ELSE score END::INT score, (CASE WHEN read_id % 5 = 0 THEN 256 ELSE 0 END + CASE WHEN read_id % 7 = 0 THEN 2048 ELSE 0 END + CASE WHEN read_id % 13 = 0 THEN 1024 ELSE 0 END)::INT flag FROM aligned)"""
 
 
@@ -706,10 +823,9 @@ def stream_totals(spark, d):
     """The streaming totals of the reads, run to completion over a file stream into a memory table."""
     import uuid
 
-    from strandline.shared import shared_folder
     from strandline.streaming import realtime as R
 
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "stream")
     X.reads(spark, d).repartition(4).write.parquet(f"{folder}/in")
     name = f"totals_{uuid.uuid4().hex}"
     q = R.totals(R.watch_reads(spark, f"{folder}/in", 1)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()

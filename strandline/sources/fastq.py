@@ -1,6 +1,6 @@
 """FASTQ and FASTA as Spark data sources.
 
-``register(spark)`` adds the formats ``fastq`` and ``fasta`` (batch) and ``fastq_tail`` (streaming). A plain FASTQ file of more than
+``register(spark)`` adds the formats ``fastq``, ``fasta`` and ``fasta_pieces`` (batch) and ``fastq_tail`` (streaming). A plain FASTQ file of more than
 ``split`` bytes is read in byte ranges, each from the first record that begins in it; gzip files, and modes that depend on what
 stands before, are one partition a file. Rows go to Spark in Arrow batches. ``mode`` is ``fail`` (default), ``truncate`` (a
 malformed record ends its file) or ``skip``. Files lie in a folder that all machines mount.
@@ -275,8 +275,156 @@ class FastaSource(DataSource):
         return FastaReader(dict(self.options))
 
 
+#: Bytes that are read at once, bases of a row, and the longest header line that may cross the start of a range.
+BLOCK, PIECE, HEADER = 1 << 20, 1 << 16, 1 << 16
+_SPACE = b" \t\r\n\v\f"
+
+
+def _in_header(f, start: int) -> bool:
+    """Whether a byte range starts within a header line: the line's begin is looked for in the ``HEADER`` bytes before."""
+    f.seek(max(0, start - HEADER))
+    before = f.read(min(HEADER, start))
+    at = before.rfind(b"\n")
+    return before[at + 1 : at + 2] == b">" if at >= 0 or start <= HEADER else False
+
+
+def fasta_sections(f, start: int = 0, end: int | None = None) -> Iterator[tuple[int, str | None, int, bytes]]:
+    """(section, name, offset, bases) of a byte range of an open FASTA file, at most ``PIECE`` bases at once.
+
+    Section 0 goes on with what stands before the range and has no name; each header line that begins in the range starts
+    the next one, and a row without bases tells its name. A header that crosses the range's end is read to its own end; bases belong to the range that they
+    stand in. White space is no base.
+    """
+    line_start = start == 0
+    skipping = False
+    if start:
+        f.seek(start - 1)
+        line_start = f.read(1) == b"\n"
+        skipping = not line_start and _in_header(f, start)
+        f.seek(start)
+    section, offset, header, held, size = 0, 0, None, [], 0
+    left = float("inf") if end is None else end - start
+    while left > 0 or header is not None:
+        data = f.read(int(min(BLOCK, left)) if left > 0 else HEADER)
+        if not data:
+            break
+        left -= len(data)
+        at = 0
+        while at < len(data):
+            if header is not None or skipping:  # the rest of a header
+                stop = data.find(b"\n", at)
+                part = data[at:] if stop < 0 else data[at:stop]
+                if header is not None:
+                    header += part
+                if stop < 0:
+                    break
+                at, line_start, skipping = stop + 1, True, False
+                if header is not None:
+                    section, offset = section + 1, 0
+                    yield section, header.rstrip(_SPACE).decode("utf-8", "replace").split(" ")[0], 0, b""
+                    header = None
+                    if left <= 0 and end is not None and f.tell() - len(data) + at >= end:
+                        return
+                continue
+            if line_start and data[at : at + 1] == b">":
+                header, at, line_start = b"", at + 1, False
+                if held:
+                    yield section, None, offset, b"".join(held)
+                    offset, held, size = offset + size, [], 0
+                continue
+            stop = data.find(b"\n>", at)
+            part = data[at:] if stop < 0 else data[at : stop + 1]
+            at += len(part)
+            line_start = part.endswith(b"\n")
+            bases = part.translate(None, _SPACE)
+            for lo in range(0, len(bases), PIECE):
+                piece = bases[lo : lo + PIECE]
+                if size + len(piece) > PIECE:
+                    yield section, None, offset, b"".join(held)
+                    offset, held, size = offset + size, [], 0
+                held.append(piece)
+                size += len(piece)
+    if header is not None:  # the file ends with a header line
+        yield section + 1, header.rstrip(_SPACE).decode("utf-8", "replace").split(" ")[0], 0, b""
+    if held:
+        yield section, None, offset, b"".join(held)
+
+
+class FastaPieces(DataSourceReader):
+    """Plain files in byte ranges, gzip files whole; no row holds more than ``PIECE`` bases."""
+
+    def __init__(self, options):
+        self.path, self.split = options["path"], int(options.get("split", SPLIT))
+
+    def partitions(self):
+        out = []
+        for i, p in enumerate(_paths(self.path)):
+            size = os.path.getsize(p)
+            step = max(1, size) if p.endswith(".gz") else self.split
+            out += [_File(p, i, k, at, -1 if p.endswith(".gz") else min(at + step, size)) for k, at in enumerate(range(0, max(1, size), step))]
+        return out
+
+    def read(self, partition):
+        gz = partition.path.endswith(".gz")
+        with gzip.open(partition.path, "rb") if gz else open(partition.path, "rb") as f:
+            rows = fasta_sections(f) if gz else fasta_sections(f, partition.start, partition.end)
+            while part := list(itertools.islice(rows, 64)):
+                n, (section, name, at, bases) = len(part), zip(*part)
+                cols = [pa.array([partition.file] * n, pa.int32()), pa.array([partition.part] * n, pa.int32()), pa.array(section, pa.int32()), pa.array(name, pa.string()), pa.array(at, pa.int64()), pa.array([b.decode("ascii", "replace") for b in bases], pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, ["file", "part", "section", "name", "at", "bases"])
+
+
+class FastaPiecesSource(DataSource):
+    @classmethod
+    def name(cls):
+        return "fasta_pieces"
+
+    def schema(self):
+        return "file int, part int, section int, name string, at bigint, bases string"
+
+    def reader(self, schema):
+        return FastaPieces(dict(self.options))
+
+
+def read_fasta_tiles(spark: SparkSession, path: str, folder: str, tile: int | None = None, split: int = SPLIT) -> DataFrame:
+    """The tiles of a reference (name, ordinal, length, tile, piece, tile_size) straight from its files, for every function that takes contigs.
+
+    The files are read once, in byte ranges, and their pieces written to ``folder``; a table of the ranges' sections (a row a range and
+    a row a header) gives each piece its contig and place. No row, here or later, holds more than two tiles' bases. Of a repeated name the last sequence
+    stands at the first place, as in ``read_fasta``; a contig without bases has no tile.
+    """
+    from strandline.operators.align import TILE
+
+    tile = tile or TILE
+    register(spark)
+    spark.read.format("fasta_pieces").option("split", split).load(path).write.parquet(f"{folder}/pieces")
+    pieces = spark.read.parquet(f"{folder}/pieces")
+    place = ["file", "part", "section"]
+    sections = pieces.groupBy(*place).agg(F.max("name").alias("own"), F.sum(F.length("bases")).alias("n"))
+    order = Window.partitionBy("file").orderBy("part", "section")
+    until = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sections = sections.withColumn("header", F.last(F.when(F.col("own").isNotNull(), F.struct("file", "part", "section", F.col("own").alias("name"))), ignorenulls=True).over(until)).where("header is not null")
+    sections = sections.withColumn("start", F.coalesce(F.sum("n").over(Window.partitionBy("header").orderBy("part", "section").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    contigs = sections.groupBy("header").agg(F.sum("n").alias("length"))
+    contigs = contigs.groupBy(F.col("header.name").alias("contig")).agg(F.min("header").alias("first"), F.max_by("header", F.struct("header.file", "header.part", "header.section")).alias("header"), F.max_by("length", F.struct("header.file", "header.part", "header.section")).alias("length"))
+    contigs = contigs.select("contig", "header", "length", (F.col("first.file").cast("bigint") * (1 << 44) + F.col("first.part").cast("bigint") * (1 << 27) + F.col("first.section")).alias("ordinal"))
+    sections = sections.join(contigs, "header").select(*place, "contig", "ordinal", "length", "start")
+    placed = pieces.where("bases <> ''").join(small(sections), place).withColumn("position", F.col("start") + F.col("at"))
+    last = F.expr(f"(position + length(bases) - 1) div {tile}")
+    cut = placed.withColumn("own_tile", F.explode(F.sequence(F.expr(f"position div {tile}"), last)))
+    begin = F.greatest(F.col("position"), F.col("own_tile") * tile)
+    part = F.substr("bases", (begin - F.col("position") + 1).cast("int"), ((F.col("own_tile") + 1) * tile - begin).cast("int"))
+    cut = cut.select("contig", "ordinal", "length", "own_tile", begin.alias("begin"), part.alias("part"))
+    # a tile's row holds the next tile's bases too
+    cut = cut.select("*", F.explode(F.array("own_tile", F.col("own_tile") - 1)).alias("t")).where("t >= 0")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("begin", "part"))), lambda x: x["part"]), "")
+    out = cut.groupBy(F.col("contig").alias("name"), "ordinal", "length", F.col("t").cast("int").alias("tile")).agg(joined.alias("piece"))
+    out.withColumn("tile_size", F.lit(tile)).write.parquet(f"{folder}/tiles")
+    return spark.read.parquet(f"{folder}/tiles")
+
+
 def register(spark: SparkSession) -> None:
-    for source in (FastqSource, FastqTail, FastaSource):
+    for source in (FastqSource, FastqTail, FastaSource, FastaPiecesSource):
         spark.dataSource.register(source)
 
 

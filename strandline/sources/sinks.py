@@ -7,10 +7,12 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.operators.align import contig_starts
+
 
 def sam_header(contigs: DataFrame, program: str = "strandline", order: str = "unsorted") -> list[str]:
     """Header lines; contigs by name. The contig list is metadata of the reference and small."""
-    rows = contigs.select("name", F.length("sequence").alias("n")).orderBy("name").collect()
+    rows = contig_starts(contigs).selectExpr("name", "length n").orderBy("name").collect()
     return [f"@HD\tVN:1.6\tSO:{order}"] + [f"@SQ\tSN:{r[0]}\tLN:{r[1]}" for r in rows] + [f"@PG\tID:{program}\tPN:{program}"]
 
 

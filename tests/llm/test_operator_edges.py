@@ -78,7 +78,6 @@ def test_scratch_drops_its_own_tables(spark):
     with pytest.raises(Exception):
         spark.read.parquet(a._scratch_path)
     scratch.clear()
-    _spark.release(spark)
 
 
 # ---- 2

@@ -25,15 +25,18 @@ def table(rows, cols):
     return [cols[i] for i in order], sorted(repr(tuple(round(float(r[i]), 6) if isinstance(r[i], float) else r[i] for i in order)) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+SQL = registry.oracle_sql() | registry.small_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, con, name):
     df = registry.queries()[name](spark, SF)
     got = table([tuple(r) for r in df.collect()], df.columns)
-    rel = con.sql(registry.oracle_sql()[name])
+    rel = con.sql(SQL[name])
     assert got == table(rel.fetchall(), rel.columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(SQL)))
 def test_other_queries_run(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
 
