@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import uuid
 
 import numpy as np
@@ -89,6 +90,12 @@ class Scratch:
                 at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def tidy_driver(spark: SparkSession) -> None:
+    """Let go of the plans that the driver's Python still holds in cycles, and of its freed native memory."""
+    gc.collect()
+    trim_driver(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -31,6 +31,9 @@ ROUNDS = 12
 RATE = 0.5
 TEMPERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 
+#: Rounds of a plan; more of them in one plan take the driver's memory.
+STEP = 2
+
 #: Up to so many cells (some 100 bytes each) are raked in one partition, without a shuffle.
 CELLS = 200_000
 
@@ -153,7 +156,7 @@ def rake(cells: DataFrame, tempers: dict[str, float], rounds: int, scratch: Scra
     cells = scratch.put(cells.withColumn("grand", F.lit(float(grand) * (1.0 if rate is None else float(rate)))))
     used_up = F.when(F.col("fit") >= F.col("w") * FULL, F.col("fit")).otherwise(0.0)
     for r in range(rounds):
-        cells = cells.coalesce(1) if whole and r % 4 == 0 else cells
+        cells = cells.coalesce(1) if whole and r % STEP == 0 else cells
         for dim in dims:
             if whole:  # one partition needs no exchange for its windows
                 level = Window.partitionBy(f"m_{dim}")
@@ -162,7 +165,7 @@ def rake(cells: DataFrame, tempers: dict[str, float], rounds: int, scratch: Scra
                 sums = scratch.put(cells.groupBy(f"m_{dim}").agg(F.sum("fit").alias("s"), F.sum(used_up).alias("u")))
                 cells, total, full = cells.join(small(sums), f"m_{dim}"), F.col("s"), F.col("u")
             cells = (_scaled(cells, dim, total) if rate is None else _bounded(cells, dim, total, full)).drop("s", "u")
-        if not whole or r % 4 == 3 or r + 1 == rounds:
+        if not whole or r % STEP == STEP - 1 or r + 1 == rounds:
             old, cells = cells, scratch.put(cells)
             scratch.drop(old)
     return cells
