@@ -15,33 +15,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm import decontaminate, mixing, ngram_join, packing, toxicity
-from strandline.llm._spark import Scratch, bounded_batches, table
+from strandline.llm._spark import Scratch, bounded_batches, table, tidy_driver
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the string-kernel model scores below 0.5 stay."""
     bounded_batches(spark)
+    tidy_driver(spark)
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: that of the smallest doc_id."""
+    tidy_driver(spark)
     return ngram_join.one_of_each(docs, k=5, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item stay."""
+    tidy_driver(spark)
     return decontaminate.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample by calibrated probabilities of source, language and topic; it has the target marginals itself, without weights."""
+    tidy_driver(spark)
     return mixing.mix(docs, exact=True).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of token ids with segment lengths and position resets."""
     bounded_batches(spark)
+    tidy_driver(spark)
     return packing.pack(docs)
 
 
