@@ -140,7 +140,7 @@ def kmer_search(spark, d):
     return A.search_kmer(A.kmer_index(X.contigs(spark, d)), X.reads(spark, d).select(F.substring("sequence", 1, 19).alias("kmer")))
 
 
-_ASKED_ANY = """asked AS (SELECT DISTINCT substr(sequence, (read_id % 17)::INT + 1, {n}) AS pattern FROM reads), places AS (SELECT pattern, name AS contig, unnest(list_filter(range(1024), i -> substr(sequence, i::INT + 1, length(pattern)) = pattern)) AS position FROM asked, contigs)"""
+_ASKED_ANY = """asked AS (SELECT DISTINCT substr(sequence, (read_id % 17)::INT + 1, {n}) AS pattern FROM reads), places AS (SELECT pattern, name AS contig, unnest([i FOR i IN range(1024) IF substr(sequence, i::INT + 1, length(pattern)) = pattern]) AS position FROM asked, contigs WHERE contains(sequence, pattern))"""
 
 
 def _any_patterns(spark, d, length: str):
@@ -168,9 +168,9 @@ def pattern_search(spark, d):
     return suffixes.search(_any_patterns(spark, d, "cast(8 + read_id % 93 as int)"), _suffixes(spark, d), X.contigs(spark, d))
 
 
-@query("SELECT name AS contig, i AS position, row_number() OVER (ORDER BY substr(sequence, i::INT + 1)) - 1 AS rank FROM contigs, range(1024) g(i)")
+@query("SELECT name AS contig, i AS position, rank() OVER (ORDER BY substr(sequence, i::INT + 1)) - 1 AS rank FROM contigs, range(1024) g(i)")
 def suffix_order(spark, d):
-    """The suffix array of all contigs. Theirs are hashes, so no two suffixes are equal."""
+    """The suffix array of all contigs; equal suffixes of different contigs share their rank."""
     return _suffixes(spark, d).order(spark)
 
 
