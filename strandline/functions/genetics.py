@@ -54,10 +54,9 @@ def quality_of(k: np.ndarray, n: np.ndarray) -> np.ndarray:
     k, n = np.asarray(k, float), np.asarray(n, float)
     if not len(k):
         return np.empty(0, np.int32)
-    like = np.sort(np.exp(np.stack([log_binomial(k, n, p) for p in (0.01, 0.5, 0.99)])), axis=0)
+    like = np.sort(np.stack([log_binomial(k, n, p) for p in (0.01, 0.5, 0.99)]), axis=0)
     second, best = like[1], like[2]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        q = np.where(second > 1e-10, 10 * np.log10(best / second), 10 * np.log10(np.maximum(n, 1)))
+    q = np.where(second > math.log(1e-10), 10 * (best - second) / math.log(10), 10 * np.log10(np.maximum(n, 1)))
     return np.where(n > 0, np.clip(q, 0, 60), 0).astype(np.int32)
 
 

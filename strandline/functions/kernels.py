@@ -396,8 +396,9 @@ def primer_udf(panel: list[tuple[int, str, str]], params: TrimParams):
 def best_joins(strings, abundance, parents: list[tuple[int, str, int]], p: ChimeraParams, references: bool) -> tuple[np.ndarray, np.ndarray]:
     """(distance, breakpoint) of the best join of two parents' sides for each string, -1 without one.
 
-    De novo, parents are those at least ``abundance_ratio`` times as abundant, two at least, and each side takes its best;
-    against references the two sides come from different ones.
+    De novo, parents are those at least ``abundance_ratio`` times as abundant, two at least, and each side takes its best
+    of those that are as long as the string; against references the two sides come from different ones, the left one reaching to the breakpoint and
+    the right one to the string's end.
     """
     strings, abundance = list(strings), np.asarray(abundance, np.float64)
     out, spot = np.full(len(strings), -1), np.full(len(strings), -1)
@@ -417,20 +418,20 @@ def best_joins(strings, abundance, parents: list[tuple[int, str, int]], p: Chime
             at = rows[lo : lo + step]
             own = _letters([strings[i] for i in at], n, -4)
             unequal = np.concatenate((np.zeros((len(at), len(parents), 1), np.int32), np.cumsum(own[:, None] != codes[None], axis=2, dtype=np.int32)), axis=2)
-            total = unequal[:, :, -1]  # beyond a parent's end every place differs; a longer parent is cut
+            total = unequal[:, :, -1]  # a longer parent is cut
+            whole = known >= n
             best, place = np.full(len(at), none), np.full(len(at), -1)
             for bp in points.tolist():
                 left = unequal[:, :, bp]
                 right = total - left
-                ok = np.broadcast_to(known >= bp, left.shape)
-                if not references:
-                    ok = ok & (heavy >= p.abundance_ratio * abundance[at][:, None])
-                many = ok.sum(1) >= 2
-                l, r = np.where(ok, left, none // 4), np.where(ok, right, none // 4)
                 if references:
-                    d = _two_sides(l, r)
+                    d = _two_sides(np.where(known >= bp, left, none // 4), np.where(whole, right, none // 4))
+                    many = d < none // 4
                 else:
-                    d = l.min(1) + r.min(1)
+                    ok = heavy >= p.abundance_ratio * abundance[at][:, None]
+                    many, ok = ok.sum(1) >= 2, ok & whole
+                    d = np.where(ok, left, none // 4).min(1) + np.where(ok, right, none // 4).min(1)
+                    many &= ok.any(1)
                 better = many & (d < best)
                 best[better], place[better] = d[better], bp
             found = place >= 0

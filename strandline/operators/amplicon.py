@@ -276,14 +276,15 @@ def _joins(queries: DataFrame, parents: DataFrame, params: ChimeraParams, refere
 
 
 def _sides(queries: DataFrame, parents: DataFrame, params: ChimeraParams) -> DataFrame:
-    """id, bp, parent, abundance: distances of both sides of every breakpoint to every parent that is long enough."""
+    """id, bp, parent, abundance: distances of both sides of every breakpoint to every parent; NULL on the left where it ends before
+    the breakpoint, and on the right where it ends before the query."""
     cut = queries.where(F.length("sequence") >= params.min_length).withColumn("bp", F.explode(F.sequence(F.lit(params.edge), F.length("sequence") - params.edge, F.lit(params.step))))
     met = cut.join(parents.selectExpr("ord parent", "sequence p", "abundance pa"))
     n = F.length("sequence")
     left = S.prefix_distance(F.substr("sequence", F.lit(1), F.col("bp")), F.substr("p", F.lit(1), F.col("bp")))
     right = S.prefix_distance(F.substr("sequence", F.col("bp") + 1, n), F.substr("p", F.col("bp") + 1, n - F.col("bp")))
-    # a parent that ends before the breakpoint has no right side
-    return met.where(F.length("p") >= F.col("bp")).select("id", "abundance", "bp", "parent", "pa", left.alias("dl"), right.alias("dr"))
+    left, right = F.when(F.length("p") >= F.col("bp"), left), F.when(F.length("p") >= n, right)
+    return met.select("id", "abundance", "bp", "parent", "pa", left.alias("dl"), right.alias("dr"))
 
 
 def _verdict(queries: DataFrame, best: DataFrame, params: ChimeraParams) -> DataFrame:
@@ -297,7 +298,8 @@ def chimera_de_novo(queries: DataFrame, parents: DataFrame, params: ChimeraParam
     best = _joins(queries, parents, params, False)
     if best is None:
         sides = _sides(queries, parents, params).where(F.col("pa") >= params.abundance_ratio * F.col("abundance"))
-        per = sides.groupBy("id", "bp").agg((F.min("dl") + F.min("dr")).alias("d"), F.count("*").alias("k")).where("k >= 2")
+        # two parents at least, of which each side takes one as long as the query
+        per = sides.groupBy("id", "bp").agg((F.min(F.expr("if(dr is not null, dl, null)")) + F.min("dr")).alias("d"), F.count("*").alias("k")).where("k >= 2 and d is not null")
         best = per.groupBy("id").agg(F.min(F.struct("d", "bp")).alias("b")).selectExpr("id", "b.d distance", "b.bp breakpoint")
     return _verdict(queries, best, params)
 
@@ -310,10 +312,10 @@ def chimera_reference(queries: DataFrame, references: DataFrame, params: Chimera
     best = _joins(queries, references, params, True)
     if best is None:
         sides = _sides(queries.withColumn("abundance", F.lit(0)), references, params)
-        two = lambda c: F.min(F.struct(c, "parent"))
+        two = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct(c, "parent")))
         first = sides.groupBy("id", "bp").agg(two("dl").alias("l"), two("dr").alias("r"))
         # the best of each side without the best one's parent: aggregates again, no list of references is gathered
-        more = sides.join(first, ["id", "bp"]).groupBy("id", "bp").agg(F.first("l").alias("l"), F.first("r").alias("r"), F.min(F.when(F.col("parent") != F.col("l.parent"), F.struct("dl", "parent"))).alias("l2"), F.min(F.when(F.col("parent") != F.col("r.parent"), F.struct("dr", "parent"))).alias("r2"))
+        more = sides.join(first, ["id", "bp"]).groupBy("id", "bp").agg(F.first("l").alias("l"), F.first("r").alias("r"), F.min(F.when((F.col("parent") != F.col("l.parent")) & F.col("dl").isNotNull(), F.struct("dl", "parent"))).alias("l2"), F.min(F.when((F.col("parent") != F.col("r.parent")) & F.col("dr").isNotNull(), F.struct("dr", "parent"))).alias("r2"))
         apart = [F.when(F.col(f"{x}.parent") != F.col(f"{y}.parent"), F.col(f"{x}.dl") + F.col(f"{y}.dr")) for x in ("l", "l2") for y in ("r", "r2")]
         per = more.select("id", "bp", F.array_min(F.array(*apart)).alias("d")).where("d is not null")
         best = per.groupBy("id").agg(F.min(F.struct("d", "bp")).alias("b")).selectExpr("id", "b.d distance", "b.bp breakpoint")

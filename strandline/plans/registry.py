@@ -818,6 +818,18 @@ def panel_stats(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ("collapse_ratio", "assignment_rate", "alignment_rate")})
 
 
+@query(_ASSIGN + """, seen AS (SELECT t.chromosome, substr(g.sequence, 101, 1) AS ref, substr(a.sequence, 21, 1) AS b, sum(a.read_count)::BIGINT AS n FROM assigned a JOIN targets t USING (amplicon_id) JOIN contigs g ON g.name = t.chromosome WHERE length(a.sequence) >= 21 GROUP BY ALL),
+depths AS (SELECT chromosome, sum(n)::BIGINT AS depth, coalesce(max(n) FILTER (b <> ref AND b IN ('A', 'C', 'G', 'T')), 0) AS alt FROM seen GROUP BY 1),
+one AS (SELECT (SELECT sum(read_count)::BIGINT FROM assigned) a, (SELECT count(*) FROM assigned) b, (SELECT count(amplicon_id) FROM assigned) c, (SELECT count(*) FROM depths WHERE depth >= 10 AND alt > 0 AND alt / depth::DOUBLE >= 0.01) v)
+SELECT a AS total_reads, b AS collapsed_clusters, round(a / b, 6) AS collapse_ratio, c AS assigned_clusters, round(c / b, 6) AS assignment_rate, c AS aligned_clusters, 1.0::DOUBLE AS alignment_rate, v AS variants_called FROM one""")
+def panel_run_stats(spark, d):
+    """The statistics of a whole panel run, from reads to calls."""
+    from strandline.plans import pipelines as P
+
+    out = P.call_panel(X.reads(spark, d), X.targets(spark, d), X.contigs(spark, d), CALL, distance=0).stats
+    return out.select("total_reads", "collapsed_clusters", F.round("collapse_ratio", 6).alias("collapse_ratio"), "assigned_clusters", F.round("assignment_rate", 6).alias("assignment_rate"), "aligned_clusters", F.round("alignment_rate", 6).alias("alignment_rate"), "variants_called")
+
+
 @query("SELECT count(*) AS total_reads, sum(length(sequence))::BIGINT AS total_bases FROM reads")
 def stream_totals(spark, d):
     """The streaming totals of the reads, run to completion over a file stream into a memory table."""

@@ -18,7 +18,7 @@ import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from strandline.shared import small
 
@@ -66,6 +66,11 @@ SPLIT = 128 << 20
 ROWS = 4096
 
 
+#: Bytes that are read at once, bases of a row, and the longest header line that may cross the start of a range.
+BLOCK, PIECE, HEADER = 1 << 20, 1 << 16, 1 << 16
+_SPACE = b" \t\r\n\v\f"
+
+
 def _blank(line: bytes) -> bool:
     return line in (b"\n", b"\r\n")
 
@@ -148,62 +153,77 @@ class FastqReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays(cols, ["file", "part", "place", "name", "sequence", "quality"])
 
 
-class FastqStream(SimpleDataSourceStreamReader):
-    """Follows growing plain FASTQ files by byte offset; a record counts once all of it has been written."""
+def read_ended(path: str, start: int, end: int) -> Iterator[tuple[str, str, str]]:
+    """Records of a plain file that end in the byte range (start, end]; what stands before the range tells where they begin.
+
+    A record counts where its last line's end stands, so ranges that meet share none and lose none, and what is still being
+    written counts in a later range. Lines that make no record are left out, one after another until four do.
+    """
+    with open(path, "rb") as f:
+        back = HEADER
+        while (at := max(0, start - back)) and (first := _first_record(f, at)) > start:
+            back *= 4
+        at = first if at else 0
+        f.seek(at)
+        lines: list[bytes] = []
+        while at < end:
+            while len(lines) < 4:
+                line = f.readline()
+                if not line.endswith(b"\n"):
+                    return
+                if not lines and _blank(line):
+                    at += len(line)
+                    continue
+                lines.append(line)
+            if not _good(lines):
+                at += len(lines.pop(0))
+                while lines and _blank(lines[0]):
+                    at += len(lines.pop(0))
+                continue
+            at += sum(map(len, lines))
+            if start < at <= end:
+                head, seq, _, qual = (x.rstrip(b"\r\n").decode("utf-8", "replace") for x in lines)
+                yield head[1:], seq, qual
+            lines = []
+
+
+class FastqStream(DataSourceStreamReader):
+    """Follows growing plain FASTQ files. Offsets are file sizes, which the driver looks up; executors read the byte ranges between them.
+
+    A batch takes at most ``maxBytesPerTrigger`` of each file from where the last one ended. The first batch after a restart takes what
+    there is, since Spark does not say where that was; ranges of ``split`` bytes keep its tasks small all the same.
+    """
 
     def __init__(self, options):
         self.path = options["path"]
         self.limit = int(options.get("maxBytesPerTrigger", 8 << 20))
+        self.split = int(options.get("split", 32 << 20))
+        self.until: dict | None = None
 
     def initialOffset(self):
+        self.until = {}
         return {}
 
-    def _complete(self, path: str, at: int) -> tuple[list, int]:
-        """The whole records from an offset on, of about ``limit`` bytes but one record at least, and where they end."""
-        size = self.limit
-        with open(path, "rb") as f:
-            while True:
-                f.seek(at)
-                raw = f.read(size)
-                rows, done = self._records(raw, path)
-                if done or len(raw) < size:
-                    return rows, at + done
-                size *= 2
-
-    @staticmethod
-    def _records(raw: bytes, path: str) -> tuple[list, int]:
-        """Records of whole lines, and the bytes up to the end of the last; malformed ones are left out, here and on replay."""
-        lines, rows, done, i, at = raw.split(b"\n")[:-1], [], 0, 0, 0
-        while i < len(lines):
-            n = 1 if not lines[i].rstrip(b"\r") else 4
-            if i + n > len(lines):
-                break
-            four = [x.rstrip(b"\r") for x in lines[i : i + n]]
-            if _good(four):
-                head, seq, _, qual = (x.decode("utf-8", "replace") for x in four)
-                rows.append((head[1:], seq, qual, path))
-            at += sum(len(x) + 1 for x in lines[i : i + n])
-            done, i = at, i + n
-        return rows, done
-
-    def read(self, start):
-        rows, end = [], dict(start)
-        for p in _paths(self.path):
-            if not p.endswith(".gz"):
-                new, at = self._complete(p, int(start.get(p, 0)))
-                rows += new
-                end[p] = at
-        return iter(rows), end
-
-    def readBetweenOffsets(self, start, end):
-        rows = []
+    def latestOffset(self):
+        sizes = {p: os.path.getsize(p) for p in _paths(self.path) if not p.endswith(".gz")}
+        if self.until is None:
+            return sizes
+        at = {p: int(self.until.get(p, 0)) for p in sizes}
+        return self.until | {p: max(at[p], min(size, at[p] + self.limit)) for p, size in sizes.items()}
+
+    def partitions(self, start, end):
+        self.until = dict(end)
+        out = []
         for p, stop in end.items():
             at = int(start.get(p, 0))
-            if stop > at:
-                with open(p, "rb") as f:
-                    f.seek(at)
-                    rows += self._records(f.read(int(stop) - at), p)[0]
-        return iter(rows)
+            out += [_File(p, start=lo, end=min(lo + self.split, int(stop))) for lo in range(at, int(stop), self.split)]
+        return out
+
+    def read(self, partition):
+        records = read_ended(partition.path, partition.start, partition.end)
+        while part := list(itertools.islice(records, ROWS)):
+            cols = [*(pa.array(x, pa.string()) for x in zip(*part)), pa.array([partition.path] * len(part), pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, ["name", "sequence", "quality", "path"])
 
     def commit(self, end):
         pass
@@ -231,7 +251,7 @@ class FastqTail(DataSource):
     def schema(self):
         return "name string, sequence string, quality string, path string"
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return FastqStream(dict(self.options))
 
 
@@ -275,11 +295,6 @@ class FastaSource(DataSource):
         return FastaReader(dict(self.options))
 
 
-#: Bytes that are read at once, bases of a row, and the longest header line that may cross the start of a range.
-BLOCK, PIECE, HEADER = 1 << 20, 1 << 16, 1 << 16
-_SPACE = b" \t\r\n\v\f"
-
-
 def _in_header(f, start: int) -> bool:
     """Whether a byte range starts within a header line: the line's begin is looked for in the ``HEADER`` bytes before."""
     f.seek(max(0, start - HEADER))

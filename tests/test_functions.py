@@ -196,3 +196,34 @@ def test_traces_in_parts_are_the_same(monkeypatch):
     whole = KN.banded_traces(reads, windows, d)
     monkeypatch.setattr(KN, "BAND_CELLS", 20_000)
     assert whole.equals(KN.banded_traces(reads, windows, d)) and whole["cigar"].str.contains("[ID]").any()
+
+
+def test_parents_shorter_than_the_query_take_no_part():
+    """A right side, and de novo a left side too, comes from a parent that reaches to the query's end."""
+    import random
+
+    from strandline.schemas import ChimeraParams
+
+    p = ChimeraParams()
+    query = "A" * 50 + "C" * 50
+    parents = [(0, "A" * 100, 50), (1, "C" * 95, 50), (2, "G" * 100, 50)]
+    for references in (False, True):
+        d, _ = KN.best_joins([query], [1], parents, p, references)
+        assert d[0] >= 50
+    rnd = random.Random(5)
+    base = lambda n: "".join(rnd.choice("AC") for _ in range(n))
+    parents = [(i, base(rnd.choice([60, 80, 95, 100, 120])), rnd.randrange(5, 60)) for i in range(6)]
+    queries = [(base(rnd.choice([60, 80, 100])), rnd.randrange(1, 30)) for _ in range(60)]
+    far = lambda a, b: sum(x != y for x, y in zip(a, b))
+    for references in (False, True):
+        got = KN.best_joins([q for q, _ in queries], [a for _, a in queries], parents, p, references)
+        for (q, a), d, bp in zip(queries, *got):
+            best = None
+            own = [x for x in parents if references or x[2] >= p.abundance_ratio * a]
+            for at in range(p.edge, len(q) - p.edge + 1, p.step):
+                lefts = {i: far(q[:at], s[:at]) for i, s, _ in own if len(s) >= (at if references else len(q))}
+                rights = {i: far(q[at:], s[at:]) for i, s, _ in own if len(s) >= len(q)}
+                sums = [lefts[i] + rights[j] for i in lefts for j in rights if i != j or not references]
+                if len(own) >= 2 and sums and (best is None or min(sums) < best[0]):
+                    best = (min(sums), at)
+            assert (d, bp) == (best or (-1, -1))

@@ -78,21 +78,41 @@ def test_tail_passes_large_and_malformed_records(tmp_path):
     text = f"@a\nAC\n+\nII\n@bad\nACG\n+\nI\n\n@big\n{big}\n+\n{'I' * 5000}\n@c\nGG\n+\nII\n@half\nAA\n"
     path = tmp_path / "a.fastq"
     path.write_text(text)
-    stream = Q.FastqStream({"path": str(path), "maxBytesPerTrigger": "16"})
-    at, seen, batches = {}, [], []
-    for _ in range(20):
-        rows, end = stream.read(at)
-        rows = list(rows)
-        assert list(stream.readBetweenOffsets(at, end)) == rows
-        seen += rows
-        batches.append((at, end))
-        if end == at:
-            break
-        at = end
-    assert [r[0] for r in seen] == ["a", "big", "c"] and seen[1][1] == big
-    assert list(stream.readBetweenOffsets({}, at)) == seen
+    size = len(text)
+
+    def names(*cuts):
+        edges = [0, *sorted(cuts), size]
+        return [r[0] for a, b in zip(edges, edges[1:]) for r in Q.read_ended(str(path), a, b)]
+
+    assert names() == ["a", "big", "c"]
+    for cut in [*range(1, 60), 5000, *range(size - 40, size)]:  # wherever a range ends, records are read once
+        assert names(cut) == ["a", "big", "c"] == names(cut, min(size, cut + 7))
     path.write_text(text + "+\nII\n")
-    assert [r[0] for r in stream.read(at)[0]] == ["half"]
+    assert [r[0] for r in Q.read_ended(str(path), size, size + 5)] == ["half"]
+    assert list(Q.read_ended(str(path), size, size + 4)) == []
+
+
+def test_a_tail_plans_offsets_and_reads_ranges(tmp_path):
+    for name, n in (("a", 50), ("b", 3)):
+        (tmp_path / f"{name}.fastq").write_text("".join(f"@{name}{i}\nACGT\n+\nIIII\n" for i in range(n)))
+    a, b = str(tmp_path / "a.fastq"), str(tmp_path / "b.fastq")
+    stream = Q.FastqStream({"path": str(tmp_path), "maxBytesPerTrigger": "100", "split": "30"})
+    at, seen, batches = stream.initialOffset(), [], 0
+    while (end := stream.latestOffset()) != at:
+        assert all(end[p] - at.get(p, 0) <= 100 for p in end)
+        parts = stream.partitions(at, end)
+        assert all(p.end - p.start <= 30 for p in parts)
+        rows = [r for p in parts for batch in stream.read(p) for r in batch.to_pylist()]
+        again = [r for p in stream.partitions(at, end) for batch in stream.read(p) for r in batch.to_pylist()]
+        assert rows == again
+        seen, at, batches = seen + rows, end, batches + 1
+    assert batches > 5 and sorted(r["name"] for r in seen) == sorted([f"a{i}" for i in range(50)] + [f"b{i}" for i in range(3)])
+    restarted = Q.FastqStream({"path": str(tmp_path), "maxBytesPerTrigger": "100"})
+    assert restarted.latestOffset() == at and restarted.partitions(at, at) == []
+    with open(a, "a") as f:
+        f.write("@late\nAC\n+\nII\n")
+    end = restarted.latestOffset()
+    assert end[b] == at[b] and [r["name"] for p in restarted.partitions(at, end) for x in restarted.read(p) for r in x.to_pylist()] == ["late"]
 
 
 def test_fasta_of_many_files_has_rising_ordinals(tmp_path):
