@@ -36,18 +36,38 @@ def members(reads: DataFrame) -> DataFrame:
     return reads.select("read_id", F.col("sequence").alias("consensus_sequence"))
 
 
-def near_pairs(sequences: DataFrame, distance: int) -> DataFrame:
-    """(a, b), a < b: pairs of distinct equal-length strings ``s`` within a Hamming distance.
+#: A posting of more strings than this is split by another segment, at most so often, while segments keep so many places.
+LONG, ROUNDS, LEAST = 64, 5, 4
 
-    Strings that differ in at most d places agree on one of d + 1 segments, so candidates meet by equi-join.
+
+def near_candidates(sequences: DataFrame, distance: int, long: int = LONG) -> DataFrame:
+    """(a, b), a < b: pairs of distinct equal-length strings ``s`` that share a short posting, among them all within the distance.
+
+    Strings that differ in at most d places agree on one of d + 1 segments, so candidates meet by equi-join. Where many
+    strings share a segment, as reads of one amplicon share their primer, they agree on one of d + 1 segments of what is left too, and
+    meet on both; and so on.
     """
     n = distance + 1
-    at = lambda i: (F.length("s") * i / n).cast("int")
-    parts = F.array(*(F.struct(F.lit(i).alias("i"), F.substr(F.col("s"), at(i) + 1, at(i + 1) - at(i)).alias("part")) for i in range(n)))
-    keyed = sequences.select("s", F.length("s").alias("n"), F.explode(parts).alias("k")).select("s", "n", "k.i", "k.part")
-    a, b = keyed.withColumnRenamed("s", "a"), keyed.withColumnRenamed("s", "b")
-    met = a.join(b, ["n", "i", "part"]).where("a < b").select("a", "b").distinct()
-    return met.where(S.hamming("a", "b") <= distance)
+    at = lambda i: (F.length("rest") * i / n).cast("int")
+    cut = lambda i: F.struct(F.concat("key", F.lit(f"{i}:"), F.substr("rest", at(i) + 1, at(i + 1) - at(i)), F.lit("|")).alias("key"), F.concat(F.substr("rest", F.lit(1), at(i)), F.substr("rest", at(i + 1) + 1, F.length("rest"))).alias("rest"))
+    rows, out = sequences.select("s", F.length("s").alias("n"), F.lit("").alias("key"), F.col("s").alias("rest")), None
+    for depth in range(ROUNDS):
+        keyed = rows.select("s", "n", F.explode(F.array(*map(cut, range(n)))).alias("k")).select("s", "n", "k.key", "k.rest")
+        shared = keyed.groupBy("n", "key").agg(F.count("*").alias("held")).where("held > 1")
+        met = _cut(keyed.join(shared, ["n", "key"]))
+        more = (F.col("held") > long) & (F.length("rest") >= n * LEAST) & F.lit(depth + 1 < ROUNDS)
+        now = met.where(~more)
+        pairs = now.selectExpr("n", "key", "s a").join(now.selectExpr("n", "key", "s b"), ["n", "key"]).where("a < b").select("a", "b")
+        out = pairs if out is None else out.union(pairs)
+        rows = met.where(more).select("s", "n", "key", "rest")
+        if rows.isEmpty():
+            break
+    return out.distinct()
+
+
+def near_pairs(sequences: DataFrame, distance: int, long: int = LONG) -> DataFrame:
+    """(a, b), a < b: pairs of distinct equal-length strings ``s`` within a Hamming distance."""
+    return near_candidates(sequences, distance, long).where(S.hamming("a", "b") <= distance)
 
 
 def merge_similar(clusters: DataFrame, distance: int = 2) -> DataFrame:

@@ -58,3 +58,36 @@ def test_local_alignment_over_all_contigs(spark):
     names = {r.ordinal: r.name for r in X.contigs(spark, SF).collect()}
     got = registry.queries()["sw_local"](spark, SF).collect()
     assert len(names) == 25 and {r.query_id: r.target_id for r in got} == names and all(r.score >= 150 for r in got)
+
+
+def test_strings_that_share_a_primer_are_not_all_candidates(spark):
+    """A hot segment, and two: candidates grow with the strings, and no pair within the distance is lost."""
+    import random
+
+    from strandline.operators import amplicon as M
+
+    rng = random.Random(6)
+    base = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+
+    def reads(n, head, tail):
+        inner = [base(40) for _ in range(n)]
+        near = [x[:i] + rng.choice("ACGT") + x[i + 1 : 30] + rng.choice("ACGT") + x[31:] for x in inner[: n // 10] for i in (3,)]
+        return sorted({head + x + tail for x in inner + near})
+
+    for head, tail in ((base(30), ""), (base(25), base(25))):
+        counts = []
+        for n in (200, 800):
+            texts = reads(n, head, tail)
+            frame = spark.createDataFrame([(x,) for x in texts], "s string")
+            counts.append(M.near_candidates(frame, 2, 16).count())
+            got = {tuple(r) for r in M.near_pairs(frame, 2, 16).collect()}
+            far = lambda a, b: sum(x != y for x, y in zip(a, b))
+            cores = {}
+            for t in texts:
+                cores.setdefault(t[len(head) :][:20], []).append(t)
+                cores.setdefault(t[len(head) + 20 :][:20], []).append(t)
+            if n == 200:
+                assert got == {(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :] if far(a, b) <= 2}
+            assert len(got) >= n // 20
+        assert counts[0] < 4 * 200 and counts[1] < 4 * 800  # all pairs would be some 24,000 and 380,000
+    assert M.near_pairs(spark.createDataFrame([("ACG",), ("ACT",), ("",), ("A",), ("C",)], "s string"), 2).count() == 2
