@@ -90,6 +90,22 @@ class Scratch:
                 at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def lean(scan):
+    """``scan`` as the function of tasks that give their freed memory back at their end. Python workers are reused from stage to
+    stage, so what one stage keeps adds to what the next one needs."""
+
+    def run(batches):
+        yield from scan(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(Exception):  # another C library than glibc
+            import ctypes
+
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def tidy_driver(spark: SparkSession) -> None:
     """Let go of the plans that the driver's Python still holds in cycles, and of its freed native memory."""
     gc.collect()

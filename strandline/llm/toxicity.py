@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import _kernel as K
-from strandline.llm._spark import Scratch, table
+from strandline.llm._spark import Scratch, lean, table
 
 #: Labelled rows that a fit takes at most. All words of theirs that belong to a toxic family or resemble one are examples.
 SAMPLE = 10_000
@@ -378,7 +378,7 @@ def _kernels_in_tasks(spark, model: Model, examples: list[bytes]) -> np.ndarray:
             found = model.kernels(as_codes([examples[i] for i in at]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), n).cast(pa.list_(pa.float32()))], ["i", "k"])
 
-    got = spark.range(0, len(examples), 1, max(1, len(examples) // 1000)).mapInArrow(scan, "i long, k array<float>").toArrow().sort_by("i")
+    got = spark.range(0, len(examples), 1, max(1, len(examples) // 1000)).mapInArrow(lean(scan), "i long, k array<float>").toArrow().sort_by("i")
     shared.destroy()
     return np.array(got.column("k").combine_chunks().flatten().to_numpy(), np.float64).reshape(-1, n)
 
@@ -432,7 +432,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = F
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(kinds[lo + rows], pa.int8()), pa.array(K.signed(around))], ["word", "toxic", "around"])
 
     base = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    seen = base.mapInArrow(count, "word binary, toxic tinyint, around long").distinct()
+    seen = base.mapInArrow(lean(count), "word binary, toxic tinyint, around long").distinct()
     per_word = seen.groupBy("word").agg(F.sum("toxic").cast("long").alias("t"), F.count("*").alias("n"))
     stems = per_word.selectExpr("explode(transform(filter(array(4, 5, 6, 7, 8), k -> k < octet_length(word)), k -> substring(word, 1, k))) unit", "t", "n").groupBy("unit").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.count("*").alias("kinds")).where("kinds >= 3")
     every = per_word.selectExpr("word unit", "t", "n", "1L kinds").union(stems).groupBy("unit").agg(F.max("t").alias("t"), F.max("n").alias("n"))
@@ -468,7 +468,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = F
             hit = early.value.may_be(as_codes(words))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(hit))], ["word"])
 
-    alike = others.select("word").mapInArrow(resembling, "word binary").orderBy("word").collect()  # of the sample
+    alike = others.select("word").mapInArrow(lean(resembling), "word binary").orderBy("word").collect()  # of the sample
     early.destroy()
     near = [bytes(r[0]) for r in alike]
     negative = list(dict.fromkeys(plain[:plain_words] + near + [x[:STEM] for x in near if len(x) > STEM]))
@@ -499,7 +499,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = F
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(f[:, i])) for i in range(7)), pa.array(kinds[lo:hi], pa.int8())], [*"abcdefg", "toxic"])
 
     # repeated ids may bring more rows than the sample has ids; equal feature rows are one row with its count
-    got = base.mapInArrow(feature, ", ".join(f"{c} double" for c in "abcdefg") + ", toxic tinyint").selectExpr(*(f"round({c}, 2) {c}" for c in "abcdefg"), "toxic").groupBy(*"abcdefg", "toxic").count().toArrow()
+    got = base.mapInArrow(lean(feature), ", ".join(f"{c} double" for c in "abcdefg") + ", toxic tinyint").selectExpr(*(f"round({c}, 2) {c}" for c in "abcdefg"), "toxic").groupBy(*"abcdefg", "toxic").count().toArrow()
     values = np.stack([got.column(c).to_numpy() for c in "abcdefg"], axis=1) if got.num_rows else np.zeros((0, 7))
     model.curve = _curve(values, got.column("toxic").to_numpy().astype(float), got.column("count").to_numpy().astype(float))
     ready.destroy()
@@ -515,11 +515,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def scan(batches):
         model, seen = shared.value, Seen()
         for b in batches:
-            for lo, hi, data, offs in K.slices(b.column(1), 2 * K.SLICE):
+            for lo, hi, data, offs in K.slices(b.column(1)):
                 p = model.score(model.features(K.LOWER[data], offs, seen))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(p)], ["doc_id", "score"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(scan, "doc_id long, score double")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(lean(scan), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -531,11 +531,11 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
         model, seen = shared.value, Seen()
         for b in batches:
             keep = np.ones(b.num_rows, bool)
-            for lo, hi, data, offs in K.slices(b.column(at), 2 * K.SLICE):
+            for lo, hi, data, offs in K.slices(b.column(at)):
                 keep[lo:hi] = model.score(model.features(K.LOWER[data], offs, seen)) < threshold
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(lean(scan), docs.schema)
 
 
 def query(spark, sf_dir):
