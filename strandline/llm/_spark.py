@@ -217,7 +217,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     to the shared folder. Null nodes are not among the edges.
     """
     kind = f"a {edges.schema['a'].dataType.simpleString()}, b {edges.schema['b'].dataType.simpleString()}"
-    e = scratch.put(edges.where("a <> b").select("a", "b").mapInArrow(_forest, kind).selectExpr("greatest(a, b) a", "least(a, b) b").distinct())
+    e = scratch.put(edges.where("a <> b").select("a", "b").mapInArrow(lean(_forest), kind).selectExpr("greatest(a, b) a", "least(a, b) b").distinct())
     while not _stars(e):
         both = e.union(e.selectExpr("b a", "a b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) m")
@@ -244,7 +244,7 @@ def bit_table(wanted: DataFrame, column: str, bits: int, cells) -> np.ndarray:
             at = np.unique(cells(b.column(0).to_numpy(zero_copy_only=False)))
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "mask"])
 
-    got = wanted.select(column).mapInArrow(mark, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    got = wanted.select(column).mapInArrow(lean(mark), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
     return out
