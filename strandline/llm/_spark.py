@@ -26,14 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Bytes of one Arrow batch between the JVM and a Python worker; rows of long texts then come in small batches.
 BATCH_BYTES = 4 << 20
+#: Rows that the Parquet reader decodes at once. A column's rows lie in one array of doubling size, so thousands of long texts
+#: at once would make arrays of many MB, for which an executor's heap grows.
+READ_ROWS = 256
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to ``BATCH_BYTES`` unless the session holds them lower; memory of a worker follows from it."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, None)
-    if not now or not str(now).isdigit() or int(now) > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+    """Hold Arrow batches to ``BATCH_BYTES`` and the reader's batches to ``READ_ROWS`` unless the session holds them lower; memory of a
+    worker and of a scan follows from them."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)):
+        now = spark.conf.get(key, None)
+        if not now or not str(now).isdigit() or int(now) > most:
+            spark.conf.set(key, str(most))
 
 
 def trim_driver(spark: SparkSession) -> None:
