@@ -96,3 +96,22 @@ def test_pipeline_stages_against_brute_force(spark):
     mixed = steps["mixing_weights"](spark, docs, SF)
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= set(rows)
     assert {x for r in steps["token_packing"](spark, docs, SF).collect() for x in r.doc_ids} == set(rows)
+
+
+@needs_data
+def test_toxic_stage_against_documents_scored_one_by_one(spark):
+    import corpus_pipeline as P
+    import pyarrow as pa
+
+    from strandline.llm import _kernel as K
+    from strandline.llm import toxicity
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    kept = {r.doc_id for r in dict(P.STAGES)["toxicity"](spark, docs, SF).select("doc_id").collect()}
+    model = toxicity.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for i, text in texts.items():
+        data, offsets = K.raw_text(pa.array([text], pa.string()))
+        assert (model.score(model.features(K.LOWER[data[: offsets[-1]]], offsets))[0] < 0.5) == (i in kept), i
+    known = {r.doc_id: bool(r.toxic) for r in labels.where("toxic is not null").collect() if r.doc_id in texts}
+    assert any(known.values()) and sum((i in kept) == bad for i, bad in known.items()) <= 0.05 * len(known)
