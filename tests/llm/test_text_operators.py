@@ -102,6 +102,33 @@ def test_short_texts_at_low_thresholds_lose_no_link(spark, percent):
     assert {r.component_id for r in two} == {0}
 
 
+@pytest.mark.parametrize("k,percent", [(3, 90), (1, 50)])
+def test_jaccard_links_are_all_there_and_counted(spark, k, percent):
+    """Every link between different sets, those within one component too, and the links of each row with its copies."""
+    rng = random.Random(12)
+    core = prose(rng, 60).split()
+    texts = [" ".join(core)] * 3
+    for _ in range(40):
+        w = list(core)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(1000)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(rng.sample("abcdefghijkl", rng.randrange(1, 9))) for _ in range(30)] + [None, "", " "]
+    sets = []
+    for t in texts:
+        w = (t or "").split()
+        sets.append(frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset())
+    near = lambda a, b: a & b and 100 * len(a & b) >= percent * len(a | b)
+    rows, links = ngram_join.jaccard_links(docs(spark, texts), k, percent)
+    got = {r.doc_id: r for r in rows.collect()}
+    assert [got[i].n_shingles for i in range(len(texts))] == list(map(len, sets))
+    assert [got[i].n_links for i in range(len(texts))] == [sum(bool(near(a, b)) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    of = {s: min(i for i, x in enumerate(sets) if x == s) for s in sets if s}
+    assert all(got[i].class_id.d == of[s] if s else got[i].class_id is None for i, s in enumerate(sets))
+    found = sorted((r.a.d, r.b.d) for r in links.collect())
+    assert found == sorted((min(i, j), max(i, j)) for s, i in of.items() for t, j in of.items() if i < j and near(s, t))
+
+
 def test_jaccard_odd_rows(spark):
     d = docs(spark, [*ODD, "same words here", "other text"], [0, 1, 2, 3, 4, 5, 6, None, 3]).withColumnRenamed("n_chars", "component_id")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(d, 3, 90).collect()), key=str)
