@@ -29,11 +29,12 @@ def align_reads(reads: DataFrame, contigs: DataFrame, seeds: SeedParams = SeedPa
     are turned and flagged.
     """
     index = A.kmer_index(contigs, seeds) if index is None else index
-    place = (lambda r, c: A.place_banded(r, c, contigs, banded, trace=True)) if banded else (lambda r, c: A.place_ungapped(r, c, contigs))
-    aligned = place(reads, A.chain(A.seeds(reads, index, seeds), seeds))
+    how = (lambda *of: A.place_banded(*of, banded, trace=True)) if banded else A.place_ungapped
+    place = lambda r: A.place_each_once(r, contigs, how, seeds, index)
+    aligned = place(reads)
     if both_strands:
         back = reads.withColumn("sequence", S.reverse_complement("sequence")).withColumn("quality", F.reverse("quality"))
-        other = place(back, A.chain(A.seeds(back, index, seeds), seeds))
+        other = place(back)
         both = aligned.withColumn("strand", F.lit(0)).unionByName(other.withColumn("strand", F.lit(1)))
         best = both.groupBy("read_id").agg(F.max(F.struct("score", -F.col("strand"))).alias("b")).selectExpr("read_id", "-b.col2 strand")
         aligned = both.join(best, ["read_id", "strand"])

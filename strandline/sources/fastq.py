@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from strandline.shared import small
+from strandline.shared import scratch_folder, small
 
 
 def _open(path: str):
@@ -63,6 +63,8 @@ def parse_fastq(lines: Iterator[str], mode: str = "fail") -> Iterator[tuple[str,
 
 #: Bytes of a plain file that one partition reads.
 SPLIT = 128 << 20
+#: Byte ranges of one read: of more bytes they are longer than ``split``, though not than ``SPLIT``, so tasks do not multiply.
+PARTS = 1024
 ROWS = 4096
 
 
@@ -133,13 +135,13 @@ class FastqReader(DataSourceReader):
         self.split = int(options.get("split", SPLIT))
 
     def partitions(self):
-        out = []
-        for i, p in enumerate(_paths(self.path)):
-            size = os.path.getsize(p)
-            if self.mode != "fail" or p.endswith(".gz") or size <= self.split:
+        out, sizes = [], {p: os.path.getsize(p) for p in _paths(self.path)}
+        step = max(self.split, min(SPLIT, -(-sum(sizes.values()) // PARTS)))
+        for i, (p, size) in enumerate(sizes.items()):
+            if self.mode != "fail" or p.endswith(".gz") or size <= step:
                 out.append(_File(p, i))
             else:
-                out += [_File(p, i, k, at, min(at + self.split, size)) for k, at in enumerate(range(0, size, self.split))]
+                out += [_File(p, i, k, at, min(at + step, size)) for k, at in enumerate(range(0, size, step))]
         return out
 
     def read(self, partition):
@@ -453,7 +455,10 @@ def read_fastq(spark: SparkSession, path: str, mode: str = "fail", split: int =
     rows = spark.read.format("fastq").option("mode", mode).option("split", split).load(path)
     ordinal = F.col("place")
     if mode == "fail" and any(not p.endswith(".gz") and os.path.getsize(p) > split for p in _paths(path)):
-        per = rows.groupBy("file", "part").agg(F.count("*").alias("k"))
+        # written, so that files are counted once however often the rows are read
+        counts = f"{scratch_folder(spark, 'counts')}/parts"
+        rows.groupBy("file", "part").agg(F.count("*").alias("k")).write.parquet(counts)
+        per = spark.read.parquet(counts)
         before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.join(small(per.select("file", "part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base"))), ["file", "part"])
         ordinal = F.col("base") + F.col("place")

@@ -379,3 +379,41 @@ def test_broadcasts_and_folders_are_checked(spark):
     with pytest.raises(ValueError):
         shared.shared_folder(types.SimpleNamespace(sparkContext=types.SimpleNamespace(getConf=lambda: conf, master="yarn"), conf=conf))
     assert np.array_equal(KN._two_sides(np.array([[0, 5]]), np.array([[0, 9]])), [5])
+
+
+def test_reads_of_one_sequence_are_placed_once(spark):
+    """Every different sequence is seeded, chained and placed once, and each of its reads gets the row that it gets on its own."""
+    rng = random.Random(23)
+    contigs = spark.createDataFrame([(f"c{i}", i, bases(rng, 900)) for i in range(3)], "name string, ordinal int, sequence string")
+    cuts = [r.sequence[at : at + 100] for r in contigs.collect() for at in (0, 311, 700)]
+    seqs = [rng.choice(cuts) for _ in range(60)] + [cuts[0][:40] + "A" + cuts[0][41:], cuts[1][:50] + cuts[1][52:], "N" * 100, "ACGT", None]
+    reads = spark.createDataFrame([(i, f"r{i}", s, "I" * len(s or "")) for i, s in enumerate(seqs)] + [(None, "none", cuts[0], "I" * 100)], READS)
+    index = A.kmer_index(contigs)
+    seen = []
+
+    def counted(texts, chained, c):
+        seen.append(sorted(r.sequence for r in texts.collect()))
+        return A.place_ungapped(texts, chained, c)
+
+    cols = ["read_id", "name", "contig", "start", "gpos", "n_seeds", "mismatches", "score", "mapq"]
+    one = A.place_ungapped(reads, A.chain(A.seeds(reads, index)), contigs).select(cols)
+    two = A.place_each_once(reads, contigs, counted).select(cols)
+    assert sorted(map(tuple, two.collect())) == sorted(map(tuple, one.collect()))
+    assert seen == [sorted({s for s in seqs if s})]
+    sam = A.sam_of(A.place_each_once(reads, contigs, how="left"))
+    assert sorted(map(tuple, sam.collect()), key=str) == sorted(map(tuple, A.sam_rows(reads, A.place_ungapped(reads, A.chain(A.seeds(reads, index)), contigs)).collect()), key=str)
+    banded = lambda *of: A.place_banded(*of, BandedParams(band=8), trace=True)
+    cols = ["read_id", "contig", "start", "score", "cigar", "edits"]
+    assert sorted(map(tuple, A.place_each_once(reads, contigs, banded).select(cols).collect())) == sorted(map(tuple, banded(reads, A.chain(A.seeds(reads, index)), contigs).select(cols).collect()))
+
+
+def test_ranges_of_many_bytes_are_bounded_in_number(tmp_path):
+    rng = random.Random(24)
+    for name in "ab":
+        (tmp_path / f"{name}.fq").write_text("".join(fastq(rng, 1500)))
+    found = Q.FastqReader({"path": str(tmp_path), "split": "10"}).partitions()
+    assert Q.PARTS // 2 < len(found) <= Q.PARTS + 2
+    for p in (tmp_path / "a.fq", tmp_path / "b.fq"):
+        own = [x for x in found if x.path == str(p)]
+        got = [r for x in own for r in Q.read_range(x.path, x.start, x.end)]
+        assert got == list(Q.parse_fastq(iter(p.read_text().splitlines()))) and [x.part for x in own] == list(range(len(own)))
