@@ -185,6 +185,38 @@ def test_kneser_ney_against_a_plain_model(spark):
         assert got[i].perplexity == pytest.approx(want, rel=1e-6) and got[i].n_symbols == len(raw)
 
 
+def test_kneser_ney_over_bytes_tells_scripts_and_capitals_apart(spark):
+    """The query's model: every byte a symbol of its own. Texts that 64 classes could not tell apart score differently, and as a plain model says."""
+    texts = ["привет мир и снова привет", "Tag und Nacht im Jahr", "0.75 и 1984", "Tag und Nacht"] * 3 + ["аривет лир и онова чривет", "TaG UND NACHT im JAhR", "日本語の文", "привет"]
+    raws = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    byte, one = kneser_ney.BYTES, np.array([0, 1])
+    assert sorted(byte.of.tolist()) == list(range(256)) and len({kneser_ney.grams(np.array([b], np.uint8), one, byte)[1][0] for b in range(256)}) == 256
+    keys = [kneser_ney.grams(r, np.array([0, len(r)]), byte)[1].tolist() for r in raws]
+    order = {4: collections.Counter(k for ks in keys[:12] for k in ks)}
+    for n in (3, 2, 1):
+        order[n] = collections.Counter(k & ((1 << 8 * n) - 1) for k in order[n + 1])
+    cuts = {}
+    for n, c in order.items():
+        m = collections.Counter(c.values())
+        y = m[1] / (m[1] + 2 * m[2]) if m[1] else 0
+        low = (1 - 2 * y * m[2] / m[1], 2 - 3 * y * m[3] / m[2], 3 - 4 * y * m[4] / m[3] if m[3] else 1.5) if m[1] and m[2] else None
+        cuts[n] = tuple(min(max(x, 0.05), i + 0.95) for i, x in enumerate(low)) if low else (0.5, 0.75, 0.9)
+
+    def p(key, n):
+        if n == 0:
+            return 1 / 256
+        lower, cut = p(key & ((1 << 8 * (n - 1)) - 1), n - 1), lambda c: cuts[n][min(c, 3) - 1]
+        seen = [c for k, c in order[n].items() if k >> 8 == key >> 8]
+        c = order[n].get(key, 0)
+        return ((c - cut(c) if c else 0) + sum(map(cut, seen)) * lower) / sum(seen) if seen else lower
+
+    labels = spark.createDataFrame([(i, int(i < 12)) for i in range(len(texts))], "doc_id bigint, quality int")
+    got = {r.doc_id: r for r in kneser_ney.classify(docs(spark, texts), labels, symbols=byte).collect()}
+    for i, ks in enumerate(keys):
+        assert got[i].n_symbols == len(raws[i]) and got[i].perplexity == pytest.approx(np.exp(-np.mean([np.log(p(k, 4)) for k in ks])), rel=1e-6)
+    assert got[13].perplexity > 2 * got[1].perplexity and got[12].perplexity > 2 * got[0].perplexity
+
+
 def test_kneser_ney_keeps_clean_text_and_odd_rows(spark):
     rng = random.Random(2)
     texts = [prose(rng, 60) for _ in range(60)] + ["!!%% ZZQ " * 40, None, "", "e" * 70_000, "the same", "the same"]
@@ -203,6 +235,11 @@ def test_varints():
     assert kneser_ney.unvarints(kneser_ney.varints(x)[0])[0].tolist() == x.tolist()
 
 
+def test_varints_of_five_bytes():
+    x = np.array([2**28 - 1, 2**28, 2**32 - 1, 0, 7])
+    assert kneser_ney.unvarints(kneser_ney.varints(x)[0])[0].tolist() == x.tolist()
+
+
 # ---- 3
 
 def test_raking_meets_its_marginals(spark):
