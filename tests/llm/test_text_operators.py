@@ -230,6 +230,36 @@ def test_kneser_ney_keeps_clean_text_and_odd_rows(spark):
     assert kneser_ney.classify(d.where("false"), labels).count() == 0
 
 
+def test_kneser_ney_postings_give_every_gram_of_every_text_back():
+    rng = random.Random(5)
+    texts = ["", "é", *(prose(rng, n) for n in (1, 40, 200)), "", "a" * 40_000, "ab" * 300, "\U0001f600 ABC"]
+    raws = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    offs = np.cumsum([0, *map(len, raws)])
+    for symbols in (kneser_ney.CLASSES, kneser_ney.BYTES):
+        want, got = collections.Counter(), collections.Counter()
+        for i, raw in enumerate(raws):
+            want.update((i, k) for k in kneser_ney.grams(raw, np.array([0, len(raw)]), symbols)[1].tolist())
+        for shard, *streams in kneser_ney.postings(np.concatenate(raws), offs, symbols):
+            keys, at, rows, counts = kneser_ney.unposted(*streams)
+            assert len(set(keys.tolist())) == len(keys) and {k >> 3 * symbols.bits & 3 for k in keys.tolist()} == {shard}
+            got.update(dict(zip(zip(rows.tolist(), keys[at].tolist()), counts.tolist())))
+        assert got == want
+
+
+def test_kneser_ney_shuffles_less_than_the_texts(spark):
+    """Texts used to send each of their n-grams by themselves."""
+    rng = random.Random(6)
+    d = docs(spark, [" ".join("".join(rng.choice(["th", "er", "on", "in", "a", "ble", "s", "e"]) for _ in range(rng.randrange(1, 5))) for _ in range(400)) for _ in range(1500)])
+    size = d.selectExpr("sum(octet_length(text))").first()[0]
+    written = lambda: sum(e.totalShuffleWrite() for e in map(seen.apply, range(seen.size())))
+    seen = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    before = written()
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id bigint, quality int")
+    assert kneser_ney.classify(d, labels, symbols=kneser_ney.BYTES).count() == 1500
+    seen = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    assert written() - before < 0.6 * size, ((written() - before) / size)
+
+
 def test_varints():
     x = np.array([0, 127, 128, 16383, 16384, 2**21, 2**24 - 1, 5])
     assert kneser_ney.unvarints(kneser_ney.varints(x)[0])[0].tolist() == x.tolist()
